@@ -1,0 +1,6 @@
+"""No streaming-only operator exists in this domain: every report is a batch.
+
+The stateless parts (``functions.text``, ``functions.graders``,
+``operators.labels.label_rows``) are plain column expressions, so they also
+apply to a streaming DataFrame unchanged.
+"""
