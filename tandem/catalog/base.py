@@ -195,8 +195,8 @@ def draws(cells: str, cols: str, n_boot: int, seed: int = 0) -> str:
     unit = "+".join(f"(u >= {t!r}::double)::int" for t in poisson_steps())
     return f"""unit as (select x.*, j from {cells} x, unnest(range(least(c, 32))) t(j)),
  hashed as (select x.*, q, md5(concat('{seed}:', cast(key as varchar), ':', j, ':', q)) as h from unit x, range({q}) r(q)),
- uni as (select x.* exclude (h), q * 4 + s as b, ('0x'||substr(h, 1 + 8*s, 8))::bigint/4294967296.0::double as u
-  from hashed x, range(4) z(s) where q * 4 + s < {n_boot}),
+ uni as (select x.* exclude (h), q * 4 + slot as b, ('0x'||substr(h, 1 + 8*slot, 8))::bigint/4294967296.0::double as u
+  from hashed x, range(4) z(slot) where q * 4 + slot < {n_boot}),
  drawn as (select {cols}, key, b, case when max(c) <= 32 then sum({unit})::double
   else greatest(0.0::double, round_even(max(c) + sqrt(max(c)::double) * sqrt(-2.0::double * ln(1.0::double - max(u) filter (where j = 0)))
    * cos(2.0::double * pi() * max(u) filter (where j = 1)), 0)) end as w from uni group by all)"""
