@@ -106,9 +106,9 @@ def numeric_prediction(generation: Column) -> Column:
     return number_value(F.coalesce(after(ANSWER_MARK), after(RESULT_MARK), _last(_all(t, NUMBER))))
 
 
-def grade_gsm8k(generation: Column, answer: Column, question: Column) -> tuple[Column, Column]:
-    pred, gold = numeric_prediction(generation), numeric_gold(answer)
-    return pred.cast("string"), F.coalesce(pred == gold, F.lit(False))
+def grade_gsm8k(rows: DataFrame) -> DataFrame:
+    got = rows.withColumn("__pred", numeric_prediction(F.col("__gen")))
+    return got.withColumn("__ok", F.col("__pred") == numeric_gold(F.col("__ans")))
 
 
 # Letters ---------------------------------------------------------------------
@@ -120,14 +120,15 @@ def letter_prediction(generation: Column) -> Column:
     return F.coalesce(marked, bare, F.when(alone.rlike("^[A-E]$"), alone))
 
 
-def _letter_grade(pred: Column, answer: Column, letters: str) -> Column:
-    gold = F.upper(strip(answer))
-    return F.coalesce(gold.isin(*letters) & (pred == gold), F.lit(False))
+def _letter_grade(rows: DataFrame, pred: Column, letters: str) -> DataFrame:
+    gold = F.upper(strip(F.col("__ans")))
+    return rows.withColumn("__pred", pred).withColumn(
+        "__ok", gold.isin(*letters) & (F.col("__pred") == gold)
+    )
 
 
-def grade_lsat(generation: Column, answer: Column, question: Column) -> tuple[Column, Column]:
-    pred = letter_prediction(generation)
-    return pred, _letter_grade(pred, answer, LETTERS[:5])
+def grade_lsat(rows: DataFrame) -> DataFrame:
+    return _letter_grade(rows, letter_prediction(F.col("__gen")), LETTERS[:5])
 
 
 def choice_prediction(generation: Column) -> Column:
@@ -136,9 +137,8 @@ def choice_prediction(generation: Column) -> Column:
     return F.coalesce(marked, _some(F.regexp_extract(last_line(generation), FINAL_LINE_LETTER, 1)))
 
 
-def grade_mmlu_pro(generation: Column, answer: Column, question: Column) -> tuple[Column, Column]:
-    pred = choice_prediction(generation)
-    return pred, _letter_grade(pred, answer, LETTERS)
+def grade_mmlu_pro(rows: DataFrame) -> DataFrame:
+    return _letter_grade(rows, choice_prediction(F.col("__gen")), LETTERS)
 
 
 # Many kinds ------------------------------------------------------------------
@@ -162,13 +162,12 @@ def _clean(c: Column) -> Column:
     return strip(cut_dots(strip(c)))
 
 
-def _word_right(pred: Column, gold: Column, question: Column) -> Column:
-    s = _clean(pred)
+def _word_right(s: Column, gold: Column, options: Column) -> Column:
     lead = r"(?sU)^\(\s*([A-Z])\s*\)\)?[\s.:]*(.*)$"
     rest = strip(F.regexp_extract(s, lead, 2))
     nth = F.ascii(F.regexp_extract(s, lead, 1)) - 64
     picked = F.when(rest.rlike("[A-Za-z]"), rest).otherwise(
-        F.try_element_at(dash_options(question), F.greatest(nth, F.lit(1)))
+        F.try_element_at(options, F.greatest(nth, F.lit(1)))
     )
     s = F.when(s.rlike(lead), picked).otherwise(s)
     low = F.lower(F.regexp_replace(s, r"(?U)^\(\s*([A-Za-z]+)\s*\)", "$1"))
@@ -179,52 +178,57 @@ def _word_right(pred: Column, gold: Column, question: Column) -> Column:
     return said == gold
 
 
-def _integer_right(pred: Column, gold: Column) -> Column:
-    s = strip(F.substring_index(_clean(pred), "=", -1))
+def _integer_right(s: Column, gold: Column) -> Column:
+    s = strip(F.substring_index(s, "=", -1))
     s = F.regexp_replace(s, r"(?U)^\(\s*[A-Z]\s*\)\s*", "")
     digits = F.replace(F.regexp_extract(s, r"-?\d[\d,]*", 0), F.lit(","), F.lit(""))
     return digits.try_cast("decimal(38,0)") == gold.try_cast("decimal(38,0)")
 
 
-def _brackets_right(pred: Column, gold: Column, question: Column) -> Column:
+def _brackets_right(s: Column, gold: Column, question: Column) -> Column:
     def squash(c):
         return F.regexp_replace(c, r"(?U)[\s`*]", "")
 
-    p, g = squash(_clean(pred)), squash(gold)
+    p, g = squash(s), squash(gold)
     whole = F.concat(squash(F.substring_index(question, "Input:", -1)), g)
     repeated = F.contains(question, F.lit("Input:")) & (p == whole)
     return (p == g) | F.coalesce(repeated, F.lit(False))
 
 
-def _words_right(pred: Column, gold: Column) -> Column:
+def _words_right(s: Column, gold: Column) -> Column:
     def words(c, sep):
         return F.filter(F.split(c, sep), lambda w: w != "")
 
-    return words(F.lower(_clean(pred)), r"(?U)[\s,]+") == words(F.lower(gold), r"(?U)\s+")
+    return words(F.lower(s), r"(?U)[\s,]+") == words(F.lower(gold), r"(?U)\s+")
 
 
-def grade_bbh(generation: Column, answer: Column, question: Column) -> tuple[Column, Column]:
-    pred, gold = line_prediction(generation), strip(answer)
+def grade_bbh(rows: DataFrame) -> DataFrame:
+    pred, gold, norm, clean = (F.col(c) for c in ("__pred", "__gold", "__norm", "__clean"))
+    got = (
+        rows.withColumn("__pred", line_prediction(F.col("__gen")))
+        .withColumn("__gold", strip(F.col("__ans")))
+        .withColumn("__norm", normalize(pred))
+        .withColumn("__clean", _clean(pred))
+    )
     letter = F.regexp_extract(gold, r"^\(([A-Z])\)$", 1)
     shown = _last(_all(pred, r"\(([A-Z])\)", 1))
-    bare = cut_dots(F.upper(normalize(pred)))
     low = F.lower(gold)
     right = (
-        F.when(letter != "", F.coalesce(shown, bare) == letter)
-        .when(normalize(pred) == normalize(gold), F.lit(True))
-        .when(low.isin(*CATEGORICAL), _word_right(pred, low, question))
-        .when(gold.rlike(r"^-?\d+$"), _integer_right(pred, gold))
-        .when(gold.rlike(BRACKETS), _brackets_right(pred, gold, question))
-        .otherwise(_words_right(pred, gold))
+        F.when(letter != "", F.coalesce(shown, cut_dots(F.upper(norm))) == letter)
+        .when(norm == normalize(gold), F.lit(True))
+        .when(low.isin(*CATEGORICAL), _word_right(clean, low, dash_options(F.col("__ask"))))
+        .when(gold.rlike(r"^-?\d+$"), _integer_right(clean, gold))
+        .when(gold.rlike(BRACKETS), _brackets_right(clean, gold, F.col("__ask")))
+        .otherwise(_words_right(clean, gold))
     )
-    return pred, F.coalesce(right, F.lit(False))
+    return got.withColumn("__ok", right).drop("__gold", "__norm", "__clean")
 
 
 # Mathematics -----------------------------------------------------------------
 
-def grade_math500(generation: Column, answer: Column, question: Column) -> tuple[Column, Column]:
-    got = mathgrade.grade(generation, answer)
-    return got["pred"], F.coalesce(got["correct"], F.lit(False))
+def grade_math500(rows: DataFrame) -> DataFrame:
+    got = rows.withColumn("__m", mathgrade.grade_batch(F.col("__gen"), F.col("__ans")))
+    return got.withColumn("__pred", F.col("__m.pred")).withColumn("__ok", F.col("__m.correct")).drop("__m")
 
 
 # Registry --------------------------------------------------------------------
@@ -250,12 +254,21 @@ def grade(
     df: DataFrame, task: str, generation: str = "generation", answer: str = "answer",
     question: str | None = None, pred: str = "pred", correct: str = "correct",
 ) -> DataFrame:
+    """Adds the extracted answer and whether it matches the gold; no generation is wrong."""
     if task not in GRADERS:
         raise ValueError(f"unknown task {task!r}")
-    gen = F.coalesce(F.col(generation), F.lit(""))
-    ask = F.col(question) if question else F.lit(None).cast("string")
-    p, ok = GRADERS[task](gen, F.coalesce(F.col(answer).cast("string"), F.lit("None")), ask)
-    return df.withColumn(pred, F.when(gen != "", p)).withColumn(correct, ok & (gen != ""))
+    rows = (
+        df.withColumn("__gen", F.coalesce(F.col(generation), F.lit("")))
+        .withColumn("__ans", F.coalesce(F.col(answer).cast("string"), F.lit("None")))
+        .withColumn("__ask", F.col(question) if question else F.lit(None).cast("string"))
+    )
+    some = F.col("__gen") != ""
+    got = GRADERS[task](rows)
+    return (
+        got.withColumn(pred, F.when(some, F.col("__pred").cast("string")))
+        .withColumn(correct, some & F.coalesce(F.col("__ok"), F.lit(False)))
+        .drop("__gen", "__ans", "__ask", "__pred", "__ok")
+    )
 
 
 def regrade(df: DataFrame, task: str) -> DataFrame:
@@ -276,8 +289,8 @@ def regrade(df: DataFrame, task: str) -> DataFrame:
             .withColumn(f"unclosed_think_{mode}", text.think_left_open(response))
             .withColumn("__body", text.strip_thinking(response))
         )
-        out = grade(out, task, "__body", "answer", question, "__pred", "__ok")
+        out = grade(out, task, "__body", "answer", question, "__said", "__right")
         out = out.withColumn(
-            f"correct_{mode}", ~F.col(f"unclosed_think_{mode}") & F.col("__ok")
-        ).drop("__body", "__pred", "__ok")
+            f"correct_{mode}", ~F.col(f"unclosed_think_{mode}") & F.col("__right")
+        ).drop("__body", "__said", "__right")
     return out

@@ -248,15 +248,15 @@ def test_answer_specs(spark):
             ("bbh", YES_NO, "yes", "bbh-navigate-0", True, "Yes", None),
             ("bbh", "x", "invalid", "bbh-formal_fallacies-1", True, "invalid", None),
             ("bbh", COUNT, "3", "bbh-object_counting-0", False, None, "free-form")]
-    for task, q, answer, sid, covered, gold, reason in rows:
-        df = spark.createDataFrame([(q, answer, sid)], "q string, a string, sid string")
-        spec = text.answer_spec(task, F.col("q"), F.col("a"), F.col("sid"), F.lit(None).cast("string"),
-                                F.lit(None).cast("string"))
-        got = df.select(spec.alias("s")).first().s
-        assert got.covered is covered and got.gold == gold, (task, sid, got)
-        assert reason is None or reason in got.exclude_reason
+    for task in ("mmlu_pro", "bbh"):
+        mine = [r[1:4] for r in rows if r[0] == task]
+        df = spark.createDataFrame(mine, "question string, answer string, sample_id string")
+        got = {r.sample_id: r for r in text.answer_specs(df, task).collect()}
+        for _, _, _, sid, covered, gold, reason in (r for r in rows if r[0] == task):
+            assert got[sid].covered is covered and got[sid].gold == gold, got[sid]
+            assert reason is None or reason in got[sid].exclude_reason
     with pytest.raises(ValueError):
-        text.answer_spec("gsm8k", F.col("q"), F.col("a"), F.col("sid"), F.col("q"), F.col("q"))
+        text.answer_specs(df, "gsm8k")
 
 
 def test_surface_forms_and_render(spark):
