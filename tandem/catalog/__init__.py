@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import base, boot, rank  # noqa: F401
+from . import base, boot, joins, labels, rank, text  # noqa: F401
 from .base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -73,6 +73,31 @@ class Tables:
             "event_id",
         )
 
+    def rdo(self) -> DataFrame:
+        """Events as readout rows: a first-tier answer with its confidence, beside both policies."""
+        e, i = self.evt(), F.col("event_id")
+        key = i.cast("string")
+        letter = i % 3 == 0
+        return e.select(
+            "event_id", "sample_id", "correct_off", "correct_on", "n_tokens_off", "n_tokens_on",
+            "truncated_off", "truncated_on", "conf", "family",
+            F.when(F.col("task") == "t0", "bbh").when(F.col("task") == "t1", "mmlu_pro")
+            .otherwise(F.col("task")).alias("task"),
+            F.when(letter, "letter").otherwise("yes_no").alias("kind"),
+            F.when(letter, 4).otherwise(2).alias("n_options"),
+            (i % 29 != 0).alias("covered"),
+            F.when(i % 58 == 0, "free-form answer (number)").when(i % 29 == 0, "prompt_hash_mismatch")
+            .alias("exclude_reason"),
+            (F.lit(0.25) + F.lit(0.75) * F.col("conf")).alias("p_max"),
+            (hash01(F.concat(key, F.lit(":s1"))) < 0.3 + 0.5 * F.col("conf")).alias("s1_correct"),
+            (F.lit(0.5) + (i % 50) / 100.0).alias("option_mass"),
+            F.array_compact(F.array(
+                F.when(i % 5 == 0, "alt_path_unavailable"), F.when(i % 7 == 0, "capture_prompt_truncated")
+            )).alias("flags"),
+            F.concat(F.lit("g"), (i % 2).cast("string")).alias("grader_version"),
+            (i % 41 == 0).alias("unclosed_think_on"),
+        )
+
     def lin(self) -> DataFrame:
         """Order lines as items: heavy ties and no row id, aggregates only."""
         line = self.lineitem.select(
@@ -145,6 +170,15 @@ EVT = f"""evt as (select concat('evt-', event_type, '-', cast(event_id as varcha
  20 + event_id % 180 as n_tokens_off, 200 + event_id % 1800 as n_tokens_on,
  event_id % 37 = 0 as truncated_on, event_id % 11 = 0 as truncated_off, event_id % 8 as shard, event_id
  from events)"""
+RDO = f"""{EVT}, rdo as (select event_id, sample_id, correct_off, correct_on, n_tokens_off, n_tokens_on, truncated_off, truncated_on,
+ conf, family, case task when 't0' then 'bbh' when 't1' then 'mmlu_pro' else task end as task,
+ case when event_id % 3 = 0 then 'letter' else 'yes_no' end as kind, case when event_id % 3 = 0 then 4 else 2 end as n_options,
+ event_id % 29 <> 0 as covered, case when event_id % 58 = 0 then 'free-form answer (number)'
+ when event_id % 29 = 0 then 'prompt_hash_mismatch' end as exclude_reason, 0.25::double + 0.75::double * conf as p_max,
+ {h01("concat(cast(event_id as varchar), ':s1')")} < 0.3::double + 0.5::double * conf as s1_correct,
+ 0.5::double + (event_id % 50)/100.0::double as option_mass,
+ list_filter([case when event_id % 5 = 0 then 'alt_path_unavailable' end, case when event_id % 7 = 0 then 'capture_prompt_truncated' end], lambda x: x is not null) as flags,
+ concat('g', cast(event_id % 2 as varchar)) as grader_version, event_id % 41 = 0 as unclosed_think_on from evt)"""
 LIN = """lin as (select o.o_orderpriority as family, l.l_returnflag <> 'R' as correct_off,
  l.l_linestatus = 'F' as correct_on, l.l_extendedprice as score_a, l.l_discount as score_b
  from lineitem l join orders o on l.l_orderkey = o.o_orderkey)"""

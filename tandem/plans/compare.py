@@ -9,7 +9,7 @@ from ..checks import or_fail
 from ..columns import join_on
 from ..functions.arrays import linear_score
 from ..operators import boot
-from ..operators.joins import ordered_pairs, pair_predictions
+from ..operators.joins import ordered_pairs, pair_predictions, small
 from .experiment import evaluate
 
 # Transfer verdicts.
@@ -81,7 +81,7 @@ def transfer_scores(probes: DataFrame, rows: DataFrame, tasks: DataFrame) -> Dat
         F.countDistinct("prefill_mode").alias("modes"))
     checked = join_on(probes, odd, ["source", "objective"]).withColumn(
         "coef", or_fail(F.col("modes") == 1, F.col("coef"), "probes disagree on prefill mode")).drop("modes")
-    met = rows.withColumnRenamed("task", "target").join(F.broadcast(checked.join(pairs, ["source", "objective"])), "target")
+    met = rows.withColumnRenamed("task", "target").join(small(checked.join(pairs, ["source", "objective"])), "target")
     met = met.withColumn("vec", or_fail(
         F.size("vec") == F.col("input_dim"), F.col("vec"), "probe width differs from the target's"))
     centred = F.zip_with(F.col("vec").cast("array<double>"), F.col("mean"), lambda x, m: x - m)
