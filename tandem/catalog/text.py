@@ -208,7 +208,7 @@ def f24(t):
     said = (
         F.when(form == 0, F.concat(F.lit("\\boxed{\\dfrac{"), k, F.lit("}{"), (F.col("conv_id") + 3).cast("string"), F.lit("}}")))
         .when(form == 1, F.concat(F.lit("\\boxed{\\$1,\\!"), F.lpad(k, 3, "0"), F.lit("\\text{ cm}^2}")))
-        .when(form == 2, F.concat(F.lit("\\boxed{x = "), k, F.lit(",\; "), c, F.lit("}")))
+        .when(form == 2, F.concat(F.lit("\\boxed{x = "), k, F.lit(",\\; "), c, F.lit("}")))
         .otherwise(F.concat(F.lit("The final answer is "), c, F.lit(".")))
     )
     off = F.when(F.col("turn") % 3 == 0, 1).otherwise(0)
@@ -274,7 +274,7 @@ _SPEC_SQL = """case when kind in ('number', 'dyck', 'word_list') or kind is null
 
 
 @query("p13_answer_specs", f"""with {GEN}, k as (select sample_id, conv_id, {_KIND_SQL} as kind from gen)
- select sample_id, kind, kind in ('letter', 'yes_no', 'valid_invalid') and (conv_id % 2 = 0) as covered,
+ select sample_id, kind, coalesce(kind in ('letter', 'yes_no', 'valid_invalid') and (conv_id % 2 = 0), false) as covered,
  case kind when 'letter' then 'A,B' when 'yes_no' then 'Yes,No' when 'valid_invalid' then 'valid,invalid' end as options,
  case when kind is null or kind in ('number', 'dyck', 'word_list') then concat('free-form answer (', coalesce(kind, 'None'), ')')
  when conv_id % 2 = 1 then concat('gold ''nothing'' not among options [', case kind when 'letter' then '''A'', ''B''' when 'yes_no' then '''Yes'', ''No''' else '''valid'', ''invalid''' end, ']') end as exclude_reason
