@@ -219,11 +219,11 @@ def _policy_sql(src: str, keys: str, delta: float) -> str:
     on = " and ".join(f"a.{k.strip()} = b.{k.strip()}" for k in keys.split(","))
     ak = ", ".join(f"a.{k.strip()}" for k in keys.split(","))
     return f"""(with g as {_GRID.format(k=keys, s=src)}, pt as (select {keys}, unnest(grid) as tau from g),
-  at as (select {ak}, tau, count(*) as n, sum(s1_correct::int) filter (where p_max >= tau) as a1, sum(correct_off::int) filter (where p_max >= tau) as a2,
+  cut as (select {ak}, tau, count(*) as n, sum(s1_correct::int) filter (where p_max >= tau) as a1, sum(correct_off::int) filter (where p_max >= tau) as a2,
    sum(correct_on::int) filter (where p_max < tau) as b3, sum(n_tokens_off) filter (where p_max >= tau) as t2, sum(n_tokens_on) filter (where p_max < tau) as u3,
    sum(correct_on::int) as all3 from pt a join {src} b on {on} group by {ak}, tau),
   pr as (select {ak}, a.tau as lo, b.tau as hi, (coalesce(b.a1,0) + coalesce(a.a2,0) - coalesce(b.a2,0) + coalesce(a.b3,0))/a.n::double as acc,
-   coalesce(a.t2,0) - coalesce(b.t2,0) + coalesce(a.u3,0) as tokens, a.all3/a.n::double as always from at a join at b on {on} and a.tau <= b.tau)
+   coalesce(a.t2,0) - coalesce(b.t2,0) + coalesce(a.u3,0) as tokens, a.all3/a.n::double as always from cut a join cut b on {on} and a.tau <= b.tau)
   select {keys}, lo, hi from (select *, row_number() over (partition by {keys} order by tokens, lo, hi) as rn from pr where acc >= always - {delta} - 1e-12) where rn = 1)"""
 
 

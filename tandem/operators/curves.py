@@ -32,14 +32,25 @@ def gain_cells(
     )
 
 
+_CELL = ["n", "gain", "base", "helped", "hurt"]
+
+
 def segments_of(cells: DataFrame, by: list[str], spread: bool | None = None) -> DataFrame:
-    """Cells with a positive weight, ordered into segments from ``k0`` to ``k1`` escalations."""
+    """Cells with a positive weight, ordered into segments from ``k0`` to ``k1`` escalations.
+
+    Other columns of the cells are carried along; of ``pos`` and ``neg`` (class
+    counts) the negatives below each segment and the totals are added.
+    """
+    extra = [c for c in cells.columns if c not in (*by, "score", *_CELL)]
+    classes = ["pos", "neg"] if "neg" in extra else []
     ran = running(
-        cells.where("n > 0"), by, "score", ["n", "gain", "base", "helped", "hurt"],
-        descending=True, spread=spread,
+        cells.where("n > 0"), by, "score", _CELL + classes, descending=True, spread=spread
     )
+    below = [(F.col("tot_neg") - F.col("cum_neg")).alias("neg_below"), "tot_pos", "tot_neg"] if classes else []
     return ran.select(
         *by,
+        *extra,
+        *below,
         "score",
         "n",
         "gain",
@@ -154,28 +165,69 @@ def _ramp(start: Column, lo: float, hi: float) -> Column:
     return half_square(hi) - half_square(lo)
 
 
-def nauc(seg: DataFrame, by: list[str], lo: float = 0.0, hi: float = 0.5) -> DataFrame:
-    """(area - random) / (oracle - random) on [lo, hi] and the three mean accuracies.
+def _nauc_struct(lo: float, hi: float) -> Column:
+    """Aggregate: the normalised area on [lo, hi] and the three mean accuracies.
 
     The oracle curve rises with the helped rows, stays flat, and falls with the
     hurt rows, so its area is closed-form in the two counts.
     """
     _check_range(lo, hi)
     width = hi - lo
-    got = seg.groupBy(*by).agg(
-        F.sum(_clipped_area(lo, hi)).alias("a"),
-        *[F.max(F.col(c) / F.col("rows")).alias(c) for c in ("base", "gain_all", "helped", "hurt")],
+    share = lambda c: F.max(F.col(c) / F.col("rows"))
+    routed_area = F.sum(_clipped_area(lo, hi))
+    rise = F.lit((hi * hi - lo * lo) / 2) - _ramp(share("helped"), lo, hi)
+    fall = _ramp(1.0 - share("hurt"), lo, hi)
+    oracle = share("base") * width + rise - fall
+    rand = (share("base") + share("gain_all") * ((lo + hi) / 2)) * width
+    return F.struct(
+        F.when(oracle - rand > 1e-12, (routed_area - rand) / (oracle - rand)).alias("nauc"),
+        (routed_area / width).alias("mean_accuracy"),
+        (rand / width).alias("random_mean_accuracy"),
+        (oracle / width).alias("oracle_mean_accuracy"),
     )
-    rise = F.lit((hi * hi - lo * lo) / 2) - _ramp(F.col("helped"), lo, hi)
-    fall = _ramp(1.0 - F.col("hurt"), lo, hi)
-    oracle = F.col("base") * width + rise - fall
-    rand = (F.col("base") + F.col("gain_all") * ((lo + hi) / 2)) * width
-    return got.withColumn("o", oracle).withColumn("r", rand).select(
-        *by,
-        F.when(F.col("o") - F.col("r") > 1e-12, (F.col("a") - F.col("r")) / (F.col("o") - F.col("r"))).alias("nauc"),
-        (F.col("a") / width).alias("mean_accuracy"),
-        (F.col("r") / width).alias("random_mean_accuracy"),
-        (F.col("o") / width).alias("oracle_mean_accuracy"),
+
+
+def nauc(seg: DataFrame, by: list[str], lo: float = 0.0, hi: float = 0.5) -> DataFrame:
+    """(area - random) / (oracle - random) on [lo, hi]; NULL where there is nothing to route for."""
+    got = seg.groupBy(*by).agg(_nauc_struct(lo, hi).alias("__s"))
+    return got.select(*by, "__s.*")
+
+
+def _min_fraction(target: Column, tol: float = 1e-9) -> Column:
+    """Aggregate: smallest k / n (k whole) whose accuracy reaches the target; 1.0 if none does."""
+    need = (target - tol) * F.col("rows") - (F.col("base") + F.col("g0"))
+    step = F.try_divide("gain", "n")
+    k = F.ceil(F.col("k0") + need / F.when(step > 0, step)).cast("double")
+    first = F.when(need <= 0, F.col("k0")).when(k <= F.col("k1"), k)
+    return F.coalesce(F.min(first / F.col("rows")), F.lit(1.0))
+
+
+def _at_fraction(fraction: float) -> Column:
+    """Aggregate: accuracy at one escalation fraction, clamped to [0, 1]."""
+    f = min(max(fraction, 0.0), 1.0)
+    k = F.lit(f) * F.col("rows")
+    inside = (k > F.col("k0")) & (k <= F.col("k1")) if f > 0 else F.col("k0") == 0
+    return F.max(F.when(inside, _accuracy_at(k)))
+
+
+def concordance_of_segments() -> Column:
+    """Aggregate: AUROC of the score for the classes carried by the segments."""
+    u = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2))
+    return F.try_divide(u, F.max(F.col("tot_pos") * F.col("tot_neg")))
+
+
+def read_curve(
+    seg: DataFrame, by: list[str], ranges: dict[str, tuple[float, float]] | None = None,
+    targets: dict[str, Column] | None = None, fractions: dict[str, float] | None = None,
+    others: list[Column] | None = None,
+) -> DataFrame:
+    """Everything wanted from a curve in one aggregation: areas (structs), sufficient
+    fractions, accuracies at fixed fractions, and further aggregates of the segments."""
+    return seg.groupBy(*by).agg(
+        *[_nauc_struct(lo, hi).alias(n) for n, (lo, hi) in (ranges or {}).items()],
+        *[_min_fraction(t).alias(n) for n, t in (targets or {}).items()],
+        *[_at_fraction(f).alias(n) for n, f in (fractions or {}).items()],
+        *(others or []),
     )
 
 
@@ -222,17 +274,11 @@ def best_threshold(seg: DataFrame, by: list[str]) -> DataFrame:
 
 
 def min_fraction(seg: DataFrame, by: list[str], target: Column, tol: float = 1e-9) -> DataFrame:
-    """Smallest k / n (k whole) whose accuracy reaches ``target``; 1.0 if none does.
+    """Smallest sufficient escalation fraction for a target accuracy.
 
     ``target`` may use the segment columns (base, gain_all, rows).
     """
-    need = (target - tol) * F.col("rows") - (F.col("base") + F.col("g0"))
-    step = F.try_divide("gain", "n")
-    k = F.ceil(F.col("k0") + need / F.when(step > 0, step)).cast("double")
-    first = F.when(need <= 0, F.col("k0")).when(k <= F.col("k1"), k)
-    return seg.groupBy(*by).agg(
-        F.coalesce(F.min(first / F.col("rows")), F.lit(1.0)).alias("fraction")
-    )
+    return seg.groupBy(*by).agg(_min_fraction(target, tol).alias("fraction"))
 
 
 def always_on(seg_minus: float = 0.0) -> Column:

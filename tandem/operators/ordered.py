@@ -155,20 +155,18 @@ def numbered(
 def quantiles(
     df: DataFrame, by: list[str], col: str, probs: list[float], spread: bool | None = None
 ) -> DataFrame:
-    """Exact linear-interpolated quantiles: by..., ``i`` (index into probs), ``q``, ``value``."""
-    if not needs_spread(df, spread):
-        got = df.groupBy(*by).agg(
-            F.percentile(F.col(col).cast("double"), F.array(*[F.lit(p) for p in probs])).alias("__v")
-        )
-        return got.select(*by, F.posexplode("__v").alias("i", "value")).select(
-            *by, "i", F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("i") + 1).alias("q"), "value"
-        )
+    """Exact linear-interpolated quantiles: by..., ``i`` (index into probs), ``q``, ``value``.
+
+    Read off running counts of the distinct values, so no group is gathered. The
+    interpolation starts from the nearer neighbour, which keeps a quantile that
+    falls on a value equal to that value.
+    """
     cells = (
         df.where(F.col(col).isNotNull())
         .groupBy(*by, F.col(col).cast("double").alias("__x"))
         .agg(F.count(F.lit(1)).alias("__n"))
     )
-    ranked = running(cells, by, "__x", ["__n"], spread=True)
+    ranked = running(cells, by, "__x", ["__n"], spread=spread)
     wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("q")) for i, p in enumerate(probs)])
     pos = (F.col("tot___n") - 1) * F.col("p.q")
     lo, hi = F.floor(pos), F.ceil(pos)
@@ -177,12 +175,13 @@ def quantiles(
     hit = ranked.withColumn("p", F.explode(wanted)).where(
         lo.between(first, last) | hi.between(first, last)
     )
-    share = F.when(lo == hi, F.lit(1.0)).otherwise(
-        F.when(lo.between(first, last), hi - pos).otherwise(0.0)
-        + F.when(hi.between(first, last), pos - lo).otherwise(0.0)
+    ends = hit.groupBy(*by, F.col("p.i").alias("i"), F.col("p.q").alias("q")).agg(
+        F.max(F.when(lo.between(first, last), F.col("__x"))).alias("a"),
+        F.max(F.when(hi.between(first, last), F.col("__x"))).alias("b"),
+        F.max(pos - lo).alias("t"),
     )
-    both = lo.between(first, last) & hi.between(first, last)
-    value = F.when(both, F.col("__x")).otherwise(share * F.col("__x"))
-    return hit.groupBy(*by, F.col("p.i").alias("i"), F.col("p.q").alias("q")).agg(
-        F.sum(value).alias("value")
+    step = F.col("b") - F.col("a")
+    value = F.when(F.col("t") < 0.5, F.col("a") + step * F.col("t")).otherwise(
+        F.col("b") - step * (1 - F.col("t"))
     )
+    return ends.select(*by, "i", "q", value.alias("value"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
@@ -129,12 +130,92 @@ def fit_logistic(train: DataFrame, features: str, y: str, balanced: bool = False
     try:
         total = data.agg(F.sum("w")).first()[0]
         return LogisticRegression(
-            maxIter=max_iter, regParam=1.0 / (c * total), standardization=False, weightCol="w", tol=1e-8
+            maxIter=max_iter, regParam=1.0 / (c * total), standardization=False, weightCol="w"
         ).fit(data)
     finally:
         data.unpersist()
 
 
+NEWTON_WIDTH = 512
+
+
+def fit_logistic_groups(train: DataFrame, by: str, vec: str, y: str, balanced: bool = False,
+                        c: float = 1.0, max_iter: int = 50, tol: float = 1e-7) -> dict:
+    """One L2 logistic fit per value of ``by``, all groups together.
+
+    Newton steps: each task adds up gradient and curvature of its rows (d x d
+    numbers per group, so for widths up to NEWTON_WIDTH), Spark adds the tasks
+    up, and only the d coefficients of each group live on the driver. A step
+    that does not lower the loss is halved. Returns {group: coefficients}, the
+    intercept last.
+    """
+    data = train.select(by, F.col(vec).cast("array<double>").alias("x"), truth(F.col(y)).alias("label")).persist()
+    try:
+        sizes = data.groupBy(by).agg(
+            count_if(F.col("label")).alias("p"), F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("d")
+        ).collect()
+        width = max(r.d for r in sizes) + 1
+        weights = {
+            r[by]: (r.n / (2.0 * max(r.n - r.p, 1)), r.n / (2.0 * max(r.p, 1))) if balanced else (1.0, 1.0)
+            for r in sizes
+        }
+        beta = {g: np.zeros(width) for g in weights}
+        tried, loss, step = dict(beta), {g: np.inf for g in beta}, {}
+        active, upper = set(beta), np.triu_indices(width)
+        for _ in range(max_iter):
+            sums = _newton_sums(data.where(F.col(by).isin(list(active))), by, tried, weights, upper)
+            for g in list(active):
+                got = sums[g]
+                at = got[0] + 0.5 / c * float(tried[g][:-1] @ tried[g][:-1])
+                if at > loss[g] + 1e-12:
+                    step[g] = step[g] / 2
+                    tried[g] = beta[g] + step[g]
+                    if np.max(np.abs(step[g])) < tol:
+                        active.discard(g)
+                    continue
+                loss[g], beta[g] = at, tried[g]
+                ridge = np.r_[np.ones(width - 1), 0.0] / c
+                grad = got[1 : width + 1] + ridge * beta[g]
+                curve = np.zeros((width, width))
+                curve[upper] = got[width + 1 :]
+                curve = curve + np.triu(curve, 1).T + np.diag(ridge)
+                step[g] = -np.linalg.lstsq(curve, grad, rcond=None)[0]
+                tried[g] = beta[g] + step[g]
+                if np.max(np.abs(step[g])) < tol:
+                    beta[g] = tried[g]
+                    active.discard(g)
+            if not active:
+                break
+        return beta
+    finally:
+        data.unpersist()
+
+
+def _newton_sums(data: DataFrame, by: str, beta: dict, weights: dict, upper) -> dict:
+    """{group: [loss, gradient..., upper curvature...]} at the given coefficients."""
+    def kernel(batches):
+        acc: dict = {}
+        for batch in batches:
+            for g, part in batch.groupby(by):
+                x = np.column_stack([np.array(part["x"].tolist(), dtype=float), np.ones(len(part))])
+                hit = part["label"].to_numpy(dtype=bool)
+                w = np.where(hit, weights[g][1], weights[g][0])
+                z = x @ beta[g]
+                p = 1.0 / (1.0 + np.exp(-np.clip(z, -700, 700)))
+                loss = float(w @ (np.logaddexp(0.0, z) - hit * z))
+                curve = (x * (w * p * (1 - p))[:, None]).T @ x
+                row = np.r_[loss, x.T @ (w * (p - hit)), curve[upper]]
+                acc[g] = acc[g] + row if g in acc else row
+        if acc:
+            yield pd.DataFrame({by: list(acc), "v": list(acc.values())})
+
+    kind = data.schema[by].dataType.simpleString()
+    parts = data.mapInPandas(kernel, f"`{by}` {kind}, v array<double>")
+    total = parts.select(by, F.posexplode("v").alias("i", "x")).groupBy(by, "i").agg(F.sum("x").alias("x"))
+    packed = total.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("s"))
+    return {r[by]: np.array(r.v) for r in packed.select(by, F.transform("s", lambda e: e["x"]).alias("v")).collect()}
+
+
 def logistic_scores(rows: DataFrame, vec: str, y: str, seed_col: str = "seed", split: str = "split",
                     balanced: bool = False) -> tuple[DataFrame, list[dict]]:
     """Validation and test rows scored by a logistic fit per seed, and the checkpoints.
@@ -142,22 +223,34 @@ def logistic_scores(rows: DataFrame, vec: str, y: str, seed_col: str = "seed", s
     Each checkpoint holds coef, intercept and the scaler state (d numbers each);
     scoring runs as column arithmetic for all seeds in one pass.
     """
-    spark = rows.sparkSession
+    # Scaler, fits and scoring all read the split rows.
+    rows = rows.persist()
     train = rows.where(F.col(split) == "train")
     state = standardizer_state(fit_standardizer(train, [seed_col], vec), [seed_col])
-    scaled = standardize(train, state, [seed_col], vec).withColumn("features", array_to_vector(F.col(vec)))
-    seeds = sorted(r[0] for r in rows.select(seed_col).distinct().collect())
     stats = {r[seed_col]: r for r in state.collect()}
-    points = []
-    for seed in seeds:
-        model = fit_logistic(scaled.where(F.col(seed_col) == seed), "features", y, balanced)
-        points.append({
-            seed_col: seed, "coef": [float(v) for v in model.coefficients], "intercept": float(model.intercept),
-            "mean": list(stats[seed].mean), "sd": list(stats[seed].sd),
-        })
     kind = rows.schema[seed_col].dataType.simpleString()
+    spark = rows.sparkSession
+    known = spark.createDataFrame(
+        [(s, list(r.mean), list(r.sd)) for s, r in stats.items()],
+        f"`{seed_col}` {kind}, mean array<double>, sd array<double>",
+    )
+    scaled = standardize(train, known, [seed_col], vec)
+    if max(len(r.mean) for r in stats.values()) <= NEWTON_WIDTH:
+        fits = fit_logistic_groups(scaled, seed_col, vec, y, balanced)
+    else:
+        wide = scaled.withColumn("features", array_to_vector(F.col(vec)))
+        fits = {}
+        for s in stats:
+            model = fit_logistic(wide.where(F.col(seed_col) == s), "features", y, balanced)
+            fits[s] = np.r_[np.array(model.coefficients), model.intercept]
+    points = [
+        {seed_col: s, "coef": [float(v) for v in fits[s][:-1]], "intercept": float(fits[s][-1]),
+         "mean": list(stats[s].mean), "sd": list(stats[s].sd)}
+        for s in sorted(stats)
+    ]
     saved = spark.createDataFrame(
-        points, f"{seed_col} {kind}, coef array<double>, intercept double, mean array<double>, sd array<double>"
+        [(p[seed_col], p["coef"], p["intercept"], p["mean"], p["sd"]) for p in points],
+        f"`{seed_col}` {kind}, coef array<double>, intercept double, mean array<double>, sd array<double>",
     )
     return apply_probes(rows.where(F.col(split) != "train"), saved, vec, [seed_col]), points
 

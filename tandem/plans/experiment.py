@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..columns import count_if, gain, join_on, ratio, truth
+from ..checks import no_nan
+from ..columns import join_on, truth
 from ..operators import boot, curves, rank
 from ..operators.predict import logistic_scores
 from ..operators.splits import seed_splits
@@ -20,39 +21,44 @@ def evaluate(
     n_boot: int = 0, off: str = "correct_off", on: str = "correct_on",
 ) -> DataFrame:
     """Every split metric per ``by``: counts, AUROC and interval, AUPRC, routing at a
-    threshold column, references, normalised areas, smallest sufficient fraction."""
-    hit, g, n = truth(F.col(y)), gain(off, on), F.count(F.lit(1))
+    threshold column, references, normalised areas, smallest sufficient fraction.
+
+    One table of score cells feeds all of it but the AUPRC, whose ties follow row order.
+    """
+    hit = truth(F.col(y))
     cut = F.col(threshold) if threshold else F.lit(0.5)
-    go = F.col(score) >= cut
-    routed = F.when(go, truth(F.col(on))).otherwise(truth(F.col(off)))
-    base = rows.groupBy(*by).agg(
-        n.alias("n"),
-        count_if(hit).alias("n_positive"),
-        ratio(count_if(hit), n).alias("base_rate"),
-        F.max(cut).alias("threshold"),
-        ratio(count_if(routed), n).alias("routed_accuracy"),
-        ratio(count_if(go), n).alias("fraction_routed"),
-        ratio(count_if(truth(F.col(off))), n).alias("never"),
-        ratio(count_if(truth(F.col(on))), n).alias("always"),
-        ratio(count_if(truth(F.col(off)) | truth(F.col(on))), n).alias("oracle"),
-        ratio(count_if(g == 1), n).alias("__helped"),
-        ratio(count_if(g == -1), n).alias("__hurt"),
+    is_, one = lambda c: F.when(c, 1.0).otherwise(0.0), F.lit(1.0)
+    o, w = truth(F.col(off)), truth(F.col(on))
+    cells = rows.groupBy(*by, no_nan(F.col(score).cast("double"), "scores").alias("score")).agg(
+        F.sum(one).alias("n"), F.sum(is_(w) - is_(o)).alias("gain"), F.sum(is_(o)).alias("base"),
+        F.sum(is_(w & ~o)).alias("helped"), F.sum(is_(o & ~w)).alias("hurt"),
+        F.sum(is_(hit)).alias("pos"), F.sum(is_(~hit)).alias("neg"), F.max(cut).alias("threshold"),
+    )
+    seg = curves.segments_of(cells, by)
+    total, go = F.max("rows"), F.col("score") >= F.col("threshold")
+    share = lambda c: F.max(F.col(c) / F.col("rows"))
+    got = curves.read_curve(
+        seg, by, RANGES, {"min_routed_for_always": curves.always_on()},
+        others=[
+            total.cast("bigint").alias("n"), F.max("tot_pos").cast("bigint").alias("n_positive"),
+            share("tot_pos").alias("base_rate"), F.max("threshold").alias("threshold"),
+            ((F.max("base") + F.sum(F.when(go, F.col("gain")).otherwise(0.0))) / total).alias("routed_accuracy"),
+            (F.sum(F.when(go, F.col("n")).otherwise(0.0)) / total).alias("fraction_routed"),
+            share("base").alias("never"), (share("base") + share("gain_all")).alias("always"),
+            (share("base") + share("helped")).alias("oracle"),
+            share("helped").alias("__helped"), share("hurt").alias("__hurt"),
+            curves.concordance_of_segments().alias("auroc"),
+        ],
     )
     f = F.col("fraction_routed")
-    base = base.withColumn(
-        "random_at_matched_rate", curves.random_accuracy_at(f, F.col("never"), F.col("always"))
-    ).withColumn(
-        "oracle_at_matched_rate",
-        curves.oracle_accuracy_at(f, F.col("never"), F.col("__helped"), F.col("__hurt")),
-    ).drop("__helped", "__hurt")
-    seg = curves.segments(rows, by, off, on, score)
-    parts = [
-        base,
-        rank.auroc(rows, by, y, score).select(*by, "auroc"),
-        rank.average_precision(rows, by, y, score, row_id),
-        *[curves.nauc(seg, by, lo, hi).select(*by, F.col("nauc").alias(name)) for name, (lo, hi) in RANGES.items()],
-        curves.min_fraction(seg, by, curves.always_on()).withColumnRenamed("fraction", "min_routed_for_always"),
-    ]
+    got = got.select(
+        *by, "n", "n_positive", "base_rate", "threshold", "routed_accuracy", "fraction_routed",
+        "never", "always", "oracle",
+        curves.random_accuracy_at(f, F.col("never"), F.col("always")).alias("random_at_matched_rate"),
+        curves.oracle_accuracy_at(f, F.col("never"), F.col("__helped"), F.col("__hurt")).alias("oracle_at_matched_rate"),
+        "auroc", *[F.col(f"{name}.nauc").alias(name) for name in RANGES], "min_routed_for_always",
+    )
+    parts = [got, rank.average_precision(rows, by, y, score, row_id)]
     if n_boot:
         parts.append(boot.auroc_interval(rows, by, y, score, row_id, n_boot))
     return reduce(lambda a, b: join_on(a, b, by), parts)
@@ -84,7 +90,8 @@ def run_scored(rows: DataFrame, y: str, score: str, row_id: str, n_boot: int = 0
                keys: list[str] | None = None) -> DataFrame:
     """Evaluation of already scored rows: threshold on validation, applied to both splits."""
     by = (keys or []) + ["seed"]
-    held = rows.where("split <> 'train'")
+    # The splits and scores are read by several branches; they are computed once.
+    held = rows.where("split <> 'train'").persist()
     cut = threshold_from(held, by, score, "split = 'val'")
     return evaluate(join_on(held, cut, by), by + ["split"], y, score, row_id, "threshold", n_boot)
 

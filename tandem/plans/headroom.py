@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,18 +21,14 @@ STATS = ["nauc_0_50", "mean_routed_acc_0_50", "escalation_minus_0.01", "escalati
 
 def router_stats(seg: DataFrame, by: list[str]) -> DataFrame:
     """by..., stat, value: area, mean accuracy, sufficient fractions, accuracy at 10 and 20%."""
-    area = curves.nauc(seg, by).select(*by, F.inline(F.array(
-        F.struct(F.lit("nauc_0_50").alias("stat"), F.col("nauc").alias("value")),
-        F.struct(F.lit("mean_routed_acc_0_50").alias("stat"), F.col("mean_accuracy").alias("value")),
-    )))
-    parts = [area]
-    for tol in (0.01, 0.005, 0.0):
-        got = curves.min_fraction(seg, by, curves.always_on(tol))
-        parts.append(got.select(*by, F.lit(f"escalation_minus_{tol:g}").alias("stat"), F.col("fraction").alias("value")))
-    at = curves.at_fractions(seg, by, [0.1, 0.2])
-    name = F.when(F.col("fraction") == 0.1, "acc_at_0.1").otherwise("acc_at_0.2")
-    parts.append(at.select(*by, name.alias("stat"), F.col("accuracy").alias("value")))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    got = curves.read_curve(
+        seg, by, {"area": (0.0, 0.5)},
+        {f"escalation_minus_{tol:g}": curves.always_on(tol) for tol in (0.01, 0.005, 0.0)},
+        {f"acc_at_{f:g}": f for f in (0.1, 0.2)},
+    ).select("*", F.col("area.nauc").alias("nauc_0_50"), F.col("area.mean_accuracy").alias("mean_routed_acc_0_50"))
+    return got.select(*by, F.inline(F.array(*[
+        F.struct(F.lit(s).alias("stat"), F.col(f"`{s}`").alias("value")) for s in STATS
+    ])))
 
 
 def router_scores(rows: DataFrame, tasks: list[str], row_id: str, seed: int = 0) -> DataFrame:

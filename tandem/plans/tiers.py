@@ -98,21 +98,19 @@ def routing_table(rows: DataFrame, by: list[str], cheap: str = S1) -> DataFrame:
     seg = curves.segments(scored, by, cheap, ON, "__conf")
     fam = curves.segments(scored.where(F.col("__fam").isNotNull()), by, cheap, ON, "__fam")
     orc = curves.oracle_segments(rows, by, cheap, ON)
-    parts = [
-        curves.nauc(seg, by),
-        curves.nauc(fam, by).select(*by, F.col("nauc").alias("family_nauc"), F.col("mean_accuracy").alias("family_mean_accuracy")),
-    ]
-    at = curves.at_fractions(seg, by, [0.1, 0.2, 0.3, 0.5])
-    parts.append(at.groupBy(*by).agg(*[
-        F.max(F.when(F.col("fraction") == f, F.col("accuracy"))).alias(f"acc_at_{int(100 * f)}") for f in (0.1, 0.2, 0.3, 0.5)
-    ]))
-    for name, delta in DELTAS.items():
-        for router, curve in (("confidence", seg), ("family", fam), ("oracle", orc)):
-            parts.append(curves.min_fraction(curve, by, curves.always_on(delta)).withColumnRenamed("fraction", f"{router}_{name}"))
+    def needs(router):
+        return {f"{router}_{name}": curves.always_on(d) for name, d in DELTAS.items()}
+
+    area = {"area": (0.0, 0.5)}
+    conf = curves.read_curve(seg, by, area, needs("confidence"), {f"acc_at_{int(100 * f)}": f for f in (0.1, 0.2, 0.3, 0.5)})
+    family = curves.read_curve(fam, by, area, needs("family")).select(
+        "*", F.col("area.nauc").alias("family_nauc"), F.col("area.mean_accuracy").alias("family_mean_accuracy")).drop("area")
+    parts = [conf.select("*", "area.*").drop("area"), family, curves.read_curve(orc, by, targets=needs("oracle"))]
     a0, a1 = F.col("acc_cheap"), F.col("acc_think")
     base = curves.policy_baselines(rows, by, cheap, ON).select(*by, F.col("never").alias("acc_cheap"), F.col("always").alias("acc_think"))
     for name, delta in DELTAS.items():
         base = base.withColumn(f"random_{name}", random_fraction(a0, a1, a1 - delta))
+    scored = scored.select(*by, "family", cheap, ON, "__conf")
     within = {
         "within_family_auroc_wrong": ~truth(F.col(cheap)),
         "within_family_auroc_helped": ~truth(F.col(cheap)) & truth(F.col(ON)),
@@ -145,11 +143,11 @@ def threshold_grid(rows: DataFrame, by: list[str], p: str = "p_max", points: int
     )
 
 
-def best_policy(rows: DataFrame, by: list[str], delta: float, p: str = "p_max") -> DataFrame:
-    """by..., lo, hi: the pair with the fewest mean tokens that keeps accuracy within delta.
+def best_policies(rows: DataFrame, by: list[str], deltas: dict[str, float], p: str = "p_max") -> DataFrame:
+    """by..., delta, lo, hi: the pair with the fewest mean tokens that keeps accuracy within delta.
 
     Rows are added up between neighbouring grid points (at most 42 sums per
-    group); all pairs are then read off those sums. NULL if no pair qualifies.
+    group); all pairs are then read off those sums. No row if no pair qualifies.
     """
     grid = threshold_grid(rows, by, p)
     edged = join_on(rows, grid, by)
@@ -161,24 +159,30 @@ def best_policy(rows: DataFrame, by: list[str], delta: float, p: str = "p_max")
         F.sum("n_tokens_on").cast("bigint").alias("t3"),
     )
     # p >= grid[i] exactly when the row's level is above i.
-    marks = grid.select(*by, F.posexplode("grid").alias("i", "tau"))
-    met = join_on(sums, marks, by)
+    met = join_on(sums, grid.select(*by, F.posexplode("grid").alias("i", "tau")), by)
     above = F.col("level") > F.col("i")
     at = met.groupBy(*by, "i", "tau").agg(
         *[F.sum(F.when(above, F.col(c)).otherwise(0)).alias(c) for c in ("a1", "a2", "a3", "t2", "t3")],
-        F.sum("n").alias("n"), F.sum("a3").alias("a3_all"), F.sum("t3").alias("t3_all"),
+        F.sum("n").alias("n"), F.sum("a3").alias("all3"), F.sum("t3").alias("all_t3"),
     )
-    lo = at.select(*by, F.col("i").alias("i_lo"), F.col("tau").alias("lo"), "n", "a3_all", "t3_all",
-                   *[F.col(c).alias(f"lo_{c}") for c in ("a2", "a3", "t2", "t3")])
     hi = at.select(*by, F.col("i").alias("i_hi"), F.col("tau").alias("hi"),
                    *[F.col(c).alias(f"hi_{c}") for c in ("a1", "a2", "t2")])
-    pair = join_on(lo, hi, by).where("i_lo <= i_hi")
+    pair = join_on(at.withColumnRenamed("tau", "lo"), hi, by).where("i <= i_hi")
     n = F.col("n").cast("double")
-    acc = (F.col("hi_a1") + F.col("lo_a2") - F.col("hi_a2") + F.col("a3_all") - F.col("lo_a3")) / n
-    tokens = F.col("lo_t2") - F.col("hi_t2") + F.col("t3_all") - F.col("lo_t3")
-    fits = acc >= F.col("a3_all") / n - delta - 1e-12
-    best = F.min(F.when(fits, F.struct(tokens.alias("tokens"), "lo", "hi")))
-    return pair.groupBy(*by).agg(best.alias("b")).select(*by, "b.lo", "b.hi")
+    acc = (F.col("hi_a1") + F.col("a2") - F.col("hi_a2") + F.col("all3") - F.col("a3")) / n
+    tokens = F.col("t2") - F.col("hi_t2") + F.col("all_t3") - F.col("t3")
+    short = F.col("all3") / n - acc
+    best = [
+        F.struct(F.lit(name).alias("delta"), F.min(
+            F.when(short <= d + 1e-12, F.struct(tokens.alias("tokens"), "lo", "hi"))).alias("b"))
+        for name, d in deltas.items()
+    ]
+    return pair.groupBy(*by).agg(F.array(*best).alias("p")).select(*by, F.inline("p")).where(
+        "b is not null").select(*by, "delta", "b.lo", "b.hi")
+
+
+def best_policy(rows: DataFrame, by: list[str], delta: float, p: str = "p_max") -> DataFrame:
+    return best_policies(rows, by, {"": delta}, p).drop("delta")
 
 
 def policy_result(rows: DataFrame, by: list[str], lo: str = "lo", hi: str = "hi", p: str = "p_max") -> DataFrame:
@@ -211,15 +215,19 @@ def three_tier(rows: DataFrame, by: list[str], fold: str = "fold", folds: int =
             ("always think", ON, F.avg(F.col("n_tokens_on").cast("double"))),
         )
     ]).alias("a")).select(*by, F.inline("a"))
-    out = [always.select(*by, "policy", "acc", "tokens", *[F.lit(None).cast("double").alias(c) for c in ("frac_s1", "frac_nothink", "frac_think")])]
-    others = rows.withColumn("__held", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where(F.col(fold) != F.col("__held"))
-    for name, delta in DELTAS.items():
-        # No feasible pair in sample means no in-sample row.
-        own = best_policy(rows, by, delta).where(F.col("lo").isNotNull())
-        out.append(policy_result(join_on(rows, own, by), by).withColumn("policy", F.lit(f"{name} in_sample")))
-        cut = best_policy(others, by + ["__held"], delta).withColumnRenamed("__held", fold)
-        out.append(policy_result(join_on(rows, cut, by + [fold], "left"), by).withColumn("policy", F.lit(f"{name} cross_fitted")))
-    return reduce(lambda a, b: a.unionByName(b), out)
+    shares = [F.lit(None).cast("double").alias(c) for c in ("frac_s1", "frac_nothink", "frac_think")]
+    out = always.select(*by, "policy", "acc", "tokens", *shares)
+    # Without a feasible pair there is no in-sample policy.
+    own = join_on(rows, best_policies(rows, by, DELTAS), by)
+    held = F.explode(F.array(*[F.lit(k) for k in range(folds)]))
+    others = rows.withColumn("__held", held).where(F.col(fold) != F.col("__held"))
+    cut = best_policies(others, by + ["__held"], DELTAS).withColumnRenamed("__held", fold)
+    asked = rows.withColumn("delta", F.explode(F.array(*[F.lit(d) for d in DELTAS])))
+    crossed = join_on(asked, cut, by + [fold, "delta"], "left")
+    for name, got in (("in_sample", own), ("cross_fitted", crossed)):
+        res = policy_result(got, by + ["delta"])
+        out = out.unionByName(res.withColumn("policy", F.concat("delta", F.lit(f" {name}"))).drop("delta"))
+    return out
 
 
 def oracle_split(rows: DataFrame, by: list[str]) -> DataFrame:

@@ -27,16 +27,20 @@ def session(master: str | None = None, app: str = "tandem", **conf) -> SparkSess
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan. Unknown sources report a huge size."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
+    """Bytes of all tables a plan reads; sources of unknown size report a huge number.
+
+    Catalyst's own estimate multiplies the two sides of a join, which says
+    little about key lookups, so the leaves are added up instead. Nothing runs.
+    """
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def needs_spread(df: DataFrame, spread: bool | None = None) -> bool:
     """Should ordered work be cut into bounded blocks?
 
-    ``None`` decides from the estimated plan size: below the limit one window
-    per group fits a task; above it, or when the size is unknown, it may not.
+    ``None`` decides from the size of the tables read: below the limit one
+    window per group fits a task; above it, or when it is unknown, it may not.
     """
     if spread is not None:
         return spread
