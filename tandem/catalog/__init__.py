@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import arrays, base, boot, joins, labels, rank, reports, text  # noqa: F401
+from . import arrays, base, boot, files, joins, labels, rank, reports, text  # noqa: F401
 from .base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+
+import numpy as np
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +40,26 @@ def write_capture(meta: DataFrame, folder: str, limit: float = 0.2) -> DataFrame
     return failed
 
 
+def write_vectors(df: DataFrame, folder: str, mode: str, layers: int) -> int:
+    """``activations_thinking_<mode>.shardNN.npz`` from (shard, row_pos, vec); returns the rows written.
+
+    A shard is one file of a fixed size by design, written by the task that holds it.
+    """
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        flat = np.array(pdf.sort_values("row_pos")["vec"].tolist(), dtype=np.float32)
+        buf = io.BytesIO()
+        np.savez_compressed(buf, activations=flat.reshape(len(flat), layers, -1))
+        fs, root = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        name = f"{root}/activations_thinking_{mode}.shard{int(pdf['shard'].iloc[0]):02d}.npz"
+        # A retried task writes the same bytes to the same name.
+        with fs.open_output_stream(name) as out:
+            out.write(buf.getvalue())
+        return pd.DataFrame({"n": [len(flat)]})
+
+    return df.groupBy("shard").applyInPandas(pack, "n bigint").agg(F.sum("n")).first()[0]
+
+
 def write_labels(labels: DataFrame, path: str) -> None:
     """Labels as JSON lines, the report and its per-difficulty rows beside them."""
     stem = path.removesuffix(".jsonl")
