@@ -210,7 +210,7 @@ def _tfidf_sql(grams: str) -> str:
 
 def _tfidf(t, grams):
     rows = splits.stratified_split(_txt(t), [], "y", 42, "doc_id")
-    w = predict.tfidf(grams(rows, ["doc_id"], "text"), rows.select("doc_id", "split"), [], "doc_id")
+    w = predict.tfidf(grams(rows, ["doc_id", "split"], "text"), rows, [], "doc_id")
     x = F.col("weight")
     return w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.sum(x).alias("total"), F.max(x).alias("top"), F.sum(x * x).alias("norm"))
 
@@ -244,7 +244,7 @@ def l03(t):
 def l03_text(t):
     """The text baseline: TF-IDF words, logistic fit on train, held-out AUROC."""
     rows = splits.stratified_split(_txt(t), [], "y", 42, "doc_id")
-    w = predict.tfidf(predict.word_grams(rows, ["doc_id"], "text"), rows.select("doc_id", "split"), [], "doc_id")
+    w = predict.tfidf(predict.word_grams(rows, ["doc_id", "split"], "text"), rows, [], "doc_id")
     data = predict.tfidf_vectors(w, [], "doc_id").join(rows.select("doc_id", "split", "y"), "doc_id")
     model = predict.fit_logistic(data.where("split = 'train'"), "features", "y", max_iter=200)
     scored = model.transform(data.where("split <> 'train'")).withColumn("score", predict.vector_to_array("probability")[1])

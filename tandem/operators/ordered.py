@@ -153,10 +153,13 @@ def numbered(
 
 
 def quantiles(
-    df: DataFrame, by: list[str], col: str, probs: list[float], spread: bool | None = None
+    df: DataFrame, by: list[str], col: str, probs: list[float], spread: bool | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles: by..., ``i`` (index into probs), ``q``, ``value``.
 
+    ``weight`` is a column of whole row counts, where rows are already collapsed.
+
     Read off running counts of the distinct values, so no group is gathered. The
     interpolation starts from the nearer neighbour, which keeps a quantile that
     falls on a value equal to that value.
@@ -164,7 +167,7 @@ def quantiles(
     cells = (
         df.where(F.col(col).isNotNull())
         .groupBy(*by, F.col(col).cast("double").alias("__x"))
-        .agg(F.count(F.lit(1)).alias("__n"))
+        .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("__n"))
     )
     ranked = running(cells, by, "__x", ["__n"], spread=spread)
     wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("q")) for i, p in enumerate(probs)])

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..columns import count_if, join_on, truth
@@ -59,41 +59,39 @@ def char_grams(df: DataFrame, keys: list[str], text: str, lo: int = 3, hi: int =
     words = df.select(*keys, F.explode(F.split(F.lower(text), r"(?U)\s+")).alias("w")).where("w <> ''")
     counted = words.groupBy(*keys, "w").agg(F.count(F.lit(1)).alias("c"))
     padded = counted.withColumn("w", F.concat(F.lit(" "), "w", F.lit(" ")))
-    size = F.length("w")
+    size, at = F.length("w"), F.col("at")
+    placed = padded.withColumn("at", F.explode(F.sequence(F.lit(1), F.greatest(size - lo + 1, F.lit(1)))))
 
     def cut(n):
-        starts = F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1)))
-        grams = F.transform(starts, lambda i: F.substring(F.col("w"), i, F.lit(n)))
-        return grams if n == lo else F.when(size > n - 1, grams).otherwise(F.array().cast("array<string>"))
+        fits = at <= F.greatest(size - n + 1, F.lit(1)) if n == lo else at <= size - n + 1
+        return F.when(fits, F.substring(F.col("w"), at, F.lit(n)))
 
-    terms = padded.select(*keys, "c", F.explode(F.concat(*[cut(n) for n in range(lo, hi + 1)])).alias("term"))
+    grams = F.array_compact(F.array(*[cut(n) for n in range(lo, hi + 1)]))
+    terms = placed.select(*keys, "c", F.explode(grams).alias("term"))
     return terms.groupBy(*keys, "term").agg(F.sum("c").alias("tf"))
 
 
-def tfidf(
-    grams: DataFrame, docs: DataFrame, by: list[str], doc: str, train: Column | str = "split = 'train'",
-    min_df: int = 2,
-) -> DataFrame:
+def tfidf(grams: DataFrame, docs: DataFrame, by: list[str], doc: str, split: str = "split",
+          min_df: int = 2) -> DataFrame:
     """by..., doc, term, weight with vocabulary and idf fitted on train documents only.
 
-    docs: one row per (by..., doc) with the split; grams: (doc, term, tf).
+    grams: (by..., doc, split, term, tf) as word_grams / char_grams give with
+    those keys; docs: one row per document, for the number of train documents.
     Weight = (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), L2-normed per document.
     """
-    cond = F.expr(train) if isinstance(train, str) else train
-    flagged = docs.select(*by, doc, cond.alias("__train"))
-    rows = grams.join(flagged, doc)
-    sizes = flagged.groupBy(*by).agg(count_if(F.col("__train")).alias("__n"))
-    vocab = rows.groupBy(*by, "term").agg(count_if(F.col("__train")).alias("df")).where(f"df >= {min_df}")
-    idf = join_on(vocab, sizes, by).select(
+    train = F.col(split) == "train"
+    sizes = docs.groupBy(*by).agg(count_if(train).alias("__n"))
+    # tf is read here as well, so both branches share one shuffled gram table.
+    seen = grams.groupBy(*by, "term").agg(count_if(train & (F.col("tf") > 0)).alias("df"))
+    idf = join_on(seen.where(f"df >= {min_df}"), sizes, by).select(
         *by, "term", (F.ln((1.0 + F.col("__n")) / (1.0 + F.col("df"))) + 1.0).alias("idf")
     )
-    raw = join_on(rows, idf, by + ["term"]).select(
+    raw = join_on(grams, idf, by + ["term"]).select(
         *by, doc, "term", ((1.0 + F.ln("tf")) * F.col("idf")).alias("__w")
     )
-    norm = raw.groupBy(*by, doc).agg(F.sqrt(F.sum(F.col("__w") * F.col("__w"))).alias("__norm"))
-    return join_on(raw, norm, by + [doc]).select(
-        *by, doc, "term", (F.col("__w") / F.col("__norm")).alias("weight")
-    )
+    # A window group is one document's terms.
+    norm = F.sqrt(F.sum(F.col("__w") * F.col("__w")).over(Window.partitionBy(*by, doc)))
+    return raw.select(*by, doc, "term", (F.col("__w") / norm).alias("weight"))
 
 
 def tfidf_vectors(weights: DataFrame, by: list[str], doc: str) -> DataFrame:

@@ -134,30 +134,45 @@ def routing_intervals(rows: DataFrame, by: list[str], row_id: str, n_boot: int,
 
 # Two thresholds ------------------------------------------------------------------------
 
-def threshold_grid(rows: DataFrame, by: list[str], p: str = "p_max", points: int = 41) -> DataFrame:
+GRID_SIZE = 42  # 41 quantiles and +inf
+
+
+def threshold_grid(rows: DataFrame, by: list[str], p: str = "p_max", points: int = GRID_SIZE - 1,
+                   weight: str | None = None) -> DataFrame:
     """by..., grid: distinct linear quantiles of p, ascending, and +inf."""
     probs = [i / (points - 1) for i in range(points)]
-    q = quantiles(rows, by, p, probs)
+    q = quantiles(rows, by, p, probs, weight=weight)
     return q.groupBy(*by).agg(
         F.concat(F.array_sort(F.collect_set("value")), F.array(F.lit(float("inf")))).alias("grid")
     )
 
 
-def best_policies(rows: DataFrame, by: list[str], deltas: dict[str, float], p: str = "p_max") -> DataFrame:
-    """by..., delta, lo, hi: the pair with the fewest mean tokens that keeps accuracy within delta.
+_SUMS = ["n", "a1", "a2", "a3", "t2", "t3"]
 
-    Rows are added up between neighbouring grid points (at most 42 sums per
-    group); all pairs are then read off those sums. No row if no pair qualifies.
-    """
-    grid = threshold_grid(rows, by, p)
-    edged = join_on(rows, grid, by)
-    level = F.size(F.filter("grid", lambda g: g <= F.col(p)))
+
+def policy_cells(rows: DataFrame, by: list[str], p: str = "p_max") -> DataFrame:
+    """Rows, right answers and tokens of each tier per distinct p: all a policy choice needs."""
     val = lambda c: truth(F.col(c)).cast("bigint")
-    sums = edged.groupBy(*by, level.alias("level")).agg(
+    return rows.groupBy(*by, p).agg(
         F.count(F.lit(1)).alias("n"), F.sum(val(S1)).alias("a1"), F.sum(val(OFF)).alias("a2"),
         F.sum(val(ON)).alias("a3"), F.sum("n_tokens_off").cast("bigint").alias("t2"),
         F.sum("n_tokens_on").cast("bigint").alias("t3"),
     )
+
+
+def best_policies(cells: DataFrame, by: list[str], deltas: dict[str, float], p: str = "p_max") -> DataFrame:
+    """by..., delta, lo, hi: the pair with the fewest mean tokens that keeps accuracy within delta.
+
+    Cells are added up between neighbouring grid points (at most 42 sums per
+    group); all pairs are then read off those sums. No row if no pair qualifies.
+    """
+    grid = threshold_grid(cells, by, p, weight="n")
+    # One comparison per grid point stays in generated code.
+    level = sum((F.coalesce((F.get("grid", F.lit(i)) <= F.col(p)).cast("int"), F.lit(0)) for i in range(1, GRID_SIZE)),
+                F.when(F.get("grid", F.lit(0)) <= F.col(p), 1).otherwise(0))
+    sums = join_on(cells, grid, by).groupBy(*by, level.alias("level")).agg(
+        *[F.sum(c).alias(c) for c in _SUMS]
+    )
     # p >= grid[i] exactly when the row's level is above i.
     met = join_on(sums, grid.select(*by, F.posexplode("grid").alias("i", "tau")), by)
     above = F.col("level") > F.col("i")
@@ -182,7 +197,7 @@ def best_policies(rows: DataFrame, by: list[str], deltas: dict[str, float], p: s
 
 
 def best_policy(rows: DataFrame, by: list[str], delta: float, p: str = "p_max") -> DataFrame:
-    return best_policies(rows, by, {"": delta}, p).drop("delta")
+    return best_policies(policy_cells(rows, by, p), by, {"": delta}, p).drop("delta")
 
 
 def policy_result(rows: DataFrame, by: list[str], lo: str = "lo", hi: str = "hi", p: str = "p_max") -> DataFrame:
@@ -217,10 +232,13 @@ def three_tier(rows: DataFrame, by: list[str], fold: str = "fold", folds: int =
     ]).alias("a")).select(*by, F.inline("a"))
     shares = [F.lit(None).cast("double").alias(c) for c in ("frac_s1", "frac_nothink", "frac_think")]
     out = always.select(*by, "policy", "acc", "tokens", *shares)
+    folded = policy_cells(rows, by + [fold])
+    whole = folded.groupBy(*by, "p_max").agg(*[F.sum(c).alias(c) for c in _SUMS])
     # Without a feasible pair there is no in-sample policy.
-    own = join_on(rows, best_policies(rows, by, DELTAS), by)
+    own = join_on(rows, best_policies(whole, by, DELTAS), by)
     held = F.explode(F.array(*[F.lit(k) for k in range(folds)]))
-    others = rows.withColumn("__held", held).where(F.col(fold) != F.col("__held"))
+    others = folded.withColumn("__held", held).where(F.col(fold) != F.col("__held")).groupBy(
+        *by, "__held", "p_max").agg(*[F.sum(c).alias(c) for c in _SUMS])
     cut = best_policies(others, by + ["__held"], DELTAS).withColumnRenamed("__held", fold)
     asked = rows.withColumn("delta", F.explode(F.array(*[F.lit(d) for d in DELTAS])))
     crossed = join_on(asked, cut, by + [fold, "delta"], "left")
