@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..columns import count_if, gain, join_on, ratio
 from ..operators import calib, curves, rank, splits
 from ..operators.ordered import running
-from ..session import needs_spread  # noqa: F401
+from ..plans import compare
 from .base import DOC, EVT, LIN, _area_sql, auroc_sql, h32, nauc_sql, query, segments_sql
 
 OFF, ON = "correct_off", "correct_on"
@@ -380,12 +380,11 @@ def a20(t):
 
 @query("k07_worst_stratum", f"with {EVT}, a as (select task, family, u/nullif(p*n,0) as auroc from "
        + auroc_sql("evt", "task, family", "(not correct_off)", "-conf")
-       + ") select task, arg_min(family, (auroc, family)) as level, min(auroc) as auroc from a where auroc is not null group by task", "auroc")
+       + ") select task, arg_min(family, (auroc, family)) as worst_stratum, min(auroc) as worst_stratum_auroc from a where auroc is not null group by task", "worst_stratum_auroc")
 def k07(t):
     d = t.evt().withColumn("y", ~F.col(OFF)).withColumn("s", -F.col("conf"))
-    a = rank.auroc(d, ["task", "family"], "y", "s").where(F.col("auroc").isNotNull())
-    return a.groupBy("task").agg(
-        F.min_by("family", F.struct("auroc", "family")).alias("level"), F.min("auroc").alias("auroc"))
+    levels = rank.auroc(d, ["task", "family"], "y", "s").withColumnRenamed("family", "level")
+    return compare.worst_stratum(levels, ["task"])
 
 
 @query("k10_shuffled_prefix", f"""with {EVT}, r as (select event_id, row_number() over (order by {h32("concat('0:', cast(event_id as varchar))")}, event_id)
