@@ -6,6 +6,7 @@ from ..columns import count_if, join_on, ratio
 from ..operators import boot, curves, predict, rank, splits
 from ..operators.joins import ordered_pairs
 from ..plans import compare, experiment, headroom, tiers
+from ..session import small_table
 from .base import EVT, RDO, auroc_sql, draws, nauc_sql, query, segments_sql
 from .rank import _min_fraction_sql, _split_sql
 
@@ -284,9 +285,10 @@ def l10(t):
     e = e.withColumn(OFF, ~F.col("y")).withColumn(ON, F.col("vec_id") % 4 != 0)
     rows = splits.stratified_split(e, ["task"], "y", 42, "vec_id")
     _, points = predict.logistic_scores(rows, "vec", "y", seed_col="task", balanced=True)
-    probes = t.spark.createDataFrame(
-        [(p["task"], "needs_thinking", "off", 42, len(p["coef"]), p["coef"], p["intercept"], p["mean"], p["sd"], 0.5) for p in points],
-        "source string, objective string, prefill_mode string, seed int, input_dim int, coef array<double>, intercept double, mean array<double>, sd array<double>, threshold double")
+    probes = small_table(t.spark, points, "task: string, coef: array<double>, intercept: double, mean: array<double>, sd: array<double>")
+    probes = probes.withColumnRenamed("task", "source").withColumns({
+        "objective": F.lit("needs_thinking"), "prefill_mode": F.lit("off"), "seed": F.lit(42),
+        "input_dim": F.size("coef"), "threshold": F.lit(0.5)})
     tasks = e.select("task").distinct().withColumn("objective", F.lit("needs_thinking"))
     scored = compare.transfer_scores(probes, e, tasks)
     return compare.evaluate_transfer(scored, "y", "vec_id", 30)[1]

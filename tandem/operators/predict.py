@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..columns import count_if, join_on, truth
 from ..functions.arrays import fit_standardizer, linear_score, standardize, standardizer_state
+from ..session import small_table
 from .ordered import numbered
 from .rank import auroc
 
@@ -210,8 +211,8 @@ def _newton_sums(data: DataFrame, by: str, beta: dict, weights: dict, upper) ->
     kind = data.schema[by].dataType.simpleString()
     parts = data.mapInPandas(kernel, f"`{by}` {kind}, v array<double>")
     total = parts.select(by, F.posexplode("v").alias("i", "x")).groupBy(by, "i").agg(F.sum("x").alias("x"))
-    packed = total.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("s"))
-    return {r[by]: np.array(r.v) for r in packed.select(by, F.transform("s", lambda e: e["x"]).alias("v")).collect()}
+    got = total.toPandas().sort_values("i")
+    return {g: part["x"].to_numpy() for g, part in got.groupby(by)}
 
 
 def logistic_scores(rows: DataFrame, vec: str, y: str, seed_col: str = "seed", split: str = "split",
@@ -228,9 +229,9 @@ def logistic_scores(rows: DataFrame, vec: str, y: str, seed_col: str = "seed", s
     stats = {r[seed_col]: r for r in state.collect()}
     kind = rows.schema[seed_col].dataType.simpleString()
     spark = rows.sparkSession
-    known = spark.createDataFrame(
-        [(s, list(r.mean), list(r.sd)) for s, r in stats.items()],
-        f"`{seed_col}` {kind}, mean array<double>, sd array<double>",
+    known = small_table(
+        spark, [{seed_col: s, "mean": list(r.mean), "sd": list(r.sd)} for s, r in stats.items()],
+        f"`{seed_col}`: {kind}, mean: array<double>, sd: array<double>",
     )
     scaled = standardize(train, known, [seed_col], vec)
     if max(len(r.mean) for r in stats.values()) <= NEWTON_WIDTH:
@@ -246,9 +247,9 @@ def logistic_scores(rows: DataFrame, vec: str, y: str, seed_col: str = "seed", s
          "mean": list(stats[s].mean), "sd": list(stats[s].sd)}
         for s in sorted(stats)
     ]
-    saved = spark.createDataFrame(
-        [(p[seed_col], p["coef"], p["intercept"], p["mean"], p["sd"]) for p in points],
-        f"`{seed_col}` {kind}, coef array<double>, intercept double, mean array<double>, sd array<double>",
+    saved = small_table(
+        spark, points,
+        f"`{seed_col}`: {kind}, coef: array<double>, intercept: double, mean: array<double>, sd: array<double>",
     )
     return apply_probes(rows.where(F.col(split) != "train"), saved, vec, [seed_col]), points
 
@@ -321,12 +322,12 @@ def cross_fit(df: DataFrame, features: list[str], y: str, fold: str = "fold", ou
     for key, parts in grams.items():
         total = sum(parts.values())
         for k, part in parts.items():
-            rows.append((*key, k, *map(float, _solve(total - part))))
-    fields = [df.schema[c].dataType.simpleString() for c in [*by, fold]]
-    names = [*by, fold, *[f"__c{i}" for i in range(len(features) + 1)]]
-    kinds = fields + ["double"] * (len(features) + 1)
-    coefs = df.sparkSession.createDataFrame(rows, ", ".join(f"`{a}` {b}" for a, b in zip(names, kinds)))
-    fitted = join_on(df, F.broadcast(coefs), by + [fold])
+            fit = {f"__c{i}": float(v) for i, v in enumerate(_solve(total - part))}
+            rows.append({**dict(zip(by, key)), fold: k, **fit})
+    kinds = {c: df.schema[c].dataType.simpleString() for c in [*by, fold]}
+    kinds.update({f"__c{i}": "double" for i in range(len(features) + 1)})
+    coefs = small_table(df.sparkSession, rows, ", ".join(f"`{a}`: {b}" for a, b in kinds.items()))
+    fitted = join_on(df, coefs, by + [fold])
     value = F.col("__c0")
     for i, name in enumerate(features, 1):
         value = value + F.col(f"__c{i}") * F.col(name)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SPREAD_BYTES_CONF = "spark.tandem.spreadBytes"
-SPREAD_BYTES_DEFAULT = 256 * 1024 * 1024
+SPREAD_BYTES_DEFAULT = 64 * 1024 * 1024
 
 
 def session(master: str | None = None, app: str = "tandem", **conf) -> SparkSession:
@@ -48,6 +50,16 @@ def needs_spread(df: DataFrame, spread: bool | None = None) -> bool:
     return plan_bytes(df) > limit
 
 
+def small_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A few driver-side rows (coefficients, grids) as a table of known size.
+
+    The rows are one JSON literal, so plans that join them keep a size estimate;
+    a table made from a Python list would count as unknown.
+    """
+    text = F.lit(json.dumps(rows))
+    return spark.range(1).select(F.inline(F.from_json(text, f"array<struct<{schema}>>")))
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write a reused intermediate to the shared checkpoint folder.
 
