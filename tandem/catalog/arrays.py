@@ -125,7 +125,7 @@ def p15(t):
 
 
 @query("p17_default_layers", """with n as (select label, 4 + label * 8 as n from (select distinct label from embeddings)) select label,
- array_to_string(list_sort(list_distinct(list_concat([n // 4, n // 2, 3*n // 4], range(greatest(1, n - 3), n + 1)))), ',') as layers from n""")
+ array_to_string(list_sort(list_distinct(list_concat([n // 4, n // 2, 3*n // 4], range(greatest(1, n - 3), n + 1)))), ',') as layers from n""", big="label")
 def p17(t):
     n = F.lit(4) + F.col("label") * 8
     return t.embeddings.select("label").distinct().select("label", F.array_join(arrays.default_layers(n), ",").alias("layers"))
@@ -188,7 +188,7 @@ _TXT = """txt as (select d.doc_id, text, quality = 1 as y from documents d join
 
 @query("l01_scalar_baseline", f"""with {_TXT}, f as (select *, length(text)::double as v, s as seed from txt, (values (42), (1)) z(s)),
  sp as {_split_sql('f', 'seed', 'seed::varchar', 'doc_id', 'y')}, tr as (select seed, u/nullif(p*n,0) as a from {auroc_sql('(select * from sp where split = ' + chr(39) + 'train' + chr(39) + ')', 'seed', 'y', 'v')})
- select sp.seed, doc_id, split, case when a >= 0.5 then v else -v end as score from sp join tr on sp.seed = tr.seed where split <> 'train'""", "score")
+ select sp.seed, doc_id, split, case when a >= 0.5 then v else -v end as score from sp join tr on sp.seed = tr.seed where split <> 'train'""", "score", "seed")
 def l01(t):
     rows = splits.seed_splits(predict.text_lengths(_txt(t), "text"), [42, 1], "y", "doc_id")
     return predict.scalar_scores(rows, ["seed"], "y", "length_chars").select("seed", "doc_id", "split", "score")

@@ -207,15 +207,14 @@ def tidy(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def query(name: str, sql: str | None = None, dbl: str = ""):
-    """Register a query; ``dbl`` names the DOUBLE columns of the SQL result."""
+def query(name: str, sql: str | None = None, dbl: str = "", big: str = ""):
+    """Register a query; ``dbl`` and ``big`` name DOUBLE columns and whole numbers to widen in the SQL result."""
     def wrap(fn):
         QUERIES[name] = lambda spark, folder: tidy(fn(Tables(spark, folder)))
         QUERIES[name].__doc__ = fn.__doc__
         if sql is not None:
-            fix = ", ".join(
-                f"round(cast({c} as double), {DIGITS}) + 0.0 as {c}" for c in dbl.split()
-            )
+            fixes = [f"round(cast({c} as double), {DIGITS}) + 0.0 as {c}" for c in dbl.split()]
+            fix = ", ".join(fixes + [f"cast({c} as bigint) as {c}" for c in big.split()])
             # CTEs stay outermost so one wrapper fits every query
             SQL[name] = f"select * {'replace (' + fix + ')' if fix else ''} from ({sql}) as q"
         return fn

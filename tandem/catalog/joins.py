@@ -57,7 +57,7 @@ def j03(t):
 
 
 @query("j04_rejoin_dimension", """select l_orderkey, l_linenumber, replace(p_type, ' ', '_') as strict, case when p_size > 25 then p_type end as lenient
- from lineitem join part on l_partkey = p_partkey""")
+ from lineitem join part on l_partkey = p_partkey""", big="l_linenumber")
 def j04(t):
     rows = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey"))
     part = t.part.select("p_partkey", "p_type", "p_size")
@@ -148,7 +148,7 @@ def j10(t):
 
 
 @query("j11_parameter_grid", f"""with {EVT}, g as (select seed, task, split from (values (1), (2)) s(seed), (values ('t0', 'test'), ('t1', 'test'), ('t2', 'val')) z(task, split)
- where not (task = 't1' and seed = 2)) select g.seed, g.task, g.split, count(*) as n from evt e join g on e.task = g.task and e.event_id % 2 + 1 = g.seed group by all""")
+ where not (task = 't1' and seed = 2)) select g.seed, g.task, g.split, count(*) as n from evt e join g on e.task = g.task and e.event_id % 2 + 1 = g.seed group by all""", big="seed")
 def j11(t):
     """A grid of (seed) x lockstep (task, split) minus an exclusion, run against the rows."""
     grid = joins.parameter_grid(t.spark, {"seed": [1, 2]}, {"task": ["t0", "t1", "t2"], "split": ["test", "test", "val"]},

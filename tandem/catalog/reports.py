@@ -49,7 +49,7 @@ def _seed_rows(t):
 
 
 @query("v05_split_evaluation", f"with {EVT}, {_SEEDED}, {_evaluate_sql('seed, split')} select seed, split, {_EV_COLS} from m join a using (seed, split) join p using (seed, split) "
-       "join n1 using (seed, split) join n2 using (seed, split) join k using (seed, split)", _EV_DBL)
+       "join n1 using (seed, split) join n2 using (seed, split) join k using (seed, split)", _EV_DBL, "seed")
 def v05(t):
     return experiment.run_scored(_seed_rows(t), "y", "score_a", "event_id")
 
