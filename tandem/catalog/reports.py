@@ -205,9 +205,18 @@ def v07(t):
     return tiers.routing_table(_sets(t), ["set"])
 
 
-@query("v07_routing_intervals")
+@query("v07_routing_intervals", f"""with {_V07}, cells as (select set, s1_correct, correct_on, p_max, fs, count(*) as c, min(event_id) as key from sc group by all),
+ long as (select set, 'conf' as scorer, -p_max as s, s1_correct, correct_on, c, key from cells union all select set, 'family', fs, s1_correct, correct_on, c, key from cells),
+ {draws('long', 'set, scorer, s, s1_correct, correct_on', 20)},
+ v as (select set, scorer, b, nauc as v from {nauc_sql(segments_sql('drawn', 'set, scorer, b', 's', 'w', off='s1_correct'), 'set, scorer, b')}),
+ d as (select set, b, max(v) filter (where scorer = 'conf') as own, max(v) filter (where scorer = 'conf') - max(v) filter (where scorer = 'family') as v from v group by set, b),
+ pt as (select set, scorer, nauc as v from {nauc_sql(segments_sql('long', 'set, scorer', 's', 'c::double', off='s1_correct'), 'set, scorer')}),
+ est as (select set, max(v) filter (where scorer = 'conf') - max(v) filter (where scorer = 'family') as estimate from pt group by set)
+ select set, quantile_cont(own, 0.025) as nauc_lo, quantile_cont(own, 0.975) as nauc_hi, max(estimate) as estimate, quantile_cont(v, 0.025) as ci_lo, quantile_cont(v, 0.975) as ci_hi,
+ count(v) as n_boot, stddev_samp(v) as se, avg((v <= 0)::int::double) as p_le_zero from d join est using (set) group by set""",
+       "nauc_lo nauc_hi estimate ci_lo ci_hi se p_le_zero")
 def v07_ci(t):
-    """nAUC interval and its paired difference to the family router (the pieces have SQL twins)."""
+    """nAUC interval of the confidence router and its paired difference to the family router."""
     return tiers.routing_intervals(_sets(t), ["set"], "event_id", 20)
 
 
@@ -336,9 +345,18 @@ def l14(t):
         compare.headroom_gate(F.col("n_score_a") - F.col("n_score_b"), F.col("k_score_a"), F.col("k_score_b")).alias("headroom"))
 
 
-@query("r09_paired_predictions")
+@query("r09_paired_predictions", f"""with {EVT}, f as (select *, not correct_off as y, sd as seed from evt, (values (42), (1)) z(sd)), sp as {_split_sql('f', 'seed', 'seed::varchar', 'event_id', 'y')},
+ te as (select * from sp where split = 'test'), cells as (select family, seed, y, score_a, score_b, count(*) as c, min(('0x'||substr(md5(sample_id),1,15))::bigint) as key from te group by all),
+ long as (select family, seed, 'a' as scorer, score_a as s, y, c, key from cells union all select family, seed, 'b', score_b, y, c, key from cells), {draws('long', 'family, seed, scorer, s, y', 40)},
+ v as (select family, seed, scorer, b, u/nullif(p*n,0) as v from {auroc_sql('drawn', 'family, seed, scorer, b', 'y', 's', 'w')}),
+ d as (select family, seed, b, max(v) filter (where scorer = 'a') - max(v) filter (where scorer = 'b') as v from v group by family, seed, b),
+ pt as (select family, seed, scorer, u/nullif(p*n,0) as v from {auroc_sql('long', 'family, seed, scorer', 'y', 's', 'c::double')}),
+ est as (select family, seed, max(v) filter (where scorer = 'a') - max(v) filter (where scorer = 'b') as estimate from pt group by family, seed),
+ per as (select family, seed, quantile_cont(v, 0.025) as ci_lo, quantile_cont(v, 0.975) as ci_hi, avg((v <= 0)::int::double) as p_le_zero from d group by family, seed)
+ select family, avg(estimate) as mean, avg(ci_lo) as ci_lo, avg(ci_hi) as ci_hi, avg(p_le_zero) as p_le_zero, count(*) as n_seeds from per join est using (family, seed) where ci_lo is not null group by family""",
+       "mean ci_lo ci_hi p_le_zero")
 def r09_pred(t):
-    """Probe against baseline from two prediction tables, seed-averaged, per family (hash keys of ids: rows-only)."""
+    """Probe against baseline from two prediction tables, seed-averaged, per family."""
     rows = _seed_rows(t).select("family", "seed", "split", "sample_id", F.col("y").cast("int").alias("y"), "score_a", "score_b")
     a = rows.withColumnRenamed("score_a", "score").drop("score_b")
     b = rows.withColumnRenamed("score_b", "score").drop("score_a")

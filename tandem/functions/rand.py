@@ -32,6 +32,11 @@ def hash32(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
 
 
+def hash60(key: Column) -> Column:
+    """60 bits of md5 as a bigint: a row key for ids that are text."""
+    return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("bigint")
+
+
 def hash01(key: Column) -> Column:
     """Uniform in [0, 1)."""
     return hash32(key) / F.lit(TWO32)
