@@ -6,6 +6,7 @@ from ..columns import gain
 from ..functions import arrays, text
 from ..operators import boot, predict, rank, splits
 from ..plans import experiment
+from ..session import balanced
 from .base import ACT, EVT, auroc_sql, draws, query
 from .rank import _split_sql
 
@@ -179,8 +180,14 @@ def l06(t):
 # Predictors -----------------------------------------------------------------------------
 
 def _txt(t):
-    d = t.documents.select("doc_id", "text").join(t.labels, "doc_id").withColumn("y", F.col("quality") == 1)
-    return d
+    docs = balanced(t.documents.select("doc_id", "text"), "doc_id")
+    return docs.join(t.labels.select("doc_id", (F.col("quality") == 1).alias("y")), "doc_id")
+
+
+def _split_txt(t):
+    """Texts with their split; only ids and outcomes go through the split itself."""
+    known = t.documents.select("doc_id").join(t.labels.select("doc_id", (F.col("quality") == 1).alias("y")), "doc_id")
+    return _txt(t).drop("y").join(splits.stratified_split(known, [], "y", 42, "doc_id"), "doc_id")
 
 
 _TXT = """txt as (select d.doc_id, text, quality = 1 as y from documents d join labels l on d.doc_id = l.doc_id)"""
@@ -209,8 +216,8 @@ def _tfidf_sql(grams: str) -> str:
 
 
 def _tfidf(t, grams):
-    rows = splits.stratified_split(_txt(t), [], "y", 42, "doc_id")
-    w = predict.tfidf(grams(rows, ["doc_id", "split"], "text"), rows, [], "doc_id")
+    rows = _split_txt(t)
+    w = predict.tfidf(grams(rows, ["doc_id", "split"], "text"), rows.select("doc_id", "split"), [], "doc_id")
     x = F.col("weight")
     return w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.sum(x).alias("total"), F.max(x).alias("top"), F.sum(x * x).alias("norm"))
 
@@ -243,7 +250,7 @@ def l03(t):
 @query("l03_tfidf_logistic")
 def l03_text(t):
     """The text baseline: TF-IDF words, logistic fit on train, held-out AUROC."""
-    rows = splits.stratified_split(_txt(t), [], "y", 42, "doc_id")
+    rows = _split_txt(t)
     w = predict.tfidf(predict.word_grams(rows, ["doc_id", "split"], "text"), rows, [], "doc_id")
     data = predict.tfidf_vectors(w, [], "doc_id").join(rows.select("doc_id", "split", "y"), "doc_id")
     model = predict.fit_logistic(data.where("split = 'train'"), "features", "y", max_iter=200)

@@ -50,6 +50,16 @@ def needs_spread(df: DataFrame, spread: bool | None = None) -> bool:
     return plan_bytes(df) > limit
 
 
+def balanced(scan: DataFrame, key: str) -> DataFrame:
+    """A plain scan, spread over all cores by ``key`` when its files give too few tasks.
+
+    Long texts in few row groups would otherwise be cut up by one task. With
+    enough splits, as on any large table, the scan is left as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)
+
+
 def small_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A few driver-side rows (coefficients, grids) as a table of known size.
 
