@@ -252,8 +252,9 @@ def l03_text(t):
     """The text baseline: TF-IDF words, logistic fit on train, held-out AUROC."""
     rows = _split_txt(t)
     w = predict.tfidf(predict.word_grams(rows, ["doc_id", "split"], "text"), rows, [], "doc_id")
-    data = predict.tfidf_vectors(w, [], "doc_id").join(rows.select("doc_id", "split", "y"), "doc_id")
-    model = predict.fit_logistic(data.where("split = 'train'"), "features", "y", max_iter=200)
+    # Read by the fit and by the scoring.
+    data = predict.tfidf_vectors(w, [], "doc_id").join(rows.select("doc_id", "split", "y"), "doc_id").persist()
+    model = predict.fit_logistic(data.where("split = 'train'"), "features", "y", max_iter=100)
     scored = model.transform(data.where("split <> 'train'")).withColumn("score", predict.vector_to_array("probability")[1])
     return rank.auroc(scored, ["split"], "y", "score")
 
