@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from tandem.llm import exact
+from tandem.llm import bpe, chat, exact
 from tandem.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +24,38 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    """The public vocabulary the token queries use; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op2_bpe_round_trip")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
 @query("op5_exact_dedup", exact.SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.groups(table(spark, sf_dir, "documents"))
+
+
+@query("op6_chat_format", chat.SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations are trees in which each turn replies to the one before."""
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "\\### Assistant: </turn> ok"
+    planted = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"),
+    )
+    order = Window.partitionBy("conv_id").orderBy("turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
+    nodes = said.unionByName(planted).withColumn("node", F.row_number().over(order))
+    return chat.digests(
+        chat.conversations(
+            nodes.select(
+                F.col("conv_id").alias("tree"), "node", (F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score")
+            )
+        )
+    )
