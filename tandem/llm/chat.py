@@ -24,7 +24,7 @@ with t as (
     string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text) as turns,
     coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '') as loss,
     sum(length(role) + length(role) - length(replace(replace(replace(role, '\\', ''), '<', ''), chr(10), ''))
-      + length(text) + length(text) - length(replace(replace(text, '\\', ''), '<', '')) + 17) as formatted_chars
+      + length(text) + length(text) - length(replace(replace(text, '\\', ''), '<', '')) + 16) as formatted_chars
   from t group by conv_id
 )
 select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256,

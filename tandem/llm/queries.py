@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tandem.llm import bpe, chat, exact
+from tandem.llm import bpe, chat, exact, licences
 from tandem.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
         )
     )
+
+
+@query("op8_licence_scan", licences.SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
