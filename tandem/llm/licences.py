@@ -106,10 +106,9 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", texts=KNOWN)
     result. The known digests are broadcast: they are the constants above.
     """
     table = F.broadcast(known(docs.sparkSession, texts).groupBy("digest").agg(F.min("licence").alias("licence")))
-    canon = docs.select(F.col(key), lines(whole(text)).alias("lines"))
+    canon = docs.select(F.col(key), F.monotonically_increasing_id().alias("row"), lines(whole(text)).alias("lines"))
     pieces = canon.select(
-        key,
-        F.monotonically_increasing_id().alias("row"),
+        key, "row",
         F.explode(
             F.concat(
                 F.array(F.struct(F.lit(True).alias("full"), F.sha2(joined(F.col("lines")), 256).alias("digest"))),
@@ -132,13 +131,13 @@ def _sql() -> str:
     for a, b in SPELLINGS:
         spelt = f"replace({spelt}, '{a}', '{b}')"
     bare = f"regexp_replace(regexp_replace({spelt}, '{RIGHTS}', chr(10), 'g'), '{MARKS}', ' ', 'g')"
-    canon = f"list_transform(string_split({bare}, chr(10)), y -> trim(y))"
+    canon = f"list_transform(string_split({bare}, chr(10)), lambda y: trim(y))"
     values = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in KNOWN)
     return f"""
 with k0(licence, x) as (values {values}),
-k as (select sha256(array_to_string(list_filter({canon}, y -> y <> ''), ' ')) as digest, min(licence) as licence
+k as (select sha256(array_to_string(list_filter({canon}, lambda y: y <> ''), ' ')) as digest, min(licence) as licence
       from k0 group by 1),
-d as (select doc_id, list_filter({canon}, y -> y <> '') as lines from (select doc_id, coalesce(text, '') as x from documents)),
+d as (select doc_id, list_filter({canon}, lambda y: y <> '') as lines from (select doc_id, coalesce(text, '') as x from documents)),
 l as (select doc_id, count(*) as n_notices, string_agg(distinct licence, ',' order by licence) as notices
       from (select doc_id, unnest(lines) as line from d) join k on sha256(line) = digest group by doc_id)
 select d.doc_id, k.licence as whole_licence, coalesce(l.notices, '') as notices, coalesce(l.n_notices, 0) as n_notices
