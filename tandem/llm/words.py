@@ -55,9 +55,14 @@ class Hasher:
         first, end = edges[0::2], edges[1::2]
         total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(data.astype(np.uint64) * self.up[: len(data)], dtype=np.uint64, out=total[1:])
-        size = end - first
-        h = mixed((total[end] - total[first]) * self.down[first] + size.astype(np.uint64))
-        return h, np.searchsorted(at, first, "right") - 1, first, size
+        self.data, self.total, self.first, self.size = data, total, first, end - first
+        return self.prefixes(None), np.searchsorted(at, first, "right") - 1, first, self.size
+
+    def prefixes(self, length: int | None, which: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Hash of the first ``length`` bytes (all, if None) of the last words found; shorter words whole."""
+        first, size = self.first[which], self.size[which]
+        size = size if length is None else np.minimum(size, length)
+        return mixed((self.total[first + size] - self.total[first]) * self.down[first] + size.astype(np.uint64))
 
 
 def grams(h: np.ndarray, width: int) -> np.ndarray:
