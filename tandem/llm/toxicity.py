@@ -15,8 +15,8 @@ from tandem.llm.words import Hasher, mixed
 
 PER_CLASS = 8_000  # labelled rows of each class, at most
 BITS = 20  # each of the two rows of a count sketch has 2^BITS cells
-PREFIXES = (3, 4, 5, 6, None)  # bytes of a word that each level of the prior sees, coarse to fine
-WEIGHT = 10.0  # pseudo-counts of the level above
+PREFIXES = (4, 5, 6, 7, 8, None)  # bytes of a word that each level of the prior sees, coarse to fine
+WEIGHT = 5.0  # pseudo-counts of the level above
 SHARE = 1e5  # and these, times the level's share of the corpus
 DRIFT = 1.0  # taken off every token, so that chance alone does not add up
 TOXIC = 0.7
@@ -89,6 +89,8 @@ class Model:
             return [(0, []) for _ in range(len(texts))]
         _, first, back = np.unique(h, return_index=True, return_inverse=True)
         x = self.log_odds(words, first)[back] - DRIFT
+        again = np.flatnonzero((h[1:] == h[:-1]) & (row[1:] == row[:-1])) + 1
+        x[again] = np.minimum(x[again], -DRIFT)  # saying a word again at once adds nothing
         return [(b - a, segments(x[a:b])) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
     def evidence(self, tokens: int, found: list[tuple[float, int, int]]) -> float:
@@ -145,7 +147,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 kind = np.where(at >= 0, shared.value[1][at] if len(shared.value[1]) else -1, -1)[row]
                 _, first, back = np.unique(h, return_index=True, return_inverse=True)
                 every = np.bincount(back, minlength=len(first))
-                of = [np.bincount(back[kind == k], minlength=len(first)) for k in (0, 1)]
+                # A labelled text teaches each of its words once, however often it says it.
+                taught = np.flatnonzero(kind >= 0)
+                once = taught[np.unique(row[taught] * len(first) + back[taught], return_index=True)[1]]
+                of = [np.bincount(back[once][kind[once] == k], minlength=len(first)) for k in (0, 1)]
                 for level, size in enumerate(PREFIXES):
                     for side in cells(words.prefixes(size, first), level):
                         for t, n in ((TOP_CLEAN, of[0]), (TOP_TOXIC, of[1]), (ALL, every)):
