@@ -37,7 +37,7 @@ def shared_folder(spark: SparkSession) -> str:
 def settle(df: DataFrame) -> DataFrame:
     """Write an intermediate to the shared folder and read it back: lineage ends, lost executors do not matter."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
