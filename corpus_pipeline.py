@@ -1,23 +1,62 @@
-"""The corpus pipeline: quality, exact dedup, near-dedup, decontamination, tokenising."""
+"""The corpus pipeline: quality, exact dedup, near-dedup, decontamination, tokenising.
+
+Every stage takes the documents its predecessor kept; all but the last return
+the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tandem.llm import bpe, exact, quality, simhash, tiling
+from tandem.llm.common import table, whole
+from tandem.llm.queries import tokenizer_file
+
+ORACLE_SQL = None  # the classifier and the fingerprint links have no SQL
 
-from tandem.llm import exact
 
-ORACLE_SQL = None
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first of every group of equal texts."""
     return exact.first_of_each(docs)
 
 
-STAGES = [("exact_dedup", exact_dedup)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first of every component of near fingerprints."""
+    return simhash.first_of_each(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    return tiling.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and whether decoding them gives its text again."""
+    coded = bpe.decode(bpe.encode(docs, tokenizer_file()), tokenizer_file())
+    return coded.select(
+        "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
+        (F.col("decoded") == whole("text")).alias("round_trip"),
+    )
+
+
+STAGES = [
+    ("quality_filter", quality_filter),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("tokenize", tokenize),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the ``documents`` of a folder."""
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

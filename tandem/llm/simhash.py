@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandem.llm.common import settle, slices, text_bytes, whole
@@ -53,7 +53,7 @@ def fingerprint(text: bytes, width: int = 3, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and ``fp`` (long, the fingerprint's bits) of every whole text; null counts as empty."""
+    """``key``, ``text_hash`` and ``fp`` (long, the fingerprint's bits) of every whole text; null counts as empty."""
     kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,9 +62,12 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                 data, at = text_bytes(part.column("__text"))
                 blob = data.tobytes()
                 fp = np.array([fingerprint(blob[a:b]) for a, b in zip(at[:-1], at[1:])], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(fp.view(np.int64))], [key, "fp"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(key), part.column("text_hash"), pa.array(fp.view(np.int64))], [key, "text_hash", "fp"]
+                )
 
-    return docs.select(key, whole(text).alias("__text")).mapInArrow(run, f"`{key}` {kind}, fp long")
+    rows = docs.select(key, whole(text).alias("__text")).withColumn("text_hash", F.xxhash64("__text"))
+    return rows.mapInArrow(run, f"`{key}` {kind}, text_hash long, fp long")
 
 
 def half(fp: np.ndarray, view: int) -> np.ndarray:
@@ -246,6 +249,13 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
+def rooted(fps: DataFrame, key: str) -> DataFrame:
+    """(fp, low, root): every distinct fingerprint, its smallest key and the name of its component."""
+    classes = settle(fps.groupBy("fp").agg(F.min(key).alias("low")))
+    linked = components(links(classes))
+    return classes.join(linked, classes["fp"] == linked["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+
+
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: ``key``, ``fingerprint`` (16 hex digits) and ``component_id``.
 
@@ -255,13 +265,25 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     other as pairs. A null key never names a component unless all its keys are null.
     """
     fps = settle(fingerprints(docs, key, text))
-    classes = settle(fps.groupBy("fp").agg(F.min(key).alias("low")))
-    linked = components(links(classes))
-    named = classes.join(linked, classes["fp"] == linked["node"], "left").select(
-        "fp", "low", F.coalesce("root", "fp").alias("root")
-    )
+    named = rooted(fps, key)
     best = named.groupBy("root").agg(F.min("low").alias("component_id"))
     by_class = named.join(best, "root").select(F.col("fp").alias("__fp"), "component_id")
     return fps.join(by_class, F.col("fp") == F.col("__fp")).select(
         key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The input rows that stay, with all their columns: one per component, that of the smallest key.
+
+    Null keys come last; rows that share key and text leave one of them.
+    """
+    fps = settle(fingerprints(docs, key, text))
+    named = rooted(fps, key).select(F.col("fp").alias("__fp"), "root")
+    order = F.struct(F.col(key).isNull(), F.col(key).alias("k"), F.col("text_hash").alias("h"))
+    first = fps.join(named, F.col("fp") == F.col("__fp")).groupBy("root").agg(F.min(order).alias("o"))
+    keep = settle(first.select(F.col("o.k").alias("__key"), F.col("o.h").alias("__keep")))
+    rows = docs.withColumn("__hash", F.xxhash64(whole(text)))
+    met = rows.join(keep, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__hash") == F.col("__keep")))
+    nth = F.row_number().over(Window.partitionBy(key, "__hash").orderBy(F.lit(0)))
+    return met.withColumn("__nth", nth).where("__nth = 1").select(*docs.columns)
