@@ -117,29 +117,31 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
     whole texts; a null or empty text has none and meets nothing. An item of
     fewer than five words must occur whole.
 
-    A bit map of fixed size lets only likely seeds leave the scan, with the
+    Two bit maps of fixed size let only likely seeds leave the scan, with the
     words of their document; seeds are then joined with the items' seeds, and
     every pair that shares one is tiled.
     """
     items = settle(_items(benchmark, item, text))
     seeds = items.select(item, "width", F.explode("seeds").alias("seed"))
     mask = (1 << FILTER_BITS) - 1
-    bits = np.zeros(1 << FILTER_BITS, bool)
-    marks = seeds.select(F.col("seed").bitwiseAND(F.lit(mask)).alias("m")).distinct()
-    bits[[r.m for r in marks.toLocalIterator()]] = True  # as large for any benchmark
+    bits = np.zeros((2, 1 << FILTER_BITS), bool)  # as large for any benchmark
+    for k, side in enumerate((F.col("seed"), F.shiftrightunsigned("seed", 32))):
+        marks = seeds.select(side.bitwiseAND(F.lit(mask)).alias("m")).distinct()
+        bits[k, [r.m for r in marks.toLocalIterator()]] = True
     widths = sorted(r.width for r in items.where("width > 0").select("width").distinct().collect())  # LEAST at most
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits, axis=1))
     kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, full = Hasher(), np.unpackbits(shared.value).astype(bool)
+        hasher, full = Hasher(), np.unpackbits(shared.value, axis=1).astype(bool)
         for batch in batches:
             for part in slices(batch, "__text"):
                 h, row, _, _ = hasher.words(part.column("__text"))
                 rows, marks = [], []
                 for width in widths:
                     g = grams(h, width)
-                    hit = np.flatnonzero(full[(g & np.uint64(mask)).astype(np.int64)])
+                    hit = np.flatnonzero(full[0, (g & np.uint64(mask)).astype(np.int64)])
+                    hit = hit[full[1, (g[hit] >> np.uint64(32) & np.uint64(mask)).astype(np.int64)]]
                     hit = hit[row[hit] == row[hit + width - 1]]
                     rows.append(row[hit])
                     marks.append(g[hit])
