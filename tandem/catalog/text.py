@@ -130,12 +130,11 @@ def p04(t):
         "sample_id", "correct_off", "correct_on", "unclosed_think_on", "unclosed_think_off", "correct_off_stored", "correct_on_stored")
 
 
-@query("f20_numeric_grader", f"""with {GEN} select sample_id, (turn + conv_id % 3)::double as pred, exp_correct_off as correct from gen""", "pred")
+@query("f20_numeric_grader", f"""with {GEN} select sample_id, cast(turn + conv_id % 3 as varchar) as pred, exp_correct_off as correct from gen""")
 def f20(t):
     """The whole text is read; the planted line is its last answer marker."""
     g = t.gen().withColumn("generation", F.concat("text", F.lit("\nSo the result is 7.\n"), "response_off"))
-    got = graders.grade(g, "gsm8k")
-    return got.select("sample_id", F.col("pred").cast("double").alias("pred"), "correct")
+    return graders.grade(g, "gsm8k").select("sample_id", "pred", "correct")
 
 
 @query("f21_letter_grader", f"""with {GEN} select sample_id, chr((65 + conv_id % 5)::int) as pred, conv_id % 5 = turn % 5 as correct from gen""")

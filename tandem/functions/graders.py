@@ -107,8 +107,10 @@ def numeric_prediction(generation: Column) -> Column:
 
 
 def grade_gsm8k(rows: DataFrame) -> DataFrame:
-    got = rows.withColumn("__pred", numeric_prediction(F.col("__gen")))
-    return got.withColumn("__ok", F.col("__pred") == numeric_gold(F.col("__ans")))
+    got = rows.withColumn("__value", numeric_prediction(F.col("__gen")))
+    value = F.col("__value")
+    shown = F.when(value == F.floor(value), value.cast("decimal(38,0)").cast("string")).otherwise(value.cast("string"))
+    return got.withColumn("__ok", value == numeric_gold(F.col("__ans"))).withColumn("__pred", shown).drop("__value")
 
 
 # Letters ---------------------------------------------------------------------
@@ -155,73 +157,71 @@ def line_prediction(generation: Column) -> Column:
     return F.coalesce(strip(_last(real)), last_line(generation))
 
 
-def _clean(c: Column) -> Column:
-    for old, new in (("**", ""), ("`", ""), ("$", ""), (MINUS_SIGN, "-")):
-        c = F.replace(c, F.lit(old), F.lit(new))
-    c = F.regexp_replace(strip(c), r"(?U)^<\s*(.*?)\s*>", "$1")
+def bare(c: Column) -> Column:
+    """An answer without markup, with a plain minus, out of its angle brackets and without dots around it."""
+    c = strip(F.translate(F.replace(F.replace(c, F.lit("**"), F.lit("")), F.lit(MINUS_SIGN), F.lit("-")), "`$", ""))
+    inside = F.substring_index(c, ">", 1)
+    opened = F.startswith(c, F.lit("<")) & F.contains(c, F.lit(">"))
+    c = F.when(opened, F.concat(strip(F.substr(inside, F.lit(2))), F.substr(c, F.length(inside) + 2))).otherwise(c)
     return strip(cut_dots(strip(c)))
 
 
-def _word_right(s: Column, gold: Column, options: Column) -> Column:
-    lead = r"(?sU)^\(\s*([A-Z])\s*\)\)?[\s.:]*(.*)$"
-    rest = strip(F.regexp_extract(s, lead, 2))
-    nth = F.ascii(F.regexp_extract(s, lead, 1)) - 64
-    picked = F.when(rest.rlike("[A-Za-z]"), rest).otherwise(
-        F.try_element_at(options, F.greatest(nth, F.lit(1)))
-    )
-    s = F.when(s.rlike(lead), picked).otherwise(s)
-    low = F.lower(F.regexp_replace(s, r"(?U)^\(\s*([A-Za-z]+)\s*\)", "$1"))
-    claim = F.regexp_extract(low, r"(?U)\bis\s+(true|false)\W*$", 1)
-    said = F.when((claim != "") & gold.isin("true", "false"), claim).otherwise(
-        F.regexp_extract(low, "[a-z]+", 0)
-    )
-    return said == gold
+# One canonical form per kind of answer; prediction and gold take the same way to it.
+
+def letter_form(c: Column) -> Column:
+    return F.coalesce(_last(_all(c, r"\(([A-Z])\)", 1)), cut_dots(F.upper(normalize(c))))
 
 
-def _integer_right(s: Column, gold: Column) -> Column:
-    s = strip(F.substring_index(s, "=", -1))
-    s = F.regexp_replace(s, r"(?U)^\(\s*[A-Z]\s*\)\s*", "")
-    digits = F.replace(F.regexp_extract(s, r"-?\d[\d,]*", 0), F.lit(","), F.lit(""))
-    return digits.try_cast("decimal(38,0)") == gold.try_cast("decimal(38,0)")
+def word_form(c: Column, options: Column, truth: Column) -> Column:
+    """The first word, after an option letter if there is one; a letter alone stands for its option.
 
+    Of a statement that ends in "is true" or "is false" the last word counts, where ``truth`` is asked for.
+    """
+    low = F.lower(c)
+    picked = F.regexp_extract(c, r"^\(\s*([A-Z])\s*\)", 1)
+    words = _all(F.when(picked != "", F.substr(low, F.locate(")", low) + 1)).otherwise(low), "[a-z]+")
+    named = F.try_element_at(options, F.greatest(F.ascii(picked) - 64, F.lit(1)))
+    words = F.when((picked != "") & (F.size(words) == 0), _all(F.lower(named), "[a-z]+")).otherwise(words)
+    claim = truth & (F.try_element_at(words, F.lit(-2)) == "is") & _last(words).isin("true", "false")
+    return F.when(F.coalesce(claim, F.lit(False)), _last(words)).otherwise(F.try_element_at(words, F.lit(1)))
 
-def _brackets_right(s: Column, gold: Column, question: Column) -> Column:
-    def squash(c):
-        return F.regexp_replace(c, r"(?U)[\s`*]", "")
 
-    p, g = squash(s), squash(gold)
-    whole = F.concat(squash(F.substring_index(question, "Input:", -1)), g)
-    repeated = F.contains(question, F.lit("Input:")) & (p == whole)
-    return (p == g) | F.coalesce(repeated, F.lit(False))
+def integer_form(c: Column) -> Column:
+    """The first whole number after the last equals sign."""
+    digits = F.regexp_extract(F.replace(F.substring_index(c, "=", -1), F.lit(","), F.lit("")), r"-?\d+", 0)
+    return digits.try_cast("decimal(38,0)").cast("string")
 
 
-def _words_right(s: Column, gold: Column) -> Column:
-    def words(c, sep):
-        return F.filter(F.split(c, sep), lambda w: w != "")
+def brackets_form(c: Column, question: Column) -> Column:
+    """The closing part of a bracket sequence: what the question gave is cut off."""
+    tight = lambda x: F.translate(F.regexp_replace(x, r"(?U)\s", ""), "`*", "")
+    shown, given = tight(c), tight(F.substring_index(question, "Input:", -1))
+    again = F.coalesce(F.contains(question, F.lit("Input:")) & F.startswith(shown, given), F.lit(False))
+    return F.when(again, F.substr(shown, F.length(given) + 1)).otherwise(shown)
 
-    return words(F.lower(s), r"(?U)[\s,]+") == words(F.lower(gold), r"(?U)\s+")
 
+def list_form(c: Column) -> Column:
+    return F.array_join(F.filter(F.split(F.lower(c), r"(?U)[\s,]+"), lambda w: w != ""), " ")
 
-def grade_bbh(rows: DataFrame) -> DataFrame:
-    pred, gold, norm, clean = (F.col(c) for c in ("__pred", "__gold", "__norm", "__clean"))
-    got = (
-        rows.withColumn("__pred", line_prediction(F.col("__gen")))
-        .withColumn("__gold", strip(F.col("__ans")))
-        .withColumn("__norm", normalize(pred))
-        .withColumn("__clean", _clean(pred))
-    )
-    letter = F.regexp_extract(gold, r"^\(([A-Z])\)$", 1)
-    shown = _last(_all(pred, r"\(([A-Z])\)", 1))
+
+def answer_form(c: Column, gold: Column, question: Column) -> Column:
+    """``c`` in the form of the gold's kind: letter, word, whole number, brackets or list of words."""
     low = F.lower(gold)
-    right = (
-        F.when(letter != "", F.coalesce(shown, cut_dots(F.upper(norm))) == letter)
-        .when(norm == normalize(gold), F.lit(True))
-        .when(low.isin(*CATEGORICAL), _word_right(clean, low, dash_options(F.col("__ask"))))
-        .when(gold.rlike(r"^-?\d+$"), _integer_right(clean, gold))
-        .when(gold.rlike(BRACKETS), _brackets_right(clean, gold, F.col("__ask")))
-        .otherwise(_words_right(clean, gold))
+    return (
+        F.when(gold.rlike(r"^\([A-Z]\)$"), letter_form(c))
+        .when(low.isin(*CATEGORICAL), word_form(bare(c), dash_options(question), low.isin("true", "false")))
+        .when(gold.rlike(r"^-?\d+$"), integer_form(bare(c)))
+        .when(gold.rlike(BRACKETS), brackets_form(F.when(c == gold, c).otherwise(bare(c)), question))
+        .otherwise(list_form(bare(c)))
     )
-    return got.withColumn("__ok", right).drop("__gold", "__norm", "__clean")
+
+
+def grade_bbh(rows: DataFrame) -> DataFrame:
+    got = rows.withColumn("__pred", line_prediction(F.col("__gen"))).withColumn("__gold", strip(F.col("__ans")))
+    pred, gold, ask = F.col("__pred"), F.col("__gold"), F.col("__ask")
+    same = answer_form(pred, gold, ask) == answer_form(gold, gold, ask)
+    as_said = (normalize(pred) == normalize(gold)) & pred.isNotNull()
+    return got.withColumn("__ok", F.coalesce(same, F.lit(False)) | as_said).drop("__gold")
 
 
 # Mathematics -----------------------------------------------------------------
