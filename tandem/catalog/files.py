@@ -3,7 +3,6 @@
 Files go to the cluster's shared checkpoint folder, a new folder per run.
 """
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..operators import labels, rank
 from ..plans import compare
+from ..session import scratch
 from ..sources import captures, sinks
 from .base import ACT, EVT, RDO, auroc_sql, query
 from .labels import GRADED
@@ -19,9 +19,7 @@ OFF, ON = "correct_off", "correct_on"
 
 
 def folder(t, name: str) -> str:
-    sc = t.spark.sparkContext
-    shared = sc.getCheckpointDir() or t.spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
-    return f"{shared or tempfile.mkdtemp(prefix='tandem-')}/{name}-{uuid.uuid4().hex}"
+    return f"{scratch(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _meta(t):

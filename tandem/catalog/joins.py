@@ -169,11 +169,10 @@ def j14(t):
     return joins.scorer_inputs(parts, "rescued").select("task", "event_id", "y", F.col("confidence_off.mean_logprob").alias("mean_logprob"))
 
 
-@query("u01_pool", f"""with {EVT} select 'a' as pool_task, event_id, concat('a:', family) as family from evt where task = 't0' union all
- select 'b', event_id, concat('b:', family) from evt where task = 't1'""")
+@query("u01_pool", f"""with {EVT} select task as pool_task, event_id, concat(task, ':', family) as family from evt""")
 def u01(t):
     e = t.evt()
-    parts = {n: e.where(F.col("task") == k).withColumn("vec", F.array("conf", "score_a")) for n, k in (("a", "t0"), ("b", "t1"))}
+    parts = {k: e.where(F.col("task") == k).withColumn("vec", F.array("conf", "score_a")) for k in ("t0", "t1", "t2", "t3")}
     return joins.pool(parts, vector="vec", group="family").select("pool_task", "event_id", "family")
 
 

@@ -141,6 +141,7 @@ def match_templates(rows: DataFrame, templates: list[tuple[str, Column]], stored
 
 def attach_baselines(probes: DataFrame, baselines: DataFrame, keys: list[str], kinds: list[str]) -> DataFrame:
     """One row per probe with the name and mean of each baseline kind, when present."""
+    require_unique(baselines.where(F.col("kind").isin(*kinds)), [*keys, "kind"], "several baselines of one kind")
     wide = baselines.groupBy(*keys).pivot("kind", kinds).agg(
         F.first("name").alias("name"), F.first("mean").alias("mean")
     )

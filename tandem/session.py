@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,16 +72,17 @@ def small_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame
     return spark.range(1).select(F.inline(F.from_json(text, f"array<struct<{schema}>>")))
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write a reused intermediate to the shared checkpoint folder.
+def scratch(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; a private one is made
-    only where that is unset (tests on one machine).
+    A private one is made, and set, only where that is unset and everything
+    runs on one machine; a cluster without the setting is refused.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", "") or sc.getConf().get(
-            "spark.checkpoint.dir", ""
-        )
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tandem-ckpt-"))
-    return df.checkpoint(eager=True)
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="tandem-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return shared.rstrip("/")

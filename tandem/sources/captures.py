@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..checks import CheckFailed, require, require_empty, require_unique
+from ..checks import CheckFailed, or_fail, require, require_empty, require_unique
 from ..functions import graders, text
 
 SIDECAR_STEM = "confidence_off_v2"
@@ -66,7 +66,8 @@ def read_config(spark: SparkSession, folder: str, shards: DataFrame, schema: str
     """One config per shard: its own file wins field by field over the global one."""
     fields = [f.split()[0] for f in schema.split(",")]
     try:
-        whole = _json(spark, f"{folder}/config.json", schema, "config.json", True).limit(1)
+        whole = _json(spark, f"{folder}/config.json", schema, "config.json", True)
+        require(len(whole.take(2)) < 2, f"config.json under {folder} holds more than one document")
     except CheckFailed:
         whole = spark.range(0).selectExpr(*[f"cast(null as string) as {f}" for f in fields])
     whole = whole.select(*[F.col(f).alias(f"__g_{f}") for f in fields])
@@ -120,7 +121,11 @@ def read_capture(spark: SparkSession, folder: str, mode: str = "off") -> DataFra
     b = vectors.groupBy("shard").agg(F.countDistinct("row_pos").alias("n_vectors"))
     odd = a.join(b, "shard", "full_outer").where(~F.col("n_meta").eqNullSafe(F.col("n_vectors")))
     require_empty(odd, "meta and vector shards do not match", show="shard")
-    return vectors.join(meta.withColumn("row_pos", F.col("dataset_index")), ["shard", "row_pos"])
+    named = meta.withColumn("row_pos", F.col("dataset_index")).withColumn("__named", F.lit(True))
+    met = vectors.join(named, ["shard", "row_pos"], "left")
+    # As many rows on both sides, so a meta row without vectors leaves a vector without a meta row.
+    found = or_fail(F.col("__named").isNotNull(), F.col("row_pos"), "a vector's position has no meta row")
+    return met.withColumn("row_pos", found).drop("__named")
 
 
 def metric_files(spark: SparkSession, folder: str, schema: str, prefix: str = "") -> DataFrame:
