@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tandem.session import scratch
+
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -22,21 +23,9 @@ def whole(col: str) -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a private one only on a local master."""
-    own = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
-    if own:
-        return own
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="tandem-llm-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
 def settle(df: DataFrame) -> DataFrame:
     """Write an intermediate to the shared folder and read it back: lineage ends, lost executors do not matter."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/step-{uuid.uuid4().hex}"
+    path = f"{scratch(df.sparkSession)}/step-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
