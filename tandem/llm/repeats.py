@@ -4,8 +4,9 @@ Equal strings have equal contents, so what a string itself says can bring it
 together with its copies: each string of ``WINDOW`` bytes is filed under the
 smallest hash of its runs of ``RUN`` bytes (its anchor). Neighbouring strings
 share anchors, so a text is a chain of segments. Anchors that occur once in
-the corpus end there; the segments of the others meet by anchor and the suffix
-array of each such lane shows which strings occur again.
+the corpus end there. Equal segments of an anchor are one entry with a count;
+where an anchor has several different ones, one of each goes into a suffix
+array, which shows the strings that occur again.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ RUN = 32
 PIECE = 1 << 22  # starts handled at once; positions take 24 bits
 LANE_SEGMENTS = 16  # different segments of one anchor that go into one suffix array
 BUCKET_BYTES = 4 << 20
-SEEN = 1_000_000  # digests a task remembers
+MAP_BITS = 26  # of the bit maps that keep rows out of a shuffle; their size is the same for any input
 
 
 class Anchors:
@@ -74,151 +75,144 @@ class Anchors:
         return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def two(data: bytes) -> tuple[int, int]:
-    """A 128-bit digest as two longs."""
-    d = xxhash.xxh3_128_intdigest(data)
-    return (d >> 64) - (1 << 63), (d & (2**64 - 1)) - (1 << 63)
+def digest(data: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(data) - (1 << 63)
 
 
-def longs(pairs: list[tuple[int, int]]) -> tuple[pa.Array, pa.Array]:
-    return pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())
+def bit_map(rows: DataFrame, column: str) -> np.ndarray:
+    """A map of fixed size with the bits that the values of a long column point at."""
+    spot = F.col(column).bitwiseAND(F.lit((1 << MAP_BITS) - 1))
+    words = rows.groupBy(F.shiftright(spot, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(%s & 63 as int))" % column)).alias("b"))
+    got = words.toPandas()  # at most 2^(MAP_BITS - 6) rows
+    out = np.zeros(1 << (MAP_BITS - 6), np.int64)
+    out[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64)
+    return out
 
 
-def _packed(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
-    """``keep``, a digest (t1, t2) of each whole text and the text compressed, for the way through a shuffle."""
+def in_map(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    spot = values & ((1 << MAP_BITS) - 1)
+    return (bits[spot >> 6] >> (spot & 63) & 1).astype(bool)
+
+
+def _texts(part: pa.RecordBatch) -> tuple[list[bytes], np.ndarray]:
+    data, at = text_bytes(part.column("__text"))
+    blob = data.tobytes()
+    texts = [blob[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+    return texts, np.array([digest(t) for t in texts], np.int64)
+
+
+def _packed(docs: DataFrame, keep: list[str], text: str, bits) -> DataFrame:
+    """``keep``, the digest and the compressed bytes of the texts whose digest is in a bit map."""
     kinds = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for part in slices(batch, "__text", 16 << 20):
-                data, at = text_bytes(part.column("__text"))
-                blob = data.tobytes()
-                texts = [blob[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-                t1, t2 = longs([two(t) for t in texts])
+                texts, t1 = _texts(part)
+                at = np.flatnonzero(in_map(bits.value, t1))
+                take = pa.array(at)
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in keep), t1, t2, pa.array([pack.compress(t) for t in texts], pa.binary())],
-                    [*keep, "t1", "t2", "packed"],
+                    [*(part.column(c).take(take) for c in keep), pa.array(t1[at]), pa.array([pack.compress(texts[i]) for i in at], pa.binary())],
+                    [*keep, "t1", "packed"],
                 )
 
     fields = "".join(f"`{c}` {kinds[c]}, " for c in keep)
-    return docs.select(*keep, whole(text).alias("__text")).mapInArrow(run, fields + "t1 long, t2 long, packed binary")
+    return docs.select(*keep, whole(text).alias("__text")).mapInArrow(run, fields + "t1 long, packed binary")
+
 
+def _segments(docs: DataFrame, text: str, window: int) -> DataFrame:
+    """(anchor, s1, t1, at) of every segment: anchor hash, digest of its bytes and of its text, 256 x first start + starts."""
 
-def _anchor_rows(docs: DataFrame, text: str, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Anchors(window)
         for batch in batches:
             for part in slices(batch, "__text"):
                 data, at = text_bytes(part.column("__text"))
-                anchor, first, _ = find.segments(data, at)
+                anchor, first, count = find.segments(data, at)
                 blob = data.tobytes()
-                t1 = np.array([two(blob[a:b])[0] for a, b in zip(at[:-1].tolist(), at[1:].tolist())], np.int64)
-                of = t1[np.searchsorted(at, first, "right") - 1] if len(first) else first
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(of)], ["anchor", "t1"])
+                t1 = np.array([digest(blob[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())], np.int64)
+                of = np.searchsorted(at, first, "right") - 1
+                s1 = [digest(blob[a:b]) for a, b in zip(first.tolist(), (first + count + window - 1).tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(anchor), pa.array(s1, pa.int64()), pa.array(t1[of]), pa.array((first - at[of]) * 256 + count)],
+                    ["anchor", "s1", "t1", "at"],
+                )
 
-    return docs.select(whole(text).alias("__text")).mapInArrow(run, "anchor long, t1 long")
+    return docs.select(whole(text).alias("__text")).mapInArrow(run, "anchor long, s1 long, t1 long, at long")
 
 
-def _segments(found: DataFrame, window: int) -> DataFrame:
-    """Segments of the texts (t1, t2, packed, anchors) at the wanted anchors.
+ENTRY = "anchor long, s1 long, again boolean, content binary"
+HITS = "anchor long, s1 long, runs array<int>"
 
-    Of copies that lie side by side only two are read: the second shows that
-    there is one, and is not ``placed`` again. A task sends the content of a
-    segment for the first two times it meets it only.
-    """
+
+def _contents(asked: DataFrame, window: int) -> DataFrame:
+    """The bytes of the wanted segments of the texts (packed, wanted); a text that only shares the digest gives none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, unpack, seen = Anchors(window), zstandard.ZstdDecompressor(), {}
-        last, again = None, False
+        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            rows, t1, t2 = [], batch.column("t1").to_pylist(), batch.column("t2").to_pylist()
-            packed, wanted = batch.column("packed"), batch.column("anchors")
-            for i in range(batch.num_rows):
-                text = (t1[i], t2[i])
-                if text == last and again:
-                    continue  # a third copy side by side shows nothing new
-                again, last = text == last, text
-                raw = unpack.decompress(packed[i].as_py())
-                data = np.frombuffer(raw, np.uint8)
-                anchor, first, count = find.segments(data, np.array([0, len(data)]))
-                use = np.isin(anchor, wanted[i].values.to_numpy())
-                for h, s, n in zip(anchor[use].tolist(), first[use].tolist(), count[use].tolist()):
-                    content = raw[s : s + n + window - 1]
-                    s1, s2 = two(content)
-                    if len(seen) > SEEN:
-                        seen.clear()
-                    seen[s1, s2] = times = seen.get((s1, s2), 0) + 1
-                    rows.append((h, s1, s2, *text, s, not again, content if times <= 2 else None))
-                if len(rows) > 50_000:
-                    yield _rows(rows)
-                    rows = []
-            if rows:
-                yield _rows(rows)
-
-    schema = "anchor long, s1 long, s2 long, t1 long, t2 long, first int, placed boolean, content binary"
-    return found.mapInArrow(run, schema)
-
-
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 5 + [pa.int32(), pa.bool_(), pa.binary()]
-    names = ["anchor", "s1", "s2", "t1", "t2", "first", "placed", "content"]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-
-
-HITS = "anchor long, s1 long, s2 long, starts array<int>"
+            for i in range(0, batch.num_rows, 500):
+                rows = []
+                for packed, wanted in zip(batch.column("packed").slice(i, 500), batch.column("wanted").slice(i, 500).to_pylist()):
+                    raw = unpack.decompress(packed.as_py())
+                    for w in wanted:
+                        content = raw[w["at"] // 256 : w["at"] // 256 + w["at"] % 256 + window - 1]
+                        if digest(content) == w["s1"]:
+                            rows.append((w["anchor"], w["s1"], w["again"], content))
+                if rows:
+                    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["anchor", "s1", "again", "content"]
+                    )
+
+    return asked.mapInArrow(run, ENTRY)
+
+
+def runs_of(mask: np.ndarray) -> np.ndarray:
+    """Begin and end of each run of true values, one after another."""
+    return np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]]))).astype(np.int32)
 
 
 def _lanes(table: pa.Table, window: int) -> pa.Table:
-    """The starts that repeat within each anchor of a bucket, by suffix arrays."""
-    anchor, s1, s2 = (table.column(c).to_numpy() for c in ("anchor", "s1", "s2"))
-    content = table.column("content").combine_chunks()
-    order = np.lexsort((s2, s1, anchor))
+    """The starts that repeat among the different segments of each anchor of a bucket, by suffix arrays."""
+    anchor, s1 = (table.column(c).to_numpy() for c in ("anchor", "s1"))
+    again = table.column("again").to_numpy(zero_copy_only=False)
+    order = np.lexsort((s1, anchor))
     new = np.ones(len(order), bool)
-    new[1:] = np.any([c[order][1:] != c[order][:-1] for c in (anchor, s1, s2)], 0)
-    at = np.flatnonzero(new)
-    times = np.diff(np.concatenate([at, [len(order)]]))
-    rows = order[at]
-    texts = [content[i].as_py() for i in rows.tolist()]
-    masks = repeated(texts, anchor[rows], window)
-    out = []
-    for i, mask, n in zip(rows.tolist(), masks, times.tolist()):
-        if n > 1:
-            mask[:] = True
-        if mask.any():
-            out.append((i, np.flatnonzero(mask)))
+    # Texts with one digest may both have answered for a segment; one is enough.
+    new[1:] = (anchor[order][1:] != anchor[order][:-1]) | (s1[order][1:] != s1[order][:-1])
+    rows = order[new]
+    content = table.column("content").combine_chunks()
+    masks = repeated([content[i].as_py() for i in rows.tolist()], anchor[rows], window)
+    out = [(i, runs_of(m)) for i, m in zip(rows.tolist(), masks) if not again[i] and m.any()]
     keep = np.array([i for i, _ in out], np.int64)
     return pa.table(
-        {
-            "anchor": anchor[keep], "s1": s1[keep], "s2": s2[keep],
-            "starts": pa.array([s.astype(np.int32) for _, s in out], pa.list_(pa.int32())),
-        }
+        {"anchor": anchor[keep], "s1": s1[keep], "runs": pa.array([r for _, r in out], pa.list_(pa.int32()))}
     )
 
 
-def _hot(rows: DataFrame, window: int) -> DataFrame:
+def _crowded(rows: DataFrame, window: int) -> DataFrame:
     """The same for anchors with more different segments than one suffix array takes: by window digests, combined."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [batch.column(c).to_pylist() for c in ("anchor", "s1", "s2", "content")]
+            keys = [batch.column(c).to_pylist() for c in ("anchor", "s1", "again", "content")]
             for a in range(0, batch.num_rows, 200):
-                out = [
-                    (h, s1, s2, k, *two(text[k : k + window]))
-                    for h, s1, s2, text in zip(*(c[a : a + 200] for c in keys)) for k in range(len(text) - window + 1)
-                ]
-                if out:
-                    cols = list(zip(*out))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, pa.int32() if i == 3 else pa.int64()) for i, c in enumerate(cols)],
-                        ["anchor", "s1", "s2", "start", "d1", "d2"],
-                    )
+                out = []
+                for h, s, again, text in zip(*(c[a : a + 200] for c in keys)):
+                    for k in range(len(text) - window + 1):
+                        d = xxhash.xxh3_128_intdigest(text[k : k + window])
+                        out.append((h, s, again, k, (d >> 64) - (1 << 63), (d & (2**64 - 1)) - (1 << 63)))
+                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["anchor", "s1", "again", "start", "d1", "d2"]
+                )
 
-    each = settle(rows.select("anchor", "s1", "s2", "content").mapInArrow(
-        cut, "anchor long, s1 long, s2 long, start int, d1 long, d2 long"
-    ))
+    each = settle(rows.mapInArrow(cut, "anchor long, s1 long, again boolean, start int, d1 long, d2 long"))
     twice = each.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("d1", "d2")
-    return each.join(twice, ["d1", "d2"]).groupBy("anchor", "s1", "s2").agg(F.collect_set("start").alias("starts"))
+    starts = each.where("not again").join(twice, ["d1", "d2"]).groupBy("anchor", "s1").agg(F.collect_set("start").alias("starts"))
+    return starts.select("anchor", "s1", F.flatten(F.transform("starts", lambda k: F.array(k, k + 1))).alias("runs"))
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -230,68 +224,84 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
     all judged on the input. Null counts as empty; texts shorter than
     ``window`` lose nothing; rows repeated with the same text lose it all.
     """
-    rows = _anchor_rows(docs, text, window)
-    often = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    wanted = rows.join(often, "anchor").groupBy("t1").agg(F.collect_set("anchor").alias("anchors"))
-    found = _packed(docs, [], text).join(wanted, "t1").select("t1", "t2", "packed", "anchors").sortWithinPartitions("t1", "t2")
-    held = settle(_segments(found, window))
-
-    narrow = held.select("anchor", "s1", "s2")
-    hot = narrow.distinct().groupBy("anchor").count().where(F.col("count") > LANE_SEGMENTS).select("anchor")
-    hot = settle(hot)
-    full = held.where("content is not null")
-    n = full.count()
-    buckets = max(1, n * 300 // BUCKET_BYTES)
+    share = docs.sparkSession.sparkContext.broadcast
+    rows = _segments(docs, text, window)
+    often = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = settle(rows.join(often, "anchor"))
+    entries = settle(
+        met.groupBy("anchor", "s1").agg(
+            F.count(F.lit(1)).alias("c"), F.max("n").alias("n"), F.min(F.struct("t1", "at")).alias("first")
+        )
+    )
+    mixed_up = entries.where("c < n")  # anchors with different segments
+    crowded = mixed_up.groupBy("anchor").count().where(F.col("count") > LANE_SEGMENTS)
+    hot = share(bit_map(crowded, "anchor"))
+    asked = mixed_up.select(F.col("first.t1").alias("t1"), "anchor", "s1", F.col("first.at").alias("at"), (F.col("c") > 1).alias("again"))
+    wanted = asked.groupBy("t1").agg(F.collect_list(F.struct("anchor", "s1", "at", "again")).alias("wanted"))
+    texts = _packed(docs, [], text, share(bit_map(asked, "t1")))
+    held = settle(_contents(texts.join(wanted, "t1").select("packed", "wanted"), window))
+
+    def part(inside: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(in_map(hot.value, batch.column("anchor").to_numpy()) == inside))
+
+        return held.mapInArrow(run, ENTRY)
+
+    # An anchor that only shares a bit with a crowded one may go either way: both are exact.
+    buckets = max(1, held.count() * 300 // BUCKET_BYTES)
     by_lane = (
-        full.join(hot, "anchor", "left_anti").select("anchor", "s1", "s2", "content")
-        .withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
+        part(False).withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
         .groupBy("bucket").applyInArrow(lambda t: _lanes(t, window), HITS)
     )
-    hits = by_lane.unionByName(_hot(full.join(hot, "anchor", "left_semi"), window))
-    spans = (
-        held.where("placed").select("anchor", "s1", "s2", "t1", "t2", "first").join(hits, ["anchor", "s1", "s2"])
-        .groupBy("t1", "t2").agg(F.collect_list(F.struct("first", "starts")).alias("hits"))
-    )
+    whole_runs = F.array(F.lit(0), F.lit(256))
+    hits = entries.where("c > 1").select("anchor", "s1", whole_runs.alias("runs")).unionByName(by_lane).unionByName(_crowded(part(True), window))
+    found = settle(met.select("anchor", "s1", "t1", "at").join(hits, ["anchor", "s1"]).select("t1", "s1", "at", "runs").distinct())
+    spans = found.groupBy("t1").agg(F.collect_list(F.struct("s1", "at", "runs")).alias("hits"))
+    bits = share(bit_map(found, "t1"))
     kind = dict(docs.dtypes)[key]
     span = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
+    out = f"`{key}` {kind}, n_bytes long, spans array<struct<start:long,length:long>>, kept binary"
 
-    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            sizes, cut, kept = [], [], []
-            for packed, hits in zip(batch.column("packed"), batch.column("hits")):
-                raw = unpack.decompress(packed.as_py())
-                sizes.append(len(raw))
-                if not hits.is_valid:
-                    cut.append([])
-                    kept.append(raw)
-                    continue
-                own = hits.values
-                first, lists = own.field("first").to_numpy(), own.field("starts")
-                at = np.repeat(first, lists.value_lengths().to_numpy()) + lists.flatten().to_numpy()
-                edge = np.zeros(len(raw) + 1, np.int32)
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + window, -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                flips = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
-                cut.append([dict(start=a, length=b - a) for a, b in zip(flips[::2].tolist(), flips[1::2].tolist())])
-                kept.append(np.frombuffer(raw, np.uint8)[~gone].tobytes())
-                if sum(map(len, kept)) > 1 << 26:
-                    yield made(batch, sizes, cut, kept)
-                    batch = batch.slice(len(sizes))
-                    sizes, cut, kept = [], [], []
-            if sizes:
-                yield made(batch, sizes, cut, kept)
-
-    def made(batch, sizes, cut, kept):
+    def made(keys, sizes, cut, kept):
         return pa.RecordBatch.from_arrays(
-            [batch.column(key).slice(0, len(sizes)), pa.array(sizes, pa.int64()), pa.array(cut, span), pa.array(kept, pa.binary())],
-            [key, "n_bytes", "spans", "kept"],
+            [keys, pa.array(sizes, pa.int64()), pa.array(cut, span), pa.array(kept, pa.binary())], [key, "n_bytes", "spans", "kept"]
         )
 
-    return _packed(docs, [key], text).join(spans, ["t1", "t2"], "left").select(key, "packed", "hits").mapInArrow(
-        remove, f"`{key}` {kind}, n_bytes long, spans array<struct<start:long,length:long>>, kept binary"
-    )
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, "__text", 16 << 20):
+                texts, t1 = _texts(piece)
+                at = np.flatnonzero(~in_map(bits.value, t1))
+                own = [texts[i] for i in at]
+                yield made(piece.column(key).take(pa.array(at)), [len(t) for t in own], [[] for _ in own], own)
+
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                piece = batch.slice(i, 500)
+                sizes, cut, kept = [], [], []
+                for packed, hits in zip(piece.column("packed"), piece.column("hits").to_pylist()):
+                    raw = unpack.decompress(packed.as_py())
+                    edge = np.zeros(len(raw) + 1, np.int32)
+                    for hit in hits or ():
+                        first, n = divmod(hit["at"], 256)
+                        if digest(raw[first : first + n + window - 1]) != hit["s1"]:
+                            continue  # of another text with the same digest
+                        for a, b in zip(hit["runs"][::2], hit["runs"][1::2]):
+                            edge[first + a] += 1
+                            edge[min(first + min(b, n) + window - 1, len(raw))] -= 1
+                    gone = np.cumsum(edge[:-1]) > 0
+                    flips = runs_of(gone).tolist()
+                    sizes.append(len(raw))
+                    cut.append([dict(start=a, length=b - a) for a, b in zip(flips[::2], flips[1::2])])
+                    kept.append(np.frombuffer(raw, np.uint8)[~gone].tobytes() if flips else raw)
+                yield made(piece.column(key), sizes, cut, kept)
+
+    clean = docs.select(key, whole(text).alias("__text")).mapInArrow(untouched, out)
+    touched = _packed(docs, [key], text, bits).join(spans, "t1", "left").select(key, "packed", "hits").mapInArrow(remove, out)
+    return clean.unionByName(touched)
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
