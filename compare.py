@@ -1,6 +1,5 @@
 """Run queries against their SQL twins: python compare.py [folder] [name-prefix ...]."""
 
-import os
 import sys
 import time
 
@@ -55,8 +54,6 @@ def check(spark, con, folder: str, name: str) -> tuple[bool, str]:
 if __name__ == "__main__":
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     conf = {"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g"}
-    if os.environ.get("TANDEM_SPREAD"):  # force the block forms of ordered work
-        conf["spark.tandem.spreadBytes"] = "0"
     spark = session("local[8]", **conf)
     spark.sparkContext.setLogLevel("ERROR")
     con, bad = duck(folder), []

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.rand import hash01, poisson_steps
+from ..functions.rand import hash01
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -222,17 +222,36 @@ def query(name: str, sql: str | None = None, dbl: str = "", big: str = ""):
     return wrap
 
 
+#: The scramble in steps: DuckDB keeps every product below 2^64.
+SCRAMBLE = """select *, xor(z3, z3 >> 16) as {out} from (select *, (xor(z2, z2 >> 15) * 2221713035::ubigint) & 4294967295::ubigint as z3 from (
+  select *, (xor(z1, z1 >> 16) * 2146121005::ubigint) & 4294967295::ubigint as z2 from (select *, {x} as z1 from {src})))"""
+
+
+def _scrambled(src: str, x: str, out: str) -> str:
+    return f"(select * exclude (z1, z2, z3) from ({SCRAMBLE.format(src=src, x=x, out=out)}))"
+
+
 def draws(cells: str, cols: str, n_boot: int, seed: int = 0) -> str:
-    """CTEs for ``drawn(cols, b, w)``: Poisson weights of the cells, as in operators.boot."""
-    q = -(-n_boot // 4)
-    unit = "+".join(f"(u >= {t!r}::double)::int" for t in poisson_steps())
-    return f"""unit as (select x.*, j from {cells} x, unnest(range(least(c, 32))) t(j)),
- hashed as (select x.*, q, md5(concat('{seed}:', cast(key as varchar), ':', j, ':', q)) as h from unit x, range({q}) r(q)),
- uni as (select x.* exclude (h), q * 4 + slot as b, ('0x'||substr(h, 1 + 8*slot, 8))::bigint/4294967296.0::double as u
-  from hashed x, range(4) z(slot) where q * 4 + slot < {n_boot}),
- drawn as (select {cols}, key, b, case when max(c) <= 32 then sum({unit})::double
-  else greatest(0.0::double, round_even(max(c) + sqrt(max(c)::double) * sqrt(-2.0::double * ln(1.0::double - max(u) filter (where j = 0)))
-   * cos(2.0::double * pi() * max(u) filter (where j = 1)), 0)) end as w from uni group by all)"""
+    """CTEs for ``drawn(cols, key, b, w)``: Poisson weights of the cells, as in functions.rand.
+
+    Each binary digit of a count is one draw from its Poisson table.
+    """
+    counter = _scrambled(
+        f"(select b, p from range({n_boot}) r(b), range(40) d(p) where p <= (select floor(log2(max(c))) from {cells}))",
+        "((b * 64 + p + 1) & 4294967295)::ubigint", "k")
+    high = _scrambled("pieces", "xor(w1, k)", "hi")
+    low = _scrambled(high, "xor(hi, w2)", "lo")
+    return f"""counters as materialized (select b, p, k from {counter}),
+ worded as (select *, ('0x'||substr(h, 1, 8))::ubigint as w1, ('0x'||substr(h, 9, 8))::ubigint as w2
+  from (select *, md5(concat('{seed}:', cast(key as varchar))) as h from {cells})),
+ pieces as (select x.* exclude (h), b, p, k from worded x join counters on (c >> p) & 1 = 1),
+ uni as (select {cols}, key, b, p, (hi::double * 2097152 + (lo >> 11)::double) / 9007199254740992.0::double as u from {low}),
+ pois as (select p, n, sum(exp(n * ln(lam) - lam - lgamma(n + 1))) over (partition by p order by n) as cdf from (
+  select p, lam, unnest(range(greatest(0, floor(lam - 12 * sqrt(lam) - 40))::bigint, floor(lam + 12 * sqrt(lam) + 40)::bigint + 1)) as n
+  from (select distinct p, pow(2, p) as lam from counters))),
+ firsts as (select p, min(n) as n0 from pois group by p),
+ drawn as (select {cols}, key, b, sum(coalesce(n + 1, n0))::double as w from (select u.*, t.n from uni u asof left join pois t on u.p = t.p and u.u >= t.cdf)
+  join firsts using (p) group by all)"""
 
 
 def auroc_sql(src: str, by: str, y: str = "y", score: str = "s", weight: str = "1.0::double") -> str:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..columns import count_if, gain, join_on, ratio
 from ..operators import boot, calib, rank
-from .base import DOC, EVT, auroc_sql, draws, h01, h32, nauc_sql, query, segments_sql
+from .base import DOC, EVT, auroc_sql, draws, h32, nauc_sql, query, segments_sql
 from .rank import wilson_sql
 
 OFF, ON = "correct_off", "correct_on"
@@ -17,7 +17,7 @@ def _y(t):
 
 @query("r01_resample_strata", f"""with {DOC}, placed as (select *, row_number() over (partition by correct_off
  order by {h32("concat('0:pos:', cast(doc_id as varchar))")}, doc_id) as rn, count(*) over (partition by correct_off) as tot from doc),
- slots as (select correct_off, b, floor({h01("concat('0:', b, ':', correct_off::varchar, ':', rn)")} * tot)::bigint + 1 as pick
+ slots as (select correct_off, b, ('0x'||substr(md5(concat('0:', b, ':', correct_off::varchar, ':', rn)), 1, 15))::bigint % tot + 1 as pick
   from placed, range(100) r(b))
  select b, count(*) as n, sum(p.correct_off::int)::bigint as n_off, avg((p.correct_on::int - p.correct_off::int)::double) as mean_gain
  from slots s join placed p on s.correct_off = p.correct_off and s.pick = p.rn group by b""", "mean_gain")
@@ -31,7 +31,7 @@ def r01(t):
 
 @query("r01_resample_rows", f"""with {DOC}, placed as (select *, row_number() over (
  order by {h32("concat('0:pos:', cast(doc_id as varchar))")}, doc_id) as rn, count(*) over () as tot from doc),
- slots as (select b, floor({h01("concat('0:', b, ':', rn)")} * tot)::bigint + 1 as pick from placed, range(200) r(b)),
+ slots as (select b, ('0x'||substr(md5(concat('0:', b, ':', rn)), 1, 15))::bigint % tot + 1 as pick from placed, range(200) r(b)),
  reps as (select b, avg((p.correct_on::int - p.correct_off::int)::double) as v from slots s join placed p on s.pick = p.rn group by b)
  select quantile_cont(v, 0.025) as ci_lo, quantile_cont(v, 0.975) as ci_hi, count(v) as n_boot from reps""", "ci_lo ci_hi")
 def r01_rows(t):

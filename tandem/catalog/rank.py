@@ -185,7 +185,7 @@ def w11(t):
     """The distributed form, forced on, so the block path itself is checked."""
     cells = t.lin().withColumn("g", gain(OFF, ON)).groupBy("family", "score_a").agg(
         F.count(F.lit(1)).alias("n"), F.sum("g").alias("gain"))
-    return running(cells, ["family"], "score_a", ["n", "gain"], spread=True).select(
+    return running(cells, ["family"], "score_a", ["n", "gain"]).select(
         "family", "score_a", "cum_n", "cum_gain", "tot_n")
 
 

@@ -8,23 +8,14 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TWO32 = 4294967296.0
-UNIT_COPIES = 32  # up to this count a Poisson(c) draw is a sum of c Poisson(1) draws
-
-
-def poisson_steps(limit: int = 13) -> list[float]:
-    """Cumulative Poisson(1) probabilities; a uniform passes one step per unit of weight."""
-    total, term, out = 0.0, math.exp(-1.0), []
-    for k in range(limit):
-        total += term
-        out.append(total)
-        term /= k + 1
-    return out
+WORD = np.uint64(0xFFFFFFFF)
 
 
 def hash32(key: Column) -> Column:
@@ -49,36 +40,55 @@ def seeded(seed, *parts) -> Column:
     return F.concat_ws(":", head.cast("string"), *[c.cast("string") for c in cols])
 
 
-def uniforms(keys, n_boot: int, seed: int, copy: int) -> np.ndarray:
-    """Uniforms of shape (keys, n_boot); one md5 gives four replicates."""
-    blocks = -(-n_boot // 4)
-    tails = [f":{copy}:{q}".encode() for q in range(blocks)]
-    raw = b"".join(
-        hashlib.md5(head + tail).digest()
-        for head in (f"{seed}:{k}".encode() for k in keys)
-        for tail in tails
-    )
-    return np.frombuffer(raw, dtype=">u4").reshape(-1, blocks * 4)[:, :n_boot] / TWO32
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijective scramble of 32-bit words held in 64 bits; SQL can state the same products."""
+    x = x ^ (x >> np.uint64(16))
+    x = (x * np.uint64(0x7FEB352D)) & WORD
+    x = x ^ (x >> np.uint64(15))
+    x = (x * np.uint64(0x846CA68B)) & WORD
+    return x ^ (x >> np.uint64(16))
+
+
+def key_words(keys, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 32-bit words per cell, from one md5 of seed and key."""
+    raw = b"".join(hashlib.md5(f"{seed}:{k}".encode()).digest()[:8] for k in keys)
+    both = np.frombuffer(raw, dtype=">u4").reshape(-1, 2).astype(np.uint64)
+    return both[:, 0], both[:, 1]
+
+
+def uniforms(words: tuple[np.ndarray, np.ndarray], n_boot: int, part: int) -> np.ndarray:
+    """Uniforms of 53 bits, (cells, n_boot): a counter (replicate, part) mixed into each cell's words."""
+    counter = _mixed((np.arange(n_boot, dtype=np.uint64) * np.uint64(64) + np.uint64(part + 1)) & WORD)
+    high = _mixed(words[0][:, None] ^ counter[None, :])
+    low = _mixed(high ^ words[1][:, None])
+    return (high * np.uint64(1 << 21) + (low >> np.uint64(11))).astype(np.float64) / float(1 << 53)
+
+
+@lru_cache(maxsize=64)
+def poisson_table(power: int) -> tuple[int, np.ndarray]:
+    """(first count, cumulative probabilities) of Poisson(2^power), all that doubles can tell from 0 and 1."""
+    lam = float(1 << power)
+    reach = 12.0 * math.sqrt(lam) + 40.0
+    first = max(0, math.floor(lam - reach))
+    counts = np.arange(first, math.floor(lam + reach) + 1)
+    logs = counts * math.log(lam) - lam - np.array([math.lgamma(n + 1.0) for n in counts])
+    return first, np.cumsum(np.exp(logs))
 
 
 def poisson_weights(keys, counts, n_boot: int, seed: int) -> np.ndarray:
-    """Resampling weight of each cell in each replicate: Poisson(count of the cell).
+    """Resampling weight of each cell in each replicate: Poisson(count of the cell), exact for every count.
 
-    Small counts are summed unit draws; large ones use the normal limit, so the
-    cost of a cell does not grow with the rows behind it.
+    A count is the sum of its binary digits, and a Poisson number of a sum is
+    the sum of Poisson numbers: one inverted uniform per digit that is set, so
+    the cost grows with the digits of a count and not with the count.
     """
-    keys, counts = np.asarray(keys), np.asarray(counts, dtype=np.int64)
-    out = np.zeros((len(keys), n_boot))
-    steps = np.array(poisson_steps())
-    small = counts <= UNIT_COPIES
-    for copy in range(int(counts[small].max()) if small.any() else 0):
-        at = np.flatnonzero(small & (counts > copy))
-        out[at] += np.searchsorted(steps, uniforms(keys[at], n_boot, seed, copy), side="right")
-    at = np.flatnonzero(~small)
-    if len(at):
-        u1 = uniforms(keys[at], n_boot, seed, 0)
-        u2 = uniforms(keys[at], n_boot, seed, 1)
-        z = np.sqrt(-2.0 * np.log(1.0 - u1)) * np.cos(2.0 * np.pi * u2)
-        c = counts[at][:, None].astype(float)
-        out[at] = np.maximum(0.0, np.round(c + np.sqrt(c) * z))
+    counts = np.asarray(counts, dtype=np.int64)
+    words = key_words(keys, seed)
+    out = np.zeros((len(counts), n_boot))
+    for power in range(int(counts.max(initial=0)).bit_length()):
+        at = np.flatnonzero(counts >> power & 1)
+        if len(at):
+            first, steps = poisson_table(power)
+            u = uniforms((words[0][at], words[1][at]), n_boot, power)
+            out[at] += first + np.searchsorted(steps, u, side="right")
     return out

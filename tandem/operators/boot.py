@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from ..checks import no_nan, require
 from ..columns import count_if, join_on, ratio, truth
-from ..functions.rand import hash01, poisson_weights, seeded
+from ..functions.rand import hash60, poisson_weights, seeded
 from .ordered import numbered
 from .curves import nauc, segments, segments_of
 from .rank import auroc, concordance
@@ -46,7 +46,8 @@ def exact_weights(
     slots = placed.select(
         *strata, "__rn", "tot___rn", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b")
     )
-    pick = F.floor(hash01(seeded(seed, F.col("b"), *stratum, F.col("__rn"))) * F.col("tot___rn")) + 1
+    # 60 bits: every row of a stratum of any size can be drawn.
+    pick = F.pmod(hash60(seeded(seed, F.col("b"), *stratum, F.col("__rn"))), F.col("tot___rn")) + 1
     drawn = slots.groupBy(*strata, "b", pick.alias("__rn")).agg(F.count(F.lit(1)).alias("w"))
     return join_on(drawn, placed, strata + ["__rn"]).select(*df.columns, "b", "w")
 

@@ -29,13 +29,12 @@ def wilson(k: Column, n: Column, confidence: float = 0.95) -> tuple[Column, Colu
 
 def precision_threshold(
     df: DataFrame, by: list[str], conf: str, correct: str, target: float = 0.95,
-    spread: bool | None = None,
 ) -> DataFrame:
     """The lowest cut-off whose accepted rows reach the target precision, else +inf."""
     cells = df.groupBy(*by, no_nan(F.col(conf).cast("double"), "confidences").alias("c")).agg(
         F.count(F.lit(1)).alias("n"), count_if(truth(F.col(correct))).alias("ok")
     )
-    ran = running(cells, by, "c", ["n", "ok"], descending=True, spread=spread)
+    ran = running(cells, by, "c", ["n", "ok"], descending=True)
     prec = F.col("cum_ok") / F.col("cum_n")
     best = F.min(
         F.when(prec >= target, F.struct("c", prec.alias("prec"), (F.col("cum_n") / F.col("tot_n")).alias("cov")))
@@ -95,7 +94,7 @@ def uniform_edges(bins: int) -> list[float]:
 
 def reliability(
     df: DataFrame, by: list[str], conf: str, correct: str, bins: int = 10,
-    strategy: str = "uniform", spread: bool | None = None,
+    strategy: str = "uniform",
 ) -> DataFrame:
     """by..., bin, lo, hi, n, mean_conf, accuracy, gap; empty bins are kept.
 
@@ -108,7 +107,7 @@ def reliability(
         edged = df.withColumn("__edges", F.array(*cut))
         edges = df.groupBy(*by).agg(F.array(*cut).alias("__edges"))
     else:
-        cut = quantiles(df, by, conf, [i * (1.0 / bins) for i in range(bins)] + [1.0], spread)
+        cut = quantiles(df, by, conf, [i * (1.0 / bins) for i in range(bins)] + [1.0])
         edges = cut.groupBy(*by).agg(
             F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda e: e["value"]).alias("__q")
         )

@@ -35,7 +35,7 @@ def gain_cells(
 _CELL = ["n", "gain", "base", "helped", "hurt"]
 
 
-def segments_of(cells: DataFrame, by: list[str], spread: bool | None = None) -> DataFrame:
+def segments_of(cells: DataFrame, by: list[str], few: bool = False) -> DataFrame:
     """Cells with a positive weight, ordered into segments from ``k0`` to ``k1`` escalations.
 
     Other columns of the cells are carried along; of ``pos`` and ``neg`` (class
@@ -43,9 +43,7 @@ def segments_of(cells: DataFrame, by: list[str], spread: bool | None = None) ->
     """
     extra = [c for c in cells.columns if c not in (*by, "score", *_CELL)]
     classes = ["pos", "neg"] if "neg" in extra else []
-    ran = running(
-        cells.where("n > 0"), by, "score", _CELL + classes, descending=True, spread=spread
-    )
+    ran = running(cells.where("n > 0"), by, "score", _CELL + classes, descending=True, few=few)
     below = [(F.col("tot_neg") - F.col("cum_neg")).alias("neg_below"), "tot_pos", "tot_neg"] if classes else []
     return ran.select(
         *by,
@@ -73,9 +71,9 @@ def segments(
     on: str,
     score: str,
     weight: str | None = None,
-    spread: bool | None = None,
+    few: bool = False,
 ) -> DataFrame:
-    return segments_of(gain_cells(df, by, off, on, score, weight), by, spread)
+    return segments_of(gain_cells(df, by, off, on, score, weight), by, few)
 
 
 def _accuracy_at(k: Column) -> Column:
@@ -233,7 +231,7 @@ def read_curve(
 
 def oracle_segments(df: DataFrame, by: list[str], off: str, on: str) -> DataFrame:
     """The curve of the best possible router: score = gain, three segments."""
-    return segments(df.withColumn("__gain", gain(off, on)), by, off, on, "__gain", spread=False)
+    return segments(df.withColumn("__gain", gain(off, on)), by, off, on, "__gain", few=True)
 
 
 def oracle_accuracy_at(fraction: Column, base: Column, helped: Column, hurt: Column) -> Column:

@@ -4,17 +4,19 @@ A window over one huge group would run in one task. Instead a number is mapped
 to a 64-bit integer with the same order and cut into blocks by its leading
 bits: sums are taken per block, then per block of blocks, and the offsets are
 joined back. The cut depends on the value alone, so a retried task sees the
-same blocks, and no window ever holds more than 2^24 rows.
+same blocks, and no window over numbers ever holds more than 2^24 rows. Texts
+are cut by seven bytes after their common beginning.
 """
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..columns import join_on
 from ..functions.rand import hash32, seeded
-from ..session import needs_spread
 
 LOW_BITS, HIGH_BITS = 20, 40
 _MIN_NORMAL = 2.2250738585072014e-308
@@ -42,10 +44,21 @@ def order_key(col: Column) -> Column:
     return F.when(col < 0, -bits).otherwise(bits)
 
 
+def text_key(df: DataFrame, order: str) -> Column:
+    """Bigint that orders texts by the seven bytes after what all of them begin with."""
+    low, high = (str(v or "").encode() for v in df.agg(F.min(order), F.max(order)).first())
+    shared = len(os.path.commonprefix([low, high]))
+    seven = F.substring(F.encode(F.col(order), "UTF-8"), shared + 1, 7)
+    return F.conv(F.rpad(F.hex(seven), 14, "0"), 16, 10).cast("bigint")
+
+
 def _key(df: DataFrame, order: str) -> Column:
+    """Blocks only need a key that never decreases; inside a block the value itself is ordered."""
     kind = dict(df.dtypes)[order]
     if kind in ("bigint", "int", "smallint", "tinyint"):
         return F.col(order).cast("bigint")
+    if kind == "string":
+        return text_key(df, order)
     return order_key(F.col(order).cast("double"))
 
 
@@ -55,13 +68,15 @@ def running(
     order: str,
     sums: list[str],
     descending: bool = False,
-    spread: bool | None = None,
+    few: bool = False,
 ) -> DataFrame:
     """Inclusive running sum ``cum_<c>`` and group total ``tot_<c>`` of each column.
 
-    ``df`` has at most one row per (by, order) value.
+    ``df`` has at most one row per (by, order) value. ``few`` says that the
+    order column only takes a handful of values whatever the data (a gain of
+    -1, 0 or 1), so that one window per group is enough.
     """
-    if not needs_spread(df, spread):
+    if few:
         head = F.col(order).desc() if descending else F.col(order).asc()
         local = Window.partitionBy(*by).orderBy(head).rowsBetween(_UNBOUNDED, 0)
         whole = Window.partitionBy(*by)
@@ -120,21 +135,14 @@ def numbered(
     seed,
     row_id: str,
     out: str = "rn",
-    spread: bool | None = None,
 ) -> DataFrame:
     """1-based position of each row in a seeded shuffle of its group, and ``tot_<out>``.
 
-    The shuffle order is (hash of seed and id, id). Large groups are ranked
+    The shuffle order is (hash of seed and id, id). Groups are ranked
     inside 2^16 equal hash slices; a slice's offset comes from slice counts.
     """
     hashed = df.withColumn("__h", hash32(seeded(seed, row_id)))
     order = [F.col("__h"), F.col(row_id)]
-    if not needs_spread(df, spread):
-        return hashed.select(
-            *df.columns,
-            F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("bigint").alias(out),
-            F.count(F.lit(1)).over(Window.partitionBy(*by)).alias(f"tot_{out}"),
-        )
     hashed = hashed.withColumn("__s", F.shiftright("__h", 16))
     counts = hashed.groupBy(*by, "__s").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*by).orderBy("__s").rowsBetween(_UNBOUNDED, -1)
@@ -153,8 +161,7 @@ def numbered(
 
 
 def quantiles(
-    df: DataFrame, by: list[str], col: str, probs: list[float], spread: bool | None = None,
-    weight: str | None = None,
+    df: DataFrame, by: list[str], col: str, probs: list[float], weight: str | None = None
 ) -> DataFrame:
     """Exact linear-interpolated quantiles: by..., ``i`` (index into probs), ``q``, ``value``.
 
@@ -169,7 +176,7 @@ def quantiles(
         .groupBy(*by, F.col(col).cast("double").alias("__x"))
         .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("__n"))
     )
-    ranked = running(cells, by, "__x", ["__n"], spread=spread)
+    ranked = running(cells, by, "__x", ["__n"])
     wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("q")) for i, p in enumerate(probs)])
     pos = (F.col("tot___n") - 1) * F.col("p.q")
     lo, hi = F.floor(pos), F.ceil(pos)

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..checks import no_nan
 from ..columns import count_if, join_on, ratio, truth
-from ..session import needs_spread
 from .ordered import HIGH_BITS, LOW_BITS, order_key, running
 
 
@@ -24,21 +23,16 @@ def score_cells(df: DataFrame, by: list[str], y: str, score: str) -> DataFrame:
     )
 
 
-def concordance(cells: DataFrame, by: list[str], spread: bool | None = None) -> DataFrame:
+def concordance(cells: DataFrame, by: list[str]) -> DataFrame:
     """by..., p, n, u: counts and the number of concordant (pos, neg) pairs, ties half.
 
     A run of neighbouring scores is summarised by (p, n, u), and two runs merge
-    as u = u1 + u2 + p2 * n1. Large groups merge in three rounds (cells into
+    as u = u1 + u2 + p2 * n1. Groups merge in three rounds (cells into
     blocks, blocks into blocks, blocks into the group); nothing is joined.
     """
-    wide = needs_spread(cells, spread)
     out = cells.select(*by, "score", "p", "n", (F.col("p") * F.col("n") / 2).alias("u"))
-    if wide:
-        out = out.withColumn("__k", order_key(F.col("score")))
-        rounds = [("__k", LOW_BITS), ("__b1", HIGH_BITS - LOW_BITS), ("__b2", None)]
-    else:
-        rounds = [("score", None)]
-    for at, shift in rounds:
+    out = out.withColumn("__k", order_key(F.col("score")))
+    for at, shift in (("__k", LOW_BITS), ("__b1", HIGH_BITS - LOW_BITS), ("__b2", None)):
         up = {"__k": "__b1", "__b1": "__b2"}.get(at)
         if shift is not None:
             out = out.withColumn(up, F.shiftright(at, shift))
@@ -58,10 +52,10 @@ def concordance(cells: DataFrame, by: list[str], spread: bool | None = None) ->
 
 
 def auroc(
-    df: DataFrame, by: list[str], y: str, score: str, spread: bool | None = None
+    df: DataFrame, by: list[str], y: str, score: str
 ) -> DataFrame:
     """by..., n_pos, n_neg, auroc (NULL when a class is missing)."""
-    got = concordance(score_cells(df, by, y, score), by, spread)
+    got = concordance(score_cells(df, by, y, score), by)
     return got.select(
         *by,
         F.col("p").cast("bigint").alias("n_pos"),
@@ -71,11 +65,11 @@ def auroc(
 
 
 def within_group(
-    df: DataFrame, by: list[str], group: str, y: str, score: str, spread: bool | None = None
+    df: DataFrame, by: list[str], group: str, y: str, score: str
 ) -> DataFrame:
     """Concordance pooled over pairs of the same group, with group and pair counts."""
     keyed = df.withColumn("__grp", F.coalesce(F.col(group).cast("string"), F.lit("None")))
-    got = concordance(score_cells(keyed, by + ["__grp"], y, score), by + ["__grp"], spread)
+    got = concordance(score_cells(keyed, by + ["__grp"], y, score), by + ["__grp"])
     pairs = F.col("p") * F.col("n")
     return got.groupBy(*by).agg(
         ratio(F.sum("u"), F.sum(pairs)).alias("auroc"),
@@ -86,32 +80,32 @@ def within_group(
 
 
 def average_ranks(
-    df: DataFrame, by: list[str], score: str, out: str = "rank", spread: bool | None = None
+    df: DataFrame, by: list[str], score: str, out: str = "rank"
 ) -> DataFrame:
     """Every row with its 1-based rank; ties share the mean rank."""
     cells = df.groupBy(*by, F.col(score)).agg(F.count(F.lit(1)).alias("__c"))
-    ranked = running(cells, by, score, ["__c"], spread=spread).select(
+    ranked = running(cells, by, score, ["__c"]).select(
         *by, score, (F.col("cum___c") - (F.col("__c") - 1) / 2.0).alias(out)
     )
     return join_on(df, ranked, by + [score])
 
 
 def average_precision(
-    df: DataFrame, by: list[str], y: str, score: str, row_id: str, spread: bool | None = None
+    df: DataFrame, by: list[str], y: str, score: str, row_id: str
 ) -> DataFrame:
     """by..., auprc. Ties are read in ``row_id`` order, as a stable sort would."""
     rows = df.select(
         *by, F.col(score).cast("double").alias("s"), row_id, truth(F.col(y)).cast("bigint").alias("hit")
     ).withColumn("one", F.lit(1).cast("bigint"))
     cells = rows.groupBy(*by, "s").agg(F.sum("hit").alias("h"), F.sum("one").alias("c"))
-    above = running(cells, by, "s", ["h", "c"], descending=True, spread=spread).select(
+    above = running(cells, by, "s", ["h", "c"], descending=True).select(
         *by,
         "s",
         (F.col("cum_h") - F.col("h")).alias("h0"),
         (F.col("cum_c") - F.col("c")).alias("c0"),
         F.col("tot_h").alias("pos"),
     )
-    inside = running(rows, by + ["s"], row_id, ["hit", "one"], spread=spread)
+    inside = running(rows, by + ["s"], row_id, ["hit", "one"])
     at = join_on(inside, above, by + ["s"])
     precision = (F.col("h0") + F.col("cum_hit")) / (F.col("c0") + F.col("cum_one"))
     return at.groupBy(*by).agg(

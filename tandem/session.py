@@ -10,9 +10,6 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SPREAD_BYTES_CONF = "spark.tandem.spreadBytes"
-SPREAD_BYTES_DEFAULT = 64 * 1024 * 1024
-
 
 def session(master: str | None = None, app: str = "tandem", **conf) -> SparkSession:
     """A session with the settings the operators assume (UTC, AQE, Arrow)."""
@@ -40,18 +37,6 @@ def plan_bytes(df: DataFrame) -> int:
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
-def needs_spread(df: DataFrame, spread: bool | None = None) -> bool:
-    """Should ordered work be cut into bounded blocks?
-
-    ``None`` decides from the size of the tables read: below the limit one
-    window per group fits a task; above it, or when it is unknown, it may not.
-    """
-    if spread is not None:
-        return spread
-    limit = int(df.sparkSession.conf.get(SPREAD_BYTES_CONF, str(SPREAD_BYTES_DEFAULT)))
-    return plan_bytes(df) > limit
-
-
 def balanced(scan: DataFrame, key: str) -> DataFrame:
     """A plain scan, spread over all cores by ``key`` when its files give too few tasks.
 

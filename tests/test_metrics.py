@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tandem.checks import CheckFailed
-from tandem.functions.rand import poisson_steps, poisson_weights
+from tandem.functions.rand import poisson_table, poisson_weights
 from tandem.operators import boot, calib, curves, ordered, rank, splits
 
 
@@ -37,7 +37,7 @@ def test_auroc_one_class_is_null(spark):
 
 
 @pytest.mark.parametrize("kind", ["ties", "continuous", "negative", "integers"])
-def test_block_and_window_forms_agree_with_brute_force(spark, kind):
+def test_ranks_against_brute_force(spark, kind):
     rng = np.random.default_rng(3)
     n = 600
     s = {"ties": rng.integers(0, 7, n).astype(float), "continuous": rng.random(n),
@@ -45,15 +45,16 @@ def test_block_and_window_forms_agree_with_brute_force(spark, kind):
     y = rng.random(n) < 0.3
     g = rng.integers(0, 3, n)
     df = frame(spark, "y boolean, s double, g int, id int", y, s, g, np.arange(n))
-    for spread in (False, True):
-        got = {r.g: r.auroc for r in rank.auroc(df, ["g"], "y", "s", spread=spread).collect()}
-        for k in range(3):
-            assert got[k] == pytest.approx(pair_auroc(y[g == k], s[g == k]), abs=1e-12)
-        ranks = {r.id: r.rank for r in rank.average_ranks(df, [], "s", spread=spread).collect()}
-        want = np.array([(s < v).sum() + ((s == v).sum() + 1) / 2 for v in s])
-        assert np.allclose([ranks[i] for i in range(n)], want)
-        ap = rank.average_precision(df, [], "y", "s", "id", spread=spread).first().auprc
-        o = np.lexsort((np.arange(n), -s))
+    got = {r.g: r.auroc for r in rank.auroc(df, ["g"], "y", "s").collect()}
+    for k in range(3):
+        assert got[k] == pytest.approx(pair_auroc(y[g == k], s[g == k]), abs=1e-12)
+    ranks = {r.id: r.rank for r in rank.average_ranks(df, [], "s").collect()}
+    want = np.array([(s < v).sum() + ((s == v).sum() + 1) / 2 for v in s])
+    assert np.allclose([ranks[i] for i in range(n)], want)
+    text = df.withColumn("name", F.concat(F.lit("sample-"), F.col("id").cast("string")))
+    for ident, order in (("id", np.arange(n)), ("name", np.argsort(np.argsort([f"sample-{i}" for i in range(n)])))):
+        ap = rank.average_precision(text, [], "y", "s", ident).first().auprc
+        o = np.lexsort((order, -s))
         tp = np.cumsum(y[o])
         assert ap == pytest.approx(((tp / np.arange(1, n + 1)) * y[o]).sum() / y.sum())
 
@@ -68,17 +69,18 @@ def test_order_key_keeps_the_order_of_doubles(spark):
     assert got == [int(b) if b >= 0 else -(int(b) & (2**63 - 1)) for b in bits]
 
 
-def test_numbered_and_quantiles_agree_in_both_forms(spark):
+def test_numbered_and_quantiles(spark):
     rng = np.random.default_rng(5)
     n = 500
     x = np.round(rng.random(n), 2)
     df = frame(spark, "id bigint, g int, x double", np.arange(n), rng.integers(0, 2, n), x)
-    a, b = ({(r.id): (r.rn, r.tot_rn) for r in ordered.numbered(df, ["g"], 1, "id", spread=f).collect()} for f in (False, True))
-    assert a == b and sorted(v[0] for k, v in a.items() if v[1] == a[0][1])[:2] == [1, 2]
+    a = {r.id: (r.g, r.rn, r.tot_rn) for r in ordered.numbered(df, ["g"], 1, "id").collect()}
+    for k in (0, 1):
+        mine = sorted(v[1:] for v in a.values() if v[0] == k)
+        assert mine == [(i + 1, len(mine)) for i in range(len(mine))]
     probs = [0.0, 0.025, 0.3, 0.5, 0.975, 1.0]
-    for f in (False, True):
-        got = {r.i: r.value for r in ordered.quantiles(df, [], "x", probs, spread=f).collect()}
-        assert np.allclose([got[i] for i in range(6)], np.quantile(x, probs), atol=1e-12)
+    got = {r.i: r.value for r in ordered.quantiles(df, [], "x", probs).collect()}
+    assert np.allclose([got[i] for i in range(6)], np.quantile(x, probs), atol=1e-12)
 
 
 def outcomes(n, seed=0, p_off=0.6):
@@ -119,18 +121,17 @@ def test_curves_against_brute_force(spark, levels):
     s = rng.random(211) if levels is None else rng.integers(0, levels, 211).astype(float)
     df = frame(spark, "off boolean, on boolean, s double", off, on, s)
     acc = brute_curve(off, on, s)
-    for spread in (False, True):
-        seg = curves.segments(df, [], "off", "on", "s", spread=spread)
-        got = [r.accuracy for r in curves.counts_curve(seg, []).orderBy("k").collect()]
-        assert np.allclose(got, acc)
-        for lo, hi in ((0.0, 0.5), (0.2, 0.9)):
-            assert curves.nauc(seg, [], lo, hi).first().nauc == pytest.approx(brute_nauc(off, on, s, lo, hi), abs=1e-9)
-        want = next(k for k, a in enumerate(acc) if a >= on.mean() - 1e-9) / 211
-        assert curves.min_fraction(seg, [], curves.always_on()).first().fraction == pytest.approx(want)
-        cut = curves.best_threshold(seg, []).first()
-        cands = sorted({0.0, 1.0, *s})
-        accs = [np.where(s >= t, on, off).mean() for t in cands]
-        assert cut.threshold == cands[int(np.argmax(accs))] and cut.accuracy == pytest.approx(max(accs))
+    seg = curves.segments(df, [], "off", "on", "s")
+    got = [r.accuracy for r in curves.counts_curve(seg, []).orderBy("k").collect()]
+    assert np.allclose(got, acc)
+    for lo, hi in ((0.0, 0.5), (0.2, 0.9)):
+        assert curves.nauc(seg, [], lo, hi).first().nauc == pytest.approx(brute_nauc(off, on, s, lo, hi), abs=1e-9)
+    want = next(k for k, a in enumerate(acc) if a >= on.mean() - 1e-9) / 211
+    assert curves.min_fraction(seg, [], curves.always_on()).first().fraction == pytest.approx(want)
+    cut = curves.best_threshold(seg, []).first()
+    cands = sorted({0.0, 1.0, *s})
+    accs = [np.where(s >= t, on, off).mean() for t in cands]
+    assert cut.threshold == cands[int(np.argmax(accs))] and cut.accuracy == pytest.approx(max(accs))
 
 
 def test_perfect_and_reversed_routers(spark):
@@ -216,7 +217,11 @@ def test_strata_keep_their_sizes(spark):
 
 
 def test_poisson_weights_have_the_right_moments():
-    assert poisson_steps()[0] == pytest.approx(math.exp(-1))
+    assert poisson_table(0)[0] == 0 and poisson_table(0)[1][0] == pytest.approx(math.exp(-1))
+    for c in (31, 32, 33, 34, 1000):  # no size at which another law is drawn: mean, variance and skewness are a Poisson's
+        w = poisson_weights([str(i) for i in range(500)], [c] * 500, 400, 1)
+        assert abs(w.mean() - c) < 0.02 * math.sqrt(c) and abs(w.var() / c - 1) < 0.02
+        assert abs(((w - c) ** 3).mean() / c**1.5 - 1 / math.sqrt(c)) < 0.03
     w = poisson_weights([str(i) for i in range(400)], [1] * 400, 400, 0)
     assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.05
     big = poisson_weights([str(i) for i in range(100)], [900] * 100, 100, 0)
