@@ -38,7 +38,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether decoding them gives its text again."""
-    coded = bpe.decode(bpe.encode(docs, tokenizer_file()), tokenizer_file())
+    coded = bpe.round_trip(docs, tokenizer_file())
     return coded.select(
         "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
         (F.col("decoded") == whole("text")).alias("round_trip"),

@@ -29,7 +29,7 @@ WORDS = (
 )
 SHORT = 64
 NONE = np.int32(2**31 - 1)
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -201,44 +201,26 @@ class Encoder:
         return ids, np.diff(total[np.concatenate([[0], ends])])
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """Adds ``out``: the token ids (array<int>) of each whole text; null counts as empty, which has no ids.
-
-    ``path`` is a tokenizers JSON file with a byte-level BPE model; it is read on
-    the driver and broadcast (its size is the vocabulary's). A present column ``out`` is replaced.
-    """
-    rules = docs.sparkSession.sparkContext.broadcast(load_rules(path))
-    docs = docs.drop(out).withColumn("__text", whole(text))
-    schema = T.StructType([*[f for f in docs.schema if f.name != "__text"], T.StructField(out, T.ArrayType(T.IntegerType()))])
-
+def _encoder(rules, out: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Encoder(rules.value)
         for batch in batches:
-            for part in slices(batch, "__text", 2 << 20):
+            for part in slices(batch, "__text", 1 << 20):
                 ids, n = coder.encode(part.column("__text").to_pylist())
                 ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                 made = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))
                 rest = part.drop_columns(["__text"])
                 yield pa.RecordBatch.from_arrays([*rest.columns, made], [*rest.schema.names, out])
 
-    return docs.mapInArrow(run, schema)
+    return run
 
 
-def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Adds ``out``: the text of each array of ids, special tokens included; a null array gives the empty text.
-
-    An id outside the vocabulary stops the job. A present column ``out`` is replaced.
-    """
-    rules = docs.sparkSession.sparkContext.broadcast(load_rules(path))
-    docs = docs.drop(out)
-    schema = T.StructType([*docs.schema, T.StructField(out, T.StringType())])
-
+def _decoder(rules, ids: str, out: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, sizes, starts = rules.value["raw"], rules.value["sizes"], rules.value["starts"]
         for batch in batches:
-            step = 2000
-            for a in range(0, batch.num_rows, step):
-                part = batch.slice(a, step)
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
                 lists = part.column(ids)
                 counts = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
                 flat = lists.flatten().to_numpy(zero_copy_only=False)
@@ -250,12 +232,46 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
                 made = strings(raw[ranges(starts[flat], n)], at)
                 yield pa.RecordBatch.from_arrays([*part.columns, made], [*part.schema.names, out])
 
-    return docs.mapInArrow(run, schema)
+    return run
+
+
+def _with(docs: DataFrame, *fields: T.StructField) -> T.StructType:
+    return T.StructType([*(f for f in docs.schema if f.name != "__text"), *fields])
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
+    """Adds ``out``: the token ids (array<int>) of each whole text; null counts as empty, which has no ids.
+
+    ``path`` is a tokenizers JSON file with a byte-level BPE model; it is read on
+    the driver and broadcast (its size is the vocabulary's). A present column ``out`` is replaced.
+    """
+    rules = docs.sparkSession.sparkContext.broadcast(load_rules(path))
+    docs = docs.drop(out).withColumn("__text", whole(text))
+    return docs.mapInArrow(_encoder(rules, out), _with(docs, T.StructField(out, T.ArrayType(T.IntegerType()))))
+
+
+def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """Adds ``out``: the text of each array of ids, special tokens included; a null array gives the empty text.
+
+    An id outside the vocabulary stops the job. A present column ``out`` is replaced.
+    """
+    rules = docs.sparkSession.sparkContext.broadcast(load_rules(path))
+    docs = docs.drop(out)
+    return docs.mapInArrow(_decoder(rules, ids, out), _with(docs, T.StructField(out, T.StringType())))
+
+
+def round_trip(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` in one pass: both new columns from one worker a task."""
+    rules = docs.sparkSession.sparkContext.broadcast(load_rules(path))
+    docs = docs.drop(ids, out).withColumn("__text", whole(text))
+    there, back = _encoder(rules, ids), _decoder(rules, ids, out)
+    fields = T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(out, T.StringType())
+    return docs.mapInArrow(lambda batches: back(there(batches)), _with(docs, *fields))
 
 
 def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of an encode and decode round trip."""
-    coded = decode(encode(docs.select(key, text), path, text).select(key, "ids"), path)
+    coded = round_trip(docs.select(key, text), path, text)
     return coded.select(
         key,
         F.size("ids").cast("long").alias("n_tokens"),
