@@ -60,7 +60,7 @@ def strings(data: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.array([blob[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:])], pa.string())
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20):
     """Cut a batch into runs of rows of about ``limit`` text bytes, so that work arrays stay small."""
     array = batch.column(column)
     sizes = np.zeros(len(array), np.int64)

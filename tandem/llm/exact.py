@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandem.llm.common import SPACE, whole
@@ -64,16 +64,28 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", salts: int
 
 
 def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", salts: int = SALTS) -> DataFrame:
-    """The input rows that stay, with all their columns: one per class of equal texts.
+    """The input rows that stay, with all their columns: one per class of equal texts, that of the smallest key.
 
-    Rows that repeat the kept key and text leave one row, also where the key is null.
+    The same three stages; the winner's other columns travel with its text, so
+    nothing is joined back. A null key only wins where all keys are null; of
+    rows that share key and text one stays.
     """
-    kept = groups(docs, key, text, salts).where("kept").select(
-        F.col("text_sha256").alias("__digest"), F.col(key).alias("__keep")
-    ).distinct()
-    rows = docs.withColumn("__sha", F.sha2(F.regexp_replace(whole(text), SPACE, " "), 256))
-    met = rows.join(
-        kept, (F.col("__sha") == F.col("__digest")) & F.col(key).eqNullSafe(F.col("__keep")), "inner"
+    norm = F.regexp_replace(whole(text), SPACE, " ")
+    same = F.col(text).eqNullSafe(F.col("__norm"))
+    rows = (
+        docs.withColumn("__norm", norm)
+        .select(
+            "__norm", F.sha2("__norm", 256).alias("__digest"),
+            F.pmod(F.xxhash64(key), F.lit(salts)).cast("int").alias("__salt"),
+            F.struct(F.col(key).isNull(), F.col(key)).alias("__order"),
+            # The text itself only where normalising changed it.
+            F.struct(
+                *[F.col(f"`{c}`") for c in docs.columns if c != text], same.alias("__same"), F.when(~same, F.col(text)).alias("__raw")
+            ).alias("__row"),
+        )
     )
-    order = Window.partitionBy("__sha", key).orderBy(F.lit(0))
-    return met.withColumn("__nth", F.row_number().over(order)).where("__nth = 1").select(*docs.columns)
+    best = F.min_by("__row", "__order").alias("__row")
+    salted = rows.groupBy("__digest", "__norm", "__salt").agg(best, F.min("__order").alias("__order"))
+    merged = salted.groupBy("__digest", "__norm").agg(best)
+    own = F.when(F.col("__row.__same"), F.col("__norm")).otherwise(F.col("__row.__raw"))
+    return merged.select(*[own.alias(c) if c == text else F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
