@@ -42,6 +42,15 @@ def a09(t):
     return rank.average_precision(d, ["family"], "y", "score_b", "event_id")
 
 
+@query("a09_average_precision_text_ids", f"""with {EVT}, r as (select family, (not correct_off)::int as y,
+ row_number() over (partition by family order by score_b desc, sample_id) as rk,
+ sum((not correct_off)::int) over (partition by family order by score_b desc, sample_id rows unbounded preceding) as tp from evt)
+ select family, sum(case when y = 1 then tp::double/rk end)/nullif(sum(y),0) as auprc from r group by family""", "auprc")
+def a09_text(t):
+    """Ties in the order of the text ids that captures have."""
+    return rank.average_precision(t.evt().withColumn("y", ~F.col(OFF)), ["family"], "y", "score_b", "sample_id")
+
+
 @query("a18_within_group", f"with {EVT} select task, sum(u)/nullif(sum(p*n),0) as auroc, count(*) as n_groups, "
        "count(*) filter (where p*n > 0) as n_informative_groups, sum(p*n)::bigint as n_pairs from "
        + auroc_sql("evt", "task, family", "(not correct_off)", "-conf") + " group by task", "auroc")

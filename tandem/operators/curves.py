@@ -116,25 +116,29 @@ def at_fractions(seg: DataFrame, by: list[str], fractions: list[float]) -> DataF
     )
 
 
-def interpolate(
-    points: DataFrame, seg: DataFrame, by: list[str], fraction: str, cells: int = 128
-) -> DataFrame:
+def interpolate(points: DataFrame, seg: DataFrame, by: list[str], fraction: str) -> DataFrame:
     """Accuracy of a curve at every row's ``fraction`` (clamped to [0, 1]).
 
-    A range join done as an equi-join: [0, 1] is cut into cells, a segment is
-    listed under the cells it touches, and a point looks up its own cell.
+    Distinct fractions and segment starts are put in one order; the running
+    count of starts tells which segment a fraction lies in, so each looks up
+    one segment and each point one fraction. No pairs are formed.
     """
+    start = F.col("k0") / F.col("rows")
     x = F.least(F.greatest(F.col(fraction), F.lit(0.0)), F.lit(1.0))
-    cell = lambda c: F.least(F.floor(c * cells), F.lit(cells - 1)).cast("int")
-    listed = seg.withColumn(
-        "__cell",
-        F.explode(F.sequence(cell(F.col("k0") / F.col("rows")), cell(F.col("k1") / F.col("rows")))),
+    starts = seg.withColumn("__x", start)
+    both = (
+        points.select(*by, x.alias("__x"), F.lit(0).alias("__s"))
+        .unionByName(starts.select(*by, "__x", F.lit(1).alias("__s")))
+        .where(F.col("__x").isNotNull())
+        .groupBy(*by, "__x").agg(F.sum("__s").alias("__s"), F.count(F.when(F.col("__s") == 0, 1)).alias("__p"))
     )
-    asked = points.withColumn("__x", x).withColumn("__cell", cell(F.col("__x")))
-    met = join_on(asked, listed, by + ["__cell"])
-    k = F.col("__x") * F.col("rows")
-    inside = ((k > F.col("k0")) & (k <= F.col("k1"))) | ((F.col("__x") <= 0) & (F.col("k0") == 0))
-    return met.where(inside).select(*points.columns, _accuracy_at(k).alias("accuracy"))
+    counted = running(both, by, "__x", ["__s"])
+    numbered = join_on(starts, counted.where("__s > 0").select(*by, "__x", F.col("cum___s").alias("__i")), by + ["__x"]).drop("__x")
+    asked = counted.where("__p > 0").select(*by, "__x", F.col("cum___s").alias("__i"))
+    read = join_on(asked, numbered, by + ["__i"])
+    k = F.greatest(F.col("k0"), F.least(F.col("__x") * F.col("rows"), F.col("k1")))
+    read = read.select(*by, "__x", _accuracy_at(k).alias("accuracy"))
+    return join_on(points.withColumn("__x", x), read, by + ["__x"]).select(*points.columns, "accuracy")
 
 
 def _clipped_area(lo: float, hi: float) -> Column:

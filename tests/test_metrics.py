@@ -134,6 +134,17 @@ def test_curves_against_brute_force(spark, levels):
     assert cut.threshold == cands[int(np.argmax(accs))] and cut.accuracy == pytest.approx(max(accs))
 
 
+def test_interpolation_of_many_points_at_one_fraction(spark):
+    off, on, rng = outcomes(150, 4)
+    s = rng.integers(0, 9, 150).astype(float)
+    seg = curves.segments(frame(spark, "off boolean, on boolean, s double", off, on, s), [], "off", "on", "s")
+    at = np.r_[np.full(500, 0.37), rng.random(60), 0.0, 1.0, -2.0, 3.0, np.arange(151) / 150]
+    points = frame(spark, "id int, f double", np.arange(len(at)), at)
+    got = {r.id: r.accuracy for r in curves.interpolate(points, seg, [], "f").collect()}
+    acc = brute_curve(off, on, s)
+    assert np.allclose([got[i] for i in range(len(at))], np.interp(np.clip(at, 0, 1), np.arange(151) / 150, acc))
+
+
 def test_perfect_and_reversed_routers(spark):
     off, on, _ = outcomes(400)
     g = on.astype(float) - off
