@@ -8,7 +8,7 @@ from .base import DOC, EVT, auroc_sql, draws, h32, nauc_sql, query, segments_sql
 from .rank import wilson_sql
 
 OFF, ON = "correct_off", "correct_on"
-B = 100
+B = 2000  # replicates, as many as the intervals of the reports take
 
 
 def _y(t):
@@ -31,11 +31,11 @@ def r01(t):
 
 @query("r01_resample_rows", f"""with {DOC}, placed as (select *, row_number() over (
  order by {h32("concat('0:pos:', cast(doc_id as varchar))")}, doc_id) as rn, count(*) over () as tot from doc),
- slots as (select b, ('0x'||substr(md5(concat('0:', b, ':', rn)), 1, 15))::bigint % tot + 1 as pick from placed, range(200) r(b)),
+ slots as (select b, ('0x'||substr(md5(concat('0:', b, ':', rn)), 1, 15))::bigint % tot + 1 as pick from placed, range(2000) r(b)),
  reps as (select b, avg((p.correct_on::int - p.correct_off::int)::double) as v from slots s join placed p on s.pick = p.rn group by b)
  select quantile_cont(v, 0.025) as ci_lo, quantile_cont(v, 0.975) as ci_hi, count(v) as n_boot from reps""", "ci_lo ci_hi")
 def r01_rows(t):
-    got = boot.exact_weights(t.doc(), [], "doc_id", 200, 0).withColumn("g", gain(OFF, ON))
+    got = boot.exact_weights(t.doc(), [], "doc_id", 2000, 0).withColumn("g", gain(OFF, ON))
     reps = got.groupBy("b").agg(ratio(F.sum(F.col("w") * F.col("g")), F.sum("w")).alias("v"))
     return boot.percentile_interval(reps, [])
 
@@ -44,12 +44,12 @@ _GAIN_CELLS = "cells as (select family, correct_off, correct_on, count(*) as c,
 _CI = "quantile_cont(v, 0.025::double) as ci_lo, quantile_cont(v, 0.975::double) as ci_hi, count(v) as n_boot"
 
 
-@query("r02_percentile_interval", f"""with {EVT}, {_GAIN_CELLS}, {draws('cells', 'family, correct_off, correct_on', 200)},
+@query("r02_percentile_interval", f"""with {EVT}, {_GAIN_CELLS}, {draws('cells', 'family, correct_off, correct_on', 2000)},
  reps as (select family, b, sum(w*(correct_on::int - correct_off::int))/nullif(sum(w),0) as v from drawn group by family, b)
  select family, {_CI} from reps group by family""", "ci_lo ci_hi")
 def r02(t):
     cells = boot.cells(t.evt(), ["family"], [OFF, ON], "event_id")
-    sums = boot.replicate_sums(cells, ["family"], {"g": gain(OFF, ON), "w": F.lit(1.0)}, 200)
+    sums = boot.replicate_sums(cells, ["family"], {"g": gain(OFF, ON), "w": F.lit(1.0)}, 2000)
     return boot.percentile_interval(sums.select("family", "b", F.try_divide("g", "w").alias("v")), ["family"])
 
 
@@ -72,14 +72,14 @@ def _paired_sql(reps: str, est: str, by: str) -> str:
  select {by}, {_CI}, stddev_samp(v) as se, avg((v <= 0)::int::double) as p_le_zero from {reps} group by {by}) r on e.{by} = r.{by}"""
 
 
-@query("r04_paired_bootstrap", f"with {EVT}, {_GAIN_CELLS}, {draws('cells', 'family, correct_off, correct_on', 200)}, "
+@query("r04_paired_bootstrap", f"with {EVT}, {_GAIN_CELLS}, {draws('cells', 'family, correct_off, correct_on', 2000)}, "
        "reps as (select family, b, (sum(w*correct_on::int) - sum(w*correct_off::int))/nullif(sum(w),0) as v from drawn group by family, b) "
        + _paired_sql("reps", "select family, avg(correct_on::int::double) - avg(correct_off::int::double) as estimate from evt group by family", "family"),
        "estimate ci_lo ci_hi se p_le_zero")
 def r04(t):
     cells = boot.cells(t.evt(), ["family"], [OFF, ON], "event_id")
     sums = boot.replicate_sums(cells, ["family"], {
-        "a": F.col(ON).cast("double"), "o": F.col(OFF).cast("double"), "w": F.lit(1.0)}, 200)
+        "a": F.col(ON).cast("double"), "o": F.col(OFF).cast("double"), "w": F.lit(1.0)}, 2000)
     reps = sums.select("family", "b", (F.try_divide("a", "w") - F.try_divide("o", "w")).alias("v"))
     est = cells.groupBy("family").agg(ratio(F.sum(F.col("c") * gain(OFF, ON)), F.sum("c")).alias("estimate"))
     return boot.paired_summary(est, reps, ["family"])
