@@ -108,7 +108,7 @@ def _packed(docs: DataFrame, keep: list[str], text: str, bits) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for part in slices(batch, "__text", 16 << 20):
+            for part in slices(batch, "__text", 2 << 20):
                 texts, t1 = _texts(part)
                 at = np.flatnonzero(in_map(bits.value, t1))
                 take = pa.array(at)
@@ -121,6 +121,18 @@ def _packed(docs: DataFrame, keep: list[str], text: str, bits) -> DataFrame:
     return docs.select(*keep, whole(text).alias("__text")).mapInArrow(run, fields + "t1 long, packed binary")
 
 
+def _anchors(docs: DataFrame, text: str, window: int) -> DataFrame:
+    """The anchor hash of every segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = Anchors(window)
+        for batch in batches:
+            for part in slices(batch, "__text"):
+                yield pa.RecordBatch.from_arrays([pa.array(find.segments(*text_bytes(part.column("__text")))[0])], ["anchor"])
+
+    return docs.select(whole(text).alias("__text")).mapInArrow(run, "anchor long")
+
+
 def _segments(docs: DataFrame, text: str, window: int) -> DataFrame:
     """(anchor, s1, t1, at) of every segment: anchor hash, digest of its bytes and of its text, 256 x first start + starts."""
 
@@ -152,9 +164,9 @@ def _contents(asked: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
+            for i in range(0, batch.num_rows, 200):
                 rows = []
-                for packed, wanted in zip(batch.column("packed").slice(i, 500), batch.column("wanted").slice(i, 500).to_pylist()):
+                for packed, wanted in zip(batch.column("packed").slice(i, 200), batch.column("wanted").slice(i, 200).to_pylist()):
                     raw = unpack.decompress(packed.as_py())
                     for w in wanted:
                         content = raw[w["at"] // 256 : w["at"] // 256 + w["at"] % 256 + window - 1]
@@ -184,7 +196,7 @@ def _lanes(table: pa.Table, window: int) -> pa.Table:
     new[1:] = (anchor[order][1:] != anchor[order][:-1]) | (s1[order][1:] != s1[order][:-1])
     rows = order[new]
     content = table.column("content").combine_chunks()
-    masks = repeated([content[i].as_py() for i in rows.tolist()], anchor[rows], window)
+    masks = repeated([content[i].as_py() for i in rows.tolist()], anchor[rows], window, again[rows])
     out = [(i, runs_of(m)) for i, m in zip(rows.tolist(), masks) if not again[i] and m.any()]
     keep = np.array([i for i, _ in out], np.int64)
     return pa.table(
@@ -225,9 +237,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
     ``window`` lose nothing; rows repeated with the same text lose it all.
     """
     share = docs.sparkSession.sparkContext.broadcast
-    rows = _segments(docs, text, window)
-    often = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = settle(rows.join(often, "anchor"))
+    often = _anchors(docs, text, window).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = settle(_segments(docs, text, window).join(often, "anchor"))
     entries = settle(
         met.groupBy("anchor", "s1").agg(
             F.count(F.lit(1)).alias("c"), F.max("n").alias("n"), F.min(F.struct("t1", "at")).alias("first")
@@ -270,7 +281,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
 
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, "__text", 16 << 20):
+            for piece in slices(batch, "__text", 2 << 20):
                 texts, t1 = _texts(piece)
                 at = np.flatnonzero(~in_map(bits.value, t1))
                 own = [texts[i] for i in at]
@@ -279,8 +290,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                piece = batch.slice(i, 500)
+            for i in range(0, batch.num_rows, 200):
+                piece = batch.slice(i, 200)
                 sizes, cut, kept = [], [], []
                 for packed, hits in zip(piece.column("packed"), piece.column("hits").to_pylist()):
                     raw = unpack.decompress(packed.as_py())

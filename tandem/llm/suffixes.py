@@ -18,23 +18,23 @@ import numpy as np
 
 from tandem.llm.common import ranges
 
-LANES = 1_000_000  # characters that are sorted together
+LANES = 2_000_000  # characters that are sorted together
 
 
 def _grouped(chars: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(group start of each position, previous smaller position or -1)."""
-    lane = np.repeat(np.arange(len(start)), size)
-    key = lane * (int(chars.max()) + 1) + chars
-    order = np.argsort(key, kind="stable")
+    key = np.repeat(np.arange(len(start)) * (int(chars.max()) + 1), size) + chars
+    order = np.argsort(key, kind="stable").astype(np.int32)
     first = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
-    group = np.empty(len(chars), np.int64)
+    del key
+    group = np.empty(len(chars), np.int32)
     counts = np.diff(np.concatenate([first, [len(chars)]]))
     group[order] = np.repeat(first, counts)
-    members = np.zeros(len(chars), np.int64)
+    members = np.zeros(len(chars), np.int32)
     members[first] = counts
-    place = np.empty(len(chars), np.int64)
-    place[order] = np.arange(len(chars))
-    before = np.arange(-1, len(chars) - 1)
+    place = np.empty(len(chars), np.int32)
+    place[order] = np.arange(len(chars), dtype=np.int32)
+    before = np.arange(-1, len(chars) - 1, dtype=np.int32)
     before[start] = -1
     moving = np.zeros(len(chars), bool)
     last = start + size - 1
@@ -96,10 +96,10 @@ def suffix_arrays(texts: np.ndarray, size: np.ndarray) -> np.ndarray:
     Every text must end with a character smaller than all others in it.
     """
     start = np.cumsum(size) - size
-    group, before = _grouped(texts.astype(np.int64), start, size)
-    out = np.full(len(texts), -1, np.int64)
+    group, before = _grouped(texts, start, size)
+    out = np.full(len(texts), -1, np.int32)
     done = np.zeros(len(texts), bool)
-    slot = np.arange(len(texts))
+    slot = np.arange(len(texts), dtype=np.int32)
     end = start + size
     out[start] = end - 1
     done[end - 1] = True
@@ -128,11 +128,12 @@ def suffix_arrays(texts: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated(segments: list[bytes], lane: np.ndarray, window: int) -> list[np.ndarray]:
+def repeated(segments: list[bytes], lane: np.ndarray, window: int, known: np.ndarray | None = None) -> list[np.ndarray]:
     """For each segment a mask of the starts whose ``window`` bytes occur at another start of its lane.
 
     Only starts with a whole window inside their segment count. Segments of one
-    lane must be neighbours in the list.
+    lane must be neighbours in the list. Of ``known`` segments the answer is
+    not needed: a lane of nothing else is not sorted.
     """
     sizes = np.array([len(s) for s in segments], np.int64)
     found = [np.zeros(max(0, n - window + 1), bool) for n in sizes]
@@ -143,6 +144,8 @@ def repeated(segments: list[bytes], lane: np.ndarray, window: int) -> list[np.nd
     total = np.add.reduceat(sizes + 1, first)
     picked = np.argsort(total, kind="stable")
     picked = picked[many[picked] > 1]
+    if known is not None:
+        picked = picked[~np.logical_and.reduceat(known, first)[picked]]
     cut = np.searchsorted(np.cumsum(total[picked]), np.arange(LANES, total[picked].sum() + LANES, LANES), "right")
     for a, b in zip(np.concatenate([[0], cut[:-1]]), cut):
         own = picked[a : max(b, a + 1)] if b > a else picked[a:b]
