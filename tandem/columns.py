@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .session import plan_bytes, settle
+
 
 def count_if(cond: Column) -> Column:
     return F.count(F.when(cond, F.lit(1)))
@@ -40,6 +42,24 @@ def join_on(left: DataFrame, right: DataFrame, cols: list[str], how: str = "inne
     return left.join(renamed, cond, how).drop(*[f"__r_{c}" for c in cols])
 
 
+ATTACH_BYTES = 8 * 1024 * 1024
+SALTS = 32
+
+
+def attach(rows: DataFrame, groups: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``groups``, a table of one row per key, without shuffling rows on a hot key.
+
+    The table is written out, so its real size is known. If it is small it is
+    broadcast; else every key is repeated under a few salts that rows are dealt to.
+    """
+    table = settle(groups)
+    if plan_bytes(table) <= ATTACH_BYTES:
+        return join_on(rows, F.broadcast(table), by, how)
+    salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    return join_on(dealt, salted, [*by, "__salt"], how).drop("__salt")
+
+
 def cube_level(df: DataFrame, keys: list[str], aggs: list[Column]) -> DataFrame:
     """Overall row plus one row per key value, in one pass (GROUPING SETS).
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..checks import or_fail, require
-from ..columns import join_on
+from ..columns import attach
 
 TINY = 1e-30
 CONFIDENCE_FEATURES = ("mean_logprob", "min_logprob", "mean_entropy", "n_tokens_off")
@@ -147,7 +147,7 @@ def standardizer_state(fitted: DataFrame, by: list[str]) -> DataFrame:
 def standardize(df: DataFrame, state: DataFrame, by: list[str], vec: str) -> DataFrame:
     """(x - mean) / sd with a stored state."""
     centred = F.zip_with(F.col(vec).cast("array<double>"), F.col("mean"), lambda x, m: x - m)
-    return join_on(df, state, by).withColumn(
+    return attach(df, state, by).withColumn(
         vec, F.zip_with(centred, F.col("sd"), lambda x, s: x / s)
     ).drop("mean", "sd")
 

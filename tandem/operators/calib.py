@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..checks import no_nan, require
-from ..columns import count_if, cube_level, join_on, ratio, truth
+from ..columns import attach, count_if, cube_level, join_on, ratio, truth
 from .ordered import quantiles, running
 
 
@@ -120,7 +120,7 @@ def reliability(
                 F.array(F.greatest(F.element_at("__q", bins + 1), F.lit(1.0))),
             ).alias("__edges"),
         )
-        edged = join_on(df, edges, by)
+        edged = attach(df, edges, by)
     # One comparison per edge stays in generated code; a lambda over the array would not.
     below = sum(
         (F.when(F.element_at("__edges", i + 1) <= c, 1).otherwise(0) for i in range(1, bins + 1)),

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..checks import no_nan, require
-from ..columns import count_if, gain, join_on, ratio, truth
+from ..columns import attach, count_if, gain, join_on, ratio, truth
 from .ordered import running
 
 
@@ -359,5 +359,5 @@ def group_mean_score(
     """Each row scored by its group's mean gain; NULL everywhere if a group is missing."""
     means = df.groupBy(*by, group).agg(F.avg(gain(off, on).cast("double")).alias(out))
     gaps = df.groupBy(*by).agg(F.max(F.col(group).isNull()).alias("__gap"))
-    scored = join_on(df, join_on(means, gaps, by), by + [group])
+    scored = attach(df, join_on(means, gaps, by), by + [group])
     return scored.withColumn(out, F.when(~F.col("__gap"), F.col(out))).drop("__gap")

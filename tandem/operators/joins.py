@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..checks import CheckFailed, or_fail, require, require_empty, require_unique
-from ..columns import count_if, join_on, truth
+from ..columns import attach, count_if, truth
 from ..session import plan_bytes
 
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -124,7 +124,7 @@ def pair_predictions(a: DataFrame, b: DataFrame, keys: list[str], by: list[str])
     ok = both.groupBy(*by).agg(
         F.min(F.col("score_a").isNotNull() & F.col("score_b").isNotNull()).alias("valid")
     )
-    return join_on(both, ok, by).withColumnRenamed("y_a", "y")
+    return attach(both, ok, by).withColumnRenamed("y_a", "y")
 
 
 def match_templates(rows: DataFrame, templates: list[tuple[str, Column]], stored: str = "prompt_hash") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..columns import count_if, join_on, truth
+from ..columns import attach, count_if, join_on, truth
 from ..functions.arrays import fit_standardizer, linear_score, standardize, standardizer_state
 from ..session import small_table
 from .ordered import numbered
@@ -34,7 +34,7 @@ def scalar_scores(rows: DataFrame, by: list[str], y: str, score: str, split: str
     train = auroc(rows.where(F.col(split) == "train"), by, y, score)
     sign = train.select(*by, F.when(F.col("auroc") >= 0.5, 1.0).otherwise(-1.0).alias("__sign"))
     held = rows.where(F.col(split) != "train")
-    return join_on(held, sign, by).withColumn("score", F.col("__sign") * F.col(score)).drop("__sign")
+    return attach(held, sign, by).withColumn("score", F.col("__sign") * F.col(score)).drop("__sign")
 
 
 # TF-IDF ---------------------------------------------------------------------------

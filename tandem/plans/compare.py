@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checks import or_fail
-from ..columns import join_on
+from ..columns import attach, join_on
 from ..functions.arrays import linear_score
 from ..functions.rand import hash60
 from ..operators import boot
@@ -56,7 +56,7 @@ def paired_difference(probe: DataFrame, base: DataFrame, by: list[str], n_boot:
     keys = by + ["seed"]
     both = pair_predictions(probe.where("split = 'test'"), base.where("split = 'test'"), ["sample_id"], keys)
     broken = both.groupBy(*by).agg(F.min("valid").alias("__all"))
-    rows = join_on(both, broken, by).where("__all").withColumn("hit", F.col("y") == 1)
+    rows = attach(both, broken, by).where("__all").withColumn("hit", F.col("y") == 1)
     rows = rows.withColumn("row_key", hash60(F.col("sample_id")))
     per = boot.paired_auroc(rows, keys, "hit", {"probe": "score_a", "base": "score_b"}, "probe", "base", "row_key", n_boot)
     return boot.seed_average(per, by)

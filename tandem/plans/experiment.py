@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..checks import no_nan
-from ..columns import join_on, truth
+from ..columns import attach, join_on, truth
 from ..operators import boot, curves, rank
 from ..operators.predict import logistic_scores
 from ..operators.splits import seed_splits
@@ -93,7 +93,7 @@ def run_scored(rows: DataFrame, y: str, score: str, row_id: str, n_boot: int = 0
     # The splits and scores are read by several branches; they are computed once.
     held = rows.where("split <> 'train'").persist()
     cut = threshold_from(held, by, score, "split = 'val'")
-    return evaluate(join_on(held, cut, by), by + ["split"], y, score, row_id, "threshold", n_boot)
+    return evaluate(attach(held, cut, by), by + ["split"], y, score, row_id, "threshold", n_boot)
 
 
 def run_probe(

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..columns import count_if, join_on, ratio, truth
+from ..columns import attach, count_if, join_on, ratio, truth
 from ..operators import boot, calib, curves, rank
 from ..operators.labels import first_correct_tier
 from ..operators.ordered import quantiles
@@ -235,13 +235,13 @@ def three_tier(rows: DataFrame, by: list[str], fold: str = "fold", folds: int =
     folded = policy_cells(rows, by + [fold])
     whole = folded.groupBy(*by, "p_max").agg(*[F.sum(c).alias(c) for c in _SUMS])
     # Without a feasible pair there is no in-sample policy.
-    own = join_on(rows, best_policies(whole, by, DELTAS), by)
+    own = attach(rows, best_policies(whole, by, DELTAS), by)
     held = F.explode(F.array(*[F.lit(k) for k in range(folds)]))
     others = folded.withColumn("__held", held).where(F.col(fold) != F.col("__held")).groupBy(
         *by, "__held", "p_max").agg(*[F.sum(c).alias(c) for c in _SUMS])
     cut = best_policies(others, by + ["__held"], DELTAS).withColumnRenamed("__held", fold)
     asked = rows.withColumn("delta", F.explode(F.array(*[F.lit(d) for d in DELTAS])))
-    crossed = join_on(asked, cut, by + [fold, "delta"], "left")
+    crossed = attach(asked, cut, by + [fold, "delta"], "left")
     for name, got in (("in_sample", own), ("cross_fitted", crossed)):
         res = policy_result(got, by + ["delta"])
         out = out.unionByName(res.withColumn("policy", F.concat("delta", F.lit(f" {name}"))).drop("delta"))

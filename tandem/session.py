@@ -6,6 +6,7 @@ import atexit
 import json
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,3 +72,10 @@ def scratch(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, shared, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", shared)
     return shared.rstrip("/")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write an intermediate to the scratch folder and read it back; its size is then known."""
+    path = f"{scratch(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
