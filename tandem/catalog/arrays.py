@@ -193,11 +193,11 @@ def _split_txt(t):
 _TXT = """txt as (select d.doc_id, text, quality = 1 as y from documents d join labels l on d.doc_id = l.doc_id)"""
 
 
-@query("l01_scalar_baseline", f"""with {_TXT}, f as (select *, length(text)::double as v, s as seed from txt, (values (42), (1)) z(s)),
+@query("l01_scalar_baseline", f"""with {_TXT}, f as (select *, length(text)::double as v, s as seed from txt, (values (42), (1), (2), (3), (4)) z(s)),
  sp as {_split_sql('f', 'seed', 'seed::varchar', 'doc_id', 'y')}, tr as (select seed, u/nullif(p*n,0) as a from {auroc_sql('(select * from sp where split = ' + chr(39) + 'train' + chr(39) + ')', 'seed', 'y', 'v')})
  select sp.seed, doc_id, split, case when a >= 0.5 then v else -v end as score from sp join tr on sp.seed = tr.seed where split <> 'train'""", "score", "seed")
 def l01(t):
-    rows = splits.seed_splits(predict.text_lengths(_txt(t), "text"), [42, 1], "y", "doc_id")
+    rows = splits.seed_splits(predict.text_lengths(_txt(t), "text"), [42, 1, 2, 3, 4], "y", "doc_id")
     return predict.scalar_scores(rows, ["seed"], "y", "length_chars").select("seed", "doc_id", "split", "score")
 
 
@@ -235,7 +235,7 @@ def l02_chars(t):
     return _tfidf(t, predict.char_grams)
 
 
-def _act_split(t, seeds=(42, 1)):
+def _act_split(t, seeds=(42, 1, 2, 3, 4)):
     full = t.embeddings.select("vec_id", F.col("embedding").alias("vec"), (F.col("label") >= 5).alias("y"))
     return splits.seed_splits(full, list(seeds), "y", "vec_id")
 
@@ -293,11 +293,11 @@ def l08(t):
     """Split, scale, fit, threshold on validation, every metric on both splits, per seed."""
     e = t.embeddings.select("vec_id", F.col("embedding").alias("vec"), (F.col("label") >= 5).alias("y"))
     e = e.withColumn(OFF, ~F.col("y")).withColumn(ON, F.col("vec_id") % 4 != 0)
-    metrics, _, _ = experiment.run_probe(e, "vec", "y", "vec_id", [42, 1], n_boot=50)
+    metrics, _, _ = experiment.run_probe(e, "vec", "y", "vec_id", [42, 1, 2, 3, 4], n_boot=50)
     return metrics
 
 
-@query("l09_baseline_summary", f"""with {EVT}, f as (select *, not correct_off as y, s as seed from evt, (values (42), (1)) z(s)), sp as {_split_sql('f', 'seed', 'seed::varchar', 'event_id', 'y')},
+@query("l09_baseline_summary", f"""with {EVT}, f as (select *, not correct_off as y, s as seed from evt, (values (42), (1), (2), (3), (4)) z(s)), sp as {_split_sql('f', 'seed', 'seed::varchar', 'event_id', 'y')},
  long as (select 'a' as scorer, seed, split, score_a as s, y, event_id from sp where split <> 'train' union all select 'conf', seed, split, -conf, y, event_id from sp where split <> 'train'),
  pt as (select scorer, seed, split, u/nullif(p*n,0) as v from {auroc_sql('long', 'scorer, seed, split', 'y', 's')}),
  cells as (select scorer, seed, s, y, count(*) as c, min(event_id) as key from long where split = 'test' group by all), {draws('cells', 'scorer, seed, s, y', 40)},
@@ -308,7 +308,7 @@ def l08(t):
        "test_auroc test_sd val_auroc ci_lo ci_hi")
 def l09(t):
     e = t.evt().withColumn("y", ~F.col(OFF)).withColumn("neg", -F.col("conf"))
-    rows = splits.seed_splits(e, [42, 1], "y", "event_id").where("split <> 'train'")
+    rows = splits.seed_splits(e, [42, 1, 2, 3, 4], "y", "event_id").where("split <> 'train'")
     held = boot.long_scorers(rows, ["seed", "split", "y", "event_id"], {"a": "score_a", "conf": "neg"})
     return experiment.baseline_summary(held, "y", "event_id", 40)
 

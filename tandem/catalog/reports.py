@@ -35,7 +35,7 @@ _EV_COLS = """n, n_positive, base_rate, threshold, routed_accuracy, fraction_rou
  auroc, auprc, nauc_0_50, nauc_0_100, min_routed_for_always"""
 _EV_DBL = "base_rate threshold routed_accuracy fraction_routed never always oracle random_at_matched_rate oracle_at_matched_rate auroc auprc nauc_0_50 nauc_0_100 min_routed_for_always"
 
-_SEEDED = f"""f as (select *, not correct_off as y, score_a as s, sd as seed from evt, (values (42), (1)) z(sd)), sp as {_split_sql('f', 'seed', 'seed::varchar', 'event_id', 'y')},
+_SEEDED = f"""f as (select *, not correct_off as y, score_a as s, sd as seed from evt, (values (42), (1), (2), (3), (4)) z(sd)), sp as {_split_sql('f', 'seed', 'seed::varchar', 'event_id', 'y')},
  held as (select * from sp where split <> 'train'), vseg as {segments_sql("(select * from held where split = 'val')", 'seed', 's')},
  cand as (select seed, s as t, g1 as g from vseg union all select seed, 0.0, coalesce(sum(gain) filter (where s >= 0.0), 0) from vseg group by seed
   union all select seed, 1.0, coalesce(sum(gain) filter (where s >= 1.0), 0) from vseg group by seed),
@@ -45,7 +45,7 @@ _SEEDED = f"""f as (select *, not correct_off as y, score_a as s, sd as seed fro
 
 def _seed_rows(t):
     e = t.evt().withColumn("y", ~F.col(OFF))
-    return splits.seed_splits(e, [42, 1], "y", "event_id")
+    return splits.seed_splits(e, [42, 1, 2, 3, 4], "y", "event_id")
 
 
 @query("v05_split_evaluation", f"with {EVT}, {_SEEDED}, {_evaluate_sql('seed, split')} select seed, split, {_EV_COLS} from m join a using (seed, split) join p using (seed, split) "
@@ -54,6 +54,51 @@ def v05(t):
     return experiment.run_scored(_seed_rows(t), "y", "score_a", "event_id")
 
 
+_RD = "round_even(i*cnt/20.0::double, 0)"
+
+
+@query("v05_split_levels", f"""with {EVT}, {_SEEDED}, g as (select seed, split, family, count(*) as n, avg(y::int::double) as base_rate from cur group by all having count(*) >= 2)
+ select seed, split, family, g.n, base_rate, u/nullif(a.p*a.n, 0) as auroc from g join {auroc_sql('cur', 'seed, split, family', 'y', 's')} a using (seed, split, family)""",
+       "base_rate auroc", "seed")
+def v05_levels(t):
+    """The per-level block of every seed and split."""
+    held = _seed_rows(t).where("split <> 'train'")
+    return experiment.level_block(held, ["seed", "split"], "family", "y", "score_a", "event_id")
+
+
+@query("v05_split_curve", f"""with {EVT}, {_SEEDED}, cs as {segments_sql('cur', 'seed, split', 's')},
+ v as (select seed, split, 'vertex' as kind, k1::bigint as position, k1/cnt as fraction, (base + g1)/cnt as accuracy, s::double as threshold from cs
+  union all select seed, split, 'vertex', 0, 0.0::double, base/cnt, 'infinity'::double from cs where k0 = 0),
+ w as (select seed, split, 'sample' as kind, i as position, {_RD}/cnt as fraction, (base + g0 + gain/n*({_RD} - k0))/cnt as accuracy, null::double as threshold
+  from cs, range(21) r(i) where ({_RD} > k0 and {_RD} <= k1) or (i = 0 and k0 = 0))
+ select * replace (case when threshold = 'infinity'::double then 1e9 else threshold end as threshold) from (select * from v union all select * from w)""",
+       "fraction accuracy threshold", "seed position")
+def v05_curve(t):
+    """Vertices and 21 points of every seed's curve; the start's threshold, +inf, is shown as 1e9."""
+    held = _seed_rows(t).where("split <> 'train'")
+    got = experiment.curve_block(held, ["seed", "split"], "score_a")
+    return got.withColumn("threshold", F.when(F.col("threshold") == float("inf"), 1e9).otherwise(F.col("threshold")))
+
+
+@query("v05_split_interval", f"""with {EVT}, {_SEEDED}, cells as (select seed, family, s, y, count(*) as c, min(event_id) as key from cur where split = 'test' and seed = 42 group by all),
+ {draws('cells', 'seed, family, s, y', 2000)}, reps as (select seed, family, b, u/nullif(p*n,0) as v from {auroc_sql('drawn', 'seed, family, b', 'y', 's', 'w')})
+ select family, quantile_cont(v, 0.025::double) as boot_lo, quantile_cont(v, 0.975::double) as boot_hi, count(v) as n_boot from reps group by family""", "boot_lo boot_hi")
+def v05_interval(t):
+    """Per-level intervals of one seed's test rows, 2,000 replicates."""
+    held = _seed_rows(t).where("split = 'test' and seed = 42")
+    got = experiment.level_block(held, ["seed"], "family", "y", "score_a", "event_id", 2000)
+    return got.select("family", F.col("ci_lo").alias("boot_lo"), F.col("ci_hi").alias("boot_hi"), "n_boot")
+
+
+@query("a07_seed_levels", f"""with {EVT}, {_SEEDED}, a as (select seed, family, u/nullif(p*n,0) as v from {auroc_sql("(select * from cur where split = 'test')", 'seed, family', 'y', 's')})
+ select family, avg(v) as mean, avg(v) - coalesce(1.96::double*stddev_samp(v)/sqrt(count(v)), 0) as ci_lo,
+  avg(v) + coalesce(1.96::double*stddev_samp(v)/sqrt(count(v)), 0) as ci_hi, stddev_samp(v) as sd, count(v) as n_seeds from a group by family""", "mean ci_lo ci_hi sd")
+def a07_levels(t):
+    """Level means over five seeds."""
+    held = _seed_rows(t).where("split = 'test'")
+    return experiment.aggregate_levels(experiment.level_block(held, ["seed"], "family", "y", "score_a", "event_id"), [], "family")
+
+
 @query("a07_seed_aggregate", f"with {EVT}, {_SEEDED}, {_evaluate_sql('seed, split')}, r as (select seed, split, {_EV_COLS} from m join a using (seed, split) join p using (seed, split) "
        "join n1 using (seed, split) join n2 using (seed, split) join k using (seed, split)), long as (unpivot (select * from r where split = 'test') on "
        + ", ".join(experiment.SEED_METRICS) + " into name metric value v) select metric, avg(v) as mean, avg(v) - coalesce(1.96::double*stddev_samp(v)/sqrt(count(v)), 0) as ci_lo, "
@@ -345,7 +390,7 @@ def l14(t):
         compare.headroom_gate(F.col("n_score_a") - F.col("n_score_b"), F.col("k_score_a"), F.col("k_score_b")).alias("headroom"))
 
 
-@query("r09_paired_predictions", f"""with {EVT}, f as (select *, not correct_off as y, sd as seed from evt, (values (42), (1)) z(sd)), sp as {_split_sql('f', 'seed', 'seed::varchar', 'event_id', 'y')},
+@query("r09_paired_predictions", f"""with {EVT}, f as (select *, not correct_off as y, sd as seed from evt, (values (42), (1), (2), (3), (4)) z(sd)), sp as {_split_sql('f', 'seed', 'seed::varchar', 'event_id', 'y')},
  te as (select * from sp where split = 'test'), cells as (select family, seed, y, score_a, score_b, count(*) as c, min(('0x'||substr(md5(sample_id),1,15))::bigint) as key from te group by all),
  long as (select family, seed, 'a' as scorer, score_a as s, y, c, key from cells union all select family, seed, 'b', score_b, y, c, key from cells), {draws('long', 'family, seed, scorer, s, y', 40)},
  v as (select family, seed, scorer, b, u/nullif(p*n,0) as v from {auroc_sql('drawn', 'family, seed, scorer, b', 'y', 's', 'w')}),

@@ -374,15 +374,16 @@ def user_statistic(
 # --- ready-made intervals --------------------------------------------------
 
 def auroc_interval(
-    df: DataFrame, by: list[str], y: str, score: str, row_id: str, n_boot: int, seed: int = 0
+    df: DataFrame, by: list[str], y: str, score: str, row_id: str, n_boot: int, seed: int = 0,
+    confidence: float = 0.95,
 ) -> DataFrame:
     reps = replicate_auroc(cells(df, by, [score, y], row_id), by, y, score, n_boot, seed)
-    return percentile_interval(reps, by)
+    return percentile_interval(reps, by, "v", confidence)
 
 
 def within_group_interval(
     df: DataFrame, by: list[str], group: str, y: str, score: str, row_id: str, n_boot: int,
-    seed: int = 0,
+    seed: int = 0, confidence: float = 0.95,
 ) -> DataFrame:
     """Interval of the pooled within-group concordance."""
     keyed = df.withColumn("__grp", F.coalesce(F.col(group).cast("string"), F.lit("None")))
@@ -391,12 +392,12 @@ def within_group_interval(
     reps = pairs.groupBy(*by, "b").agg(
         ratio(F.sum("u"), F.sum(F.col("p") * F.col("n"))).alias("v")
     )
-    return percentile_interval(reps, by)
+    return percentile_interval(reps, by, "v", confidence)
 
 
 def paired_auroc(
     df: DataFrame, by: list[str], y: str, scorers: dict[str, str], a: str, b: str, row_id: str,
-    n_boot: int, seed: int = 0,
+    n_boot: int, seed: int = 0, confidence: float = 0.95,
 ) -> DataFrame:
     """AUROC(a) - AUROC(b) on the same rows and the same resamples."""
     cell_df = cells(df, by, [y, *scorers.values()], row_id)
@@ -413,12 +414,12 @@ def paired_auroc(
     )
     estimate = difference(point, by, "scorer", a, b).select(*by, F.col("v").alias("estimate"))
     reps = replicate_auroc(long, keys, y, "score", n_boot, seed)
-    return paired_summary(estimate, difference(reps, by, "scorer", a, b), by)
+    return paired_summary(estimate, difference(reps, by, "scorer", a, b), by, confidence)
 
 
 def paired_nauc(
     df: DataFrame, by: list[str], off: str, on: str, scorers: dict[str, str], a: str, b: str,
-    row_id: str, n_boot: int, seed: int = 0, lo: float = 0.0, hi: float = 0.5,
+    row_id: str, n_boot: int, seed: int = 0, lo: float = 0.0, hi: float = 0.5, confidence: float = 0.95,
 ) -> DataFrame:
     """nAUC(a) - nAUC(b) on [lo, hi], same rows and same resamples."""
     cell_df = cells(df, by, [off, on, *scorers.values()], row_id)
@@ -429,7 +430,7 @@ def paired_nauc(
     )
     estimate = difference(point, by, "scorer", a, b).select(*by, F.col("v").alias("estimate"))
     reps = replicate_nauc(long, keys, off, on, "score", n_boot, seed, lo, hi)
-    return paired_summary(estimate, difference(reps, by, "scorer", a, b), by)
+    return paired_summary(estimate, difference(reps, by, "scorer", a, b), by, confidence)
 
 
 def seed_average(per_seed: DataFrame, by: list[str]) -> DataFrame:

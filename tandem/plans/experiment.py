@@ -64,6 +64,38 @@ def evaluate(
     return reduce(lambda a, b: join_on(a, b, by), parts)
 
 
+def level_block(rows: DataFrame, by: list[str], level: str, y: str, score: str, row_id: str, n_boot: int = 0) -> DataFrame:
+    """The per-level part of an evaluation as rows: by..., level, n, base_rate, auroc and, asked for, its interval."""
+    if n_boot:
+        return boot.stratified_block(rows, by, level, y, score, row_id, n_boot)
+    keys = by + [level]
+    counts = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(truth(F.col(y)).cast("double")).alias("base_rate")
+    ).where("n >= 2")
+    return join_on(counts, rank.auroc(rows, keys, y, score).select(*keys, "auroc"), keys)
+
+
+def curve_block(rows: DataFrame, by: list[str], score: str, off: str = "correct_off", on: str = "correct_on", points: int = 21) -> DataFrame:
+    """The curve part as rows: by..., kind (vertex or sample), position, fraction, accuracy, threshold."""
+    seg = curves.segments(rows, by, off, on, score)
+    vertex = curves.vertices(seg, by).select(*by, F.lit("vertex").alias("kind"), F.col("k").alias("position"), "fraction", "accuracy", "threshold")
+    sample = curves.sampled_curve(seg, by, points).select(
+        *by, F.lit("sample").alias("kind"), F.col("i").cast("bigint").alias("position"), "fraction", "accuracy",
+        F.lit(None).cast("double").alias("threshold"),
+    )
+    return vertex.unionByName(sample)
+
+
+def aggregate_levels(per_seed: DataFrame, by: list[str], level: str) -> DataFrame:
+    """Means over seeds per level: by..., level, n_seeds, auroc mean with its interval and, where given, the averaged bounds."""
+    keys = by + [level]
+    got = boot.mean_interval(per_seed, keys, "auroc").withColumnRenamed("n", "n_seeds")
+    if "ci_lo" not in per_seed.columns:
+        return got
+    bounds = boot.average_interval(per_seed, keys).select(*keys, F.col("ci_lo").alias("boot_lo"), F.col("ci_hi").alias("boot_hi"))
+    return join_on(got, bounds, keys)
+
+
 SEED_METRICS = [
     "auroc", "auprc", "routed_accuracy", "fraction_routed", "never", "always", "oracle",
     "min_routed_for_always", "random_at_matched_rate", "oracle_at_matched_rate", "nauc_0_50", "nauc_0_100",
