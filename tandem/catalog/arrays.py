@@ -6,7 +6,7 @@ from ..columns import gain
 from ..functions import arrays, text
 from ..operators import boot, predict, rank, splits
 from ..plans import experiment
-from ..session import balanced
+from ..session import balanced, settle
 from .base import ACT, EVT, auroc_sql, draws, query
 from .rank import _split_sql
 
@@ -253,8 +253,8 @@ def l03_text(t):
     rows = _split_txt(t)
     w = predict.tfidf(predict.word_grams(rows, ["doc_id", "split"], "text"), rows, [], "doc_id")
     # Read by the fit and by the scoring.
-    data = predict.tfidf_vectors(w, [], "doc_id").join(rows.select("doc_id", "split", "y"), "doc_id").persist()
-    model = predict.fit_logistic(data.where("split = 'train'"), "features", "y", max_iter=100)
+    data = settle(predict.tfidf_vectors(w, [], "doc_id").join(rows.select("doc_id", "split", "y"), "doc_id"))
+    model = predict.fit_logistic(data.where("split = 'train'"), "features", "y")
     scored = model.transform(data.where("split <> 'train'")).withColumn("score", predict.vector_to_array("probability")[1])
     return rank.auroc(scored, ["split"], "y", "score")
 

@@ -10,9 +10,10 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checks import require
 from ..columns import attach, count_if, join_on, truth
 from ..functions.arrays import fit_standardizer, linear_score, standardize, standardizer_state
-from ..session import small_table
+from ..session import settle, small_table
 from .ordered import numbered
 from .rank import auroc
 
@@ -185,6 +186,7 @@ def fit_logistic_groups(train: DataFrame, by: str, vec: str, y: str, balanced: b
                     active.discard(g)
             if not active:
                 break
+        require(not active, f"no convergence in {max_iter} Newton steps for {sorted(map(str, active))}")
         return beta
     finally:
         data.unpersist()
@@ -223,7 +225,7 @@ def logistic_scores(rows: DataFrame, vec: str, y: str, seed_col: str = "seed", s
     scoring runs as column arithmetic for all seeds in one pass.
     """
     # Scaler, fits and scoring all read the split rows.
-    rows = rows.persist()
+    rows = settle(rows)
     train = rows.where(F.col(split) == "train")
     state = standardizer_state(fit_standardizer(train, [seed_col], vec), [seed_col])
     stats = {r[seed_col]: r for r in state.collect()}

@@ -12,6 +12,7 @@ from ..columns import attach, join_on, truth
 from ..operators import boot, curves, rank
 from ..operators.predict import logistic_scores
 from ..operators.splits import seed_splits
+from ..session import settle
 
 RANGES = {"nauc_0_50": (0.0, 0.5), "nauc_0_100": (0.0, 1.0)}
 
@@ -123,7 +124,7 @@ def run_scored(rows: DataFrame, y: str, score: str, row_id: str, n_boot: int = 0
     """Evaluation of already scored rows: threshold on validation, applied to both splits."""
     by = (keys or []) + ["seed"]
     # The splits and scores are read by several branches; they are computed once.
-    held = rows.where("split <> 'train'").persist()
+    held = settle(rows.where("split <> 'train'"))
     cut = threshold_from(held, by, score, "split = 'val'")
     return evaluate(attach(held, cut, by), by + ["split"], y, score, row_id, "threshold", n_boot)
 

@@ -11,6 +11,7 @@ from ..operators import boot, curves
 from ..operators.labels import gap_summary
 from ..operators.predict import cross_fit
 from ..operators.splits import folds
+from ..session import settle
 
 FEATURES = ["mean_logprob", "min_logprob", "mean_entropy", "log_tokens"]
 ROUTERS = ["conf_raw", "conf_fit", "conf_family", "oracle"]
@@ -62,7 +63,7 @@ def router_points(scored: DataFrame) -> DataFrame:
 def report(scored: DataFrame, row_id: str, n_boot: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(router, stat, point, ci) and (a, b, stat, point, ci, p_le_zero)."""
     # Both tables read the replicates, so they are kept rather than drawn twice.
-    reps = replicate_stats(scored, row_id, n_boot, seed).persist()
+    reps = settle(replicate_stats(scored, row_id, n_boot, seed))
     point = router_points(scored)
     ci = boot.percentile_interval(reps, ["router", "stat"], "value")
     routers = join_on(point.withColumnRenamed("value", "point"), ci, ["router", "stat"])

@@ -100,6 +100,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv") -> None:
     else:
         line = F.concat_ws("  ", *[F.rpad(c, 22, " ") for c in cells])
         head = ["  ".join(c.ljust(22) for c in df.columns)]
-    top = df.sparkSession.createDataFrame([(i, h) for i, h in enumerate(head)], "i int, value string")
-    rows = df.select(F.lit(len(head)).alias("i"), line.alias("value"))
-    top.unionByName(rows).orderBy("i", "value").select("value").write.text(path)
+    top = df.sparkSession.createDataFrame([(i, h) for i, h in enumerate(head)], "i long, value string")
+    # The rows keep the order they are given in.
+    rows = df.select((F.monotonically_increasing_id() + len(head)).alias("i"), line.alias("value"))
+    top.unionByName(rows).orderBy("i").select("value").write.text(path)
