@@ -11,7 +11,7 @@ from .base import EVT, RDO, auroc_sql, draws, nauc_sql, query, segments_sql
 from .rank import _min_fraction_sql, _split_sql
 
 OFF, ON = "correct_off", "correct_on"
-S = 60  # replicates
+S = 2000  # replicates
 
 _BASE_AGG = """count(*) as n, count(*) filter (where y) as n_positive, avg(y::int::double) as base_rate,
  avg(case when s >= thr then correct_on else correct_off end::int::double) as routed_accuracy, avg((s >= thr)::int::double) as fraction_routed,
@@ -161,13 +161,13 @@ def r08(t):
     return boot.percentile_interval(headroom.router_stats(seg, ["scorer", "b"]), ["scorer", "stat"], "value")
 
 
-@query("a23_task_gap_interval", f"""with {EVT}, cells as (select task, correct_off, correct_on, count(*) as c, min(event_id) as key from evt group by all), {draws('cells', 'task, correct_off, correct_on', 100)},
+@query("a23_task_gap_interval", f"""with {EVT}, cells as (select task, correct_off, correct_on, count(*) as c, min(event_id) as key from evt group by all), {draws('cells', 'task, correct_off, correct_on', 2000)},
  reps as (select task, b, sum(w*(correct_on::int - correct_off::int))/nullif(sum(w),0) as v from drawn group by all), ci as (select task, quantile_cont(v, 0.025) as ci_lo, quantile_cont(v, 0.975) as ci_hi from reps group by task)
  select e.task, count(*) as n, avg(correct_off::int::double) as acc_off, avg(correct_on::int::double) as acc_on, avg((correct_on::int-correct_off::int)::double) as gap_on_minus_off,
  avg((correct_on and not correct_off)::int::double) as helped, avg((correct_off and not correct_on)::int::double) as hurt, max(ci_lo) as ci_lo, max(ci_hi) as ci_hi from evt e join ci on e.task = ci.task group by e.task""",
        "acc_off acc_on gap_on_minus_off helped hurt ci_lo ci_hi")
 def a23_ci(t):
-    return headroom.task_gaps(t.evt(), "event_id", 100)
+    return headroom.task_gaps(t.evt(), "event_id", 2000)
 
 
 # Tiers ----------------------------------------------------------------------------------
