@@ -105,14 +105,14 @@ _CURVE_LONG = """long as (select 'a' as scorer, score_a as s, correct_off, corre
  union all select 'b', score_b, correct_off, correct_on, c, key from cells)"""
 
 
-@query("r06_paired_nauc_difference", f"""with {EVT}, {_CURVE_CELLS}, {_CURVE_LONG}, {draws('long', 'scorer, s, correct_off, correct_on', 40)},
+@query("r06_paired_nauc_difference", f"""with {EVT}, {_CURVE_CELLS}, {_CURVE_LONG}, {draws('long', 'scorer, s, correct_off, correct_on', 1000)},
  v as (select scorer, b, nauc as v from {nauc_sql(segments_sql('drawn', 'scorer, b', 's', 'w'), 'scorer, b')}),
  reps as (select b, max(v) filter (where scorer = 'a') - max(v) filter (where scorer = 'b') as v from v group by b),
  pt as (select scorer, nauc as v from {nauc_sql(segments_sql('long', 'scorer', 's', 'c::double'), 'scorer')})
  select (select max(v) filter (where scorer='a') - max(v) filter (where scorer='b') from pt) as estimate, {_CI},
   stddev_samp(v) as se, avg((v <= 0)::int::double) as p_le_zero from reps""", "estimate ci_lo ci_hi se p_le_zero")
 def r06(t):
-    return boot.paired_nauc(t.evt(), [], OFF, ON, {"a": "score_a", "b": "score_b"}, "a", "b", "event_id", 40)
+    return boot.paired_nauc(t.evt(), [], OFF, ON, {"a": "score_a", "b": "score_b"}, "a", "b", "event_id", 1000)
 
 
 @query("r07_within_group_interval", f"""with {EVT}, cells as (select task, family, conf, correct_off, count(*) as c, min(event_id) as key from evt group by all),

@@ -138,27 +138,27 @@ def _head_rows(t):
 def v10(t):
     """Four routers with intervals on shared resamples (fitted scores: rows-only)."""
     scored = headroom.router_scores(_head_rows(t), ["t0", "t1", "t2", "t3"], "event_id")
-    return headroom.report(scored, "event_id", 20)[0]
+    return headroom.report(scored, "event_id", 1000)[0]
 
 
 @query("v10_headroom_differences")
 def v10_diff(t):
     scored = headroom.router_scores(_head_rows(t), ["t0", "t1", "t2", "t3"], "event_id")
-    return headroom.report(scored, "event_id", 20)[1]
+    return headroom.report(scored, "event_id", 1000)[1]
 
 
 _R08_CELLS = "cells as (select score_a, score_b, correct_off, correct_on, count(*) as c, min(event_id) as key from evt group by all)"
 _R08_LONG = """long as (select 'a' as scorer, score_a as s, correct_off, correct_on, c, key from cells union all select 'b', score_b, correct_off, correct_on, c, key from cells)"""
 
 
-@query("r08_shared_resample", f"""with {EVT}, {_R08_CELLS}, {_R08_LONG}, {draws('long', 'scorer, s, correct_off, correct_on', 20)}, seg as {segments_sql('drawn', 'scorer, b', 's', 'w')},
+@query("r08_shared_resample", f"""with {EVT}, {_R08_CELLS}, {_R08_LONG}, {draws('long', 'scorer, s, correct_off, correct_on', 1000)}, seg as {segments_sql('drawn', 'scorer, b', 's', 'w')},
  v as (select * from {_router_sql('seg', 'scorer, b')}) select scorer, stat, quantile_cont(value, 0.025) as ci_lo, quantile_cont(value, 0.975) as ci_hi, count(value) as n_boot from v group by scorer, stat""", "ci_lo ci_hi")
 def r08(t):
     """All statistics of two routers on one set of resamples."""
     cell = boot.cells(t.evt(), [], [OFF, ON, "score_a", "score_b"], "event_id")
     long = boot.long_scorers(cell, [OFF, ON, "c", "key"], {"a": "score_a", "b": "score_b"})
-    seg = boot.replicate_curves(long, ["scorer"], OFF, ON, "score", 20)
-    return boot.percentile_interval(headroom.router_stats(seg, ["scorer", "b"]), ["scorer", "stat"], "value")
+    got = boot.replicate_curve_reads(long, ["scorer"], OFF, ON, "score", 1000, 0, *headroom.READS)
+    return boot.percentile_interval(headroom.long_stats(got, ["scorer", "b"]), ["scorer", "stat"], "value")
 
 
 @query("a23_task_gap_interval", f"""with {EVT}, cells as (select task, correct_off, correct_on, count(*) as c, min(event_id) as key from evt group by all), {draws('cells', 'task, correct_off, correct_on', 2000)},
@@ -252,7 +252,7 @@ def v07(t):
 
 @query("v07_routing_intervals", f"""with {_V07}, cells as (select set, s1_correct, correct_on, p_max, fs, count(*) as c, min(event_id) as key from sc group by all),
  long as (select set, 'conf' as scorer, -p_max as s, s1_correct, correct_on, c, key from cells union all select set, 'family', fs, s1_correct, correct_on, c, key from cells),
- {draws('long', 'set, scorer, s, s1_correct, correct_on', 20)},
+ {draws('long', 'set, scorer, s, s1_correct, correct_on', 100)},
  v as (select set, scorer, b, nauc as v from {nauc_sql(segments_sql('drawn', 'set, scorer, b', 's', 'w', off='s1_correct'), 'set, scorer, b')}),
  d as (select set, b, max(v) filter (where scorer = 'conf') as own, max(v) filter (where scorer = 'conf') - max(v) filter (where scorer = 'family') as v from v group by set, b),
  pt as (select set, scorer, nauc as v from {nauc_sql(segments_sql('long', 'set, scorer', 's', 'c::double', off='s1_correct'), 'set, scorer')}),
@@ -262,7 +262,7 @@ def v07(t):
        "nauc_lo nauc_hi estimate ci_lo ci_hi se p_le_zero")
 def v07_ci(t):
     """nAUC interval of the confidence router and its paired difference to the family router."""
-    return tiers.routing_intervals(_sets(t), ["set"], "event_id", 20)
+    return tiers.routing_intervals(_sets(t), ["set"], "event_id", 100)
 
 
 _GRID = """(select {k}, list_concat(list_sort(list_distinct(q)), ['infinity'::double]) as grid from (select {k}, quantile_cont(p_max, [""" + \

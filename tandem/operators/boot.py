@@ -24,8 +24,9 @@ from pyspark.sql import types as T
 from ..checks import no_nan, require
 from ..columns import count_if, join_on, ratio, truth
 from ..functions.rand import hash60, poisson_weights, seeded
+from ..session import settle
 from .ordered import numbered
-from .curves import nauc, segments, segments_of
+from .curves import nauc, normalised, segments
 from .rank import auroc, concordance
 
 _ELEMENTS = 2_000_000  # weights held at once by one task
@@ -235,45 +236,151 @@ def replicate_auroc(
     return got.select(*by, "b", F.try_divide("u", F.col("p") * F.col("n")).alias("v"))
 
 
-def replicate_curves(
-    cell_df: DataFrame, by: list[str], off: str, on: str, score: str, n_boot: int, seed: int = 0
+CURVE_SUMS = ["n", "gain", "base", "helped", "hurt"]
+
+
+def _curve_values(off: np.ndarray, on: np.ndarray) -> np.ndarray:
+    """Per row of weight one: the CURVE_SUMS."""
+    return np.column_stack([np.ones(len(off)), on - off, off, (on > off) * 1.0, (off > on) * 1.0])
+
+
+def replicate_curve_reads(
+    cell_df: DataFrame, by: list[str], off: str, on: str, score: str, n_boot: int, seed: int = 0,
+    ranges: dict[str, tuple[float, float]] | None = None, allowances: dict[str, float] | None = None,
+    fractions: dict[str, float] | None = None,
 ) -> DataFrame:
-    """Curve segments (see curves.segments) of every replicate, grouped by (by..., b)."""
+    """by..., b and what is read from the curve of each replicate (see curves.read_curve).
+
+    ``ranges`` give structs of normalised areas, ``allowances`` the fraction
+    that suffices for always-on accuracy minus so much, ``fractions`` the accuracy there.
+
+    Cells lie in ranges of falling score. A first pass adds up each range per
+    replicate, which tells where in the curve every range begins; a second one
+    reads the segments of a range as matrices (segments x replicates). What is
+    shuffled is one row per range and replicate, never one per cell and replicate.
+    """
+    ranges, allowances, fractions = ranges or {}, allowances or {}, fractions or {}
     src = cell_df.select(
-        *by, no_nan(F.col(score).cast("double"), "router scores").alias("score"),
-        truth(F.col(off)).alias("off"), truth(F.col(on)).alias("on"), "c",
-        F.col("key").cast("string").alias("key"),
-    )
-    names = ["n", "gain", "base", "helped", "hurt"]
-    schema = T.StructType(
-        _fields(src, by + ["score"]) + [T.StructField("b", T.IntegerType())]
-        + [T.StructField(x, T.DoubleType()) for x in names]
+        *by, no_nan(F.col(score).cast("double"), "router scores").alias("s"), truth(F.col(off)).alias("off"),
+        truth(F.col(on)).alias("on"), "c", F.col("key").cast("string").alias("key"),
     )
+    n_parts = int(cell_df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = settle(src.repartitionByRange(n_parts, *by, F.desc("s")).withColumn("pid", F.spark_partition_id()))
+    keys = ["pid", *by]
+    head = _fields(dealt, keys) + [T.StructField("b", T.IntegerType())]
 
-    def kernel(batches):
+    def rows_of(pdf):
+        w = poisson_weights(pdf["key"].to_numpy(), pdf["c"].to_numpy(), n_boot, seed)
+        return w, _curve_values(pdf["off"].to_numpy(dtype=float), pdf["on"].to_numpy(dtype=float))
+
+    def framed(group, values: dict):
+        out = pd.DataFrame(values)
+        for name, value in zip(keys, group):
+            out[name] = [value] * len(out)
+        return out
+
+    def add_up(batches):
+        acc: dict[tuple, np.ndarray] = {}
         for batch in batches:
             for pdf in _chunks(batch, n_boot):
-                w = poisson_weights(pdf["key"].to_numpy(), pdf["c"].to_numpy(), n_boot, seed)
-                row, b = np.nonzero(w)
-                out = pdf[by + ["score"]].iloc[row].reset_index(drop=True)
-                off, on = (pdf[c].to_numpy(dtype=float)[row] for c in ("off", "on"))
-                n = w[row, b]
-                out["b"], out["n"], out["gain"] = b.astype(np.int32), n, n * (on - off)
-                out["base"], out["helped"] = n * off, n * (on > off)
-                out["hurt"] = n * (off > on)
-                yield out[by + ["score", "b"] + names]
-
-    drawn = src.mapInPandas(kernel, schema)
-    weighted = drawn.groupBy(*by, "b", "score").agg(*[F.sum(x).alias(x) for x in names])
-    return segments_of(weighted, by + ["b"])
+                w, values = rows_of(pdf)
+                for group, at in _groups(pdf, keys):
+                    part = w[at].T @ values[at]
+                    acc[group] = acc[group] + part if group in acc else part
+        for group, mat in acc.items():
+            yield framed(group, {"b": np.arange(n_boot, dtype=np.int32), **dict(zip(CURVE_SUMS, mat.T))})[[*keys, "b", *CURVE_SUMS]]
+
+    sums = T.StructType(head + [T.StructField(x, T.DoubleType()) for x in CURVE_SUMS])
+    parts = dealt.mapInPandas(add_up, sums).groupBy(*keys, "b").agg(*[F.sum(x).alias(x) for x in CURVE_SUMS])
+    before = Window.partitionBy(*by, "b").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*by, "b")
+    offsets = parts.select(
+        *keys, "b", *[F.coalesce(F.sum(x).over(before), F.lit(0.0)).alias(f"{x}0") for x in ("n", "gain")],
+        *[F.sum(x).over(whole).alias(f"{x}_all") for x in CURVE_SUMS],
+    )
+    outs = [*(f"area_{x}" for x in ranges), *(f"min_{x}" for x in allowances), *(f"at_{x}" for x in fractions)]
+    totals = [f"{x}_all" for x in CURVE_SUMS]
+
+    def read(cells: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        made = []
+        starts = {g: start.iloc[at].sort_values("b") for g, at in _groups(start, keys)}
+        for group, at in _groups(cells, keys):
+            own = cells.iloc[at].sort_values(["s", "key"], ascending=[False, True])
+            made.append(framed(group, _read_range(own, starts[group])))
+        columns = [*keys, "b", *outs, *totals]
+        return pd.concat(made)[columns] if made else pd.DataFrame(columns=columns)
+
+    def _read_range(own, start):
+        n_all, gain_all, base = (start[f"{x}_all"].to_numpy() for x in ("n", "gain", "base"))
+        k, g = start["n0"].to_numpy().copy(), start["gain0"].to_numpy().copy()
+        got = {f"area_{x}": np.zeros(n_boot) for x in ranges}
+        got |= {f"min_{x}": np.full(n_boot, np.inf) for x in allowances} | {f"at_{x}": np.full(n_boot, -np.inf) for x in fractions}
+
+        def closed(n, gain):
+            """Segments with all their rows, in falling order of score."""
+            nonlocal k, g
+            k1, g1 = k + np.cumsum(n, 0), g + np.cumsum(gain, 0)
+            k0, g0 = k1 - n, g1 - gain
+            with np.errstate(divide="ignore", invalid="ignore"):
+                step = np.where(n > 0, gain / n, 0.0)
+                accuracy = lambda x: (base + g0 + step * (x - k0)) / n_all
+                for name, (lo, hi) in ranges.items():
+                    a, b = np.maximum(k0 / n_all, lo), np.minimum(k1 / n_all, hi)
+                    piece = (b - a) * (accuracy(a * n_all) + accuracy(b * n_all)) / 2
+                    got[f"area_{name}"] += np.where((n > 0) & (b > a), piece, 0.0).sum(0)
+                for name, less in allowances.items():
+                    need = ((base + gain_all) / n_all - less - 1e-9) * n_all - (base + g0)
+                    up = np.ceil(k0 + need / np.where(step > 0, step, np.nan))
+                    first = np.where(need <= 0, k0, np.where(up <= k1, up, np.inf))
+                    first = np.where(n > 0, first, np.inf).min(0) / n_all
+                    got[f"min_{name}"] = np.fmin(got[f"min_{name}"], first)
+                for name, f in fractions.items():
+                    x = f * n_all
+                    inside = (n > 0) & ((x > k0) & (x <= k1) if f > 0 else k0 == 0)
+                    got[f"at_{name}"] = np.maximum(got[f"at_{name}"], np.where(inside, accuracy(x), -np.inf).max(0))
+            k, g = k1[-1], g1[-1]
+
+        open_score, open_n, open_gain = None, None, None
+        for pdf in _chunks(own, n_boot):
+            w, values = rows_of(pdf)
+            s = pdf["s"].to_numpy()
+            first = np.r_[0, np.flatnonzero(np.diff(s)) + 1]
+            n, gain = np.add.reduceat(w, first, 0), np.add.reduceat(w * values[:, 1:2], first, 0)
+            if open_score is not None:
+                if open_score == s[0]:
+                    n[0] += open_n
+                    gain[0] += open_gain
+                else:
+                    n, gain = np.vstack([open_n[None], n]), np.vstack([open_gain[None], gain])
+            if len(n) > 1:
+                closed(n[:-1], gain[:-1])
+            open_score, open_n, open_gain = s[-1], n[-1], gain[-1]
+        closed(open_n[None], open_gain[None])
+        return {"b": np.arange(n_boot, dtype=np.int32), **got, **{t: start[t].to_numpy() for t in totals}}
+
+    shape = T.StructType(head + [T.StructField(x, T.DoubleType()) for x in [*outs, *totals]])
+    partial = dealt.groupBy("pid").cogroup(offsets.groupBy("pid")).applyInPandas(read, shape)
+    named = lambda x: F.col(f"`{x}`")
+    fold = {"area": F.sum, "min": F.min, "at_": F.max}
+    merged = partial.where("n_all > 0").groupBy(*by, "b").agg(
+        *[next(f for p, f in fold.items() if x.startswith(p))(named(x)).alias(x) for x in outs], *[F.max(x).alias(x) for x in totals]
+    )
+    share = lambda c: F.col(f"{c}_all") / F.col("n_all")
+    inf = float("inf")
+    return merged.select(
+        *by, "b",
+        *[normalised(named(f"area_{x}"), share("base"), share("gain"), share("helped"), share("hurt"), lo, hi).alias(x) for x, (lo, hi) in ranges.items()],
+        *[F.when(named(f"min_{x}") < inf, named(f"min_{x}")).otherwise(1.0).alias(x) for x in allowances],
+        *[F.when(named(f"at_{x}") > -inf, named(f"at_{x}")).alias(x) for x in fractions],
+    )
 
 
 def replicate_nauc(
     cell_df: DataFrame, by: list[str], off: str, on: str, score: str, n_boot: int,
     seed: int = 0, lo: float = 0.0, hi: float = 0.5,
 ) -> DataFrame:
-    got = nauc(replicate_curves(cell_df, by, off, on, score, n_boot, seed), by + ["b"], lo, hi)
-    return got.select(*by, "b", F.col("nauc").alias("v"))
+    got = replicate_curve_reads(cell_df, by, off, on, score, n_boot, seed, {"area": (lo, hi)})
+    return got.select(*by, "b", F.col("area.nauc").alias("v"))
 
 
 # --- intervals -------------------------------------------------------------

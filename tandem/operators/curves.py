@@ -174,13 +174,17 @@ def _nauc_struct(lo: float, hi: float) -> Column:
     hurt rows, so its area is closed-form in the two counts.
     """
     _check_range(lo, hi)
-    width = hi - lo
     share = lambda c: F.max(F.col(c) / F.col("rows"))
-    routed_area = F.sum(_clipped_area(lo, hi))
-    rise = F.lit((hi * hi - lo * lo) / 2) - _ramp(share("helped"), lo, hi)
-    fall = _ramp(1.0 - share("hurt"), lo, hi)
-    oracle = share("base") * width + rise - fall
-    rand = (share("base") + share("gain_all") * ((lo + hi) / 2)) * width
+    return normalised(F.sum(_clipped_area(lo, hi)), *map(share, ("base", "gain_all", "helped", "hurt")), lo, hi)
+
+
+def normalised(routed_area: Column, base: Column, gain_all: Column, helped: Column, hurt: Column, lo: float, hi: float) -> Column:
+    """The struct of ``nauc`` from an area on [lo, hi] and the shares of rows of a curve."""
+    width = hi - lo
+    rise = F.lit((hi * hi - lo * lo) / 2) - _ramp(helped, lo, hi)
+    fall = _ramp(1.0 - hurt, lo, hi)
+    oracle = base * width + rise - fall
+    rand = (base + gain_all * ((lo + hi) / 2)) * width
     return F.struct(
         F.when(oracle - rand > 1e-12, (routed_area - rand) / (oracle - rand)).alias("nauc"),
         (routed_area / width).alias("mean_accuracy"),

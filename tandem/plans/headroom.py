@@ -22,11 +22,17 @@ STATS = ["nauc_0_50", "mean_routed_acc_0_50", "escalation_minus_0.01", "escalati
 
 def router_stats(seg: DataFrame, by: list[str]) -> DataFrame:
     """by..., stat, value: area, mean accuracy, sufficient fractions, accuracy at 10 and 20%."""
-    got = curves.read_curve(
-        seg, by, {"area": (0.0, 0.5)},
-        {f"escalation_minus_{tol:g}": curves.always_on(tol) for tol in (0.01, 0.005, 0.0)},
-        {f"acc_at_{f:g}": f for f in (0.1, 0.2)},
-    ).select("*", F.col("area.nauc").alias("nauc_0_50"), F.col("area.mean_accuracy").alias("mean_routed_acc_0_50"))
+    ranges, allowances, fractions = READS
+    return long_stats(curves.read_curve(seg, by, ranges, {n: curves.always_on(d) for n, d in allowances.items()}, fractions), by)
+
+
+READS = (
+    {"area": (0.0, 0.5)}, {f"escalation_minus_{d:g}": d for d in (0.01, 0.005, 0.0)}, {f"acc_at_{f:g}": f for f in (0.1, 0.2)},
+)
+
+
+def long_stats(read: DataFrame, by: list[str]) -> DataFrame:
+    got = read.select("*", F.col("area.nauc").alias("nauc_0_50"), F.col("area.mean_accuracy").alias("mean_routed_acc_0_50"))
     return got.select(*by, F.inline(F.array(*[
         F.struct(F.lit(s).alias("stat"), F.col(f"`{s}`").alias("value")) for s in STATS
     ])))
@@ -49,8 +55,8 @@ def replicate_stats(scored: DataFrame, row_id: str, n_boot: int, seed: int = 0)
     """router, b, stat, value: every statistic of every router on the same resamples."""
     cell = boot.cells(scored, [], ["correct_off", "correct_on", *ROUTERS], row_id)
     long = boot.long_scorers(cell, ["correct_off", "correct_on", "c", "key"], {r: r for r in ROUTERS})
-    seg = boot.replicate_curves(long, ["scorer"], "correct_off", "correct_on", "score", n_boot, seed)
-    return router_stats(seg, ["scorer", "b"]).withColumnRenamed("scorer", "router")
+    got = boot.replicate_curve_reads(long, ["scorer"], "correct_off", "correct_on", "score", n_boot, seed, *READS)
+    return long_stats(got, ["scorer", "b"]).withColumnRenamed("scorer", "router")
 
 
 def router_points(scored: DataFrame) -> DataFrame:
