@@ -141,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         words = Hasher()
         tables = np.zeros((3, 2 << BITS), np.int64)
         for batch in batches:
-            for part in slices(batch, "__text"):
+            for part in slices(batch, "__text", 4 << 20):
                 h, row, _, _ = words.words(part.column("__text"))
                 at = labelled.place(labelled.numbers(part.column(key)), shared.value[0])
                 kind = np.where(at >= 0, shared.value[1][at] if len(shared.value[1]) else -1, -1)[row]
@@ -182,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             own = batch.filter(pa.array(at >= 0))
             at = at[at >= 0]
             done = 0
-            for part in slices(own, "__text"):
+            for part in slices(own, "__text", 4 << 20):
                 found = told.value.passages(words, part.column("__text"))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -216,7 +216,7 @@ def scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, m = Hasher(), told.value
         for batch in batches:
-            for part in slices(batch, "__text"):
+            for part in slices(batch, "__text", 4 << 20):
                 found = m.passages(words, part.column("__text"))
                 score = m.score(np.array([m.evidence(n, f) for n, f in found]))
                 spans = [
