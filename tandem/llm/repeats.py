@@ -26,6 +26,7 @@ from tandem.llm.words import mixed, powers
 
 WINDOW = 200
 RUN = 32
+STEP = 1 << 18  # text bytes handled at once
 PIECE = 1 << 22  # starts handled at once; positions take 24 bits
 LANE_SEGMENTS = 16  # different segments of one anchor that go into one suffix array
 BUCKET_BYTES = 4 << 20
@@ -108,7 +109,7 @@ def _packed(docs: DataFrame, keep: list[str], text: str, bits) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for part in slices(batch, "__text", 2 << 20):
+            for part in slices(batch, "__text", STEP):
                 texts, t1 = _texts(part)
                 at = np.flatnonzero(in_map(bits.value, t1))
                 take = pa.array(at)
@@ -127,7 +128,7 @@ def _anchors(docs: DataFrame, text: str, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Anchors(window)
         for batch in batches:
-            for part in slices(batch, "__text"):
+            for part in slices(batch, "__text", STEP):
                 yield pa.RecordBatch.from_arrays([pa.array(find.segments(*text_bytes(part.column("__text")))[0])], ["anchor"])
 
     return docs.select(whole(text).alias("__text")).mapInArrow(run, "anchor long")
@@ -139,7 +140,7 @@ def _segments(docs: DataFrame, text: str, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Anchors(window)
         for batch in batches:
-            for part in slices(batch, "__text"):
+            for part in slices(batch, "__text", STEP):
                 data, at = text_bytes(part.column("__text"))
                 anchor, first, count = find.segments(data, at)
                 blob = data.tobytes()
@@ -281,7 +282,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
 
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, "__text", 2 << 20):
+            for piece in slices(batch, "__text", STEP):
                 texts, t1 = _texts(piece)
                 at = np.flatnonzero(~in_map(bits.value, t1))
                 own = [texts[i] for i in at]

@@ -18,7 +18,7 @@ import numpy as np
 
 from tandem.llm.common import ranges
 
-LANES = 1_200_000  # characters that are sorted together
+LANES = 600_000  # characters that are sorted together
 
 
 def _grouped(chars: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
