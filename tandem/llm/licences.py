@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,42 +69,136 @@ software.
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A line of its own that only says who holds the rights; not one that grants them.
+#: What the SQL twin cuts; the scan itself uses NOTICES, as this also takes lines of the wordings.
 RIGHTS = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
 #: Characters that are neither a letter, a digit nor a line end; all letters outside ASCII count as letters.
 MARKS = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F“”‘’–—«»]+"
 
+# Files of whole licences in licence_texts and their SPDX names; also known without what follows their end.
+FILES = (
+    ("BSD-2-Clause", "BSD-2-Clause"), ("BSD-3-Clause", "BSD-3-Clause"), ("Apache-2.0", "Apache-2.0"), ("GPL-2.0-only", "GPL-2"),
+    ("GPL-3.0-only", "GPL-3"), ("LGPL-2.1-only", "LGPL-2.1"), ("LGPL-3.0-only", "LGPL-3"), ("MPL-2.0", "MPL-2.0"),
+    ("Unlicense", "Unlicense"), ("CC0-1.0", "CC0-1.0"),
+)
+END = "END OF TERMS AND CONDITIONS"
+YEAR = r"(?:(?:19|20)[0-9]{2}|<year>|\[year\]|\[yyyy\]|\{yyyy\})"
+SIGN = r"(?:\(c\)|©|&copy;)"
+TERMS = (
+    r"permission|permitted|hereby|granted|redistribut|provided|warrant|notice|liable|liability|license|everyone|conditions"
+)
+#: Lines that only say who holds the rights: with a sign or year anywhere, with a bare name where a paragraph begins.
+NOTICES = (
+    # Notices inside licences, which may stand in the middle of a line.
+    (
+        r"copyright[^a-z0-9]+c[^a-z0-9]+(?:1989[^a-z0-9]+1991|1991[^a-z0-9]+1999|2007)[^a-z0-9]+free[^a-z0-9]+software[^a-z0-9]+"
+        r"foundation[^a-z0-9]+inc(?:[^a-z0-9]+http://fsf\.org)?|"
+        r"copyright[^a-z0-9]+(?:c[^a-z0-9]+)?(?:year|yyyy)[^a-z0-9]+name[^a-z0-9]+of[^a-z0-9]+(?:author|copyright[^a-z0-9]+owner)",
+        " ",
+    ),
+    (
+        rf"(?md)^[^a-z0-9\n©(]*(?:(?:portions |parts )?copyright\b:?[ \t]*(?:by )?(?:{SIGN}|{YEAR})|{SIGN}[ \t]*{YEAR})"
+        rf"(?![^\n]*(?:{TERMS}))[^\n]*$",
+        "",
+    ),
+    (r"(?md)^[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*$", ""),
+    (
+        r"(\A|\n[^a-z0-9\n]*\n|\A[^\n]{0,40}\blicense\b[^\n]{0,30}\n)"
+        r"(?:[^a-z0-9\n]*copyright[ \t]+(?=[a-z])(?![^\n]*\b(?:"
+        + TERMS + r"|holders?|owners?|laws?|interest|material|protection|statement|shall|must|means?|also|this|that|is|are|on|in|or"
+        r"|to|any|not|under|resulting|be)\b)[^\n]*(?:\n|\z))+",
+        "$1\n",
+    ),
+)
+#: Headings of licences, canonical.
+TITLES = (
+    "the mit license mit", "the mit license", "mit license mit", "mit license", "mit license expat", "expat license",
+    "isc license isc", "isc license", "the isc license", "bsd license", "the bsd license", "new bsd license", "the new bsd license",
+    "modified bsd license", "revised bsd license", "simplified bsd license", "the simplified bsd license", "bsd 2 clause license",
+    "the bsd 2 clause license", "the 2 clause bsd license", "bsd 2 clause simplified license", "bsd 3 clause license",
+    "the bsd 3 clause license", "the 3 clause bsd license", "bsd 3 clause new or revised license", "bsd zero clause license",
+    "bsd zero clause license 0bsd", "zero clause bsd license", "zero clause bsd", "0bsd", "zlib license", "the zlib license",
+    "zlib libpng license", "the zlib libpng license", "apache license", "apache license version 2 0", "version 2 0 january 2004",
+    "http www apache org licenses", "gnu general public license", "gnu lesser general public license", "version 2 june 1991",
+    "version 3 29 june 2007", "version 2 1 february 1999", "mozilla public license version 2 0", "mozilla public license 2 0",
+    "the unlicense", "unlicense", "creative commons legal code", "cc0 1 0 universal", "license",
+)
+#: How the texts begin, canonical: a notice may stand before that on the same line or over several.
+STARTS = (
+    "permission is hereby granted free of charge", "permission to use copy modify and or distribute this software",
+    "redistribution and use in source and binary forms", "this software is provided as is without any express",
+    "this is free and unencumbered software", "terms and conditions for use reproduction and distribution",
+)
+#: Applied in this order to the joined canonical lines.
+FORMS = (
+    (
+        "^(?:(?:" + "|".join(sorted(TITLES, key=len, reverse=True)) + ") |(?:copyright c|copyright|c) (?:(?:19|20)[0-9]{2}|year|yyyy) "
+        "[^\n]{1,100}?(?= (?:" + "|".join(STARTS) + ")) )+",
+        "",
+    ),
+    ("(?<= )[123] (?=redistributions |neither the name of |the origin of this |altered source versions |this notice may not )", ""),
+    (
+        "neither the name of [^\n]{1,120}? nor the names of (?:its|their|the|any) contributors",
+        "neither the name of the copyright holder nor the names of its contributors",
+    ),
+    (
+        "this software is provided by [^\n]{1,160}? as is and any express",
+        "this software is provided by the copyright holders and contributors as is and any express",
+    ),
+    (
+        "in no event shall [^\n]{1,160}? be liable for any direct indirect incidental",
+        "in no event shall the copyright holder or contributors be liable for any direct indirect incidental",
+    ),
+    (
+        " (?:51 franklin st(?:reet)? fifth floor boston ma 02110 1301|59 temple place suite 330 boston ma 02111 1307) usa", "",
+    ),
+    ("(?<= )non commercial(?= )", "noncommercial"), ("(?<= )sub license(?= )", "sublicense"),
+)
+
+
+def wordings() -> list[tuple[str, str]]:
+    """(SPDX name, text) of all known licences and notices."""
+    out = list(KNOWN)
+    for licence, name in FILES:
+        text = (Path(__file__).parent / "licence_texts" / f"{name}.txt").read_text(encoding="utf-8")
+        out.append((licence, text))
+        if END in text:
+            terms = text.split(END)[0]
+            out += [(licence, terms), (licence, terms + END)]
+    return out
+
 
 def lines(text: Column) -> Column:
-    """Canonical lines of a text: lower case, rights lines gone, equal spellings, single spaces."""
+    """Canonical lines of a text: lower case, notices of rights gone, equal spellings, single spaces."""
     low = F.translate(text, UPPER, LOWER)
     spelt = reduce(lambda c, s: F.replace(c, F.lit(s[0]), F.lit(s[1])), SPELLINGS, low)
-    bare = F.regexp_replace(F.regexp_replace(spelt, RIGHTS, "\n"), MARKS, " ")
+    cut = reduce(lambda c, s: F.regexp_replace(c, s[0], s[1]), NOTICES, spelt)
+    bare = F.regexp_replace(cut, MARKS, " ")
     return F.transform(F.split(bare, "\n"), lambda x: F.trim(x))
 
 
 def joined(canon: Column) -> Column:
-    """One string of the canonical lines, so that line breaks do not matter."""
-    return F.array_join(F.filter(canon, lambda x: x != ""), " ")
+    """One string of the canonical lines, so that line breaks, titles and the holder's name do not matter."""
+    one = F.array_join(F.filter(canon, lambda x: x != ""), " ")
+    return reduce(lambda c, s: F.regexp_replace(c, s[0], s[1]), FORMS, one)
 
 
-def known(spark, texts=KNOWN) -> DataFrame:
+def known(spark, texts=None) -> DataFrame:
     """(digest, licence) of the known wordings, canonical by the same expressions: as many rows as wordings."""
-    rows = F.array(*[F.struct(F.lit(n).alias("licence"), F.lit(t).alias("text")) for n, t in texts])
+    rows = F.array(*[F.struct(F.lit(n).alias("licence"), F.lit(t).alias("text")) for n, t in texts or wordings()])
     return (
         spark.range(1).select(F.inline(rows))
         .select(F.sha2(joined(lines(F.col("text"))), 256).alias("digest"), "licence").distinct()
     )
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", texts=KNOWN) -> DataFrame:
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", texts=None) -> DataFrame:
     """Per document: ``key``, ``whole_licence`` (null, or whose text the document is), ``notices`` and ``n_notices``.
 
     The canonical form of the whole text and that of each line are looked up by
     digest; ``notices`` are the distinct licences of matching lines, sorted and
     joined by commas, ``n_notices`` counts the matching lines. Null counts as
     empty; an empty text has neither. Rows that share a key each keep their own
-    result. The known digests are broadcast: they are the constants above.
+    result. The known digests are broadcast: they are the constants above, and ``licence_texts``.
     """
     table = F.broadcast(known(docs.sparkSession, texts).groupBy("digest").agg(F.min("licence").alias("licence")))
     canon = docs.select(F.col(key), F.monotonically_increasing_id().alias("row"), lines(whole(text)).alias("lines"))

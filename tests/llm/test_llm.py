@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -385,6 +386,40 @@ def test_licences(spark, nothing):
     assert licences.scan(nothing).count() == 0
 
 
+def test_licences_in_any_wrap(spark):
+    full = {}
+    for name, text in licences.wordings():
+        if len(text) > 300:
+            full.setdefault(name, text)
+    assert len(full) == 14
+    data, want = [], {}
+
+    def add(name, text):
+        want[len(data)] = name
+        data.append((len(data), text))
+
+    titles = {"MIT": "The MIT License (MIT)", "ISC": "ISC License", "BSD-3-Clause": "BSD 3-Clause License", "BSD-2-Clause": "BSD 2-Clause License"}
+    for name, text in full.items():
+        paragraphs = [" ".join(p.split()) for p in re.split(r"\n\s*\n", text)]
+        add(name, text)
+        add(name, text.replace("\n", "\r\n"))
+        for width in (40, 60, 72, 76, 78, 80, 10**6):
+            body = "\n\n".join("\n".join(textwrap.wrap(p, width)) for p in paragraphs)
+            add(name, body)
+            if name in titles or name in ("0BSD", "Zlib", "Unlicense"):
+                add(name, f"{titles.get(name, 'License')}\n\nCopyright (c) 2011-2020, A. Nobody <a@b.c>\nAll rights reserved.\n\n" + body)
+                add(name, f"{titles.get(name, 'License')}\nCopyright Jane Doe\n\n" + body)
+                add(name, f"Copyright © 2019 The Software Foundation\n(c) 2020 B. Nobody\n\n{titles.get(name, 'License')}\n\n" + body)
+                add(name, " ".join(f"Copyright (c) 2020 Jane Doe {body}".split()))
+    bsd = full["BSD-3-Clause"].replace("the copyright holder nor", "Example Corp. nor").replace("THE COPYRIGHT HOLDERS AND", "EXAMPLE AND")
+    add("BSD-3-Clause", re.sub(r"(?m)^[123]\.", "*", bsd))
+    add(None, full["MIT"] + "\nand more")
+    add(None, full["MIT"].replace("COPYRIGHT HOLDERS BE", "COPYRIGHT HOLDERS NOT BE"))
+    add(None, "MIT License")
+    got = {r.doc_id: r.whole_licence for r in licences.scan(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert [(i, data[i][1][:200]) for i in want if got[i] != want[i]] == []
+
+
 # 9, 10 classifiers
 
 
