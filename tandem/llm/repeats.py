@@ -11,6 +11,7 @@ array, which shows the strings that occur again.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,7 @@ STEP = 1 << 18  # text bytes handled at once
 PIECE = 1 << 22  # starts handled at once; positions take 24 bits
 LANE_SEGMENTS = 16  # different segments of one anchor that go into one suffix array
 BUCKET_BYTES = 4 << 20
+SEEN = 1 << 16  # texts a task remembers at once to drop their copies
 MAP_BITS = 26  # of the bit maps that keep rows out of a shuffle; their size is the same for any input
 
 
@@ -103,15 +105,31 @@ def _texts(part: pa.RecordBatch) -> tuple[list[bytes], np.ndarray]:
 
 
 def _packed(docs: DataFrame, keep: list[str], text: str, bits) -> DataFrame:
-    """``keep``, the digest and the compressed bytes of the texts whose digest is in a bit map."""
+    """``keep``, the digest and the compressed bytes of the texts whose digest is in a bit map.
+
+    Without ``keep`` a task leaves out the copies of texts it remembers.
+    """
     kinds = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
+        seen: set[bytes] = set()
+
+        def new(text: bytes) -> bool:
+            d = hashlib.sha256(text).digest()
+            if d in seen:
+                return False
+            if len(seen) >= SEEN:
+                seen.clear()
+            seen.add(d)
+            return True
+
         for batch in batches:
             for part in slices(batch, "__text", STEP):
                 texts, t1 = _texts(part)
                 at = np.flatnonzero(in_map(bits.value, t1))
+                if not keep:
+                    at = np.array([i for i in at if new(texts[i])], np.int64)
                 take = pa.array(at)
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c).take(take) for c in keep), pa.array(t1[at]), pa.array([pack.compress(texts[i]) for i in at], pa.binary())],
@@ -160,15 +178,26 @@ HITS = "anchor long, s1 long, runs array<int>"
 
 
 def _contents(asked: DataFrame, window: int) -> DataFrame:
-    """The bytes of the wanted segments of the texts (packed, wanted); a text that only shares the digest gives none."""
+    """The bytes of the wanted segments of the texts (t1, packed, wanted); a text that only shares the digest gives none.
+
+    Rows of one t1 come one after another; of equal texts only the first is read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
+        last, done = None, set()
         for batch in batches:
             for i in range(0, batch.num_rows, 200):
                 rows = []
-                for packed, wanted in zip(batch.column("packed").slice(i, 200), batch.column("wanted").slice(i, 200).to_pylist()):
-                    raw = unpack.decompress(packed.as_py())
+                part = batch.slice(i, 200)
+                for t1, packed, wanted in zip(*(part.column(c) for c in ("t1", "packed", "wanted"))):
+                    t1, packed = t1.as_py(), packed.as_py()
+                    if t1 != last:
+                        last, done = t1, set()
+                    if packed in done:
+                        continue
+                    done.add(packed)
+                    raw, wanted = unpack.decompress(packed), wanted.as_py()
                     for w in wanted:
                         content = raw[w["at"] // 256 : w["at"] // 256 + w["at"] % 256 + window - 1]
                         if digest(content) == w["s1"]:
@@ -251,7 +280,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
     asked = mixed_up.select(F.col("first.t1").alias("t1"), "anchor", "s1", F.col("first.at").alias("at"), (F.col("c") > 1).alias("again"))
     wanted = asked.groupBy("t1").agg(F.collect_list(F.struct("anchor", "s1", "at", "again")).alias("wanted"))
     texts = _packed(docs, [], text, share(bit_map(asked, "t1")))
-    held = settle(_contents(texts.join(wanted, "t1").select("packed", "wanted"), window))
+    # Merged, never broadcast: copies of a text from all tasks follow one another and give their segments once.
+    held = settle(_contents(texts.join(wanted.hint("merge"), "t1").select("t1", "packed", "wanted"), window))
 
     def part(inside: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -98,6 +98,27 @@ def test_repeats_with_a_hot_passage(spark):
     assert all((r.n_bytes, [tuple(s) for s in r.spans], bytes(r.kept)) == want[r.doc_id] for r in got)
 
 
+def test_copies_give_their_segments_once(spark, monkeypatch):
+    rnd = random.Random(3)
+    text = prose(rnd, 150)
+    near = text[:600] + "changed" + text[607:]
+    rows = list(enumerate([text] * 60 + [near]))
+    held = []
+
+    def kept(df, settle=repeats.settle):
+        out = settle(df)
+        if out.columns == ["anchor", "s1", "again", "content"]:
+            held.append((out.count(), out.select("anchor", "s1").distinct().count()))
+        return out
+
+    monkeypatch.setattr(repeats, "settle", kept)
+    got = repeats.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    want = list(brute_repeats([t for _, t in rows], 200))
+    assert len(got) == len(rows)
+    assert all((r.n_bytes, [tuple(s) for s in r.spans], bytes(r.kept)) == want[r.doc_id] for r in got)
+    assert len(held) == 1 and held[0][0] == held[0][1] > 0
+
+
 @pytest.mark.parametrize("letters", [1, 2, 3, 25])
 def test_suffix_arrays(letters):
     rnd = random.Random(letters)
