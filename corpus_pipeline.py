@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.llm import bpe, exact, quality, simhash, tiling
-from tandem.llm.common import table, whole
+from tandem.llm.common import settle, table, whole
 from tandem.llm.queries import tokenizer_file
 
 ORACLE_SQL = None  # the classifier and the fingerprint links have no SQL
@@ -55,8 +55,8 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the ``documents`` of a folder."""
+    """All stages over the ``documents`` of a folder, each written and read again: a stage may read its input twice."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs = settle(stage(spark, docs, sf_dir))
     return docs

@@ -68,7 +68,8 @@ def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", salt
 
     The same three stages; the winner's other columns travel with its text, so
     nothing is joined back. A null key only wins where all keys are null; of
-    rows that share key and text one stays.
+    rows that share the key the hash of the raw text decides, and of rows that
+    share key and text one stays.
     """
     norm = F.regexp_replace(whole(text), SPACE, " ")
     same = F.col(text).eqNullSafe(F.col("__norm"))
@@ -77,7 +78,7 @@ def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", salt
         .select(
             "__norm", F.sha2("__norm", 256).alias("__digest"),
             F.pmod(F.xxhash64(key), F.lit(salts)).cast("int").alias("__salt"),
-            F.struct(F.col(key).isNull(), F.col(key)).alias("__order"),
+            F.struct(F.col(key).isNull(), F.col(key), F.xxhash64(text)).alias("__order"),
             # The text itself only where normalising changed it.
             F.struct(
                 *[F.col(f"`{c}`") for c in docs.columns if c != text], same.alias("__same"), F.when(~same, F.col(text)).alias("__raw")

@@ -547,3 +547,26 @@ def test_stages_keep_columns_and_take_odd_rows(spark, rows, nothing):
             kept = stage(spark, kept, SF)
             assert kept.columns == docs.columns
         assert corpus_pipeline.STAGES[-1][1](spark, kept, SF).where("not round_trip").count() == 0
+
+
+def test_stages_are_written_and_ties_have_one_winner(spark, monkeypatch):
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            runs.add(b.num_rows)
+            yield b
+
+    stages = [
+        ("count", lambda s, d, f: d.select("doc_id").mapInArrow(counted, "doc_id long")),
+        ("twice", lambda s, d, f: d.unionByName(d.withColumn("doc_id", -F.col("doc_id")))),
+    ]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
+    n = spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert corpus_pipeline.run(spark, SF).count() == 2 * n and runs.value == n
+    rows = [(1, "a b"), (1, "a  b"), (1, "a\tb"), (None, "c d"), (None, "c\nd")]
+    won = [
+        {r.text for r in exact.first_of_each(spark.createDataFrame(given, "doc_id long, text string").coalesce(1)).collect()}
+        for given in (rows, rows[::-1], rows[1:] + rows[:1])
+    ]
+    assert won[0] == won[1] == won[2] and len(won[0]) == 2
