@@ -293,14 +293,14 @@ def l08(t):
     """Split, scale, fit, threshold on validation, every metric on both splits, per seed."""
     e = t.embeddings.select("vec_id", F.col("embedding").alias("vec"), (F.col("label") >= 5).alias("y"))
     e = e.withColumn(OFF, ~F.col("y")).withColumn(ON, F.col("vec_id") % 4 != 0)
-    metrics, _, _ = experiment.run_probe(e, "vec", "y", "vec_id", [42, 1, 2, 3, 4], n_boot=50)
+    metrics, _, _ = experiment.run_probe(e, "vec", "y", "vec_id", [42, 1, 2, 3, 4], n_boot=2000)
     return metrics
 
 
 @query("l09_baseline_summary", f"""with {EVT}, f as (select *, not correct_off as y, s as seed from evt, (values (42), (1), (2), (3), (4)) z(s)), sp as {_split_sql('f', 'seed', 'seed::varchar', 'event_id', 'y')},
  long as (select 'a' as scorer, seed, split, score_a as s, y, event_id from sp where split <> 'train' union all select 'conf', seed, split, -conf, y, event_id from sp where split <> 'train'),
  pt as (select scorer, seed, split, u/nullif(p*n,0) as v from {auroc_sql('long', 'scorer, seed, split', 'y', 's')}),
- cells as (select scorer, seed, s, y, count(*) as c, min(event_id) as key from long where split = 'test' group by all), {draws('cells', 'scorer, seed, s, y', 40)},
+ cells as (select scorer, seed, s, y, count(*) as c, min(event_id) as key from long where split = 'test' group by all), {draws('cells', 'scorer, seed, s, y', 2000)},
  reps as (select scorer, seed, b, u/nullif(p*n,0) as v from {auroc_sql('drawn', 'scorer, seed, b', 'y', 's', 'w')}),
  ci as (select scorer, seed, quantile_cont(v, 0.025) as lo, quantile_cont(v, 0.975) as hi from reps group by all), ca as (select scorer, avg(lo) as ci_lo, avg(hi) as ci_hi from ci group by scorer)
  select pt.scorer, avg(v) filter (where split = 'test') as test_auroc, stddev_samp(v) filter (where split = 'test') as test_sd, avg(v) filter (where split = 'val') as val_auroc,
@@ -310,7 +310,7 @@ def l09(t):
     e = t.evt().withColumn("y", ~F.col(OFF)).withColumn("neg", -F.col("conf"))
     rows = splits.seed_splits(e, [42, 1, 2, 3, 4], "y", "event_id").where("split <> 'train'")
     held = boot.long_scorers(rows, ["seed", "split", "y", "event_id"], {"a": "score_a", "conf": "neg"})
-    return experiment.baseline_summary(held, "y", "event_id", 40)
+    return experiment.baseline_summary(held, "y", "event_id", 2000)
 
 
 @query("k06_layer_sweep")

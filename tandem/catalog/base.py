@@ -254,6 +254,46 @@ def draws(cells: str, cols: str, n_boot: int, seed: int = 0) -> str:
   join firsts using (p) group by all)"""
 
 
+def tree_draws(cells: str, cols: str, strata: str, n_boot: int, seed: int = 0, top: int = 17) -> str:
+    """CTEs for ``drawn(cols, b, w)``: exact resamples of the rows in ``cells`` (key, c), as functions.rand.multinomial_weights draws them.
+
+    Rows of a stratum (2^top at most) are leaves of a binary tree; each CTE splits the draws of one level's nodes.
+    """
+    part = f"partition by {strata} " if strata else ""
+    name = "concat_ws(':', " + ", ".join(f"coalesce({c.strip()}::varchar, '')" for c in strata.split(",")) + ")" if strata else "''"
+    order = f"{part}order by {h32(f"concat('{seed}:pos:', cast(key as varchar))")}, key rows unbounded preceding"
+    out = [f"""placed as materialized (select *, z - c as a, sum(c) over ({part})::bigint as size from (
+  select *, {name} as stratum, sum(c) over ({order})::bigint as z from {cells})),
+ bounds as materialized (select distinct stratum, size, x from (select stratum, size, a as x from placed union all select stratum, size, z from placed) where x > 0 and x < size),
+ nodes as materialized (select *, ('0x'||substr(h, 1, 8))::ubigint as w1, ('0x'||substr(h, 9, 8))::ubigint as w2, least(m, 1 << (e - 1)) as lf from (
+  select *, md5(concat('{seed}:', stratum, ':', e, ':', idx)) as h, least(size - (idx << e), 1 << e) as m from (
+   select distinct stratum, size, e, x >> e as idx from bounds, range(1, {top + 1}) r(e) where x & ((1 << e) - 1) <> 0))),
+ shares as (select distinct lf // gcd(lf, m) as lf, m // gcd(lf, m) as m from nodes where lf < m),
+ pmf as (select lf, m, p, k, sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(q) + (n - k) * ln(1 - q))) over (partition by lf, m, p order by k) as cdf from (
+  select lf, m, p, n, q, unnest(range(greatest(0, floor(n * q - reach))::bigint, least(n, floor(n * q + reach))::bigint + 1)) as k from (
+   select *, 12 * sqrt(n * q * (1 - q)) + 40 as reach from (select lf, m, p, (1 << p) as n, lf::double / m as q from shares, range({top + 1}) d(p)
+    where p <= (select floor(log2(greatest(max(size), 1))) from nodes))))),
+ firsts as (select lf, m, p, min(k) as k0 from pmf group by lf, m, p),
+ counters as materialized (select b, p, k from {_scrambled(f"(select b, p from range({n_boot}) r(b), range({top + 1}) d(p))", "((b * 64 + p + 1) & 4294967295)::ubigint", "k")})"""]
+    for e in range(top, 0, -1):
+        source = f"nodes n, range({n_boot}) r(b)" if e == top else f"nodes n join split{e + 1} u on u.stratum = n.stratum and u.idx = n.idx >> 1"
+        drawn = "size" if e == top else "case when n.idx & 1 = 0 then l else c - l end"
+        high = _scrambled(f"(select h.stratum, h.idx, h.b, h.p, h.lf, h.m, w1, w2, t.k from halves{e} h join counters t on t.b = h.b and t.p = h.p)", "xor(w1, k)", "hi")
+        low = _scrambled(high, "xor(hi, w2)", "lo")
+        out.append(f"""drawn{e} as materialized (select n.stratum, n.idx, b, {drawn} as c, lf, m, w1, w2 from {source} where n.e = {e}),
+ halves{e} as (select stratum, idx, b, p, lf // gcd(lf, m) as lf, m // gcd(lf, m) as m, w1, w2 from drawn{e}, range({top + 1}) d(p) where lf < m and (c >> p) & 1 = 1),
+ went{e} as (select stratum, idx, b, sum(coalesce(t.k + 1, f.k0))::bigint as l from (select *, (hi::double * 2097152 + (lo >> 11)::double) / 9007199254740992.0::double as u from {low}) y
+  asof left join pmf t on y.lf = t.lf and y.m = t.m and y.p = t.p and y.u >= t.cdf join firsts f on f.lf = y.lf and f.m = y.m and f.p = y.p group by stratum, idx, b),
+ split{e} as materialized (select d.stratum, d.idx, d.b, c, case when lf = m then c else coalesce(l, 0) end as l from drawn{e} d left join went{e} w on w.stratum = d.stratum and w.idx = d.idx and w.b = d.b)""")
+    every = " union all ".join(f"select {e} as e, stratum, idx, b, l from split{e}" for e in range(1, top + 1))
+    out.append(f"""before as materialized (select x.stratum, x.x, s.b, sum(l)::bigint as f from (select stratum, x, e from bounds, range(1, {top + 1}) r(e) where (x >> (e - 1)) & 1 = 1 and x & ((1 << e) - 1) <> 0) x
+  join ({every}) s on s.stratum = x.stratum and s.e = x.e and s.idx = x.x >> x.e group by x.stratum, x.x, s.b),
+ drawn as (select {cols}, b, (case when z = size then size else fz end - case when a = 0 then 0 else fa end)::double as w from (
+  select p.*, r.b, o.f as fz, i.f as fa from (placed p cross join range({n_boot}) r(b)) left join before o on o.stratum = p.stratum and o.x = p.z and o.b = r.b
+   left join before i on i.stratum = p.stratum and i.x = p.a and i.b = r.b))""")
+    return ",\n ".join(out)
+
+
 def auroc_sql(src: str, by: str, y: str = "y", score: str = "s", weight: str = "1.0::double") -> str:
     """Subquery: by, p, n, u from rows (y boolean)."""
     keys = f"{by}, " if by else ""

@@ -1,10 +1,11 @@
 """Queries for bootstrap intervals and seed summaries."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..columns import count_if, gain, join_on, ratio
 from ..operators import boot, calib, rank
-from .base import DOC, EVT, auroc_sql, draws, h32, nauc_sql, query, segments_sql
+from .base import DOC, EVT, auroc_sql, draws, nauc_sql, query, segments_sql, tree_draws
 from .rank import wilson_sql
 
 OFF, ON = "correct_off", "correct_on"
@@ -15,29 +16,33 @@ def _y(t):
     return t.evt().withColumn("y", ~F.col(OFF)).withColumn("s", -F.col("conf"))
 
 
-@query("r01_resample_strata", f"""with {DOC}, placed as (select *, row_number() over (partition by correct_off
- order by {h32("concat('0:pos:', cast(doc_id as varchar))")}, doc_id) as rn, count(*) over (partition by correct_off) as tot from doc),
- slots as (select correct_off, b, ('0x'||substr(md5(concat('0:', b, ':', correct_off::varchar, ':', rn)), 1, 15))::bigint % tot + 1 as pick
-  from placed, range(100) r(b))
- select b, count(*) as n, sum(p.correct_off::int)::bigint as n_off, avg((p.correct_on::int - p.correct_off::int)::double) as mean_gain
- from slots s join placed p on s.correct_off = p.correct_off and s.pick = p.rn group by b""", "mean_gain")
+_DOC_ROWS = "cells as (select *, doc_id as key, 1 as c from doc)"
+_GAIN = "(correct_on::int - correct_off::int)"
+
+
+@query("r01_resample_strata", f"""with {DOC}, {_DOC_ROWS}, {tree_draws('cells', 'correct_off, correct_on', 'correct_off', B)}
+ select b, sum(w)::bigint as n, sum(w*correct_off::int)::bigint as n_off, sum(w*{_GAIN})/sum(w) as mean_gain from drawn group by b""", "mean_gain")
 def r01(t):
     """Exact resample that keeps the size of each outcome class."""
-    got = boot.exact_weights(t.doc(), [OFF], "doc_id", 100, 0).withColumn("g", gain(OFF, ON))
-    return got.groupBy("b").agg(
-        F.sum("w").alias("n"), F.sum(F.col("w") * F.col(OFF).cast("int")).alias("n_off"),
-        ratio(F.sum(F.col("w") * F.col("g")), F.sum("w")).alias("mean_gain"))
+    cells = t.doc().withColumn("c", F.lit(1)).withColumnRenamed("doc_id", "key")
+    got = boot.exact_sums(cells, [], [OFF], {"n": F.lit(1), "n_off": F.col(OFF).cast("int"), "g": gain(OFF, ON)}, B)
+    return got.select("b", F.col("n").cast("bigint").alias("n"), F.col("n_off").cast("bigint").alias("n_off"), F.try_divide("g", "n").alias("mean_gain"))
 
 
-@query("r01_resample_rows", f"""with {DOC}, placed as (select *, row_number() over (
- order by {h32("concat('0:pos:', cast(doc_id as varchar))")}, doc_id) as rn, count(*) over () as tot from doc),
- slots as (select b, ('0x'||substr(md5(concat('0:', b, ':', rn)), 1, 15))::bigint % tot + 1 as pick from placed, range(2000) r(b)),
- reps as (select b, avg((p.correct_on::int - p.correct_off::int)::double) as v from slots s join placed p on s.pick = p.rn group by b)
+@query("r01_resample_rows", f"""with {DOC}, {_DOC_ROWS}, {tree_draws('cells', 'correct_off, correct_on', '', B)},
+ reps as (select b, sum(w*{_GAIN})/sum(w) as v from drawn group by b)
  select quantile_cont(v, 0.025) as ci_lo, quantile_cont(v, 0.975) as ci_hi, count(v) as n_boot from reps""", "ci_lo ci_hi")
 def r01_rows(t):
-    got = boot.exact_weights(t.doc(), [], "doc_id", 2000, 0).withColumn("g", gain(OFF, ON))
-    reps = got.groupBy("b").agg(ratio(F.sum(F.col("w") * F.col("g")), F.sum("w")).alias("v"))
-    return boot.percentile_interval(reps, [])
+    cells = t.doc().withColumn("c", F.lit(1)).withColumnRenamed("doc_id", "key")
+    got = boot.exact_sums(cells, [], [], {"n": F.lit(1), "g": gain(OFF, ON)}, B)
+    return boot.percentile_interval(got.select("b", F.try_divide("g", "n").alias("v")), [])
+
+
+@query("r01_row_weights", f"""with {DOC}, {_DOC_ROWS}, {tree_draws('cells', 'doc_id', 'correct_off', 20)}
+ select doc_id, b, w::bigint as w from drawn where w > 0""", "", "b")
+def r01_weights(t):
+    """The resamples themselves: every drawn row with its multiplicity."""
+    return boot.exact_weights(t.doc().select("doc_id", OFF), [OFF], "doc_id", 20).select("doc_id", "b", "w")
 
 
 _GAIN_CELLS = "cells as (select family, correct_off, correct_on, count(*) as c, min(event_id) as key from evt group by all)"
@@ -53,6 +58,26 @@ def r02(t):
     return boot.percentile_interval(sums.select("family", "b", F.try_divide("g", "w").alias("v")), ["family"])
 
 
+_STRATA_CELLS = "cells as (select family, task, correct_off, correct_on, count(*) as c, min(event_id) as key from evt group by all)"
+_STRATA_DRAWS = tree_draws("cells", "family, task, correct_off, correct_on", "family, task", 2000)
+
+
+@query("r02_stratified_interval", f"""with {EVT}, {_STRATA_CELLS}, {_STRATA_DRAWS},
+ per as (select family, b, task, sum(w) as n, sum(w*{_GAIN}) as g from drawn group by family, b, task),
+ reps as (select family, b, sum(g)/sum(n) as v from per group by family, b), kept as (select family, max(lo = hi) as fixed from (
+  select family, task, min(n) as lo, max(n) as hi from per group by family, task) group by family)
+ select family, fixed, ci_lo, ci_hi, n_boot from (select family, {_CI} from reps group by family) join kept using (family)""", "ci_lo ci_hi")
+def r02_strata(t):
+    """Mean gain per family, tasks as strata; ``fixed``: every stratum has its size in every replicate."""
+    cells = boot.cells(t.evt(), ["family"], ["task", OFF, ON], "event_id")
+    names = [r[0] for r in cells.select("task").distinct().orderBy("task").collect()]
+    own = {f"n_{k}": (F.col("task") == name).cast("int") for k, name in enumerate(names)}
+    sums = boot.exact_sums(cells, ["family"], ["task"], {"g": gain(OFF, ON), "w": F.lit(1.0), **own}, 2000)
+    ci = boot.percentile_interval(sums.select("family", "b", F.try_divide("g", "w").alias("v")), ["family"])
+    same = sums.groupBy("family").agg(*[(F.min(n) == F.max(n)).alias(n) for n in own])
+    return join_on(ci, same.select("family", F.array_min(F.array(*own)).alias("fixed")), ["family"])
+
+
 _AUC_CELLS = "cells as (select family, conf, correct_off, count(*) as c, min(event_id) as key from evt group by all)"
 
 
@@ -77,12 +102,17 @@ def _paired_sql(reps: str, est: str, by: str) -> str:
        + _paired_sql("reps", "select family, avg(correct_on::int::double) - avg(correct_off::int::double) as estimate from evt group by family", "family"),
        "estimate ci_lo ci_hi se p_le_zero")
 def r04(t):
-    cells = boot.cells(t.evt(), ["family"], [OFF, ON], "event_id")
-    sums = boot.replicate_sums(cells, ["family"], {
-        "a": F.col(ON).cast("double"), "o": F.col(OFF).cast("double"), "w": F.lit(1.0)}, 2000)
-    reps = sums.select("family", "b", (F.try_divide("a", "w") - F.try_divide("o", "w")).alias("v"))
-    est = cells.groupBy("family").agg(ratio(F.sum(F.col("c") * gain(OFF, ON)), F.sum("c")).alias("estimate"))
-    return boot.paired_summary(est, reps, ["family"])
+    return boot.paired_mean(boot.cells(t.evt(), ["family"], [OFF, ON], "event_id"), ["family"], OFF, ON, 2000)
+
+
+@query("r04_stratified_paired", f"with {EVT}, {_STRATA_CELLS}, {_STRATA_DRAWS}, "
+       f"reps as (select family, b, sum(w*{_GAIN})/sum(w) as v from drawn group by family, b) "
+       + _paired_sql("reps", "select family, avg(correct_on::int::double) - avg(correct_off::int::double) as estimate from evt group by family", "family"),
+       "estimate ci_lo ci_hi se p_le_zero")
+def r04_strata(t):
+    """The paired difference of r04, tasks as strata."""
+    cells = boot.cells(t.evt(), ["family"], ["task", OFF, ON], "event_id")
+    return boot.paired_mean(cells, ["family"], OFF, ON, 2000, strata=["task"])
 
 
 _TWO = """long as (select task, 'a' as scorer, score_a as s, not correct_off as y, c, key from cells
@@ -105,14 +135,41 @@ _CURVE_LONG = """long as (select 'a' as scorer, score_a as s, correct_off, corre
  union all select 'b', score_b, correct_off, correct_on, c, key from cells)"""
 
 
-@query("r06_paired_nauc_difference", f"""with {EVT}, {_CURVE_CELLS}, {_CURVE_LONG}, {draws('long', 'scorer, s, correct_off, correct_on', 1000)},
+@query("r06_paired_nauc_difference", f"""with {EVT}, {_CURVE_CELLS}, {_CURVE_LONG}, {draws('long', 'scorer, s, correct_off, correct_on', B)},
  v as (select scorer, b, nauc as v from {nauc_sql(segments_sql('drawn', 'scorer, b', 's', 'w'), 'scorer, b')}),
  reps as (select b, max(v) filter (where scorer = 'a') - max(v) filter (where scorer = 'b') as v from v group by b),
  pt as (select scorer, nauc as v from {nauc_sql(segments_sql('long', 'scorer', 's', 'c::double'), 'scorer')})
  select (select max(v) filter (where scorer='a') - max(v) filter (where scorer='b') from pt) as estimate, {_CI},
   stddev_samp(v) as se, avg((v <= 0)::int::double) as p_le_zero from reps""", "estimate ci_lo ci_hi se p_le_zero")
 def r06(t):
-    return boot.paired_nauc(t.evt(), [], OFF, ON, {"a": "score_a", "b": "score_b"}, "a", "b", "event_id", 1000)
+    return boot.paired_nauc(t.evt(), [], OFF, ON, {"a": "score_a", "b": "score_b"}, "a", "b", "event_id", B)
+
+
+def _distinct(values: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted values and the weights (values x replicates) they have in all."""
+    at, place = np.unique(values, return_inverse=True)
+    out = np.zeros((len(at), w.shape[1]))
+    np.add.at(out, place, w)
+    return at, out
+
+
+def _median(state) -> np.ndarray:
+    """The median of every replicate, from weights by value."""
+    values, w = state
+    upto = np.cumsum(w, 0)
+    low, high = ((upto[-1] - 1) // 2, upto[-1] // 2)
+    return (values[(upto <= low).sum(0)] + values[(upto <= high).sum(0)]) / 2
+
+
+#: init, update, merge, finish; a state holds one row per distinct value.
+MEDIAN = (
+    lambda n: (np.zeros(0), np.zeros((0, n))),
+    lambda state, rows, w: _distinct(np.r_[state[0], rows["score"]], np.vstack([state[1], w])),
+    lambda a, b: _distinct(np.r_[a[0], b[0]], np.vstack([a[1], b[1]])),
+    _median,
+)
+_MEDIAN_SQL = """stacked as (select b, score, sum(w) over (partition by b order by score) as upto, sum(w) over (partition by b) as n from (select b, score, sum(w) as w from drawn group by b, score)),
+ reps as (select b, (min(score) filter (where upto > (n - 1) // 2) + min(score) filter (where upto > n // 2))/2 as v from stacked group by b)"""
 
 
 @query("r07_within_group_interval", f"""with {EVT}, cells as (select task, family, conf, correct_off, count(*) as c, min(event_id) as key from evt group by all),
@@ -139,15 +196,12 @@ def r09(t):
     return boot.seed_average(per, [])
 
 
-@query("r10_user_statistic", f"""with {DOC}, placed as (select *, row_number() over (
- order by {h32("concat('0:pos:', cast(doc_id as varchar))")}, doc_id) as rn, count(*) over () as tot from doc),
- slots as (select b, ('0x'||substr(md5(concat('0:', b, ':', rn)), 1, 15))::bigint % tot + 1 as pick from placed, range(200) r(b)),
- reps as (select b, quantile_cont(p.score, 0.5::double) as v from slots s join placed p on s.pick = p.rn group by b)
+@query("r10_user_statistic", f"""with {DOC}, {_DOC_ROWS}, {tree_draws('cells', 'score', '', B)}, {_MEDIAN_SQL}
  select {_CI} from reps""", "ci_lo ci_hi")
 def r10(t):
-    """A Python statistic: the median score of the resampled rows."""
+    """A Python statistic that folds: the median score of the resampled rows."""
     d = t.doc().select("doc_id", "score")
-    return boot.percentile_interval(boot.user_statistic(d, lambda p: p["score"].median(), "doc_id", 200), [])
+    return boot.percentile_interval(boot.user_statistic(d, ["score"], *MEDIAN, "doc_id", B), [])
 
 
 @query("a05_mean_interval", f"""with {EVT}, a as (select family, task, u/nullif(p*n,0) as v from {auroc_sql('evt', 'family, task', '(not correct_off)', '-conf')}),

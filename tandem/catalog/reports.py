@@ -147,6 +147,37 @@ def v10_diff(t):
     return headroom.report(scored, "event_id", 1000)[1]
 
 
+_HEAD_FOLDS = """f as (select *, (correct_on::int - correct_off::int)::double as g, -conf as x, case when pos < (n % 5) * (n // 5 + 1) then pos // (n // 5 + 1)
+ else (n % 5) + (pos - (n % 5) * (n // 5 + 1)) // (n // 5) end as fold from (select *, row_number() over (order by ('0x'||substr(md5(concat('0:', cast(event_id as varchar))),1,8))::bigint, event_id) - 1 as pos, count(*) over () as n from evt))"""
+_HEAD = f"""{EVT}, {_HEAD_FOLDS}, c1 as (select k as fold, regr_slope(g, x) as b1, regr_intercept(g, x) as a1 from f, range(5) r(k) where fold <> k group by k),
+ c2 as (select k as fold, task, regr_slope(g, x) as b2, regr_intercept(g, x) as a2 from f, range(5) r(k) where fold <> k group by k, task),
+ routers as (select event_id, correct_off, correct_on, g as oracle, x as conf_raw, a1 + b1*x as conf_fit, a2 + b2*x as conf_family from f join c1 using (fold) join c2 using (fold, task)),
+ cells as (select correct_off, correct_on, conf_raw, conf_fit, conf_family, oracle, count(*) as c, min(event_id) as key from routers group by all),
+ long as ({" union all ".join(f"select '{r}' as scorer, {r} as s, correct_off, correct_on, c, key from cells" for r in headroom.ROUTERS)}),
+ {draws('long', 'scorer, s, correct_off, correct_on', 1000)}, seg as {segments_sql('drawn', 'scorer, b', 's', 'w')}, reps as (select * from {_router_sql('seg', 'scorer, b')}),
+ pseg as {segments_sql('long', 'scorer', 's', 'c::double')}, pts as (select * from {_router_sql('pseg', 'scorer')})"""
+
+
+def _head_scores(t):
+    """One feature: the pooled fit is a line, the family fit a line per task."""
+    return headroom.router_scores(_head_rows(t), ["t0", "t1", "t2", "t3"], "event_id", 0, ["mean_logprob"], ("mean_logprob",))
+
+
+@query("v10_one_feature", f"""with {_HEAD} select scorer as router, stat, max(p.value) as point, quantile_cont(r.value, 0.025) as ci_lo, quantile_cont(r.value, 0.975) as ci_hi,
+ count(r.value) as n_boot from reps r join pts p using (scorer, stat) group by scorer, stat""", "point ci_lo ci_hi")
+def v10_one(t):
+    return headroom.report(_head_scores(t), "event_id", 1000)[0]
+
+
+@query("v10_one_feature_differences", f"""with {_HEAD}, pairs as (select * from (values {", ".join(f"('{a}', '{b}')" for a, b in headroom.PAIRS)}) v(router_a, router_b)),
+ d as (select router_a, router_b, stat, b, x.value - y.value as v from pairs join reps x on x.scorer = router_a join reps y using (stat, b) where y.scorer = router_b),
+ pt as (select router_a, router_b, stat, x.value - y.value as point from pairs join pts x on x.scorer = router_a join pts y using (stat) where y.scorer = router_b)
+ select router_a, router_b, stat, max(point) as point, quantile_cont(v, 0.025) as ci_lo, quantile_cont(v, 0.975) as ci_hi, count(v) as n_boot, avg((v <= 0)::int::double) as p_le_zero
+ from d join pt using (router_a, router_b, stat) group by router_a, router_b, stat""", "point ci_lo ci_hi p_le_zero")
+def v10_one_diff(t):
+    return headroom.report(_head_scores(t), "event_id", 1000)[1]
+
+
 _R08_CELLS = "cells as (select score_a, score_b, correct_off, correct_on, count(*) as c, min(event_id) as key from evt group by all)"
 _R08_LONG = """long as (select 'a' as scorer, score_a as s, correct_off, correct_on, c, key from cells union all select 'b', score_b, correct_off, correct_on, c, key from cells)"""
 
@@ -199,7 +230,7 @@ def a24(t):
 @query("a24_tier_table_families", f"""with {_SETS} select set, family, count(*) as n, avg(1.0::double/n_options) as floor, avg(correct_on::int::double) - avg(s1_correct::int::double) as estimate
  from st group by set, family""", "floor estimate")
 def a24_family(t):
-    got = tiers.tier_table(_sets(t), ["set", "family"], "event_id", 10)
+    got = tiers.tier_table(_sets(t), ["set", "family"], "event_id", S)
     return got.where("stat = 'think_minus_s1'").select("set", "family", "n", "floor", "estimate")
 
 
@@ -218,12 +249,12 @@ _Q = f"select set, list_concat(list_concat([least(q[1], 0.0)], q[2:10]), [greate
  u as (select set, sum(n*abs(gap))/sum(n) as ece, max(abs(gap)) as mce from {_bins('st', f'select distinct set, {_U} as edges from st')} group by set),
  q as (select set, sum(n*abs(gap))/sum(n) as ece_quantile from {_bins('st', _Q)} group by set),
  a as (select set, u/nullif(p*n,0) as auroc from {auroc_sql('st', 'set', 's1_correct', 'p_max')}),
- cells as (select set, p_max, s1_correct, count(*) as c, min(event_id) as key from st group by all), {draws('cells', 'set, p_max, s1_correct', 30)},
+ cells as (select set, p_max, s1_correct, count(*) as c, min(event_id) as key from st group by all), {draws('cells', 'set, p_max, s1_correct', S)},
  reps as (select set, b, u/nullif(p*n,0) as v from {auroc_sql('drawn', 'set, b', 's1_correct', 'p_max', 'w')}), ci as (select set, quantile_cont(v, 0.025) as ci_lo, quantile_cont(v, 0.975) as ci_hi from reps group by set)
  select * from base join u using (set) join q using (set) join a using (set) join ci using (set)""",
        "mean_p_max accuracy mean_p_max_right mean_p_max_wrong overconfidence ece mce ece_quantile auroc ci_lo ci_hi")
 def a25(t):
-    return tiers.calibration_table(_sets(t), ["set"], "event_id", 30)
+    return tiers.calibration_table(_sets(t), ["set"], "event_id", S)
 
 
 _V07 = f"""{_SETS}, fam as (select set, family, avg((correct_on::int - s1_correct::int)::double) as fs from st group by set, family), sc as (select st.*, fs from st join fam using (set, family)),
@@ -252,7 +283,7 @@ def v07(t):
 
 @query("v07_routing_intervals", f"""with {_V07}, cells as (select set, s1_correct, correct_on, p_max, fs, count(*) as c, min(event_id) as key from sc group by all),
  long as (select set, 'conf' as scorer, -p_max as s, s1_correct, correct_on, c, key from cells union all select set, 'family', fs, s1_correct, correct_on, c, key from cells),
- {draws('long', 'set, scorer, s, s1_correct, correct_on', 100)},
+ {draws('long', 'set, scorer, s, s1_correct, correct_on', S)},
  v as (select set, scorer, b, nauc as v from {nauc_sql(segments_sql('drawn', 'set, scorer, b', 's', 'w', off='s1_correct'), 'set, scorer, b')}),
  d as (select set, b, max(v) filter (where scorer = 'conf') as own, max(v) filter (where scorer = 'conf') - max(v) filter (where scorer = 'family') as v from v group by set, b),
  pt as (select set, scorer, nauc as v from {nauc_sql(segments_sql('long', 'set, scorer', 's', 'c::double', off='s1_correct'), 'set, scorer')}),
@@ -262,7 +293,7 @@ def v07(t):
        "nauc_lo nauc_hi estimate ci_lo ci_hi se p_le_zero")
 def v07_ci(t):
     """nAUC interval of the confidence router and its paired difference to the family router."""
-    return tiers.routing_intervals(_sets(t), ["set"], "event_id", 100)
+    return tiers.routing_intervals(_sets(t), ["set"], "event_id", S)
 
 
 _GRID = """(select {k}, list_concat(list_sort(list_distinct(q)), ['infinity'::double]) as grid from (select {k}, quantile_cont(p_max, [""" + \
@@ -345,7 +376,7 @@ def l10(t):
         "input_dim": F.size("coef"), "threshold": F.lit(0.5)})
     tasks = e.select("task").distinct().withColumn("objective", F.lit("needs_thinking"))
     scored = compare.transfer_scores(probes, e, tasks)
-    return compare.evaluate_transfer(scored, "y", "vec_id", 30)[1]
+    return compare.evaluate_transfer(scored, "y", "vec_id", S)[1]
 
 
 _PAIRS = f"""a as (select family as objective, task, u/nullif(p*n,0) as auroc from {auroc_sql('evt', 'family, task', '(not correct_off)', '-conf')})"""
@@ -392,7 +423,7 @@ def l14(t):
 
 @query("r09_paired_predictions", f"""with {EVT}, f as (select *, not correct_off as y, sd as seed from evt, (values (42), (1), (2), (3), (4)) z(sd)), sp as {_split_sql('f', 'seed', 'seed::varchar', 'event_id', 'y')},
  te as (select * from sp where split = 'test'), cells as (select family, seed, y, score_a, score_b, count(*) as c, min(('0x'||substr(md5(sample_id),1,15))::bigint) as key from te group by all),
- long as (select family, seed, 'a' as scorer, score_a as s, y, c, key from cells union all select family, seed, 'b', score_b, y, c, key from cells), {draws('long', 'family, seed, scorer, s, y', 40)},
+ long as (select family, seed, 'a' as scorer, score_a as s, y, c, key from cells union all select family, seed, 'b', score_b, y, c, key from cells), {draws('long', 'family, seed, scorer, s, y', S)},
  v as (select family, seed, scorer, b, u/nullif(p*n,0) as v from {auroc_sql('drawn', 'family, seed, scorer, b', 'y', 's', 'w')}),
  d as (select family, seed, b, max(v) filter (where scorer = 'a') - max(v) filter (where scorer = 'b') as v from v group by family, seed, b),
  pt as (select family, seed, scorer, u/nullif(p*n,0) as v from {auroc_sql('long', 'family, seed, scorer', 'y', 's', 'c::double')}),
@@ -405,5 +436,5 @@ def r09_pred(t):
     rows = _seed_rows(t).select("family", "seed", "split", "sample_id", F.col("y").cast("int").alias("y"), "score_a", "score_b")
     a = rows.withColumnRenamed("score_a", "score").drop("score_b")
     b = rows.withColumnRenamed("score_b", "score").drop("score_a")
-    return compare.paired_difference(a, b, ["family"], 40)
+    return compare.paired_difference(a, b, ["family"], S)
 

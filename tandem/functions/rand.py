@@ -92,3 +92,73 @@ def poisson_weights(keys, counts, n_boot: int, seed: int) -> np.ndarray:
             u = uniforms((words[0][at], words[1][at]), n_boot, power)
             out[at] += first + np.searchsorted(steps, u, side="right")
     return out
+
+
+def uniforms_at(high: np.ndarray, low: np.ndarray, b: np.ndarray, part: int) -> np.ndarray:
+    """``uniforms`` of single (words, replicate) pairs."""
+    counter = _mixed((b.astype(np.uint64) * np.uint64(64) + np.uint64(part + 1)) & WORD)
+    high = _mixed(high ^ counter)
+    low = _mixed(high ^ low)
+    return (high * np.uint64(1 << 21) + (low >> np.uint64(11))).astype(np.float64) / float(1 << 53)
+
+
+@lru_cache(maxsize=512)
+def binomial_table(power: int, left: int, total: int) -> tuple[int, np.ndarray]:
+    """(first count, cumulative probabilities) of Binomial(2^power, left / total), all that doubles can tell from 0 and 1."""
+    n, p = 1 << power, left / total
+    reach = 12.0 * math.sqrt(n * p * (1.0 - p)) + 40.0
+    first = max(0, math.floor(n * p - reach))
+    counts = range(first, min(n, math.floor(n * p + reach)) + 1)
+    logs = [
+        math.lgamma(n + 1.0) - math.lgamma(k + 1.0) - math.lgamma(n - k + 1.0) + k * math.log(p) + (n - k) * math.log(1.0 - p)
+        for k in counts
+    ]
+    return first, np.cumsum(np.exp(logs))
+
+
+def _split(drawn: np.ndarray, left: np.ndarray, total: np.ndarray, keys: list[str], seed: int) -> np.ndarray:
+    """Of the draws that fall into each node (nodes x replicates), those of its left part, by binary digits as in poisson_weights."""
+    out = np.where((left == total)[:, None], drawn, 0)
+    words = key_words(keys, seed)
+    for share in np.unique(np.stack([left, total], 1)[left < total] // np.gcd(left, total)[left < total, None], axis=0).tolist():
+        own = np.flatnonzero((left < total) & (left * share[1] == total * share[0]))
+        counts = drawn[own]
+        for power in range(int(counts.max(initial=0)).bit_length()):
+            i, b = np.nonzero(counts >> power & 1)
+            if len(i):
+                first, steps = binomial_table(power, *share)
+                u = uniforms_at(words[0][own[i]], words[1][own[i]], b, power)
+                out[own[i], b] += first + np.searchsorted(steps, u, side="right")
+    return out
+
+
+def multinomial_weights(stratum: str, size: int, start: np.ndarray, end: np.ndarray, n_boot: int, seed: int) -> np.ndarray:
+    """How often ``size`` draws with replacement from ``size`` rows hit rows [start, end), for every replicate: exact.
+
+    The rows are the leaves of a binary tree; the draws of a node fall to its
+    left part binomially, by a number that hangs on (seed, stratum, node,
+    replicate) alone. So any task can tell the draws of its own rows, and all
+    tasks together draw ``size``. Only nodes with a given bound inside are split.
+    """
+    bounds, place = np.unique(np.concatenate([start, end]), return_inverse=True)
+    before = np.zeros((len(bounds), n_boot), np.int64)
+    before[bounds >= size] = size
+    live = np.flatnonzero((bounds > 0) & (bounds < size))
+    nodes, drawn = np.zeros(1, np.int64), np.full((1, n_boot), size, np.int64)
+    for power in range(max(size - 1, 0).bit_length(), 0, -1):
+        live = live[bounds[live] & ((1 << power) - 1) != 0]
+        if not len(live):
+            break
+        asked = bounds[live] >> power
+        own = np.unique(asked)
+        if power < max(size - 1, 0).bit_length():
+            at = np.searchsorted(nodes, own >> 1)
+            drawn = np.where((own & 1 == 1)[:, None], drawn[at] - gone[at], gone[at])
+        nodes = own
+        total = np.minimum(size - (nodes << power), 1 << power)
+        left = np.minimum(total, 1 << (power - 1))
+        gone = _split(drawn, left, total, [f"{stratum}:{power}:{n}" for n in nodes.tolist()], seed)
+        right = bounds[live] >> (power - 1) & 1 == 1
+        before[live[right]] += gone[np.searchsorted(nodes, asked[right])]
+    first, last = place[: len(start)], place[len(start) :]
+    return before[last] - before[first]

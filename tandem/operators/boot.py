@@ -2,7 +2,8 @@
 
 Two resamplers:
 
-* exact: n slots drawn with replacement, strata keep their sizes;
+* exact: as many draws with replacement as rows, in every stratum, by a tree of
+  binomial splits;
 * Poisson: every row is drawn Poisson(1) times. Rows that look the same to the
   statistic form one cell, and a cell of c rows is drawn Poisson(c) times, so
   the work grows with distinct cells and not with rows.
@@ -13,6 +14,7 @@ share their resamples, and retries or other partitionings change nothing.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,11 +23,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..checks import no_nan, require
+from ..checks import no_nan
 from ..columns import count_if, join_on, ratio, truth
-from ..functions.rand import hash60, poisson_weights, seeded
+from ..functions.rand import multinomial_weights, poisson_weights
 from ..session import settle
-from .ordered import numbered
+from .ordered import numbered, running
 from .curves import nauc, normalised, segments
 from .rank import auroc, concordance
 
@@ -34,23 +36,67 @@ _ELEMENTS = 2_000_000  # weights held at once by one task
 
 # --- exact resampling ------------------------------------------------------
 
+def _placed(cell_df: DataFrame, strata: list[str], key: str, seed: int) -> DataFrame:
+    """Cells with the rows they hold of their stratum: [__a, __z) of __n, in an order by the hash of their key."""
+    ranked = numbered(cell_df, strata, f"{seed}:pos", key, "__rn")
+    spot = running(ranked, strata, "__rn", ["c"])
+    text_of = F.concat_ws(":", *[F.coalesce(F.col(s).cast("string"), F.lit("")) for s in strata]) if strata else F.lit("")
+    return spot.select(
+        *cell_df.columns, text_of.alias("__stratum"), (F.col("cum_c") - F.col("c")).alias("__a"),
+        F.col("cum_c").alias("__z"), F.col("tot_c").alias("__n"),
+    )
+
+
+def _in_order(placed: DataFrame) -> DataFrame:
+    """Neighbouring cells in one task: they share most of their way down the tree."""
+    n_parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartitionByRange(n_parts, "__stratum", "__a").sortWithinPartitions("__stratum", "__a")
+
+
+def _tree_weights(pdf: pd.DataFrame, n_boot: int, seed: int) -> np.ndarray:
+    out = np.zeros((len(pdf), n_boot))
+    for (stratum,), at in _groups(pdf, ["__stratum"]):
+        own = pdf.iloc[at]
+        out[at] = multinomial_weights(
+            stratum, int(own["__n"].iloc[0]), own["__a"].to_numpy(np.int64), own["__z"].to_numpy(np.int64), n_boot, seed
+        )
+    return out
+
+
 def exact_weights(
     df: DataFrame, strata: list[str], row_id: str, n_boot: int, seed: int = 0
 ) -> DataFrame:
     """Rows of each replicate with their multiplicity: (df columns, b, w).
 
-    Each row draws one slot of its own stratum per replicate; drawn rows are
-    counted and joined back by position.
+    Every replicate draws as many rows of each stratum as there are, with
+    replacement. Tasks derive the draws of their own rows (see
+    functions.rand.multinomial_weights); no draw is shuffled.
     """
-    placed = numbered(df, strata, f"{seed}:pos", row_id, "__rn")
-    stratum = [F.coalesce(F.col(s).cast("string"), F.lit("")) for s in strata]
-    slots = placed.select(
-        *strata, "__rn", "tot___rn", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b")
-    )
-    # 60 bits: every row of a stratum of any size can be drawn.
-    pick = F.pmod(hash60(seeded(seed, F.col("b"), *stratum, F.col("__rn"))), F.col("tot___rn")) + 1
-    drawn = slots.groupBy(*strata, "b", pick.alias("__rn")).agg(F.count(F.lit(1)).alias("w"))
-    return join_on(drawn, placed, strata + ["__rn"]).select(*df.columns, "b", "w")
+    src = _in_order(_placed(df.withColumn("c", F.lit(1).cast("bigint")), strata, row_id, seed))
+    helpers = ["c", "__stratum", "__a", "__z", "__n"]
+    schema = T.StructType(_fields(df, df.columns) + [T.StructField("b", T.IntegerType()), T.StructField("w", T.LongType())])
+
+    def kernel(batches):
+        for batch in batches:
+            for pdf in _chunks(batch, n_boot):
+                w = _tree_weights(pdf, n_boot, seed).astype(np.int64)
+                i, b = np.nonzero(w)
+                out = pdf.drop(columns=helpers).iloc[i]
+                yield out.assign(b=b.astype(np.int32), w=w[i, b])
+
+    return src.mapInPandas(kernel, schema)
+
+
+def exact_sums(
+    cell_df: DataFrame, by: list[str], strata: list[str], sums: dict[str, Column], n_boot: int, seed: int = 0
+) -> DataFrame:
+    """As replicate_sums, from exact resamples of the rows in the cells (``c``, ``key``).
+
+    Each group of ``by`` and, inside it, each stratum keeps its number of rows in
+    every replicate: the cells of a stratum are drawn multinomially.
+    """
+    return _summed(_in_order(_placed(cell_df, [*by, *strata], "key", seed)), by, sums, n_boot, ["__stratum", "__a", "__z", "__n"],
+                   lambda pdf: _tree_weights(pdf, n_boot, seed))
 
 
 # --- Poisson resampling ----------------------------------------------------
@@ -79,11 +125,14 @@ def replicate_sums(
 
     Tasks add up their own cells first; only (by, b) partial sums are shuffled.
     """
+    src = cell_df.withColumn("key", F.col("key").cast("string"))
+    return _summed(src, by, sums, n_boot, ["c", "key"], lambda pdf: poisson_weights(pdf["key"].to_numpy(), pdf["c"].to_numpy(), n_boot, seed))
+
+
+def _summed(cell_df: DataFrame, by: list[str], sums: dict[str, Column], n_boot: int, used: list[str], weights: Callable) -> DataFrame:
+    """Sums over cells by the weights (cells x replicates) that ``weights`` gives for the columns ``used``."""
     names = list(sums)
-    src = cell_df.select(
-        *by, "c", F.col("key").cast("string").alias("key"),
-        *[v.cast("double").alias(n) for n, v in sums.items()],
-    )
+    src = cell_df.select(*by, *used, *[v.cast("double").alias(n) for n, v in sums.items()])
     schema = T.StructType(
         _fields(src, by)
         + [T.StructField("b", T.IntegerType())]
@@ -102,7 +151,7 @@ def replicate_sums(
         acc: dict[tuple, np.ndarray] = {}
         for batch in batches:
             for pdf in _chunks(batch, n_boot):
-                w = poisson_weights(pdf["key"].to_numpy(), pdf["c"].to_numpy(), n_boot, seed)
+                w = weights(pdf)
                 vals = pdf[names].to_numpy(dtype=float)
                 for group, at in _groups(pdf, by):
                     part = w[at].T @ vals[at]
@@ -237,6 +286,7 @@ def replicate_auroc(
 
 
 CURVE_SUMS = ["n", "gain", "base", "helped", "hurt"]
+_START = ["n0", "gain0", "n_all", "gain_all", "base_all"]
 
 
 def _curve_values(off: np.ndarray, on: np.ndarray) -> np.ndarray:
@@ -244,6 +294,64 @@ def _curve_values(off: np.ndarray, on: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(off)), on - off, off, (on > off) * 1.0, (off > on) * 1.0])
 
 
+class CurveReads:
+    """What is read from a curve, as sums, minima and maxima over its segments.
+
+    A segment is ``n`` rows with ``gain`` that begins after ``k0`` rows and
+    ``g0`` gain; a curve has n_all rows, gain_all and base_all right answers.
+    """
+
+    def __init__(self, ranges: dict, allowances: dict, fractions: dict):
+        self.ranges, self.allowances, self.fractions = ranges, allowances, fractions
+        self.names = [*(f"area_{x}" for x in ranges), *(f"min_{x}" for x in allowances), *(f"at_{x}" for x in fractions)]
+
+    @staticmethod
+    def fold(name: str):
+        """(over rows of numpy, over two arrays, over a column, of nothing)"""
+        return {"area": (np.sum, np.add, F.sum, 0.0), "min_": (np.min, np.minimum, F.min, np.inf),
+                "at_": (np.max, np.maximum, F.max, -np.inf)}[next(p for p in ("area", "min_", "at_") if name.startswith(p))]
+
+    def __call__(self, n, gain, k0, g0, n_all, gain_all, base):
+        """(name, one value per segment) for every read; arrays of any one shape, or that broadcast to it."""
+        k1 = k0 + n
+        with np.errstate(divide="ignore", invalid="ignore"):
+            step = np.where(n > 0, gain / n, 0.0)
+            accuracy = lambda x: (base + g0 + step * (x - k0)) / n_all
+            for name, (lo, hi) in self.ranges.items():
+                a, b = np.maximum(k0 / n_all, lo), np.minimum(k1 / n_all, hi)
+                piece = (b - a) * (accuracy(a * n_all) + accuracy(b * n_all)) / 2
+                yield f"area_{name}", np.where((n > 0) & (b > a), piece, 0.0)
+            for name, less in self.allowances.items():
+                need = ((base + gain_all) / n_all - less - 1e-9) * n_all - (base + g0)
+                up = np.ceil(k0 + need / np.where(step > 0, step, np.nan))
+                first = np.where(need <= 0, k0, np.where(up <= k1, up, np.inf))
+                yield f"min_{name}", np.where(n > 0, first, np.inf) / n_all
+            for name, f in self.fractions.items():
+                x = f * n_all
+                inside = (n > 0) & ((x > k0) & (x <= k1) if f > 0 else k0 == 0)
+                yield f"at_{name}", np.where(inside, accuracy(x), -np.inf)
+
+
+class _Run:
+    """Cells of one group in falling score, as segments; the last one stays open for what may follow."""
+
+    def __init__(self):
+        self.score, self.n, self.gain = None, None, None
+
+    def closed(self, s, w, gain):
+        """(scores, n, gain) of the segments that end before the last score of ``s``."""
+        at = np.r_[0, np.flatnonzero(np.diff(s)) + 1]
+        scores, n, g = s[at], np.add.reduceat(w, at, 0), np.add.reduceat(w * gain[:, None], at, 0)
+        if self.score is not None:
+            if self.score == scores[0]:
+                n[0] += self.n
+                g[0] += self.gain
+            else:
+                scores, n, g = np.r_[self.score, scores], np.vstack([self.n[None], n]), np.vstack([self.gain[None], g])
+        self.score, self.n, self.gain = scores[-1], n[-1], g[-1]
+        return scores[:-1], n[:-1], g[:-1]
+
+
 def replicate_curve_reads(
     cell_df: DataFrame, by: list[str], off: str, on: str, score: str, n_boot: int, seed: int = 0,
     ranges: dict[str, tuple[float, float]] | None = None, allowances: dict[str, float] | None = None,
@@ -254,124 +362,172 @@ def replicate_curve_reads(
     ``ranges`` give structs of normalised areas, ``allowances`` the fraction
     that suffices for always-on accuracy minus so much, ``fractions`` the accuracy there.
 
-    Cells lie in ranges of falling score. A first pass adds up each range per
-    replicate, which tells where in the curve every range begins; a second one
-    reads the segments of a range as matrices (segments x replicates). What is
-    shuffled is one row per range and replicate, never one per cell and replicate.
+    Cells lie in ranges of falling (score, key), so a hot tie is spread over
+    tasks. A first pass sums each range per replicate, and apart from that its
+    first and last score, which neighbours may share: summed over ranges, those
+    are whole segments, read as rows. A second pass streams each range from
+    where it begins in the curve and reads the segments inside as matrices
+    (segments x replicates). What is shuffled is a few rows per range and
+    replicate, never one per cell and replicate, and no task holds a range.
     """
-    ranges, allowances, fractions = ranges or {}, allowances or {}, fractions or {}
+    reads = CurveReads(ranges or {}, allowances or {}, fractions or {})
     src = cell_df.select(
         *by, no_nan(F.col(score).cast("double"), "router scores").alias("s"), truth(F.col(off)).alias("off"),
         truth(F.col(on)).alias("on"), "c", F.col("key").cast("string").alias("key"),
     )
     n_parts = int(cell_df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = settle(src.repartitionByRange(n_parts, *by, F.desc("s")).withColumn("pid", F.spark_partition_id()))
+    order = [*by, F.desc("s"), "key"]
+    dealt = settle(src.repartitionByRange(n_parts, *order).sortWithinPartitions(*order).withColumn("pid", F.spark_partition_id()))
     keys = ["pid", *by]
-    head = _fields(dealt, keys) + [T.StructField("b", T.IntegerType())]
-
-    def rows_of(pdf):
-        w = poisson_weights(pdf["key"].to_numpy(), pdf["c"].to_numpy(), n_boot, seed)
-        return w, _curve_values(pdf["off"].to_numpy(dtype=float), pdf["on"].to_numpy(dtype=float))
+    b_field = T.StructField("b", T.IntegerType())
+    doubles = lambda names: [T.StructField(x, T.DoubleType()) for x in names]
 
-    def framed(group, values: dict):
-        out = pd.DataFrame(values)
-        for name, value in zip(keys, group):
-            out[name] = [value] * len(out)
-        return out
-
-    def add_up(batches):
-        acc: dict[tuple, np.ndarray] = {}
+    def drawn(batches):
+        """(group, its rows, weights, values), chunk by chunk."""
         for batch in batches:
             for pdf in _chunks(batch, n_boot):
-                w, values = rows_of(pdf)
+                w = poisson_weights(pdf["key"].to_numpy(), pdf["c"].to_numpy(), n_boot, seed)
+                values = _curve_values(pdf["off"].to_numpy(dtype=float), pdf["on"].to_numpy(dtype=float))
                 for group, at in _groups(pdf, keys):
-                    part = w[at].T @ values[at]
-                    acc[group] = acc[group] + part if group in acc else part
-        for group, mat in acc.items():
-            yield framed(group, {"b": np.arange(n_boot, dtype=np.int32), **dict(zip(CURVE_SUMS, mat.T))})[[*keys, "b", *CURVE_SUMS]]
+                    yield group, pdf["s"].to_numpy()[at], w[at], values[at]
 
-    sums = T.StructType(head + [T.StructField(x, T.DoubleType()) for x in CURVE_SUMS])
-    parts = dealt.mapInPandas(add_up, sums).groupBy(*keys, "b").agg(*[F.sum(x).alias(x) for x in CURVE_SUMS])
-    before = Window.partitionBy(*by, "b").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    def framed(group, values: dict, columns):
+        out = pd.DataFrame({"b": np.arange(n_boot, dtype=np.int32), **values})
+        for name, value in zip(keys, group):
+            out[name] = [value] * n_boot
+        return out[columns]
+
+    ends = ["first_s", "last_s", "first_n", "first_gain", "last_n", "last_gain"]
+    summed = T.StructType(_fields(dealt, keys) + [b_field] + doubles([*CURVE_SUMS, *ends]))
+
+    def add_up(batches):
+        open_group, total, run, first = None, None, None, None
+
+        def done():
+            head = first or (run.score, run.n, run.gain)
+            return framed(open_group, {
+                **dict(zip(CURVE_SUMS, total.T)), "first_s": head[0], "first_n": head[1], "first_gain": head[2],
+                "last_s": run.score, "last_n": run.n, "last_gain": run.gain,
+            }, summed.names)
+
+        for group, s, w, values in drawn(batches):
+            if group != open_group:
+                if run is not None:
+                    yield done()
+                open_group, total, run, first = group, 0.0, _Run(), None
+            total = total + w.T @ values
+            scores, n, gain = run.closed(s, w, values[:, 1])
+            if first is None and len(scores):
+                first = scores[0], n[0], gain[0]
+        if run is not None:
+            yield done()
+
+    parts = dealt.mapInPandas(add_up, summed)
+    # A file may be read in parts: they follow one another by what they begin and end with.
+    place = Window.partitionBy(*by, "b").orderBy("pid", F.desc("first_s"), F.desc("last_s")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by, "b")
-    offsets = parts.select(
-        *keys, "b", *[F.coalesce(F.sum(x).over(before), F.lit(0.0)).alias(f"{x}0") for x in ("n", "gain")],
+    starts = settle(parts.select(
+        *keys, "b", *ends, "n", "gain",
+        *[F.coalesce(F.sum(x).over(place), F.lit(0.0)).alias(f"{x}0") for x in ("n", "gain")],
         *[F.sum(x).over(whole).alias(f"{x}_all") for x in CURVE_SUMS],
-    )
-    outs = [*(f"area_{x}" for x in ranges), *(f"min_{x}" for x in allowances), *(f"at_{x}" for x in fractions)]
+    ).where("n_all > 0"))
     totals = [f"{x}_all" for x in CURVE_SUMS]
 
-    def read(cells: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        made = []
-        starts = {g: start.iloc[at].sort_values("b") for g, at in _groups(start, keys)}
-        for group, at in _groups(cells, keys):
-            own = cells.iloc[at].sort_values(["s", "key"], ascending=[False, True])
-            made.append(framed(group, _read_range(own, starts[group])))
-        columns = [*keys, "b", *outs, *totals]
-        return pd.concat(made)[columns] if made else pd.DataFrame(columns=columns)
-
-    def _read_range(own, start):
-        n_all, gain_all, base = (start[f"{x}_all"].to_numpy() for x in ("n", "gain", "base"))
-        k, g = start["n0"].to_numpy().copy(), start["gain0"].to_numpy().copy()
-        got = {f"area_{x}": np.zeros(n_boot) for x in ranges}
-        got |= {f"min_{x}": np.full(n_boot, np.inf) for x in allowances} | {f"at_{x}": np.full(n_boot, -np.inf) for x in fractions}
-
-        def closed(n, gain):
-            """Segments with all their rows, in falling order of score."""
-            nonlocal k, g
-            k1, g1 = k + np.cumsum(n, 0), g + np.cumsum(gain, 0)
-            k0, g0 = k1 - n, g1 - gain
-            with np.errstate(divide="ignore", invalid="ignore"):
-                step = np.where(n > 0, gain / n, 0.0)
-                accuracy = lambda x: (base + g0 + step * (x - k0)) / n_all
-                for name, (lo, hi) in ranges.items():
-                    a, b = np.maximum(k0 / n_all, lo), np.minimum(k1 / n_all, hi)
-                    piece = (b - a) * (accuracy(a * n_all) + accuracy(b * n_all)) / 2
-                    got[f"area_{name}"] += np.where((n > 0) & (b > a), piece, 0.0).sum(0)
-                for name, less in allowances.items():
-                    need = ((base + gain_all) / n_all - less - 1e-9) * n_all - (base + g0)
-                    up = np.ceil(k0 + need / np.where(step > 0, step, np.nan))
-                    first = np.where(need <= 0, k0, np.where(up <= k1, up, np.inf))
-                    first = np.where(n > 0, first, np.inf).min(0) / n_all
-                    got[f"min_{name}"] = np.fmin(got[f"min_{name}"], first)
-                for name, f in fractions.items():
-                    x = f * n_all
-                    inside = (n > 0) & ((x > k0) & (x <= k1) if f > 0 else k0 == 0)
-                    got[f"at_{name}"] = np.maximum(got[f"at_{name}"], np.where(inside, accuracy(x), -np.inf).max(0))
-            k, g = k1[-1], g1[-1]
-
-        open_score, open_n, open_gain = None, None, None
-        for pdf in _chunks(own, n_boot):
-            w, values = rows_of(pdf)
-            s = pdf["s"].to_numpy()
-            first = np.r_[0, np.flatnonzero(np.diff(s)) + 1]
-            n, gain = np.add.reduceat(w, first, 0), np.add.reduceat(w * values[:, 1:2], first, 0)
-            if open_score is not None:
-                if open_score == s[0]:
-                    n[0] += open_n
-                    gain[0] += open_gain
-                else:
-                    n, gain = np.vstack([open_n[None], n]), np.vstack([open_gain[None], gain])
-            if len(n) > 1:
-                closed(n[:-1], gain[:-1])
-            open_score, open_n, open_gain = s[-1], n[-1], gain[-1]
-        closed(open_n[None], open_gain[None])
-        return {"b": np.arange(n_boot, dtype=np.int32), **got, **{t: start[t].to_numpy() for t in totals}}
-
-    shape = T.StructType(head + [T.StructField(x, T.DoubleType()) for x in [*outs, *totals]])
-    partial = dealt.groupBy("pid").cogroup(offsets.groupBy("pid")).applyInPandas(read, shape)
+    # The shared scores: one segment each, wherever its cells lie.
+    at_first = F.struct(F.col("first_s").alias("s"), F.col("first_n").alias("n"), F.col("first_gain").alias("gain"),
+                        F.col("n0").alias("k0"), F.col("gain0").alias("g0"))
+    at_last = F.struct(F.col("last_s").alias("s"), F.col("last_n").alias("n"), F.col("last_gain").alias("gain"),
+                       (F.col("n0") + F.col("n") - F.col("last_n")).alias("k0"), (F.col("gain0") + F.col("gain") - F.col("last_gain")).alias("g0"))
+    both = F.when(F.col("first_s") == F.col("last_s"), F.array(at_first)).otherwise(F.array(at_first, at_last))
+    ties = starts.select(*by, "b", *totals, F.explode(both).alias("t")).groupBy(*by, "b", F.col("t.s").alias("s")).agg(
+        F.sum("t.n").alias("n"), F.sum("t.gain").alias("gain"), F.min("t.k0").alias("k0"), F.min_by("t.g0", "t.k0").alias("g0"),
+        *[F.max(x).alias(x) for x in totals],
+    )
+    shape = T.StructType(_fields(dealt, by) + [b_field] + doubles(reads.names))
+
+    def read_ties(batches):
+        for pdf in batches:
+            got = reads(*(pdf[x].to_numpy() for x in ("n", "gain", "k0", "g0", "n_all", "gain_all", "base_all")))
+            yield pd.concat([pdf[[*by, "b"]], pd.DataFrame(dict(got), index=pdf.index)], axis=1)
+
+    # Where a range begins, per replicate, goes before its cells, with the scores that are read as ties.
+    begin = starts.groupBy(*keys, "b").agg(
+        F.min_by(F.struct("n0", "gain0"), F.struct(-F.col("first_s"), -F.col("last_s"))).alias("at"), *[F.max(x).alias(x) for x in _START[2:]],
+        F.collect_list("first_s").alias("f"), F.collect_list("last_s").alias("l"),
+    )
+    begin = begin.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("b", "at.n0", "at.gain0", *_START[2:]))).alias("r"),
+        F.array_union(F.max("f"), F.max("l")).alias("shared"),
+    ).select(*keys, *[F.col(f"r.{x}").alias(x) for x in ["b", *_START]], "shared")
+    blank = [F.lit(None).cast(begin.schema[x].dataType).alias(x) for x in ["b", *_START, "shared"]]
+    own = [x for x in dealt.columns if x not in keys]
+    streams = dealt.select(*keys, *own, *blank).unionByName(
+        begin.select(*keys, *[F.lit(None).cast(dealt.schema[x].dataType).alias(x) for x in own], *["b", *_START, "shared"])
+    ).repartitionById(n_parts, F.col("pid")).sortWithinPartitions("pid", *by, F.col("b").isNull(), F.desc("s"))
+
+    def read_inside(batches):
+        open_group, state, run, got = None, None, None, None
+
+        def cells():
+            nonlocal open_group, state, run, got
+            for batch in batches:
+                head = batch["b"].notna().to_numpy()
+                edges = np.r_[0, np.flatnonzero(head), len(batch)]
+                for a, z in zip(edges[:-1], edges[1:]):
+                    if a == z:
+                        continue
+                    if head[a]:
+                        if got is not None:
+                            yield "end", None
+                        row = batch.iloc[a]
+                        open_group = tuple(None if pd.isna(row[k]) else row[k] for k in keys)
+                        spread = {}
+                        for x in _START:  # replicates without rows have no start and are left out
+                            spread[x] = np.full(n_boot, np.nan)
+                            spread[x][np.asarray(row["b"], dtype=int)] = row[x]
+                        state, run = {**spread, "shared": np.asarray(row["shared"], dtype=float)}, _Run()
+                        got = {x: np.full(n_boot, reads.fold(x)[3]) for x in reads.names}
+                        a += 1
+                    if a < z:
+                        for pdf in _chunks(batch.iloc[a:z], n_boot):
+                            yield "cells", pdf
+            if got is not None:
+                yield "end", None
+
+        def finished():
+            out = framed(open_group, got, ["pid", *shape.names])
+            return out[~np.isnan(state["n_all"])][shape.names]
+
+        for what, pdf in cells():
+            if what == "end":
+                yield finished()
+                continue
+            w = poisson_weights(pdf["key"].to_numpy(), pdf["c"].to_numpy(), n_boot, seed)
+            gain = pdf["on"].to_numpy(dtype=float) - pdf["off"].to_numpy(dtype=float)
+            scores, n, g = run.closed(pdf["s"].to_numpy(dtype=float), w, gain)
+            if not len(scores):
+                continue
+            k0, g0 = state["n0"] + np.cumsum(n, 0) - n, state["gain0"] + np.cumsum(g, 0) - g
+            state["n0"], state["gain0"] = k0[-1] + n[-1], g0[-1] + g[-1]
+            inside = ~np.isin(scores, state["shared"])
+            if inside.any():
+                for name, value in reads(*(x[inside] for x in (n, g, k0, g0)), *(state[x] for x in _START[2:])):
+                    over, two = reads.fold(name)[:2]
+                    got[name] = two(got[name], over(value, axis=0))
+
+    partial = ties.mapInPandas(read_ties, shape).unionByName(streams.mapInPandas(read_inside, shape))
     named = lambda x: F.col(f"`{x}`")
-    fold = {"area": F.sum, "min": F.min, "at_": F.max}
-    merged = partial.where("n_all > 0").groupBy(*by, "b").agg(
-        *[next(f for p, f in fold.items() if x.startswith(p))(named(x)).alias(x) for x in outs], *[F.max(x).alias(x) for x in totals]
+    merged = join_on(
+        partial.groupBy(*by, "b").agg(*[reads.fold(x)[2](named(x)).alias(x) for x in reads.names]),
+        starts.groupBy(*by, "b").agg(*[F.max(x).alias(x) for x in totals]), [*by, "b"],
     )
     share = lambda c: F.col(f"{c}_all") / F.col("n_all")
     inf = float("inf")
     return merged.select(
         *by, "b",
-        *[normalised(named(f"area_{x}"), share("base"), share("gain"), share("helped"), share("hurt"), lo, hi).alias(x) for x, (lo, hi) in ranges.items()],
-        *[F.when(named(f"min_{x}") < inf, named(f"min_{x}")).otherwise(1.0).alias(x) for x in allowances],
-        *[F.when(named(f"at_{x}") > -inf, named(f"at_{x}")).alias(x) for x in fractions],
+        *[normalised(named(f"area_{x}"), share("base"), share("gain"), share("helped"), share("hurt"), lo, hi).alias(x) for x, (lo, hi) in reads.ranges.items()],
+        *[F.when(named(f"min_{x}") < inf, named(f"min_{x}")).otherwise(1.0).alias(x) for x in reads.allowances],
+        *[F.when(named(f"at_{x}") > -inf, named(f"at_{x}")).alias(x) for x in reads.fractions],
     )
 
 
@@ -420,6 +576,19 @@ def paired_summary(
     return join_on(join_on(estimate, ci, by), spread, by)
 
 
+def paired_mean(
+    cell_df: DataFrame, by: list[str], off: str, on: str, n_boot: int, seed: int = 0, strata: list[str] | None = None,
+    confidence: float = 0.95,
+) -> DataFrame:
+    """Mean of ``on`` minus mean of ``off`` on the same resamples; with ``strata`` each of them keeps its size."""
+    sums = {"a": truth(F.col(on)).cast("double"), "o": truth(F.col(off)).cast("double"), "w": F.lit(1.0)}
+    got = replicate_sums(cell_df, by, sums, n_boot, seed) if strata is None else exact_sums(cell_df, by, strata, sums, n_boot, seed)
+    reps = got.select(*by, "b", (F.try_divide("a", "w") - F.try_divide("o", "w")).alias("v"))
+    counted = lambda c: F.sum(F.when(truth(F.col(c)), F.col("c")).otherwise(0))
+    estimate = cell_df.groupBy(*by).agg(ratio(counted(on) - counted(off), F.sum("c")).alias("estimate"))
+    return paired_summary(estimate, reps, by, confidence)
+
+
 def long_scorers(df: DataFrame, keep: list[str], scorers: dict[str, str]) -> DataFrame:
     """One row per (row, scorer) with its ``score``; the other columns in ``keep`` stay."""
     return df.select(
@@ -457,25 +626,56 @@ def average_interval(df: DataFrame, by: list[str], lo: str = "ci_lo", hi: str =
 
 # --- user statistics -------------------------------------------------------
 
+BLOCK = 100  # replicates whose states meet in one group
+
+
 def user_statistic(
-    df: DataFrame, fn: Callable[[pd.DataFrame], float], row_id: str, n_boot: int,
-    seed: int = 0, max_rows: int = 1_000_000,
+    df: DataFrame, columns: list[str], init: Callable, update: Callable, merge: Callable, finish: Callable,
+    row_id: str, n_boot: int, seed: int = 0,
 ) -> DataFrame:
-    """b, v: any Python statistic of the resampled rows (rows repeated by their weight).
+    """b, v: any Python statistic of exact resamples that can be folded.
 
-    Arbitrary code needs a whole replicate in one task, so larger tables are
-    refused; use replicate_sums / replicate_pairs, which have no such limit.
+    ``init(n)`` makes the state of n replicates, ``update(state, rows, w)`` takes
+    rows (a frame of ``columns``) and their weights (rows x n), ``merge(a, b)``
+    joins two states and ``finish(state)`` gives n numbers. Tasks fold their own
+    rows; one state per task and block of replicates is shuffled, so the table
+    may be of any size as long as a state may.
     """
-    n = df.limit(max_rows + 1).count()
-    require(n <= max_rows, f"a user statistic takes at most {max_rows} rows; use replicate_sums")
-    drawn = exact_weights(df, [], row_id, n_boot, seed)
+    src = _in_order(_placed(df.select(row_id, *columns).withColumn("c", F.lit(1).cast("bigint")), [], row_id, seed))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(row_id)
-        rows = rows.loc[rows.index.repeat(rows["w"])]
-        return pd.DataFrame({"b": [pdf["b"].iloc[0]], "v": [float(fn(rows))]})
+    def fold(batches):
+        states = None
+        for batch in batches:
+            for pdf in _chunks(batch, n_boot):
+                w = _tree_weights(pdf, n_boot, seed)
+                cuts = range(0, n_boot, BLOCK)
+                states = states or [init(min(BLOCK, n_boot - a)) for a in cuts]
+                states = [update(s, pdf[columns], w[:, a : a + BLOCK]) for s, a in zip(states, cuts)]
+        if states:
+            yield pd.DataFrame({"block": range(len(states)), "state": [pickle.dumps(s) for s in states]})
+
+    def join(batches):
+        # Rows come by block; the states of a block are joined one after another.
+        block, state = None, None
+
+        def done():
+            values = np.asarray(finish(state), dtype=float)
+            return pd.DataFrame({"b": block * BLOCK + np.arange(len(values)), "v": values})
+
+        for pdf in batches:
+            for b, raw in zip(pdf["block"], pdf["state"]):
+                if b != block:
+                    if state is not None:
+                        yield done()
+                    block, state = b, pickle.loads(raw)
+                else:
+                    state = merge(state, pickle.loads(raw))
+        if state is not None:
+            yield done()
 
-    return drawn.groupBy("b").applyInPandas(one, "b int, v double")
+    n_blocks = -(-n_boot // BLOCK)
+    states = src.mapInPandas(fold, "block int, state binary").repartition(n_blocks, "block").sortWithinPartitions("block")
+    return states.mapInPandas(join, "b int, v double")
 
 
 # --- ready-made intervals --------------------------------------------------

@@ -38,16 +38,20 @@ def long_stats(read: DataFrame, by: list[str]) -> DataFrame:
     ])))
 
 
-def router_scores(rows: DataFrame, tasks: list[str], row_id: str, seed: int = 0) -> DataFrame:
+def router_scores(
+    rows: DataFrame, tasks: list[str], row_id: str, seed: int = 0, features: list[str] = FEATURES,
+    crossed: tuple[str, ...] = ("mean_logprob", "mean_entropy"),
+) -> DataFrame:
     """Adds the four router scores; the fitted ones are out of fold.
 
-    rows: task, correct_off, correct_on and the feature columns.
+    rows: task, correct_off, correct_on and the feature columns; the family
+    router also has task indicators and their products with ``crossed``.
     """
-    clean = clean_features(rows, FEATURES).withColumn("__gain", gain("correct_off", "correct_on").cast("double"))
-    crossed, extra = task_crosses(clean, tasks)
-    placed = folds(crossed, [], 5, seed, row_id)
-    fitted = cross_fit(placed, FEATURES, "__gain", out="conf_fit")
-    fitted = cross_fit(fitted, FEATURES + extra, "__gain", out="conf_family")
+    clean = clean_features(rows, features).withColumn("__gain", gain("correct_off", "correct_on").cast("double"))
+    both, extra = task_crosses(clean, tasks, crossed=crossed)
+    placed = folds(both, [], 5, seed, row_id)
+    fitted = cross_fit(placed, features, "__gain", out="conf_fit")
+    fitted = cross_fit(fitted, features + extra, "__gain", out="conf_family")
     return fitted.withColumn("conf_raw", -F.col("mean_logprob")).withColumn("oracle", F.col("__gain")).drop("__gain", *extra)
 
 

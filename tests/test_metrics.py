@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tandem.checks import CheckFailed
-from tandem.functions.rand import poisson_table, poisson_weights
+from tandem.catalog.boot import MEDIAN
+from tandem.functions.rand import multinomial_weights, poisson_table, poisson_weights
 from tandem.operators import boot, calib, curves, ordered, rank, splits
 
 
@@ -221,6 +222,16 @@ def test_within_group_and_gate(spark):
 
 # Bootstrap -------------------------------------------------------------------------------
 
+def test_stratified_cells_keep_their_sizes(spark):
+    df = frame(spark, "id int, g string, a boolean", np.arange(300), [None if i % 4 == 0 else f"g{i % 4}" for i in range(300)], np.arange(300) % 7 == 0)
+    cell = boot.cells(df, [], ["g", "a"], "id")
+    own = {f"n{k}": F.coalesce(F.col("g"), F.lit("g0")).eqNullSafe(f"g{k}").cast("int") for k in range(4)}
+    sums = boot.exact_sums(cell, [], ["g"], {**own, "a": F.col("a").cast("int"), "w": F.lit(1.0)}, 400).collect()
+    assert len(sums) == 400 and all((r.n0, r.n1, r.n2, r.n3, r.w) == (75, 75, 75, 75, 300) for r in sums)
+    p = [(np.arange(k, 300, 4) % 7 == 0).mean() for k in range(4)]
+    assert np.std([r.a for r in sums]) == pytest.approx(math.sqrt(sum(75 * x * (1 - x) for x in p)), rel=.12)
+
+
 def test_strata_keep_their_sizes(spark):
     df = frame(spark, "id int, y boolean", np.arange(55), [False] * 50 + [True] * 5)
     got = boot.exact_weights(df, ["y"], "id", 30).groupBy("b").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y").cast("int")).alias("p")).collect()
@@ -287,11 +298,63 @@ def test_paired_interval_is_narrower_than_the_marginals_and_covers(spark):
 
 
 def test_user_statistic(spark):
-    df = frame(spark, "id int, s double", np.arange(60), np.arange(60.0))
-    got = boot.percentile_interval(boot.user_statistic(df, lambda p: p["s"].mean(), "id", 60), []).first()
-    assert got.n_boot == 60 and got.ci_lo < 29.5 < got.ci_hi
-    with pytest.raises(CheckFailed):
-        boot.user_statistic(df, len, "id", 5, max_rows=10)
+    """A mean and a median as folds; one task or many give the same numbers, whatever the table's size."""
+    df = frame(spark, "id int, s double", np.arange(61), np.arange(61.0))
+    mean = (
+        lambda n: (np.zeros(n), np.zeros(n)), lambda st, rows, w: (st[0] + w.T @ rows["s"].to_numpy(), st[1] + w.sum(0)),
+        lambda a, b: (a[0] + b[0], a[1] + b[1]), lambda st: st[0] / st[1],
+    )
+    got = {r.b: r.v for r in boot.user_statistic(df.repartition(5), ["s"], *mean, "id", 230).collect()}
+    assert len(got) == 230 and got == {r.b: r.v for r in boot.user_statistic(df.coalesce(1), ["s"], *mean, "id", 230).collect()}
+    rows = boot.exact_weights(df, [], "id", 230)
+    want = {r.b: r.v for r in rows.groupBy("b").agg((F.sum(F.col("w") * F.col("s")) / F.sum("w")).alias("v")).collect()}
+    assert got == pytest.approx(want)
+    own = df.select("id", F.col("s").alias("score"))
+    medians = boot.user_statistic(own, ["score"], *MEDIAN, "id", 40).collect()
+    drawn = rows.where("b < 40").toPandas()
+    assert {r.b: r.v for r in medians} == {b: np.median(np.repeat(g["s"], g["w"])) for b, g in drawn.groupby("b")}
+    assert boot.user_statistic(own.limit(0), ["score"], *MEDIAN, "id", 5).collect() == []
+
+
+def test_tree_draws_are_multinomial():
+    """Moments of single rows and of pairs, one tree for any cut into cells, and strata of one or no row."""
+    n, reps = 300, 4000
+    each = multinomial_weights("s", n, np.arange(n), np.arange(1, n + 1), reps, 3)
+    assert (each.sum(0) == n).all()
+    assert each.mean() == 1 and each.var() == pytest.approx(1 - 1 / n, abs=.01)
+    assert (each == 0).mean() == pytest.approx((1 - 1 / n) ** n, abs=.002)
+    among = np.cov(each[:40])
+    assert among[~np.eye(40, dtype=bool)].mean() == pytest.approx(-1 / n, abs=.002)
+    cuts = np.array([0, 1, 7, 64, 128, 200, 299, 300])
+    cells = multinomial_weights("s", n, cuts[:-1], cuts[1:], reps, 3)
+    assert (cells == np.add.reduceat(each, cuts[:-1], 0)).all()
+    assert (multinomial_weights("s", 1, np.array([0]), np.array([1]), 5, 3) == 1).all()
+    big = multinomial_weights("s", 10**9, np.array([0, 3 * 10**8]), np.array([3 * 10**8, 10**9]), 500, 3)
+    assert (big.sum(0) == 10**9).all() and big[0].std() == pytest.approx(math.sqrt(10**9 * .3 * .7), rel=.12)
+
+
+def test_one_score_for_all_rows(spark):
+    """A tie of the whole table is spread over tasks and read as one segment."""
+    n = 900
+    off, on = np.arange(n) % 3 == 0, np.arange(n) % 2 == 0
+    df = frame(spark, "id int, off boolean, on boolean, s double, t double, k int", np.arange(n), off, on, np.zeros(n), np.arange(n) % 2 / 1.0, np.arange(n))
+    cell = boot.cells(df, [], ["off", "on", "s", "t", "k"], "id")  # k keeps every row a cell
+    long = boot.long_scorers(cell, ["off", "on", "c", "key"], {"flat": "s", "two": "t"})
+    got = boot.replicate_curve_reads(long, ["scorer"], "off", "on", "score", 25, 0, {"area": (0.0, 0.5)}, {"m": 0.01}, {"f": 0.2})
+    got = {(r.scorer, r.b): r for r in got.collect()}
+    w = poisson_weights([str(i) for i in range(n)], np.ones(n), 25, 0)
+    for scorer, score in (("flat", np.zeros(n)), ("two", np.arange(n) % 2)):
+        for b in range(25):
+            rows = np.repeat(np.arange(n), w[:, b].astype(int))
+            xs, ys = [0.0], [off[rows].mean()]
+            for v in sorted(set(score.tolist()), reverse=True):
+                up = score[rows] >= v
+                xs.append(up.mean())
+                ys.append(np.where(up, on[rows], off[rows]).mean())
+            r = got[scorer, b]
+            assert r.f == pytest.approx(np.interp(0.2, xs, ys))
+            fine = np.union1d(np.linspace(0, 0.5, 3), [x for x in xs if x < 0.5])
+            assert r.area.mean_accuracy == pytest.approx(np.trapezoid(np.interp(fine, xs, ys), fine) / 0.5)
 
 
 def test_mean_interval_edges(spark):
