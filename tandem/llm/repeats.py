@@ -97,19 +97,13 @@ def in_map(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bits[spot >> 6] >> (spot & 63) & 1).astype(bool)
 
 
-def _texts(part: pa.RecordBatch) -> tuple[list[bytes], np.ndarray]:
-    data, at = text_bytes(part.column("__text"))
-    blob = data.tobytes()
-    texts = [blob[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-    return texts, np.array([digest(t) for t in texts], np.int64)
+def _hashed(docs: DataFrame, text: str) -> DataFrame:
+    """Whole texts and their hash ``t1``, made by the JVM."""
+    return docs.select(whole(text).alias("__text"), F.xxhash64(whole(text)).alias("t1"))
 
 
-def _packed(docs: DataFrame, keep: list[str], text: str, bits) -> DataFrame:
-    """``keep``, the digest and the compressed bytes of the texts whose digest is in a bit map.
-
-    Without ``keep`` a task leaves out the copies of texts it remembers.
-    """
-    kinds = dict(docs.dtypes)
+def _packed(docs: DataFrame, text: str, bits) -> DataFrame:
+    """The hash and the compressed bytes of the texts whose hash is in a bit map; a task leaves out the copies of texts it remembers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
@@ -125,19 +119,17 @@ def _packed(docs: DataFrame, keep: list[str], text: str, bits) -> DataFrame:
             return True
 
         for batch in batches:
+            batch = batch.filter(pa.array(in_map(bits.value, batch.column("t1").to_numpy())))
             for part in slices(batch, "__text", STEP):
-                texts, t1 = _texts(part)
-                at = np.flatnonzero(in_map(bits.value, t1))
-                if not keep:
-                    at = np.array([i for i in at if new(texts[i])], np.int64)
-                take = pa.array(at)
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c).take(take) for c in keep), pa.array(t1[at]), pa.array([pack.compress(texts[i]) for i in at], pa.binary())],
-                    [*keep, "t1", "packed"],
-                )
+                t1, packed = [], []
+                for k, text in zip(part.column("t1").to_pylist(), part.column("__text")):
+                    raw = text.as_buffer().to_pybytes()
+                    if new(raw):
+                        t1.append(k)
+                        packed.append(pack.compress(raw))
+                yield pa.RecordBatch.from_arrays([pa.array(t1, pa.int64()), pa.array(packed, pa.binary())], ["t1", "packed"])
 
-    fields = "".join(f"`{c}` {kinds[c]}, " for c in keep)
-    return docs.select(*keep, whole(text).alias("__text")).mapInArrow(run, fields + "t1 long, packed binary")
+    return _hashed(docs, text).mapInArrow(run, "t1 long, packed binary")
 
 
 def _anchors(docs: DataFrame, text: str, window: int) -> DataFrame:
@@ -153,7 +145,7 @@ def _anchors(docs: DataFrame, text: str, window: int) -> DataFrame:
 
 
 def _segments(docs: DataFrame, text: str, window: int) -> DataFrame:
-    """(anchor, s1, t1, at) of every segment: anchor hash, digest of its bytes and of its text, 256 x first start + starts."""
+    """(anchor, s1, t1, at) of every segment: anchor hash, digest of its bytes, hash of its text, 256 x first start + starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Anchors(window)
@@ -162,15 +154,14 @@ def _segments(docs: DataFrame, text: str, window: int) -> DataFrame:
                 data, at = text_bytes(part.column("__text"))
                 anchor, first, count = find.segments(data, at)
                 blob = data.tobytes()
-                t1 = np.array([digest(blob[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())], np.int64)
                 of = np.searchsorted(at, first, "right") - 1
                 s1 = [digest(blob[a:b]) for a, b in zip(first.tolist(), (first + count + window - 1).tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor), pa.array(s1, pa.int64()), pa.array(t1[of]), pa.array((first - at[of]) * 256 + count)],
+                    [pa.array(anchor), pa.array(s1, pa.int64()), part.column("t1").take(pa.array(of)), pa.array((first - at[of]) * 256 + count)],
                     ["anchor", "s1", "t1", "at"],
                 )
 
-    return docs.select(whole(text).alias("__text")).mapInArrow(run, "anchor long, s1 long, t1 long, at long")
+    return _hashed(docs, text).mapInArrow(run, "anchor long, s1 long, t1 long, at long")
 
 
 ENTRY = "anchor long, s1 long, again boolean, content binary"
@@ -257,15 +248,8 @@ def _crowded(rows: DataFrame, window: int) -> DataFrame:
     return starts.select("anchor", "s1", F.flatten(F.transform("starts", lambda k: F.array(k, k + 1))).alias("runs"))
 
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """One row per input row: ``key``, ``n_bytes``, ``spans`` and ``kept``.
-
-    ``spans`` are the removed runs as (start, length) in UTF-8 bytes, ``kept``
-    (binary) the other bytes in order. A byte goes if any string of ``window``
-    bytes over it also starts at another place of any text, its own included;
-    all judged on the input. Null counts as empty; texts shorter than
-    ``window`` lose nothing; rows repeated with the same text lose it all.
-    """
+def _found(docs: DataFrame, text: str, window: int) -> DataFrame:
+    """(t1, s1, at, runs): the segments of each text that hold repeated strings, and which of their starts repeat."""
     share = docs.sparkSession.sparkContext.broadcast
     often = _anchors(docs, text, window).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = settle(_segments(docs, text, window).join(often, "anchor"))
@@ -279,7 +263,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
     hot = share(bit_map(crowded, "anchor"))
     asked = mixed_up.select(F.col("first.t1").alias("t1"), "anchor", "s1", F.col("first.at").alias("at"), (F.col("c") > 1).alias("again"))
     wanted = asked.groupBy("t1").agg(F.collect_list(F.struct("anchor", "s1", "at", "again")).alias("wanted"))
-    texts = _packed(docs, [], text, share(bit_map(asked, "t1")))
+    texts = _packed(docs, text, share(bit_map(asked, "t1")))
     # Merged, never broadcast: copies of a text from all tasks follow one another and give their segments once.
     held = settle(_contents(texts.join(wanted.hint("merge"), "t1").select("t1", "packed", "wanted"), window))
 
@@ -298,57 +282,100 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
     )
     whole_runs = F.array(F.lit(0), F.lit(256))
     hits = entries.where("c > 1").select("anchor", "s1", whole_runs.alias("runs")).unionByName(by_lane).unionByName(_crowded(part(True), window))
-    found = settle(met.select("anchor", "s1", "t1", "at").join(hits, ["anchor", "s1"]).select("t1", "s1", "at", "runs").distinct())
-    spans = found.groupBy("t1").agg(F.collect_list(F.struct("s1", "at", "runs")).alias("hits"))
-    bits = share(bit_map(found, "t1"))
-    kind = dict(docs.dtypes)[key]
-    span = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
-    out = f"`{key}` {kind}, n_bytes long, spans array<struct<start:long,length:long>>, kept binary"
+    return settle(met.select("anchor", "s1", "t1", "at").join(hits, ["anchor", "s1"]).select("t1", "s1", "at", "runs").distinct())
 
-    def made(keys, sizes, cut, kept):
-        return pa.RecordBatch.from_arrays(
-            [keys, pa.array(sizes, pa.int64()), pa.array(cut, span), pa.array(kept, pa.binary())], [key, "n_bytes", "spans", "kept"]
-        )
 
-    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in slices(batch, "__text", STEP):
-                texts, t1 = _texts(piece)
-                at = np.flatnonzero(~in_map(bits.value, t1))
-                own = [texts[i] for i in at]
-                yield made(piece.column(key).take(pa.array(at)), [len(t) for t in own], [[] for _ in own], own)
+CUT = "text_sha256 string, spans array<struct<start:long,length:long>>, n_removed long, kept_sha256 string"
+
 
-    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def removals(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
+    """One row per distinct text that loses something: its SHA-256, the removed ``spans``, their length and the SHA-256 of the rest."""
+    found = _found(docs, text, window)
+    hits = F.collect_list(F.struct("s1", "at", "runs")).alias("hits")
+    spans = settle(
+        found.groupBy("t1").agg(hits).select(
+            "t1", *(F.col(f"hits.{c}").alias(c) for c in ("s1", "at")),
+            F.transform("hits.runs", lambda r: F.size(r)).alias("sizes"), F.flatten("hits.runs").alias("runs"),
+        )
+    )
+    bits = docs.sparkSession.sparkContext.broadcast(bit_map(spans, "t1"))
+    span = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
+        last, done = None, set()
         for batch in batches:
-            for i in range(0, batch.num_rows, 200):
-                piece = batch.slice(i, 200)
-                sizes, cut, kept = [], [], []
-                for packed, hits in zip(piece.column("packed"), piece.column("hits").to_pylist()):
-                    raw = unpack.decompress(packed.as_py())
+            for i in range(0, batch.num_rows, 50):
+                out = []
+                for row in range(i, min(i + 50, batch.num_rows)):
+                    t1, packed = (batch.column(c)[row].as_py() for c in ("t1", "packed"))
+                    if t1 != last:
+                        last, done = t1, set()
+                    if packed in done:  # a copy of the text from another task
+                        continue
+                    done.add(packed)
+                    s1, at, sizes, runs = (batch.column(c)[row].values.to_numpy() for c in ("s1", "at", "sizes", "runs"))
+                    raw = unpack.decompress(packed)
+                    first, n = at // 256, at % 256
+                    ends = (first + n + window - 1).tolist()
+                    # Hits of another text with the same hash do not have its bytes.
+                    own = np.array([digest(raw[a:b]) == s for a, b, s in zip(first.tolist(), ends, s1.tolist())], bool)
+                    per = np.repeat(np.arange(len(s1)), sizes // 2)
+                    per, begin, end = (x[own[per]] for x in (per, runs[::2], runs[1::2]))
                     edge = np.zeros(len(raw) + 1, np.int32)
-                    for hit in hits or ():
-                        first, n = divmod(hit["at"], 256)
-                        if digest(raw[first : first + n + window - 1]) != hit["s1"]:
-                            continue  # of another text with the same digest
-                        for a, b in zip(hit["runs"][::2], hit["runs"][1::2]):
-                            edge[first + a] += 1
-                            edge[min(first + min(b, n) + window - 1, len(raw))] -= 1
+                    np.add.at(edge, first[per] + begin, 1)
+                    np.add.at(edge, np.minimum(first[per] + np.minimum(end, n[per]) + window - 1, len(raw)), -1)
                     gone = np.cumsum(edge[:-1]) > 0
+                    if not gone.any():
+                        continue
                     flips = runs_of(gone).tolist()
-                    sizes.append(len(raw))
-                    cut.append([dict(start=a, length=b - a) for a, b in zip(flips[::2], flips[1::2])])
-                    kept.append(np.frombuffer(raw, np.uint8)[~gone].tobytes() if flips else raw)
-                yield made(piece.column(key), sizes, cut, kept)
+                    kept = np.frombuffer(raw, np.uint8)[~gone]
+                    out.append((
+                        hashlib.sha256(raw).hexdigest(), [dict(start=a, length=b - a) for a, b in zip(flips[::2], flips[1::2])],
+                        len(raw) - len(kept), hashlib.sha256(kept).hexdigest(),
+                    ))
+                if out:
+                    kinds = (pa.string(), span, pa.int64(), pa.string())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["text_sha256", "spans", "n_removed", "kept_sha256"]
+                    )
+
+    texts = _packed(docs, text, bits)
+    # A hot text may still meet its spans in several tasks: one answer of each stays.
+    made = settle(texts.join(spans.hint("merge"), "t1").select("t1", "packed", "s1", "at", "sizes", "runs").mapInArrow(cut, CUT))
+    return made.dropDuplicates(["text_sha256"])
 
-    clean = docs.select(key, whole(text).alias("__text")).mapInArrow(untouched, out)
-    touched = _packed(docs, [key], text, bits).join(spans, "t1", "left").select(key, "packed", "hits").mapInArrow(remove, out)
-    return clean.unionByName(touched)
+
+def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+    """One row per input row: ``key``, ``n_bytes``, ``spans`` and ``kept``.
+
+    ``spans`` are the removed runs as (start, length) in UTF-8 bytes, ``kept``
+    (binary) the other bytes in order. A byte goes if any string of ``window``
+    bytes over it also starts at another place of any text, its own included;
+    all judged on the input. Null counts as empty; texts shorter than
+    ``window`` lose nothing; rows repeated with the same text lose it all.
+    """
+    gone = removals(docs, text, window).select("text_sha256", "spans")
+    raw = F.encode(whole(text), "UTF-8")
+    rows = docs.select(F.col(key).alias("key"), raw.alias("raw")).withColumn("text_sha256", F.sha2("raw", 256))
+    met = rows.join(gone, "text_sha256", "left").withColumn("n_bytes", F.length("raw").cast("long"))
+    spans = F.coalesce("spans", F.expr("cast(array() as array<struct<start:long,length:long>>)"))
+    # What is left lies between the end of one span and the start of the next.
+    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("spans", lambda s: s["start"] + s["length"]))
+    ends = F.concat(F.col("spans.start"), F.array("n_bytes"))
+    pieces = F.zip_with(starts, ends, lambda a, b: F.hex(F.substring(F.col("raw"), (a + 1).cast("int"), (b - a).cast("int"))))
+    kept = F.when(F.col("spans").isNull(), F.col("raw")).otherwise(F.unhex(F.array_join(pieces, "")))
+    return met.select(F.col("key").alias(key), "n_bytes", spans.alias("spans"), kept.alias("kept"))
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256`` of every row."""
-    return repeats(docs, key, text).select(
-        key, "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
-        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    """``key``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256`` of every row; texts that lose nothing stay in the JVM."""
+    gone = removals(docs, text)
+    raw = whole(text)
+    rows = docs.select(F.col(key).alias("key"), F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("text_sha256"))
+    none = F.lit(0).cast("long")
+    return rows.join(gone, "text_sha256", "left").select(
+        F.col("key").alias(key), "n_bytes", F.coalesce("n_removed", none).alias("n_removed"),
+        F.when(F.col("spans").isNull(), none).otherwise(F.size("spans").cast("long")).alias("n_spans"),
+        F.coalesce("kept_sha256", "text_sha256").alias("kept_sha256"),
     )
