@@ -28,6 +28,7 @@ from tandem.llm.common import ranges, slices, strings, whole
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 SPACE = "▁"
 KEPT_CHUNKS, KEPT_IDS, KEPT_PAIRS = 200_000, 4_000_000, 300_000  # what a task remembers at once
+SHORT = 64  # characters of a stretch that is encoded in step with others
 CHARACTER = 1 << 20  # added to a character that is no piece, to number it above all ids
 NEVER = float("-inf")
 
@@ -85,12 +86,22 @@ def load_rules(path: str) -> dict:
         "score": score, "id": {w: i for i, (w, n) in enumerate(zip(words, normal)) if n and merges.steps(w)[1]},
         # No piece goes on after these, or from a word into the space behind it: texts may be cut there.
         "alone": "".join(c for c in "\n\t\v\f" if not any(c in w for w in long)),
-        "cut": not any(re.search(f"[^{SPACE}]{SPACE}", w) for w in long),
+        "cut": not any(re.search(f"[^{SPACE}]{SPACE}", w) for w in long), "marks": _marks(long),
         "byte": bytes_at, "control": kinds == CONTROL, "opens": normal & np.array([w.startswith(SPACE) for w in words]),
         "raw": np.frombuffer(b"".join(raw), np.uint8), "sizes": sizes, "starts": np.cumsum(sizes) - sizes,
     }
 
 
+def _marks(pieces: list[str]) -> str:
+    """Characters that share no piece with any other character but the space: ASCII signs, and what pieces mix with them."""
+    marks = set(filter(lambda c: not c.isalnum(), map(chr, range(33, 127))))
+    while mixed := {c for w in pieces if marks.intersection(w) for c in w} - marks - {SPACE}:
+        if any(c.isalpha() for c in mixed):
+            return ""
+        marks |= mixed
+    return "".join(sorted(marks))
+
+
 class Merges:
     """How pieces come about, and which of them can be neighbours."""
 
@@ -140,16 +151,24 @@ class Encoder:
             self.ends.add_word(word, i)
         if self.words:
             self.ends.make_automaton()
-        alone = f"[{re.escape(rules['alone'])}]|" if rules["alone"] else ""
-        none = f"[^{SPACE}{re.escape(rules['alone'])}]"
-        self.chunks = re.compile(f"{alone}{SPACE}*{none}+|{SPACE}+").findall if rules["cut"] else lambda t: [t]
+        alone, marks = re.escape(rules["alone"]), re.escape(rules["marks"])
+        kinds = [f"[{alone}]"] * bool(alone) + [f"{SPACE}*[{marks}]+"] * bool(marks) + [f"{SPACE}*[^{SPACE}{alone}{marks}]+", f"{SPACE}+"]
+        self.chunks = re.compile("|".join(kinds)).findall if rules["cut"] else lambda t: [t]
+        self.split = bool(self.words) and "\n" in rules["alone"]  # whether a line feed can stand between stretches
         self.fits: dict[int, bool] = {}
+        self.size_of = np.zeros(max(self.words, default=0) + 1, np.int64)
+        self.size_of[list(self.sizes)] = list(self.sizes.values())
+        self.pairs, self.fitting = np.zeros(0, np.int64), np.zeros(0, bool)
         self.clear()
 
     def clear(self) -> None:
         self.slot: dict[str, int] = {}
         self.flat, self.lens, self.starts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def fit(self, left: int, piece: int) -> bool:
+        a = chr(left - CHARACTER) if left >= CHARACTER else self.words[left]
+        return self.merges.fit(a, self.words[piece])
+
     def ids(self, text: str) -> list[int]:
         """Ids of a stretch: the table of last pieces of all its prefixes, then backwards."""
         n, sizes, fits = len(text), self.sizes, self.fits
@@ -166,8 +185,7 @@ class Encoder:
                 if fit is None:
                     if len(fits) > KEPT_PAIRS:
                         fits.clear()
-                    a = chr(left - CHARACTER) if left >= CHARACTER else self.words[left]
-                    fit = fits[pair] = self.merges.fit(a, self.words[piece])
+                    fit = fits[pair] = self.fit(left, piece)
                 if not fit:
                     continue
             last[end], size[end] = piece, sizes[piece]
@@ -182,6 +200,64 @@ class Encoder:
         out.reverse()
         return out
 
+    def fit_all(self, pairs: np.ndarray) -> np.ndarray:
+        """``fit`` of many pairs; each distinct one is tested once while it is remembered."""
+        if len(self.pairs) > KEPT_PAIRS:
+            self.pairs, self.fitting = self.pairs[:0], self.fitting[:0]
+        at = np.searchsorted(self.pairs, pairs)
+        known = at < len(self.pairs)
+        known[known] = self.pairs[at[known]] == pairs[known]
+        if not known.all():
+            new = np.unique(pairs[~known])
+            made = np.array([self.fit(p >> 20, p & ((1 << 20) - 1)) for p in new.tolist()], bool)
+            self.pairs, self.fitting = np.concatenate([self.pairs, new]), np.concatenate([self.fitting, made])
+            order = np.argsort(self.pairs, kind="stable")
+            self.pairs, self.fitting = self.pairs[order], self.fitting[order]
+            at = np.searchsorted(self.pairs, pairs)
+        return self.fitting[at]
+
+    def many(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(flat ids, lengths): the same tables for many stretches in step, one character of each at a time."""
+        lens = np.array([len(c) for c in chunks], np.int64)
+        begin = np.cumsum(lens + 1) - lens - 1  # the stretches stand behind one another, with a sign between that no piece has
+        text = "\n".join(chunks) + "\n"
+        found = np.fromiter(self.ends.iter(text), np.dtype([("end", np.int64), ("piece", np.int64)]))
+        end, piece = found["end"], found["piece"]
+        before = end - self.size_of[piece]
+        depth = end - begin[np.searchsorted(begin, end, "right") - 1]
+        code = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+        last, size = CHARACTER + code, np.zeros(len(code), np.int64)
+        order = np.argsort(depth, kind="stable")
+        for a, b in zip(*(np.searchsorted(depth[order], np.arange(lens.max()), s) for s in ("left", "right"))):
+            at = order[a:b]
+            first = self.size_of[piece[at]] > depth[at]
+            fit = first.copy()
+            fit[~first] = self.fit_all(last[before[at[~first]]] << 20 | piece[at[~first]])
+            at = at[fit]
+            last[end[at]], size[end[at]] = piece[at], self.size_of[piece[at]]
+        # Backwards from every end; a stretch with a character of its own is done by itself.
+        at, live, steps, alone = begin + lens - 1, np.arange(len(chunks)), [], np.zeros(len(chunks), bool)
+        count = np.zeros(len(chunks), np.int64)
+        while len(live):
+            own = size[at] == 0
+            alone[live[own]] = True
+            at, live = at[~own], live[~own]
+            steps.append((live, last[at]))
+            count[live] += 1
+            at = at - size[at]
+            more = at >= begin[live]
+            at, live = at[more], live[more]
+        single = {k: np.array(self.ids(chunks[k]), np.int32) for k in np.flatnonzero(alone).tolist()}
+        count[list(single)] = [len(x) for x in single.values()]
+        stop = np.cumsum(count)
+        out = np.zeros(int(count.sum()), np.int32)
+        for k, (who, ids) in enumerate(steps):
+            good = ~alone[who]
+            out[stop[who[good]] - 1 - k] = ids[good]
+        for k, ids in single.items():
+            out[stop[k] - count[k] : stop[k]] = ids
+        return out, count
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, number of ids of each text)."""
         cut = [self.chunks(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
@@ -189,12 +265,18 @@ class Encoder:
             self.clear()
         flat = [c for chunks in cut for c in chunks]
         if new := list(set(flat).difference(self.slot)):
-            made = [self.ids(c) for c in new]
-            lens = np.array([len(m) for m in made], np.int64)
+            short = [c for c in new if len(c) <= SHORT and "\n" not in c] if self.split else []
+            made = [self.many(short)] if short else []
+            if len(short) < len(new):
+                rest = [c for c in new if len(c) > SHORT or "\n" in c] if self.split else new
+                single = [np.array(self.ids(c), np.int32) for c in rest]
+                made.append((np.concatenate(single), np.array([len(x) for x in single], np.int64)))
+                new = short + rest
+            lens = np.concatenate([n for _, n in made])
             self.slot.update(zip(new, range(len(self.slot), len(self.slot) + len(new))))
             self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lens) - lens])
             self.lens = np.concatenate([self.lens, lens])
-            self.flat = np.concatenate([self.flat, *(np.array(m, np.int32) for m in made)])
+            self.flat = np.concatenate([self.flat, *(ids for ids, _ in made)])
         at = np.fromiter(map(self.slot.__getitem__, flat), np.int64, len(flat))
         n = self.lens[at]
         total = np.concatenate([[0], np.cumsum(n)])
