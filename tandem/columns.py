@@ -42,6 +42,14 @@ def join_on(left: DataFrame, right: DataFrame, cols: list[str], how: str = "inne
     return left.join(renamed, cond, how).drop(*[f"__r_{c}" for c in cols])
 
 
+def _joins(df: DataFrame) -> bool:
+    """Whether a plan may give more than its leaves hold: only filters and plain columns may not."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.children().size() == 1 and node.nodeName() in ("Filter", "Project"):
+        node = node.children().head()
+    return node.children().size() > 0
+
+
 ATTACH_BYTES = 8 * 1024 * 1024
 SALTS = 32
 
@@ -49,10 +57,10 @@ SALTS = 32
 def attach(rows: DataFrame, groups: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
     """``rows`` with the columns of ``groups``, a table of one row per key, without shuffling rows on a hot key.
 
-    The table is written out, so its real size is known. If it is small it is
-    broadcast; else every key is repeated under a few salts that rows are dealt to.
+    Unless it is read from a small written table as it is, the table is written
+    out, so that its real size is known. If it is small it is broadcast; else every key is repeated under a few salts that rows are dealt to.
     """
-    table = settle(groups)
+    table = groups if plan_bytes(groups) <= ATTACH_BYTES and not _joins(groups) else settle(groups)
     if plan_bytes(table) <= ATTACH_BYTES:
         return join_on(rows, F.broadcast(table), by, how)
     salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

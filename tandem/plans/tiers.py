@@ -11,6 +11,7 @@ from ..columns import attach, count_if, join_on, ratio, truth
 from ..operators import boot, calib, curves, rank
 from ..operators.labels import first_correct_tier
 from ..operators.ordered import quantiles
+from ..session import settle
 
 DELTAS = {"1pp": 0.01, "3pp": 0.03}
 S1, OFF, ON = "s1_correct", "correct_off", "correct_on"
@@ -157,6 +158,7 @@ def policy_cells(rows: DataFrame, by: list[str], p: str = "p_max") -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.sum(val(S1)).alias("a1"), F.sum(val(OFF)).alias("a2"),
         F.sum(val(ON)).alias("a3"), F.sum("n_tokens_off").cast("bigint").alias("t2"),
         F.sum("n_tokens_on").cast("bigint").alias("t3"),
+        F.count("n_tokens_off").alias("n2"), F.count("n_tokens_on").alias("n3"),
     )
 
 
@@ -215,35 +217,51 @@ def policy_result(rows: DataFrame, by: list[str], lo: str = "lo", hi: str = "hi"
     )
 
 
+def policy_of_cells(cells: DataFrame, by: list[str], p: str = "p_max") -> DataFrame:
+    """policy_result from policy_cells with their thresholds ``lo`` and ``hi``; NULL means always think."""
+    inf = F.lit(float("inf"))
+    top, mid = F.coalesce("hi", inf), F.coalesce("lo", inf)
+    first, second = F.col(p) >= top, (F.col(p) >= mid) & (F.col(p) < top)
+    right = F.when(first, F.col("a1")).when(second, F.col("a2")).otherwise(F.col("a3"))
+    tokens = F.when(first, 0).when(second, F.col("t2")).otherwise(F.col("t3"))
+    part = lambda c: ratio(F.sum(F.when(c, F.col("n")).otherwise(0)), F.sum("n"))
+    return cells.groupBy(*by).agg(
+        ratio(F.sum(right), F.sum("n")).alias("acc"), ratio(F.sum(tokens), F.sum("n")).alias("tokens"),
+        part(first).alias("frac_s1"), part(second).alias("frac_nothink"), part(~(first | second)).alias("frac_think"),
+    )
+
+
 def three_tier(rows: DataFrame, by: list[str], fold: str = "fold", folds: int = 5) -> DataFrame:
     """by..., policy, acc, tokens, shares: always-policies and both fits of each delta.
 
     Cross-fitted thresholds come from the other folds; a row's own fold is
-    scored, so the mean over all rows is the fold-size weighted mean.
+    scored, so the mean over all rows is the fold-size weighted mean. Rows are
+    read once: everything else is asked of their cells (fold, p).
     """
-    n = F.count(F.lit(1))
-    always = rows.groupBy(*by).agg(F.array(*[
-        F.struct(F.lit(name).alias("policy"), ratio(count_if(truth(F.col(c))), n).alias("acc"), t.alias("tokens"))
+    folded = settle(policy_cells(rows, by + [fold]))
+    whole = folded.groupBy(*by, "p_max").agg(*[F.sum(c).alias(c) for c in _SUMS])
+    always = folded.groupBy(*by).agg(F.array(*[
+        F.struct(F.lit(name).alias("policy"), ratio(F.sum(c), F.sum("n")).alias("acc"), t.alias("tokens"))
         for name, c, t in (
-            ("always s1", S1, F.lit(0.0)),
-            ("always no_think", OFF, F.avg(F.col("n_tokens_off").cast("double"))),
-            ("always think", ON, F.avg(F.col("n_tokens_on").cast("double"))),
+            ("always s1", "a1", F.lit(0.0)),
+            ("always no_think", "a2", ratio(F.sum("t2"), F.sum("n2"))),
+            ("always think", "a3", ratio(F.sum("t3"), F.sum("n3"))),
         )
     ]).alias("a")).select(*by, F.inline("a"))
     shares = [F.lit(None).cast("double").alias(c) for c in ("frac_s1", "frac_nothink", "frac_think")]
     out = always.select(*by, "policy", "acc", "tokens", *shares)
-    folded = policy_cells(rows, by + [fold])
-    whole = folded.groupBy(*by, "p_max").agg(*[F.sum(c).alias(c) for c in _SUMS])
-    # Without a feasible pair there is no in-sample policy.
-    own = attach(rows, best_policies(whole, by, DELTAS), by)
     held = F.explode(F.array(*[F.lit(k) for k in range(folds)]))
     others = folded.withColumn("__held", held).where(F.col(fold) != F.col("__held")).groupBy(
         *by, "__held", "p_max").agg(*[F.sum(c).alias(c) for c in _SUMS])
-    cut = best_policies(others, by + ["__held"], DELTAS).withColumnRenamed("__held", fold)
-    asked = rows.withColumn("delta", F.explode(F.array(*[F.lit(d) for d in DELTAS])))
-    crossed = attach(asked, cut, by + [fold, "delta"], "left")
+    both = whole.select(*by, F.lit(-1).alias("__held"), "p_max", *_SUMS).unionByName(others)
+    # All fits in one pass: held-out fold -1 holds nothing out.
+    cut = settle(best_policies(both, by + ["__held"], DELTAS))
+    names = F.explode(F.array(*[F.lit(d) for d in DELTAS]))
+    # Without a feasible pair there is no in-sample policy, and a cross-fitted one always thinks.
+    own = attach(whole, cut.where("__held = -1").drop("__held"), by)
+    crossed = attach(folded.withColumn("delta", names), cut.where("__held >= 0").withColumnRenamed("__held", fold), by + [fold, "delta"], "left")
     for name, got in (("in_sample", own), ("cross_fitted", crossed)):
-        res = policy_result(got, by + ["delta"])
+        res = policy_of_cells(got, by + ["delta"])
         out = out.unionByName(res.withColumn("policy", F.concat("delta", F.lit(f" {name}"))).drop("delta"))
     return out
 

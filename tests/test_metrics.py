@@ -220,6 +220,23 @@ def test_within_group_and_gate(spark):
         calib.require_informative(df, "one", "y")
 
 
+def test_text_ids_are_cut_by_splitters(spark, monkeypatch):
+    """Pooled ids of two tasks and one score for all rows: no block holds more than a fixed share, and the order is kept."""
+    monkeypatch.setattr(ordered, "PER_BLOCK", 50)
+    n = 4000
+    ids = [f"{'gsm8k' if i % 2 else 'math500'}-test-{i:06d}" for i in range(n)]
+    y = np.arange(n) % 7 == 0
+    df = frame(spark, "id string, y boolean, s double", ids, y, np.full(n, 0.5))
+    blocks = df.groupBy(ordered.text_key(df, "id").alias("k")).count().collect()
+    assert len(blocks) > 40 and max(r["count"] for r in blocks) < 8 * 50
+    got = rank.average_precision(df, [], "y", "s", "id").first().auprc
+    hits = y[np.argsort(ids)]
+    assert got == pytest.approx((np.cumsum(hits) / np.arange(1, n + 1))[hits].mean())
+    odd = frame(spark, "id string, one int", ["", "é", "z", "\U0001f600", "\uffff", "a"], [1] * 6)
+    ran = {r.id: r.cum_one for r in ordered.running(odd, [], "id", ["one"]).collect()}
+    assert ran == {"": 1, "a": 2, "z": 3, "é": 4, "\uffff": 5, "\U0001f600": 6}
+
+
 # Bootstrap -------------------------------------------------------------------------------
 
 def test_stratified_cells_keep_their_sizes(spark):
