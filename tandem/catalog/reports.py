@@ -151,7 +151,7 @@ _HEAD_FOLDS = """f as (select *, (correct_on::int - correct_off::int)::double as
  else (n % 5) + (pos - (n % 5) * (n // 5 + 1)) // (n // 5) end as fold from (select *, row_number() over (order by ('0x'||substr(md5(concat('0:', cast(event_id as varchar))),1,8))::bigint, event_id) - 1 as pos, count(*) over () as n from evt))"""
 _HEAD = f"""{EVT}, {_HEAD_FOLDS}, c1 as (select k as fold, regr_slope(g, x) as b1, regr_intercept(g, x) as a1 from f, range(5) r(k) where fold <> k group by k),
  c2 as (select k as fold, task, regr_slope(g, x) as b2, regr_intercept(g, x) as a2 from f, range(5) r(k) where fold <> k group by k, task),
- routers as (select event_id, correct_off, correct_on, g as oracle, x as conf_raw, a1 + b1*x as conf_fit, a2 + b2*x as conf_family from f join c1 using (fold) join c2 using (fold, task)),
+ routers as (select event_id, correct_off, correct_on, g as oracle, -x as conf_raw, a1 + b1*x as conf_fit, a2 + b2*x as conf_family from f join c1 using (fold) join c2 using (fold, task)),
  cells as (select correct_off, correct_on, conf_raw, conf_fit, conf_family, oracle, count(*) as c, min(event_id) as key from routers group by all),
  long as ({" union all ".join(f"select '{r}' as scorer, {r} as s, correct_off, correct_on, c, key from cells" for r in headroom.ROUTERS)}),
  {draws('long', 'scorer, s, correct_off, correct_on', 1000)}, seg as {segments_sql('drawn', 'scorer, b', 's', 'w')}, reps as (select * from {_router_sql('seg', 'scorer, b')}),
