@@ -7,7 +7,7 @@ from ..functions import arrays, text
 from ..operators import boot, predict, rank, splits
 from ..plans import experiment
 from ..session import balanced, settle
-from .base import ACT, EVT, auroc_sql, draws, query
+from .base import ACT, EVT, auroc_sql, draws, logistic_sql, query
 from .rank import _split_sql
 
 OFF, ON = "correct_off", "correct_on"
@@ -247,6 +247,19 @@ def l03(t):
     return rank.auroc(scored, ["seed", "split"], "y", "score")
 
 
+_TWO = "select vec_id, label >= 5 as y, embedding[1]::double as x1, embedding[2]::double as x2 from embeddings"
+
+
+@query("l03_two_columns", f"""with recursive f as (select e.*, k as seed from ({_TWO}) e, (values (42), (1), (2), (3), (4)) v(k)), sp as {_split_sql('f', 'seed', 'seed::varchar', 'vec_id', 'y')},
+ {logistic_sql('sp', 'seed')}, held as (select * from scored where split <> 'train')
+ select seed, split, p::bigint as n_pos, n::bigint as n_neg, u/nullif(p*n, 0) as auroc from {auroc_sql('held', 'seed, split', 'y', 's')}""", "auroc", "seed")
+def l03_two(t):
+    """The probe on two columns, where SQL can follow Newton's steps."""
+    rows = _act_split(t).withColumn("vec", F.slice("vec", 1, 2))
+    scored, _ = predict.logistic_scores(rows, "vec", "y", balanced=True)
+    return rank.auroc(scored, ["seed", "split"], "y", "score")
+
+
 @query("l03_tfidf_logistic")
 def l03_text(t):
     """The text baseline: TF-IDF words, logistic fit on train, held-out AUROC."""
@@ -318,6 +331,15 @@ def k06(t):
     return experiment.layer_sweep(t.act().drop("label"), "y", "vec_id")
 
 
+@query("k06_two_columns", f"""with recursive {ACT}, f as (select vec_id, layer, y, vec[1]::double as x1, vec[2]::double as x2 from act), sp as {_split_sql('f', 'layer', "'42'", 'vec_id', 'y')},
+ {logistic_sql('sp', 'layer')}, held as (select * from scored where split <> 'train'), a as (select layer, split, u/nullif(p*n,0) as v from {auroc_sql('held', 'layer, split', 'y', 's')}),
+ x as (select layer, max(v) filter (where split='val') as val_auroc, max(v) filter (where split = 'test') as test_auroc from a group by layer)
+ select layer, val_auroc, test_auroc, layer = (select layer from x order by coalesce(val_auroc, -1) desc, layer limit 1) as best from x""", "val_auroc test_auroc")
+def k06_two(t):
+    """The sweep on two columns of every layer."""
+    return experiment.layer_sweep(t.act().drop("label").withColumn("vec", F.slice("vec", 1, 2)), "y", "vec_id")
+
+
 @query("k06_best_layer", f"""with {ACT}, w as (select vec_id, layer, y, vec[1]::double as s from act), sp as {_split_sql('w', 'layer', "'42'", 'vec_id', 'y')},
  a as (select layer, split, u/nullif(p*n,0) as v from {auroc_sql('sp', 'layer, split', 'y', 's')}), x as (select layer, max(v) filter (where split='val') as val_auroc, max(v) filter (where split = 'test') as test_auroc from a group by layer)
  select layer, val_auroc, test_auroc, layer = (select layer from x order by coalesce(val_auroc, -1) desc, layer limit 1) as best from x""", "val_auroc test_auroc")

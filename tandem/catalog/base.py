@@ -304,6 +304,27 @@ def auroc_sql(src: str, by: str, y: str = "y", score: str = "s", weight: str = "
     sum(case when {y} then 0.0 else {weight} end) as n from {src} group by {keys}{score})) {'group by ' + by if by else ''})"""
 
 
+def logistic_sql(src: str, key: str, steps: int = 25) -> str:
+    """CTEs st (scaler), fits (coefficients) and scored (src with ``s``) of a balanced two-column logistic fit per key, C = 1.
+
+    src has key, split, y, x1, x2. Newton's method as a recursion over the steps, its 3 x 3 system by cofactors.
+    """
+    return f"""st as materialized (select {key}, avg(x1) as m1, case when stddev_pop(x1) < 1e-6 then 1.0 else stddev_pop(x1) end as d1, avg(x2) as m2,
+  case when stddev_pop(x2) < 1e-6 then 1.0 else stddev_pop(x2) end as d2, count(*)::double as rows, count(*) filter (where y)::double as ones from {src} where split = 'train' group by {key}),
+ z as materialized (select r.{key}, (x1 - m1)/d1 as a, (x2 - m2)/d2 as c, y::int as hit, case when y then rows/(2*greatest(ones, 1)) else rows/(2*greatest(rows - ones, 1)) end as w
+  from {src} r join st on r.{key} = st.{key} where split = 'train'),
+ newton as (select {key}, 0 as step, 0.0::double as w1, 0.0::double as w2, 0.0::double as b from st union all
+  select {key}, step + 1, w1 - (g1*(h22*h00 - h20*h20) - h12*(g2*h00 - h20*g0) + h10*(g2*h20 - h22*g0))/det,
+   w2 - (h11*(g2*h00 - h20*g0) - g1*(h12*h00 - h20*h10) + h10*(h12*g0 - g2*h10))/det,
+   b - (h11*(h22*g0 - g2*h20) - h12*(h12*g0 - g2*h10) + g1*(h12*h20 - h22*h10))/det from (
+   select *, h11*(h22*h00 - h20*h20) - h12*(h12*h00 - h20*h10) + h10*(h12*h20 - h22*h10) as det from (
+    select {key}, step, w1, w2, b, sum(w*(q - hit)*a) + w1 as g1, sum(w*(q - hit)*c) + w2 as g2, sum(w*(q - hit)) as g0, sum(w*q*(1 - q)*a*a) + 1 as h11,
+     sum(w*q*(1 - q)*a*c) as h12, sum(w*q*(1 - q)*c*c) + 1 as h22, sum(w*q*(1 - q)*a) as h10, sum(w*q*(1 - q)*c) as h20, sum(w*q*(1 - q)) as h00 from (
+     select z.*, step, w1, w2, b, 1/(1 + exp(-(w1*a + w2*c + b))) as q from newton n join z on n.{key} = z.{key} where step < {steps}) group by {key}, step, w1, w2, b))),
+ fits as materialized (select * from newton where step = {steps}),
+ scored as (select r.*, 1/(1 + exp(-(w1*(x1 - m1)/d1 + w2*(x2 - m2)/d2 + b))) as s from {src} r join st on r.{key} = st.{key} join fits on r.{key} = fits.{key})"""
+
+
 def segments_sql(src: str, by: str, score: str, weight: str = "1.0::double",
                  off: str = "correct_off", on: str = "correct_on") -> str:
     """Subquery of curve segments: by, s, n, gain, k0, k1, g0, g1, cnt, base, gall, helped, hurt."""

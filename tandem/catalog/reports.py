@@ -7,7 +7,7 @@ from ..operators import boot, curves, predict, rank, splits
 from ..operators.joins import ordered_pairs
 from ..plans import compare, experiment, headroom, tiers
 from ..session import small_table
-from .base import EVT, RDO, auroc_sql, draws, nauc_sql, query, segments_sql
+from .base import EVT, RDO, auroc_sql, draws, logistic_sql, nauc_sql, query, segments_sql
 from .rank import _min_fraction_sql, _split_sql
 
 OFF, ON = "correct_off", "correct_on"
@@ -361,13 +361,8 @@ def v09(t):
 
 # Comparison and transfer ------------------------------------------------------------------
 
-@query("l10_transfer")
-def l10(t):
-    """Probes fitted on one slice of the vectors, applied unchanged to every other slice."""
-    e = t.embeddings.select(
-        "vec_id", F.col("embedding").alias("vec"), (F.col("label") >= 5).alias("y"),
-        F.concat(F.lit("s"), (F.col("vec_id") % 2).cast("string")).alias("task"))
-    e = e.withColumn(OFF, ~F.col("y")).withColumn(ON, F.col("vec_id") % 4 != 0)
+def _transfer(t, e):
+    e = e.withColumn("task", F.concat(F.lit("s"), (F.col("vec_id") % 2).cast("string")))
     rows = splits.stratified_split(e, ["task"], "y", 42, "vec_id")
     _, points = predict.logistic_scores(rows, "vec", "y", seed_col="task", balanced=True)
     probes = small_table(t.spark, points, "task: string, coef: array<double>, intercept: double, mean: array<double>, sd: array<double>")
@@ -375,8 +370,49 @@ def l10(t):
         "objective": F.lit("needs_thinking"), "prefill_mode": F.lit("off"), "seed": F.lit(42),
         "input_dim": F.size("coef"), "threshold": F.lit(0.5)})
     tasks = e.select("task").distinct().withColumn("objective", F.lit("needs_thinking"))
-    scored = compare.transfer_scores(probes, e, tasks)
-    return compare.evaluate_transfer(scored, "y", "vec_id", S)[1]
+    return compare.evaluate_transfer(compare.transfer_scores(probes, e, tasks), "y", "vec_id", S)[1]
+
+
+@query("l10_transfer")
+def l10(t):
+    """Probes fitted on one slice of the vectors, applied unchanged to every other slice."""
+    e = t.embeddings.select("vec_id", F.col("embedding").alias("vec"), (F.col("label") >= 5).alias("y"))
+    return _transfer(t, e.withColumn(OFF, ~F.col("y")).withColumn(ON, F.col("vec_id") % 4 != 0))
+
+
+_VEC = "select vec_id, vec_id as event_id, label >= 5 as y, label < 5 as correct_off, vec_id % 4 <> 0 as correct_on, embedding[1]::double as x1, embedding[2]::double as x2 from embeddings"
+
+
+def _vectors(t):
+    e = t.embeddings.select("vec_id", F.slice("embedding", 1, 2).alias("vec"), (F.col("label") >= 5).alias("y"))
+    return e.withColumn(OFF, ~F.col("y")).withColumn(ON, F.col("vec_id") % 4 != 0)
+
+
+@query("l08_two_columns", f"""with recursive f as (select e.*, k as seed from ({_VEC}) e, (values (42), (1), (2), (3), (4)) v(k)), sp as {_split_sql('f', 'seed', 'seed::varchar', 'vec_id', 'y')},
+ {logistic_sql('sp', 'seed')}, held as materialized (select * from scored where split <> 'train'), vseg as {segments_sql("(select * from held where split = 'val')", 'seed', 's')},
+ cand as (select seed, s as t, g1 as g from vseg union all select seed, 0.0, coalesce(sum(gain) filter (where s >= 0.0), 0) from vseg group by seed
+  union all select seed, 1.0, coalesce(sum(gain) filter (where s >= 1.0), 0) from vseg group by seed),
+ thr as (select seed, t as thr from (select *, row_number() over (partition by seed order by g desc, t) as rn from cand) where rn = 1),
+ cur as (select h.*, thr from held h join thr on h.seed = thr.seed), {_evaluate_sql('seed, split')} select seed, split, {_EV_COLS} from m join a using (seed, split) join p using (seed, split)
+ join n1 using (seed, split) join n2 using (seed, split) join k using (seed, split)""", _EV_DBL, "seed")
+def l08_two(t):
+    """The whole seed run on two columns: split, scale, fit, threshold, every metric."""
+    return experiment.run_probe(_vectors(t), "vec", "y", "vec_id", [42, 1, 2, 3, 4])[0]
+
+
+@query("l10_two_columns", f"""with recursive f as (select *, concat('s', vec_id % 2) as task from ({_VEC})), sp as {_split_sql('f', 'task', "'42'", 'vec_id', 'y')}, {logistic_sql('sp', 'task')},
+ met as materialized (select st.task as source, f.task as target, vec_id, y, correct_off, correct_on, 1/(1 + exp(-(w1*(x1 - m1)/d1 + w2*(x2 - m2)/d2 + b))) as s
+  from f join st on st.task <> f.task join fits on fits.task = st.task),
+ pt as (select source, target, u/nullif(p*n, 0) as auroc from {auroc_sql('met', 'source, target', 'y', 's')}),
+ ro as (select source, target, avg(case when s >= 0.5 then correct_on else correct_off end::int::double) as routed from met group by source, target),
+ cells as (select source, target, s, y, count(*) as c, min(vec_id) as key from met group by all), {draws('cells', 'source, target, s, y', S)},
+ reps as (select source, target, b, u/nullif(p*n, 0) as v from {auroc_sql('drawn', 'source, target, b', 'y', 's', 'w')}),
+ ci as (select source, target, quantile_cont(v, 0.025) as ci_lo, quantile_cont(v, 0.975) as ci_hi from reps group by source, target)
+ select source, target, 'needs_thinking' as objective, auroc as transfer_auroc, 1 as n, routed as transfer_routed_accuracy, ci_lo, ci_hi, 1 as n_seeds
+ from pt join ro using (source, target) join ci using (source, target)""", "transfer_auroc transfer_routed_accuracy ci_lo ci_hi", "n n_seeds")
+def l10_two(t):
+    """Transfer of probes on two columns, with intervals."""
+    return _transfer(t, _vectors(t))
 
 
 _PAIRS = f"""a as (select family as objective, task, u/nullif(p*n,0) as auroc from {auroc_sql('evt', 'family, task', '(not correct_off)', '-conf')})"""

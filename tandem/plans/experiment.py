@@ -11,7 +11,7 @@ from ..checks import no_nan
 from ..columns import attach, join_on, truth
 from ..operators import boot, curves, rank
 from ..operators.predict import logistic_scores
-from ..operators.splits import seed_splits
+from ..operators.splits import seed_splits, stratified_split
 from ..session import settle
 
 RANGES = {"nauc_0_50": (0.0, 0.5), "nauc_0_100": (0.0, 1.0)}
@@ -146,9 +146,9 @@ def run_probe(
 def layer_sweep(act: DataFrame, y: str, row_id: str, seed: int = 42) -> DataFrame:
     """layer, val_auroc, test_auroc, best: the layer is chosen on validation only.
 
-    Every layer is one group of the same jobs except for its own fit.
+    Every layer is one group of the same jobs, with the same rows in each split.
     """
-    split = seed_splits(act, [seed], y, row_id)
+    split = stratified_split(act, ["layer"], y, seed, row_id)
     scored, _ = logistic_scores(split, "vec", y, seed_col="layer", balanced=True)
     got = rank.auroc(scored, ["layer", "split"], y, "score")
     pick = lambda s: F.max(F.when(F.col("split") == s, F.col("auroc")))
