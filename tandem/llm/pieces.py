@@ -224,7 +224,7 @@ class Encoder:
         found = np.fromiter(self.ends.iter(text), np.dtype([("end", np.int64), ("piece", np.int64)]))
         end, piece = found["end"], found["piece"]
         before = end - self.size_of[piece]
-        depth = end - begin[np.searchsorted(begin, end, "right") - 1]
+        depth = end - np.repeat(begin, lens + 1)[end]
         code = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
         last, size = CHARACTER + code, np.zeros(len(code), np.int64)
         order = np.argsort(depth, kind="stable")
@@ -337,7 +337,10 @@ class Decoder:
 
 def _encoding(rules, out: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(rules.value)
+        # Kept with the broadcast rules: the next task of this worker knows the stretches and pairs of the last one.
+        if "coder" not in rules.value:
+            rules.value["coder"] = Encoder(rules.value)
+        coder = rules.value["coder"]
         for batch in batches:
             for part in slices(batch, "__text"):
                 ids, n = coder.encode(part.column("__text").to_pylist())
