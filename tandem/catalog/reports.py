@@ -99,6 +99,31 @@ def a07_levels(t):
     return experiment.aggregate_levels(experiment.level_block(held, ["seed"], "family", "y", "score_a", "event_id"), [], "family")
 
 
+def _seed_auroc_sql(keys: str) -> str:
+    """Test AUROC of every seed with its bootstrap bounds, averaged over the seeds of each key."""
+    k = f"{keys}, " if keys else ""
+    test = "(select * from cur where split = 'test')"
+    return f"""with {EVT}, {_SEEDED}, cells as (select seed, {k}s, y, count(*) as c, min(event_id) as key from {test} group by all), {draws('cells', f'seed, {k}s, y', S)},
+ reps as (select seed, {k}b, u/nullif(p*n,0) as v from {auroc_sql('drawn', f'seed, {k}b', 'y', 's', 'w')}),
+ ci as (select seed, {k}quantile_cont(v, 0.025::double) as lo, quantile_cont(v, 0.975::double) as hi from reps group by all),
+ a as (select seed, {k}u/nullif(p*n,0) as v from {auroc_sql(test, f'seed{", " + keys if keys else ""}', 'y', 's')})
+ select {k}avg(v) as mean, avg(v) - coalesce(1.96::double*stddev_samp(v)/sqrt(count(v)), 0) as ci_lo, avg(v) + coalesce(1.96::double*stddev_samp(v)/sqrt(count(v)), 0) as ci_hi,
+  stddev_samp(v) as sd, count(v) as n_seeds, avg(lo) as boot_lo, avg(hi) as boot_hi from a join ci using (seed{", " + keys if keys else ""}) {"group by " + keys if keys else ""}"""
+
+
+@query("a07_seed_intervals", _seed_auroc_sql(""), "mean ci_lo ci_hi sd boot_lo boot_hi")
+def a07_intervals(t):
+    """Test AUROC over five seeds, with the averaged bootstrap bounds."""
+    return experiment.seed_auroc(_seed_rows(t).where("split = 'test'"), [], "y", "score_a", "event_id", S)
+
+
+@query("a07_level_intervals", _seed_auroc_sql("family"), "mean ci_lo ci_hi sd boot_lo boot_hi")
+def a07_level_intervals(t):
+    """The same per level."""
+    held = _seed_rows(t).where("split = 'test'")
+    return experiment.aggregate_levels(experiment.level_block(held, ["seed"], "family", "y", "score_a", "event_id", S), [], "family")
+
+
 @query("a07_seed_aggregate", f"with {EVT}, {_SEEDED}, {_evaluate_sql('seed, split')}, r as (select seed, split, {_EV_COLS} from m join a using (seed, split) join p using (seed, split) "
        "join n1 using (seed, split) join n2 using (seed, split) join k using (seed, split)), long as (unpivot (select * from r where split = 'test') on "
        + ", ".join(experiment.SEED_METRICS) + " into name metric value v) select metric, avg(v) as mean, avg(v) - coalesce(1.96::double*stddev_samp(v)/sqrt(count(v)), 0) as ci_lo, "

@@ -129,9 +129,11 @@ def fit_logistic(train: DataFrame, features: str, y: str, balanced: bool = False
     ).persist()
     try:
         total = data.agg(F.sum("w")).first()[0]
-        return LogisticRegression(
+        model = LogisticRegression(
             maxIter=max_iter, regParam=1.0 / (c * total), standardization=False, weightCol="w"
         ).fit(data)
+        require(model.summary.totalIterations < max_iter, f"no convergence in {max_iter} steps")
+        return model
     finally:
         data.unpersist()
 

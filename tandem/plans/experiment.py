@@ -97,6 +97,14 @@ def aggregate_levels(per_seed: DataFrame, by: list[str], level: str) -> DataFram
     return join_on(got, bounds, keys)
 
 
+def seed_auroc(rows: DataFrame, by: list[str], y: str, score: str, row_id: str, n_boot: int, seeds: str = "seed") -> DataFrame:
+    """by..., AUROC over seeds: mean with its normal interval, and the mean of the seeds' bootstrap bounds as boot_lo, boot_hi."""
+    keys = [*by, seeds]
+    per = join_on(rank.auroc(rows, keys, y, score).select(*keys, "auroc"), boot.auroc_interval(rows, keys, y, score, row_id, n_boot), keys)
+    bounds = boot.average_interval(per, by).select(*by, F.col("ci_lo").alias("boot_lo"), F.col("ci_hi").alias("boot_hi"))
+    return join_on(boot.mean_interval(per, by, "auroc").withColumnRenamed("n", "n_seeds"), bounds, by)
+
+
 SEED_METRICS = [
     "auroc", "auprc", "routed_accuracy", "fraction_routed", "never", "always", "oracle",
     "min_routed_for_always", "random_at_matched_rate", "oracle_at_matched_rate", "nauc_0_50", "nauc_0_100",
