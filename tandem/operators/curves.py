@@ -7,11 +7,12 @@ result depends on row order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checks import no_nan, require
 from ..columns import attach, count_if, gain, join_on, ratio, truth
+from ..session import settle
 from .ordered import running
 
 
@@ -116,29 +117,42 @@ def at_fractions(seg: DataFrame, by: list[str], fractions: list[float]) -> DataF
     )
 
 
+BUCKETS, PER_SALT = 4096, 1 << 20  # parts of [0, 1]; points of one part in one window
+
+
 def interpolate(points: DataFrame, seg: DataFrame, by: list[str], fraction: str) -> DataFrame:
-    """Accuracy of a curve at every row's ``fraction`` (clamped to [0, 1]).
+    """Accuracy of a curve at every row's ``fraction`` (clamped to [0, 1]; rows without one are left out).
 
-    Distinct fractions and segment starts are put in one order; the running
-    count of starts tells which segment a fraction lies in, so each looks up
-    one segment and each point one fraction. No pairs are formed.
+    Points and segments stand in one order; each point takes the last segment
+    that begins at or before it. The order is cut into parts of [0, 1], and a
+    small table says with which segment each part begins. A part with many
+    points is dealt to several windows, so a popular fraction is no hot key.
     """
-    start = F.col("k0") / F.col("rows")
-    x = F.least(F.greatest(F.col(fraction), F.lit(0.0)), F.lit(1.0))
-    starts = seg.withColumn("__x", start)
-    both = (
-        points.select(*by, x.alias("__x"), F.lit(0).alias("__s"))
-        .unionByName(starts.select(*by, "__x", F.lit(1).alias("__s")))
-        .where(F.col("__x").isNotNull())
-        .groupBy(*by, "__x").agg(F.sum("__s").alias("__s"), F.count(F.when(F.col("__s") == 0, 1)).alias("__p"))
+    own = settle(seg)
+    x = F.least(F.greatest(F.col(fraction).cast("double"), F.lit(0.0)), F.lit(1.0))
+    needed = ["k0", "k1", "g0", "gain", "n", "rows", "base"]
+    kept = [c for c in points.columns if c not in by]
+    row = F.struct(*[F.col(c) for c in kept]).alias("__row")
+    asked = points.where(F.col(fraction).isNotNull()).select(*by, x.alias("__x"), row)
+    starts = own.select(*by, (F.col("k0") / F.col("rows")).alias("__x"), F.struct(*needed).alias("__seg"))
+    both = asked.unionByName(starts, allowMissingColumns=True).withColumn("__part", F.floor(F.col("__x") * BUCKETS).cast("int"))
+    last = F.max_by("__seg", F.when(F.col("__seg").isNotNull(), F.col("__x")))
+    parts = both.groupBy(*by, "__part").agg(last.alias("__last"), count_if(F.col("__seg").isNull()).alias("__points"))
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    info = parts.select(
+        *by, "__part", F.last("__last", ignorenulls=True).over(before).alias("__carry"),
+        F.greatest(F.ceil(F.col("__points") / PER_SALT), F.lit(1)).cast("int").alias("__salts"),
     )
-    counted = running(both, by, "__x", ["__s"])
-    numbered = join_on(starts, counted.where("__s > 0").select(*by, "__x", F.col("cum___s").alias("__i")), by + ["__x"]).drop("__x")
-    asked = counted.where("__p > 0").select(*by, "__x", F.col("cum___s").alias("__i"))
-    read = join_on(asked, numbered, by + ["__i"])
-    k = F.greatest(F.col("k0"), F.least(F.col("__x") * F.col("rows"), F.col("k1")))
-    read = read.select(*by, "__x", _accuracy_at(k).alias("accuracy"))
-    return join_on(points.withColumn("__x", x), read, by + ["__x"]).select(*points.columns, "accuracy")
+    told = attach(both, info, [*by, "__part"])
+    every = F.sequence(F.lit(0), F.col("__salts") - 1)
+    one = F.array(F.pmod(F.monotonically_increasing_id(), F.col("__salts")).cast("int"))
+    dealt = told.withColumn("__salt", F.explode(F.when(F.col("__seg").isNull(), one).otherwise(every)))
+    upto = Window.partitionBy(*by, "__part", "__salt").orderBy("__x", F.col("__seg").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = dealt.withColumn("__s", F.coalesce(F.last("__seg", ignorenulls=True).over(upto), F.col("__carry")))
+    found = found.where(F.col("__seg").isNull() & F.col("__s").isNotNull()).select(*by, "__x", "__row", *[F.col(f"__s.{c}").alias(f"__{c}") for c in needed])
+    k = F.greatest(F.col("__k0"), F.least(F.col("__x") * F.col("__rows"), F.col("__k1")))
+    accuracy = (F.col("__base") + F.col("__g0") + F.col("__gain") / F.col("__n") * (k - F.col("__k0"))) / F.col("__rows")
+    return found.select(*[F.col(c) if c in by else F.col(f"__row.{c}").alias(c) for c in points.columns], accuracy.alias("accuracy"))
 
 
 def _clipped_area(lo: float, hi: float) -> Column:

@@ -220,6 +220,27 @@ def test_within_group_and_gate(spark):
         calib.require_informative(df, "one", "y")
 
 
+def test_interpolation_at_one_popular_fraction(spark, monkeypatch):
+    """All points at one fraction go to several windows; ends, gaps, null and odd fractions; groups with a null key."""
+    monkeypatch.setattr(curves, "PER_SALT", 64)
+    rng = np.random.default_rng(2)
+    n = 400
+    df = frame(spark, "id int, g string, off boolean, on boolean, s double", np.arange(n), [None if i % 2 else "a" for i in range(n)],
+               rng.random(n) < .5, rng.random(n) < .8, rng.integers(0, 60, n) / 1.0)
+    seg = curves.segments(df, ["g"], "off", "on", "s")
+    fractions = [0.25] * 900 + [0.0, 1.0, -3.0, 7.0, 0.2499999, 0.5000001, 1e-9, None] + rng.random(60).tolist()
+    rows = [(i, g, f) for i, f in enumerate(fractions) for g in ("a", None)]
+    got = curves.interpolate(spark.createDataFrame(rows, "i int, g string, f double").repartition(5), seg, ["g"], "f").collect()
+    assert len(got) == 2 * (len(fractions) - 1)
+    knots = {}
+    for r in seg.orderBy("g", "k0").collect():
+        xs, ys = knots.setdefault(r.g, ([0.0], [r.base / r.rows]))
+        xs.append(r.k1 / r.rows)
+        ys.append((r.base + r.g1) / r.rows)
+    for r in got:
+        assert r.accuracy == pytest.approx(np.interp(min(max(fractions[r.i], 0), 1), *knots[r.g]))
+
+
 def test_text_ids_are_cut_by_splitters(spark, monkeypatch):
     """Pooled ids of two tasks and one score for all rows: no block holds more than a fixed share, and the order is kept."""
     monkeypatch.setattr(ordered, "PER_BLOCK", 50)
