@@ -93,7 +93,7 @@ def _items(benchmark: DataFrame, item: str, text: str) -> DataFrame:
                 h, row, _, _ = hasher.words(part.column("__text"))
                 ends = np.searchsorted(row, np.arange(part.num_rows + 1))
                 words = [h[a:b] for a, b in zip(ends[:-1], ends[1:])]
-                seeds = [np.unique(grams(w, max(1, min(LEAST, len(w))))) for w in words]
+                seeds = [grams(w, max(1, min(LEAST, len(w)))) for w in words]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(item), pa.array([w.view(np.int64) for w in words], pa.list_(pa.int64())),
@@ -108,8 +108,10 @@ def _items(benchmark: DataFrame, item: str, text: str) -> DataFrame:
     )
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
-    """One row per document and benchmark item that share a run of five words.
+def overlaps(
+    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", least: float = 0.0
+) -> DataFrame:
+    """One row per document and benchmark item that share a run of five words, and may reach a coverage of ``least``.
 
     Columns: ``key``, ``text_hash``, ``item``, ``coverage`` (share of the item's
     words under tiles), ``n_tiles`` and ``tiles``, an array of (item_word,
@@ -118,11 +120,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
     fewer than five words must occur whole.
 
     Two bit maps of fixed size let only likely seeds leave the scan, with the
-    words of their document; seeds are then joined with the items' seeds, and
-    every pair that shares one is tiled.
+    words of their document; seeds are then joined with the items' seeds. A tile
+    consists of shared seeds, so the item's words under them bound the coverage:
+    pairs that cannot reach ``least`` go before any words are joined, the others are tiled.
     """
     items = settle(_items(benchmark, item, text))
-    seeds = items.select(item, "width", F.explode("seeds").alias("seed"))
+    seeds = items.select(item, "width", F.size("words").alias("size"), F.posexplode("seeds").alias("at", "seed"))
     mask = (1 << FILTER_BITS) - 1
     bits = np.zeros((2, 1 << FILTER_BITS), bool)  # as large for any benchmark
     for k, side in enumerate((F.col("seed"), F.shiftrightunsigned("seed", 32))):
@@ -164,9 +167,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
     )
     likely = settle(likely)
     texts = likely.dropDuplicates(["text_hash"]).select("text_hash", "doc_words", "seeds")
+    # Words of the item under shared seeds: each seed adds its width, or the gap to the next one.
+    at = F.array_sort(F.collect_set("at")).alias("at")
+    gaps = F.zip_with(F.slice("at", 2, F.size("at")), F.col("at"), lambda b, a: F.least(b - a, F.col("width")))
+    under = F.aggregate(F.filter(gaps, lambda g: g.isNotNull()), F.col("width"), lambda x, g: x + g)
     met = (
         texts.select("text_hash", F.explode("seeds").alias("seed")).join(seeds, "seed")
-        .select("text_hash", item).distinct()
+        .groupBy("text_hash", item).agg(F.first("width").alias("width"), F.first("size").alias("size"), at)
+        .where(under >= F.col("size") * F.lit(least) - 1e-9).select("text_hash", item)
     )
     sides = met.join(texts.select("text_hash", "doc_words"), "text_hash").join(items.select(item, "words"), item)
     item_kind = dict(benchmark.dtypes)[item]
@@ -199,7 +207,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", least: float = COVERAGE) -> DataFrame:
     """The ``overlaps`` whose tiles cover at least ``least`` of the item, in any order."""
-    return overlaps(docs, benchmark, key, text).where(F.col("coverage") >= least)
+    return overlaps(docs, benchmark, key, text, least=least).where(F.col("coverage") >= least)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", least: float = COVERAGE) -> DataFrame:
