@@ -24,9 +24,10 @@ from tandem.llm.common import settle, slices, text_bytes, whole
 
 RADIUS = 3
 HALF_RADIUS = RADIUS // 2
-SAMPLE = 16_384  # fingerprints on the driver, at most, to place the vantage points
+SAMPLE = 16_384  # fingerprints on the driver to place the vantage points, or PER_LEAF for each leaf
+PER_LEAF = 4
 LEAF = 4_096  # stored fingerprints per shard that the tree aims at
-DEEPEST = 10  # levels of the tree over all shards; local trees split on
+DEEPEST = 20  # levels of the tree over all shards, for 4e9 fingerprints; local trees split on
 BLOCK = 32_768  # rows of a leaf that one task compares with one block of queries
 SMALL = 128
 SEED = 42
@@ -81,17 +82,25 @@ class Tree:
         self.depth = depth
         self.point = np.zeros(1 << depth, np.uint32)
         self.cut = np.full(1 << depth, 16, np.int16)
-        parts = {1: sample}
-        for node in range(1, 1 << depth):
-            own = parts.pop(node, np.zeros(0, np.uint32))
-            if len(own):
-                # The vantage point that spreads distances most, of a few candidates.
-                tries = own[:: max(1, len(own) // 8)][:8]
-                far = [np.bitwise_count(own ^ v) for v in tries]
-                best = max(range(len(tries)), key=lambda i: far[i].std())
-                self.point[node], self.cut[node] = tries[best], np.median(far[best])
-                near = far[best] <= self.cut[node]
-                parts[2 * node], parts[2 * node + 1] = own[near], own[~near]
+        node = np.ones(len(sample), np.int64)
+        for level in range(depth):
+            order = np.argsort(node, kind="stable")
+            sample, node = sample[order], node[order]
+            own, first, many = np.unique(node, return_index=True, return_counts=True)
+            group = np.repeat(np.arange(len(own)), many)
+            # The vantage point that spreads distances most, of a few candidates.
+            best, far, spread = np.zeros(len(own), np.uint32), np.zeros(len(sample), np.int16), np.full(len(own), -1.0)
+            for k in range(8):
+                tried = sample[first + k * many // 8]
+                d = np.bitwise_count(sample ^ tried[group]).astype(np.int16)
+                mean = np.bincount(group, d) / many
+                width = np.bincount(group, d.astype(np.int64) ** 2) / many - mean**2
+                better = width > spread
+                best[better], spread[better] = tried[better], width[better]
+                far = np.where(better[group], d, far)
+            ranked = np.lexsort((far, group))
+            self.point[own], self.cut[own] = best, far[ranked[first + (many - 1) // 2]]
+            node = 2 * node + (far > self.cut[node])
 
     def leaf(self, x: np.ndarray) -> np.ndarray:
         """The leaf in which each value is stored."""
@@ -184,11 +193,12 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     if radius > RADIUS:
         raise ValueError(f"halves are searched within {HALF_RADIUS} bit, enough for {RADIUS} in all")
     n = fps.count()
-    share = min(1.0, SAMPLE / max(n, 1))
-    drawn = fps.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * SAMPLE).toPandas()
+    depth = min(DEEPEST, max(0, math.ceil(math.log2(max(n, 1) / LEAF))))
+    wanted = max(SAMPLE, PER_LEAF << depth)
+    share = min(1.0, wanted / max(n, 1))
+    drawn = fps.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * wanted).toPandas()
     sample = np.sort(drawn["fp"].to_numpy(np.int64))
     np.random.default_rng(SEED).shuffle(sample)
-    depth = min(DEEPEST, max(0, math.ceil(math.log2(max(n, 1) / LEAF))))
     trees = fps.sparkSession.sparkContext.broadcast([Tree(half(sample, v), depth) for v in (0, 1)])
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -205,8 +215,8 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         F.ceil(F.count(F.when(~F.col("asks"), 1)) / BLOCK).cast("int").alias("stored"),
         F.ceil(F.count(F.when(F.col("asks"), 1)) / (4 * BLOCK)).cast("int").alias("asked"),
     )
-    # At most 2 x 2^DEEPEST rows.
-    cut = placed.join(F.broadcast(sizes), ["view", "leaf"])
+    # Two rows a leaf: broadcast while they are few.
+    cut = placed.join(F.broadcast(sizes) if depth <= 14 else sizes, ["view", "leaf"])
     own = lambda n: F.array(F.pmod(F.xxhash64("fp"), F.greatest(F.col(n), F.lit(1))).cast("int"))
     every = lambda n: F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1)
     spread = cut.select(

@@ -6,7 +6,9 @@ import hashlib
 import random
 import re
 import textwrap
+import time
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -214,6 +216,25 @@ def test_decontamination(spark, docs, nothing):
     assert tiling.clean(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_pairs_that_cannot_be_covered_are_not_tiled(spark, monkeypatch):
+    """One phrase in every item and document: only pairs with enough words under shared seeds are tiled, the result is the same."""
+    rnd = random.Random(17)
+    phrase = prose(rnd, 6)
+    items = [prose(rnd, 12) + " " + phrase + " " + prose(rnd, 12) for _ in range(30)]
+    items += ["a b c d a b c d a b c d", prose(rnd, 4)]
+    texts = [prose(rnd, 20) + " " + phrase + " " + prose(rnd, 20) for _ in range(40)]
+    texts += [f"x {items[3]} y", " ".join(items[7].split()[:25]), "q " + items[30] + " d", items[31], " ".join(items[5].split()[15:] + items[5].split()[:15])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    every = tiling.overlaps(docs, bench).collect()
+    assert len(every) >= 30 * 40
+    able = tiling.overlaps(docs, bench, least=0.8).collect()
+    assert len(able) < 20
+    want = {(r.doc_id, r.item_id, r.coverage) for r in every if r.coverage >= 0.8}
+    assert {(r.doc_id, r.item_id, r.coverage) for r in able if r.coverage >= 0.8} == want and len(want) >= 5
+    assert {(r.doc_id, r.item_id, r.coverage) for r in tiling.contaminated(docs, bench).collect()} == want
+
+
 # 4 near-dedup
 
 
@@ -254,7 +275,9 @@ def test_near_dedup(spark, docs, rows, nothing):
     assert simhash.groups(nothing).count() == simhash.first_of_each(nothing).count() == 0
 
 
-def test_shards_lose_no_link(spark, monkeypatch):
+@pytest.mark.parametrize("leaf", [200, 4])
+def test_shards_lose_no_link(spark, monkeypatch, leaf):
+    """The tree is as deep as the number of fingerprints asks for: no link is lost at any depth."""
     rng = np.random.default_rng(0)
     base = rng.integers(0, 2**63, 1500, dtype=np.int64)
     fps = [base]
@@ -265,7 +288,7 @@ def test_shards_lose_no_link(spark, monkeypatch):
         fps.append(near.view(np.int64))
     ball = base[0].view(np.uint64) ^ (np.uint64(1) << np.arange(64, dtype=np.uint64))
     fps = np.unique(np.concatenate([*fps, ball.view(np.int64)]))
-    monkeypatch.setattr(simhash, "LEAF", 200)
+    monkeypatch.setattr(simhash, "LEAF", leaf)
     monkeypatch.setattr(simhash, "BLOCK", 300)
     frame = spark.createDataFrame([(int(x),) for x in fps], "fp long")
     got = {r.node: r.root for r in simhash.components(simhash.links(frame)).collect()}
@@ -355,10 +378,101 @@ def test_blocks():
     assert pages.blocks("") == [] and pages.blocks("1 < 2 &lt;b&gt;") == [(0, "1 < 2 <b>")]
 
 
+class Plain(HTMLParser):
+    """Article text of well-formed pages, the plain way: a stack, and every element asked whether it is frame."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.stack, self.parts = [], [[]]
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("br", "hr", "img"):
+            if tag != "img":
+                self.parts.append([])
+            return
+        names = dict(attrs).get("class", "").split()
+        frame = tag in ("nav", "aside", "footer", "header", "form", "script", "style") or "ad" in names or "comments" in names
+        self.stack.append((tag, frame))
+        if tag not in pages.INLINE or frame:
+            self.parts.append([])
+
+    def handle_endtag(self, tag):
+        name, frame = self.stack.pop()
+        assert name == tag
+        if tag not in pages.INLINE or frame:
+            self.parts.append([])
+
+    def handle_data(self, data):
+        if any(t == "article" for t, _ in self.stack) and not any(f for _, f in self.stack):
+            self.parts[-1].append(data)
+
+    def text(self):
+        return " ".join(t for p in self.parts if (t := " ".join("".join(p).split())))
+
+
+def test_pages_against_a_plain_extractor(spark):
+    rnd = random.Random(23)
+
+    phrase = ["span", "b", "inline ad", "text", "text", "text", "br"]
+
+    def element(depth, inside=()):
+        kind = rnd.choice(phrase + ([] if inside == "phrase" else ["p", "div", "section", "ul", "nav", "aside", "ad", "comments"]))
+        if kind == "text" or depth > 5:
+            return rnd.choice(["word ", "a &amp; b ", " two  three\n", "x", "5 < 6 ", "&nbsp;", ""])
+        if kind == "br":
+            return "<br>"
+        inside = "phrase" if kind in (*phrase, "p") else inside
+        inner = "".join(element(depth + 1, inside) for _ in range(rnd.randint(0, 4)))
+        tag, own = {"ad": ("div", ' class="ad x"'), "inline ad": ("span", " class='ad'"), "comments": ("div", ' class="comments"')}.get(kind, (kind, ""))
+        return f"<{tag}{own}>{inner}</{tag}>"
+
+    made = [f"<nav>menu</nav><article>{''.join(element(0) for _ in range(8))}</article><footer>f</footer>" for _ in range(300)]
+    made += [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").where("html like '%<ul><li><a%</a></li>%' and html not like '%<b>%'").collect()]
+    checked = 0
+    for page in made:
+        plain = Plain()
+        try:
+            plain.feed(page)
+        except (AssertionError, IndexError):
+            continue  # not well formed
+        checked += 1
+        assert " ".join(t for z, t in pages.blocks(page) if z == pages.MAIN) == plain.text(), page
+    assert checked >= 250
+
+
+def test_frames_inside_the_article(spark):
+    leak = '<article><p>A <span class="ad"><span>buy</span> LEAK</span> B</p></article>'
+    assert [t for _, t in pages.blocks(leak)] == ["A", "B"]
+    page = (
+        '<article><h1>{0}</h1><div class="share-price">12 {0}</div><section id="related-work">prior {0}</section><p class="alert">warning {0}</p>'
+        '<h2 class="tags">Tags {0}</h2><div class="share-box">Tell your friends</div><div class="share">gone</div><p>Tell your friends</p>{1}</article>'
+    )
+    rows = [(i, f"http://h/{i}", page.format(w, f"long text of {w} " * 9)) for i, w in enumerate(("one", "two", "three"))]
+    rows.append((9, "http://alone/1", page.format("four", "")))
+    got = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, w in enumerate(("one", "two", "three")):
+        head = f"{w} 12 {w} prior {w} warning {w} Tags {w}"
+        assert got[i] == f"{head} Tell your friends " + f"long text of {w} " * 8 + f"long text of {w}"
+    assert got[9] == "four 12 four prior four warning four Tags four Tell your friends Tell your friends"
+
+
+def test_long_pages_take_linear_time():
+    for page in ('<p a="' * 170_000, "<p <p " * 160_000, "<p a=\"<p b='" * 80_000, "</x>" * 250_000, "<div>" * 90_000 + "</p>" * 90_000,
+                 "<!" * 400_000, "<script " * 120_000, "<a " * 300_000 + ">"):
+        start = time.perf_counter()
+        pages.blocks(page)
+        assert time.perf_counter() - start < 10
+    lines = np.random.default_rng(0).integers(0, 10**6, 20_000)
+    other = np.concatenate([lines[:9000], lines[11_000:]])
+    start = time.perf_counter()
+    assert pages.common(lines, other).sum() == 18_000
+    assert time.perf_counter() - start < 5
+
+
 def test_common_lines():
     rnd = random.Random(4)
-    for _ in range(100):
-        a, b = ([rnd.randint(0, 5) for _ in range(rnd.randint(0, 15))] for _ in range(2))
+    for k in range(200):
+        a, b = ([rnd.randint(0, 5 if k % 2 else 40) for _ in range(rnd.randint(0, 15 if k % 2 else 60))] for _ in range(2))
         table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
         for i, x in enumerate(a):
             for j, y in enumerate(b):
