@@ -27,7 +27,7 @@ from tandem.llm.common import ranges, slices, strings, whole
 # Fixed values of the model file: kinds of pieces, field numbers, the sign for a space.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 SPACE = "▁"
-KEPT_CHUNKS, KEPT_IDS, KEPT_PAIRS = 200_000, 4_000_000, 300_000  # what a task remembers at once
+KEPT_CHUNKS, KEPT_IDS, KEPT_PAIRS = 600_000, 4_000_000, 300_000  # what a task remembers at once
 SHORT = 64  # characters of a stretch that is encoded in step with others
 CHARACTER = 1 << 20  # added to a character that is no piece, to number it above all ids
 NEVER = float("-inf")
