@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -75,6 +76,55 @@ def poisson_table(power: int) -> tuple[int, np.ndarray]:
     return first, np.cumsum(np.exp(logs))
 
 
+LOOK_BITS = 14  # leading bits of a uniform that tell almost every Poisson count
+_BLOCK = 1 << 16  # words mixed at once, so that they stay in the processor's cache
+
+
+@lru_cache(maxsize=64)
+def poisson_lookup(power: int) -> np.ndarray:
+    """Count by the leading bits of the uniform, -1 where those bits leave more than one open."""
+    first, steps = poisson_table(power)
+    edges = np.arange((1 << LOOK_BITS) + 1) / float(1 << LOOK_BITS)
+    low = np.searchsorted(steps, edges[:-1], side="right")
+    high = np.searchsorted(steps, edges[1:] - 1.0 / (1 << 53), side="right")
+    return np.where(low == high, first + low, -1).astype(np.float64)
+
+
+def _mix(x: np.ndarray, spare: np.ndarray) -> None:
+    """``_mixed`` in place on 32-bit words, whose products wrap by themselves."""
+    for shift, factor in ((16, 0x7FEB352D), (15, 0x846CA68B), (16, None)):
+        np.right_shift(x, np.uint32(shift), out=spare)
+        np.bitwise_xor(x, spare, out=x)
+        if factor:
+            np.multiply(x, np.uint32(factor), out=x)
+
+
+def _poisson_draws(words: tuple[np.ndarray, np.ndarray], n_boot: int, power: int) -> Iterator[tuple[slice, np.ndarray]]:
+    """(cells, their Poisson(2^power) counts) block by block; the same counts as from ``uniforms`` and ``poisson_table``.
+
+    The leading bits of the first word settle a count unless a step of the
+    distribution lies inside their range; only there the whole uniform is made.
+    """
+    counter = _mixed((np.arange(n_boot, dtype=np.uint64) * np.uint64(64) + np.uint64(power + 1)) & WORD).astype(np.uint32)
+    high, low = (w.astype(np.uint32) for w in words)
+    look, (first, steps) = poisson_lookup(power), poisson_table(power)
+    step = max(1, _BLOCK // n_boot)
+    for a in range(0, len(high), step):
+        x = high[a : a + step, None] ^ counter[None, :]
+        spare = np.empty_like(x)
+        _mix(x, spare)
+        np.right_shift(x, np.uint32(32 - LOOK_BITS), out=spare)
+        got = look[spare.astype(np.intp)]
+        unclear = np.flatnonzero(got < 0)
+        if len(unclear):
+            i, b = np.divmod(unclear, n_boot)
+            top = x[i, b].astype(np.uint64)
+            rest = _mixed(top ^ low[a : a + step][i].astype(np.uint64))
+            u = (top * np.uint64(1 << 21) + (rest >> np.uint64(11))).astype(np.float64) / float(1 << 53)
+            got[i, b] = first + np.searchsorted(steps, u, side="right")
+        yield slice(a, a + len(x)), got
+
+
 def poisson_weights(keys, counts, n_boot: int, seed: int) -> np.ndarray:
     """Resampling weight of each cell in each replicate: Poisson(count of the cell), exact for every count.
 
@@ -84,13 +134,19 @@ def poisson_weights(keys, counts, n_boot: int, seed: int) -> np.ndarray:
     """
     counts = np.asarray(counts, dtype=np.int64)
     words = key_words(keys, seed)
-    out = np.zeros((len(counts), n_boot))
+    out = np.empty((len(counts), n_boot))
+    fresh = np.ones(len(counts), dtype=bool)
     for power in range(int(counts.max(initial=0)).bit_length()):
         at = np.flatnonzero(counts >> power & 1)
-        if len(at):
-            first, steps = poisson_table(power)
-            u = uniforms((words[0][at], words[1][at]), n_boot, power)
-            out[at] += first + np.searchsorted(steps, u, side="right")
+        for cells, got in _poisson_draws((words[0][at], words[1][at]), n_boot, power):
+            own = at[cells]
+            if fresh[own].all():
+                out[own] = got
+            else:
+                got += np.where(fresh[own, None], 0.0, out[own])
+                out[own] = got
+            fresh[own] = False
+    out[fresh] = 0.0
     return out
 
 

@@ -31,7 +31,7 @@ from .ordered import numbered, running
 from .curves import nauc, normalised, segments
 from .rank import auroc, concordance
 
-_ELEMENTS = 2_000_000  # weights held at once by one task
+_ELEMENTS = 1 << 19  # weights held at once by one task
 
 
 # --- exact resampling ------------------------------------------------------
@@ -166,14 +166,18 @@ def _summed(cell_df: DataFrame, by: list[str], sums: dict[str, Column], n_boot:
 
 
 def _groups(pdf: pd.DataFrame, by: list[str]):
-    """(key tuple, row positions) in order of first appearance."""
+    """(key tuple, row positions) in order of first appearance; groups that lie together come as slices."""
     if not by:
-        yield (), np.arange(len(pdf))
+        yield (), slice(0, len(pdf))
         return
     codes = pdf.groupby(by, sort=False, dropna=False).ngroup().to_numpy()
-    order = np.argsort(codes, kind="stable")
-    for at in np.split(order, np.flatnonzero(np.diff(codes[order])) + 1):
-        yield tuple(None if pd.isna(v) else v for v in pdf[by].iloc[at[0]]), at
+    step = np.diff(codes)
+    together = not (step < 0).any()
+    order = np.arange(len(codes)) if together else np.argsort(codes, kind="stable")
+    edges = np.r_[0, np.flatnonzero(step if together else np.diff(codes[order])) + 1, len(codes)]
+    for a, z in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        key = tuple(None if pd.isna(v) else v for v in (pdf[c].iloc[order[a]] for c in by))
+        yield key, slice(a, z) if together else order[a:z]
 
 
 def replicate_pairs(
@@ -245,8 +249,8 @@ def replicate_pairs(
 def _extend(state, s, w, hit):
     """Append scores (ascending) of one group to its running state in this task."""
     starts = np.r_[0, np.flatnonzero(np.diff(s)) + 1]
-    p = np.add.reduceat(w * hit[:, None], starts, axis=0)
-    n = np.add.reduceat(w * ~hit[:, None], starts, axis=0)
+    p, n = _sums_at(w * hit[:, None], starts), _sums_at(w, starts)
+    n -= p
     s = s[starts]
     if state is None:
         state = {"first": (s[0], p[0], n[0]), "last": None, "mid": None}
@@ -262,21 +266,29 @@ def _extend(state, s, w, hit):
             p[0] += lead[1]
             n[0] += lead[2]
         else:
-            s, p, n = np.r_[lead[0], s], np.vstack([lead[1][None], p]), np.vstack([lead[2][None], n])
-    state["last"] = (s[-1], p[-1], n[-1])
+            state["mid"] = _followed(state["mid"], lead[0], lead[1], lead[2], lead[1] * lead[2] / 2)
+    state["last"] = (s[-1], p[-1].copy(), n[-1].copy())
     if len(s) > 1:
         p, n = p[:-1], n[:-1]
-        seen = np.cumsum(n, axis=0) - n
-        u = (p * (seen + n / 2)).sum(axis=0)
-        p, n = p.sum(axis=0), n.sum(axis=0)
-        if state["mid"] is None:
-            state["mid"] = (s[0], p, n, u)
-        else:
-            lo, p0, n0, u0 = state["mid"]
-            state["mid"] = (lo, p0 + p, n0 + n, u0 + u + p * n0)
+        below = np.cumsum(n, axis=0)
+        total = below[-1].copy()
+        below -= n / 2
+        state["mid"] = _followed(state["mid"], s[0], p.sum(axis=0), total, np.einsum("ij,ij->j", p, below))
     return state
 
 
+def _sums_at(values, starts):
+    """Sums of the rows from each start to the next."""
+    return values.copy() if len(starts) == len(values) else np.add.reduceat(values, starts, axis=0)
+
+
+def _followed(mid, lo, p, n, u):
+    """A run of scores (see rank.concordance) followed by another one."""
+    if mid is None:
+        return lo, p, n, u
+    return mid[0], mid[1] + p, mid[2] + n, mid[3] + u + p * mid[2]
+
+
 def replicate_auroc(
     cell_df: DataFrame, by: list[str], y: str, score: str, n_boot: int, seed: int = 0
 ) -> DataFrame:
@@ -311,25 +323,73 @@ class CurveReads:
         return {"area": (np.sum, np.add, F.sum, 0.0), "min_": (np.min, np.minimum, F.min, np.inf),
                 "at_": (np.max, np.maximum, F.max, -np.inf)}[next(p for p in ("area", "min_", "at_") if name.startswith(p))]
 
-    def __call__(self, n, gain, k0, g0, n_all, gain_all, base):
-        """(name, one value per segment) for every read; arrays of any one shape, or that broadcast to it."""
+    def one(self, name, n, gain, k0, g0, n_all, gain_all, base):
+        """One value per segment for a read; arrays of any one shape, or that broadcast to it."""
         k1 = k0 + n
+        what, _, x = name.partition("_")
         with np.errstate(divide="ignore", invalid="ignore"):
             step = np.where(n > 0, gain / n, 0.0)
             accuracy = lambda x: (base + g0 + step * (x - k0)) / n_all
-            for name, (lo, hi) in self.ranges.items():
+            if what == "area":
+                lo, hi = self.ranges[x]
                 a, b = np.maximum(k0 / n_all, lo), np.minimum(k1 / n_all, hi)
                 piece = (b - a) * (accuracy(a * n_all) + accuracy(b * n_all)) / 2
-                yield f"area_{name}", np.where((n > 0) & (b > a), piece, 0.0)
-            for name, less in self.allowances.items():
-                need = ((base + gain_all) / n_all - less - 1e-9) * n_all - (base + g0)
+                return np.where((n > 0) & (b > a), piece, 0.0)
+            if what == "min":
+                need = self.needed(x, n_all, gain_all, base) - g0
                 up = np.ceil(k0 + need / np.where(step > 0, step, np.nan))
                 first = np.where(need <= 0, k0, np.where(up <= k1, up, np.inf))
-                yield f"min_{name}", np.where(n > 0, first, np.inf) / n_all
-            for name, f in self.fractions.items():
-                x = f * n_all
-                inside = (n > 0) & ((x > k0) & (x <= k1) if f > 0 else k0 == 0)
-                yield f"at_{name}", np.where(inside, accuracy(x), -np.inf)
+                return np.where(n > 0, first, np.inf) / n_all
+            x = self.fractions[x] * n_all
+            inside = (n > 0) & ((x > k0) & (x <= k1) if self.fractions[name[3:]] > 0 else k0 == 0)
+            return np.where(inside, accuracy(x), -np.inf)
+
+    def needed(self, allowance, n_all, gain_all, base):
+        """The gain at which the accuracy suffices."""
+        return ((base + gain_all) / n_all - self.allowances[allowance] - 1e-9) * n_all - base
+
+    def __call__(self, *segments):
+        """(name, one value per segment) for every read."""
+        for name in self.names:
+            yield name, self.one(name, *segments)
+
+    def add(self, got, n, gain, k0, g0, n_all, gain_all, base):
+        """Fold segments (segments x replicates) that follow one another from (k0, g0) on into ``got``.
+
+        Most replicates begin or end nothing among them: inside a range their
+        area is one sum, and no other read needs them. The others are read segment by segment.
+        """
+        g1 = np.cumsum(gain, 0)
+        g1 += g0
+        end = k0 + n.sum(0)
+        area, top = None, None
+
+        def by_segment(name, which):
+            at = np.flatnonzero(which)
+            if len(at):
+                n_, gain_ = n[:, at], gain[:, at]
+                k0_ = k0[at] + np.cumsum(n_, 0) - n_
+                over, two = self.fold(name)[:2]
+                values = self.one(name, n_, gain_, k0_, g1[:, at] - gain_, n_all[at], gain_all[at], base[at])
+                got[name][at] = two(got[name][at], over(values, axis=0))
+
+        for name in self.names:
+            what, _, x = name.partition("_")
+            if what == "area":
+                lo, hi = (v * n_all for v in self.ranges[x])
+                within = (k0 >= lo) & (end <= hi)
+                if within.any():
+                    if area is None:
+                        area = (base * (end - k0) + np.einsum("ij,ij->j", n, g1) - np.einsum("ij,ij->j", n, gain) / 2) / n_all**2
+                    got[name][within] += area[within]
+                by_segment(name, ~within & (k0 < hi) & (end > lo))
+            elif what == "min":
+                if top is None:
+                    top = np.maximum(g1.max(0), g0)
+                by_segment(name, (top >= self.needed(x, n_all, gain_all, base) - 1e-6) & ~(got[name] * n_all <= k0))
+            else:
+                at = self.fractions[x] * n_all
+                by_segment(name, (k0 <= at) & (at <= end))
 
 
 class _Run:
@@ -341,17 +401,47 @@ class _Run:
     def closed(self, s, w, gain):
         """(scores, n, gain) of the segments that end before the last score of ``s``."""
         at = np.r_[0, np.flatnonzero(np.diff(s)) + 1]
-        scores, n, g = s[at], np.add.reduceat(w, at, 0), np.add.reduceat(w * gain[:, None], at, 0)
-        if self.score is not None:
-            if self.score == scores[0]:
-                n[0] += self.n
-                g[0] += self.gain
+        lead = self.score is not None and self.score != s[0]
+        scores = np.r_[self.score, s[at]] if lead else s[at]
+        n, g = np.empty((2, len(scores), w.shape[1]))
+        for own, values in ((n, w), (g, w * gain[:, None])):
+            if len(at) == len(s):
+                own[int(lead) :] = values
             else:
-                scores, n, g = np.r_[self.score, scores], np.vstack([self.n[None], n]), np.vstack([self.gain[None], g])
-        self.score, self.n, self.gain = scores[-1], n[-1], g[-1]
+                np.add.reduceat(values, at, 0, out=own[int(lead) :])
+        if self.score is not None:  # the segment that was open: a row of its own, or the first score goes on
+            n[0], g[0] = (self.n, self.gain) if lead else (n[0] + self.n, g[0] + self.gain)
+        self.score, self.n, self.gain = scores[-1], n[-1].copy(), g[-1].copy()
         return scores[:-1], n[:-1], g[:-1]
 
 
+def _stretches(flags: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each run of equal flags."""
+    edges = np.r_[0, np.flatnonzero(flags[1:] != flags[:-1]) + 1, len(flags)].tolist()
+    return list(zip(edges[:-1], edges[1:]))
+
+
+class _Ends:
+    """Sums over cells in falling score, and those of the first and the last score apart."""
+
+    def __init__(self):
+        self.total, self.first, self.last = 0.0, None, None
+
+    @staticmethod
+    def _joined(end, s, w, gain):
+        n, g = w.sum(0), gain @ w
+        return (s, n, g) if end is None or end[0] != s else (s, end[1] + n, end[2] + g)
+
+    def add(self, s, w, values):
+        self.total = self.total + w.T @ values
+        gain = values[:, 1]
+        if self.first is None or self.first[0] == s[0]:
+            head = slice(0, int((s == s[0]).sum()))
+            self.first = self._joined(self.first, s[0], w[head], gain[head])
+        tail = slice(len(s) - int((s == s[-1]).sum()), len(s))
+        self.last = self._joined(self.last, s[-1], w[tail], gain[tail])
+
+
 def replicate_curve_reads(
     cell_df: DataFrame, by: list[str], off: str, on: str, score: str, n_boot: int, seed: int = 0,
     ranges: dict[str, tuple[float, float]] | None = None, allowances: dict[str, float] | None = None,
@@ -401,25 +491,19 @@ def replicate_curve_reads(
     summed = T.StructType(_fields(dealt, keys) + [b_field] + doubles([*CURVE_SUMS, *ends]))
 
     def add_up(batches):
-        open_group, total, run, first = None, None, None, None
+        open_group, ends_of = None, None
 
         def done():
-            head = first or (run.score, run.n, run.gain)
-            return framed(open_group, {
-                **dict(zip(CURVE_SUMS, total.T)), "first_s": head[0], "first_n": head[1], "first_gain": head[2],
-                "last_s": run.score, "last_n": run.n, "last_gain": run.gain,
-            }, summed.names)
+            names = dict(zip(["first_s", "first_n", "first_gain", "last_s", "last_n", "last_gain"], [*ends_of.first, *ends_of.last]))
+            return framed(open_group, {**dict(zip(CURVE_SUMS, ends_of.total.T)), **names}, summed.names)
 
         for group, s, w, values in drawn(batches):
             if group != open_group:
-                if run is not None:
+                if ends_of is not None:
                     yield done()
-                open_group, total, run, first = group, 0.0, _Run(), None
-            total = total + w.T @ values
-            scores, n, gain = run.closed(s, w, values[:, 1])
-            if first is None and len(scores):
-                first = scores[0], n[0], gain[0]
-        if run is not None:
+                open_group, ends_of = group, _Ends()
+            ends_of.add(s, w, values)
+        if ends_of is not None:
             yield done()
 
     parts = dealt.mapInPandas(add_up, summed)
@@ -459,11 +543,18 @@ def replicate_curve_reads(
         F.array_sort(F.collect_list(F.struct("b", "at.n0", "at.gain0", *_START[2:]))).alias("r"),
         F.array_union(F.max("f"), F.max("l")).alias("shared"),
     ).select(*keys, *[F.col(f"r.{x}").alias(x) for x in ["b", *_START]], "shared")
-    blank = [F.lit(None).cast(begin.schema[x].dataType).alias(x) for x in ["b", *_START, "shared"]]
+
+    def pack(batches):
+        # One value beside the cells: six array columns that are null in every cell cost more than the cells.
+        for pdf in batches:
+            heads = [pickle.dumps([np.asarray(row[x]) for x in ["b", *_START, "shared"]]) for _, row in pdf.iterrows()]
+            yield pdf[keys].assign(head=heads)
+
+    heads = begin.mapInPandas(pack, T.StructType([*_fields(dealt, keys), T.StructField("head", T.BinaryType())]))
     own = [x for x in dealt.columns if x not in keys]
-    streams = dealt.select(*keys, *own, *blank).unionByName(
-        begin.select(*keys, *[F.lit(None).cast(dealt.schema[x].dataType).alias(x) for x in own], *["b", *_START, "shared"])
-    ).repartitionById(n_parts, F.col("pid")).sortWithinPartitions("pid", *by, F.col("b").isNull(), F.desc("s"))
+    streams = dealt.select(*keys, *own, F.lit(None).cast("binary").alias("head")).unionByName(
+        heads.select(*keys, *[F.lit(None).cast(dealt.schema[x].dataType).alias(x) for x in own], "head")
+    ).repartitionById(n_parts, F.col("pid")).sortWithinPartitions("pid", *by, F.col("head").isNull(), F.desc("s"))
 
     def read_inside(batches):
         open_group, state, run, got = None, None, None, None
@@ -471,7 +562,7 @@ def replicate_curve_reads(
         def cells():
             nonlocal open_group, state, run, got
             for batch in batches:
-                head = batch["b"].notna().to_numpy()
+                head = batch["head"].notna().to_numpy()
                 edges = np.r_[0, np.flatnonzero(head), len(batch)]
                 for a, z in zip(edges[:-1], edges[1:]):
                     if a == z:
@@ -481,11 +572,12 @@ def replicate_curve_reads(
                             yield "end", None
                         row = batch.iloc[a]
                         open_group = tuple(None if pd.isna(row[k]) else row[k] for k in keys)
+                        drawn_at, *given, shared = pickle.loads(row["head"])
                         spread = {}
-                        for x in _START:  # replicates without rows have no start and are left out
+                        for x, value in zip(_START, given):  # replicates without rows have no start and are left out
                             spread[x] = np.full(n_boot, np.nan)
-                            spread[x][np.asarray(row["b"], dtype=int)] = row[x]
-                        state, run = {**spread, "shared": np.asarray(row["shared"], dtype=float)}, _Run()
+                            spread[x][drawn_at.astype(int)] = value
+                        state, run = {**spread, "shared": shared.astype(float)}, _Run()
                         got = {x: np.full(n_boot, reads.fold(x)[3]) for x in reads.names}
                         a += 1
                     if a < z:
@@ -507,13 +599,12 @@ def replicate_curve_reads(
             scores, n, g = run.closed(pdf["s"].to_numpy(dtype=float), w, gain)
             if not len(scores):
                 continue
-            k0, g0 = state["n0"] + np.cumsum(n, 0) - n, state["gain0"] + np.cumsum(g, 0) - g
-            state["n0"], state["gain0"] = k0[-1] + n[-1], g0[-1] + g[-1]
-            inside = ~np.isin(scores, state["shared"])
-            if inside.any():
-                for name, value in reads(*(x[inside] for x in (n, g, k0, g0)), *(state[x] for x in _START[2:])):
-                    over, two = reads.fold(name)[:2]
-                    got[name] = two(got[name], over(value, axis=0))
+            # The scores read as ties only move on where the others begin.
+            shared = np.isin(scores, state["shared"])
+            for a, z in _stretches(shared):
+                if not shared[a]:
+                    reads.add(got, n[a:z], g[a:z], *(state[x] for x in _START))
+                state["n0"], state["gain0"] = state["n0"] + n[a:z].sum(0), state["gain0"] + g[a:z].sum(0)
 
     partial = ties.mapInPandas(read_ties, shape).unionByName(streams.mapInPandas(read_inside, shape))
     named = lambda x: F.col(f"`{x}`")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tandem.checks import CheckFailed
 from tandem.catalog.boot import MEDIAN
+from tandem.functions import rand
 from tandem.functions.rand import multinomial_weights, poisson_table, poisson_weights
 from tandem.operators import boot, calib, curves, ordered, rank, splits
 
@@ -411,3 +412,42 @@ def test_split_proportions_and_folds(spark):
     assert [got[(False, s)] for s in ("train", "val", "test")] == [48, 16, 16]
     sizes = sorted(r["count"] for r in splits.folds(df, [], 5, 0, "id").groupBy("fold").count().collect())
     assert sizes == [20, 20, 21, 21, 21]
+
+
+def test_lookup_draws_equal_inverted_uniforms_and_cost_less():
+    from time import perf_counter
+
+    rng = np.random.default_rng(5)
+    keys, n_boot = [str(k) for k in rng.integers(0, 10**9, 600)], 500
+    for counts in (np.ones(600, int), rng.integers(0, 40, 600), rng.integers(0, 500_000, 600)):
+        words, want = rand.key_words(keys, 3), np.zeros((600, n_boot))
+        started = perf_counter()
+        for power in range(int(counts.max()).bit_length()):
+            at = np.flatnonzero(counts >> power & 1)
+            first, steps = rand.poisson_table(power)
+            u = rand.uniforms((words[0][at], words[1][at]), n_boot, power)
+            want[at] += first + np.searchsorted(steps, u, side="right")
+        by_table = perf_counter() - started
+        assert np.array_equal(rand.poisson_weights(keys, counts, n_boot, 3), want)
+        if counts.max() == 1:
+            took = []
+            for _ in range(5):
+                started = perf_counter()
+                rand.poisson_weights(keys, counts, n_boot, 3)
+                took.append(perf_counter() - started)
+            assert min(took) < by_table / 2
+
+
+def test_segments_read_together_equal_segments_read_alone():
+    rng = np.random.default_rng(6)
+    reads = boot.CurveReads({"a": (0.0, 0.5), "b": (0.2, 1.0)}, {"m": 0.01, "z": 0.0}, {"f": 0.3, "g": 0.0})
+    n, gain = rng.integers(0, 4, (400, 30)).astype(float), np.zeros((400, 30))
+    gain += np.where(n > 0, rng.integers(-1, 2, (400, 30)), 0)
+    whole = n.sum(0), gain.sum(0), n.sum(0) * 0.6
+    k0, g0 = np.cumsum(n, 0) - n, np.cumsum(gain, 0) - gain
+    got = {x: np.full(30, reads.fold(x)[3]) for x in reads.names}
+    for a in range(0, 400, 37):
+        z = slice(a, a + 37)
+        reads.add(got, n[z], gain[z], k0[a], g0[a], *whole)
+    for name, value in reads(n, gain, k0, g0, *whole):
+        assert np.allclose(got[name], reads.fold(name)[0](value, axis=0), rtol=0, atol=1e-12), name
