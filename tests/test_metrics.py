@@ -451,3 +451,11 @@ def test_segments_read_together_equal_segments_read_alone():
         reads.add(got, n[z], gain[z], k0[a], g0[a], *whole)
     for name, value in reads(n, gain, k0, g0, *whole):
         assert np.allclose(got[name], reads.fold(name)[0](value, axis=0), rtol=0, atol=1e-12), name
+
+
+def test_strata_above_the_leaves_of_the_sql_tree_keep_their_size():
+    size = 300_000  # the SQL twins stop at 2^17
+    edges = np.linspace(0, size, 41).astype(np.int64)
+    w = multinomial_weights("t0", size, edges[:-1], edges[1:], 20, 0)
+    assert (w.sum(0) == size).all() and abs(w.mean() - size / 40) < 1e-9
+    assert (abs(w - size / 40) < 6 * math.sqrt(size / 40)).all()
