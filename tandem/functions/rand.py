@@ -172,7 +172,7 @@ def binomial_table(power: int, left: int, total: int) -> tuple[int, np.ndarray]:
     return first, np.cumsum(np.exp(logs))
 
 
-def _split(drawn: np.ndarray, left: np.ndarray, total: np.ndarray, keys: list[str], seed: int) -> np.ndarray:
+def _split(drawn: np.ndarray, left: np.ndarray, total: np.ndarray, keys: list[str], seed: int, replicate: int) -> np.ndarray:
     """Of the draws that fall into each node (nodes x replicates), those of its left part, by binary digits as in poisson_weights."""
     out = np.where((left == total)[:, None], drawn, 0)
     words = key_words(keys, seed)
@@ -183,13 +183,13 @@ def _split(drawn: np.ndarray, left: np.ndarray, total: np.ndarray, keys: list[st
             i, b = np.nonzero(counts >> power & 1)
             if len(i):
                 first, steps = binomial_table(power, *share)
-                u = uniforms_at(words[0][own[i]], words[1][own[i]], b, power)
+                u = uniforms_at(words[0][own[i]], words[1][own[i]], b + replicate, power)
                 out[own[i], b] += first + np.searchsorted(steps, u, side="right")
     return out
 
 
-def multinomial_weights(stratum: str, size: int, start: np.ndarray, end: np.ndarray, n_boot: int, seed: int) -> np.ndarray:
-    """How often ``size`` draws with replacement from ``size`` rows hit rows [start, end), for every replicate: exact.
+def multinomial_weights(stratum: str, size: int, start: np.ndarray, end: np.ndarray, n_boot: int, seed: int, replicate: int = 0) -> np.ndarray:
+    """How often ``size`` draws with replacement from ``size`` rows hit rows [start, end), for every replicate from ``replicate`` on: exact.
 
     The rows are the leaves of a binary tree; the draws of a node fall to its
     left part binomially, by a number that hangs on (seed, stratum, node,
@@ -213,7 +213,7 @@ def multinomial_weights(stratum: str, size: int, start: np.ndarray, end: np.ndar
         nodes = own
         total = np.minimum(size - (nodes << power), 1 << power)
         left = np.minimum(total, 1 << (power - 1))
-        gone = _split(drawn, left, total, [f"{stratum}:{power}:{n}" for n in nodes.tolist()], seed)
+        gone = _split(drawn, left, total, [f"{stratum}:{power}:{n}" for n in nodes.tolist()], seed, replicate)
         right = bounds[live] >> (power - 1) & 1 == 1
         before[live[right]] += gone[np.searchsorted(nodes, asked[right])]
     first, last = place[: len(start)], place[len(start) :]

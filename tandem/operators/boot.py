@@ -53,12 +53,12 @@ def _in_order(placed: DataFrame) -> DataFrame:
     return placed.repartitionByRange(n_parts, "__stratum", "__a").sortWithinPartitions("__stratum", "__a")
 
 
-def _tree_weights(pdf: pd.DataFrame, n_boot: int, seed: int) -> np.ndarray:
+def _tree_weights(pdf: pd.DataFrame, n_boot: int, seed: int, first: int = 0) -> np.ndarray:
     out = np.zeros((len(pdf), n_boot))
     for (stratum,), at in _groups(pdf, ["__stratum"]):
         own = pdf.iloc[at]
         out[at] = multinomial_weights(
-            stratum, int(own["__n"].iloc[0]), own["__a"].to_numpy(np.int64), own["__z"].to_numpy(np.int64), n_boot, seed
+            stratum, int(own["__n"].iloc[0]), own["__a"].to_numpy(np.int64), own["__z"].to_numpy(np.int64), n_boot, seed, first
         )
     return out
 
@@ -728,22 +728,34 @@ def user_statistic(
 
     ``init(n)`` makes the state of n replicates, ``update(state, rows, w)`` takes
     rows (a frame of ``columns``) and their weights (rows x n), ``merge(a, b)``
-    joins two states and ``finish(state)`` gives n numbers. Tasks fold their own
-    rows; one state per task and block of replicates is shuffled, so the table
-    may be of any size as long as a state may.
+    joins two states and ``finish(state)`` gives n numbers. Rows go to tasks once
+    per block of replicates, so a task holds the state of one block; one state
+    per task and block is shuffled, and the table may be of any size as long as
+    a state may.
     """
-    src = _in_order(_placed(df.select(row_id, *columns).withColumn("c", F.lit(1).cast("bigint")), [], row_id, seed))
+    n_blocks = -(-n_boot // BLOCK)
+    placed = _placed(df.select(row_id, *columns).withColumn("c", F.lit(1).cast("bigint")), [], row_id, seed)
+    dealt = placed.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("__block"))
+    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    src = dealt.repartitionByRange(n_parts, "__block", "__a").sortWithinPartitions("__block", "__a")
 
     def fold(batches):
-        states = None
+        block, state, width = None, None, 0
+
+        def done():
+            return pd.DataFrame({"block": [block], "state": [pickle.dumps(state)]})
+
         for batch in batches:
-            for pdf in _chunks(batch, n_boot):
-                w = _tree_weights(pdf, n_boot, seed)
-                cuts = range(0, n_boot, BLOCK)
-                states = states or [init(min(BLOCK, n_boot - a)) for a in cuts]
-                states = [update(s, pdf[columns], w[:, a : a + BLOCK]) for s, a in zip(states, cuts)]
-        if states:
-            yield pd.DataFrame({"block": range(len(states)), "state": [pickle.dumps(s) for s in states]})
+            for (of,), at in _groups(batch, ["__block"]):
+                if of != block:
+                    if block is not None:
+                        yield done()
+                    block, width = int(of), min(BLOCK, n_boot - int(of) * BLOCK)
+                    state = init(width)
+                for pdf in _chunks(batch.iloc[at], width):
+                    state = update(state, pdf[columns], _tree_weights(pdf, width, seed, block * BLOCK))
+        if block is not None:
+            yield done()
 
     def join(batches):
         # Rows come by block; the states of a block are joined one after another.
@@ -764,7 +776,6 @@ def user_statistic(
         if state is not None:
             yield done()
 
-    n_blocks = -(-n_boot // BLOCK)
     states = src.mapInPandas(fold, "block int, state binary").repartition(n_blocks, "block").sortWithinPartitions("block")
     return states.mapInPandas(join, "b int, v double")
 

@@ -459,3 +459,20 @@ def test_strata_above_the_leaves_of_the_sql_tree_keep_their_size():
     w = multinomial_weights("t0", size, edges[:-1], edges[1:], 20, 0)
     assert (w.sum(0) == size).all() and abs(w.mean() - size / 40) < 1e-9
     assert (abs(w - size / 40) < 6 * math.sqrt(size / 40)).all()
+
+
+def test_user_statistic_holds_the_state_of_one_block(spark):
+    df = spark.range(3000).select(F.col("id"), (F.col("id") % 50).cast("double").alias("score"))
+    whole = multinomial_weights("", 3000, np.arange(3000), np.arange(1, 3001), 250, 0)
+    assert np.array_equal(multinomial_weights("", 3000, np.arange(3000), np.arange(1, 3001), 50, 0, 200), whole[:, 200:])
+    fold = (
+        lambda n: [n, np.zeros(n)],
+        lambda state, rows, w: [state[0], state[1] + w.T @ rows["score"].to_numpy()],
+        lambda a, b: [a[0], a[1] + b[1]],
+        lambda state: state[1] / 3000,
+    )
+    got = boot.user_statistic(df, ["score"], *fold, "id", 250).orderBy("b").collect()
+    assert [r.b for r in got] == list(range(250)) and abs(np.mean([r.v for r in got]) - 24.5) < 0.2
+    cells = df.select(F.col("id").alias("key"), "score", F.lit(1).alias("c"))
+    want = {r.b: r.s / 3000 for r in boot.exact_sums(cells, [], [], {"s": F.col("score")}, 250).collect()}
+    assert all(r.v == pytest.approx(want[r.b], abs=1e-12) for r in got)
