@@ -21,6 +21,7 @@ SHARE = 1e5  # and these, times the level's share of the corpus
 DRIFT = 1.0  # taken off every token, so that chance alone does not add up
 TOXIC = 0.7
 FOLDS, HELD = 3, 1
+STEP = 1 << 20  # text bytes handled at once
 CALIBRATE = 4  # every so many-th labelled row calibrates; the rest give the counts
 TOP_CLEAN, TOP_TOXIC, ALL = 0, 1, 2
 EULER = 0.5772156649015329
@@ -33,6 +34,11 @@ def cells(h: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     return (a & mask).astype(np.int64), ((a >> np.uint64(32)) & mask).astype(np.int64) + (1 << BITS)
 
 
+def add_counts(table: np.ndarray, spots: np.ndarray, n: np.ndarray) -> None:
+    """Add ``n`` at the given cells, without another array of the sketch's size."""
+    np.add.at(table, spots, n)
+
+
 def segments(x: np.ndarray) -> list[tuple[float, int, int]]:
     """All maximal scoring segments (score, start, end) of a sequence, in one pass.
 
@@ -141,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         words = Hasher()
         tables = np.zeros((3, 2 << BITS), np.int64)
         for batch in batches:
-            for part in slices(batch, "__text", 4 << 20):
+            for part in slices(batch, "__text", STEP):
                 h, row, _, _ = words.words(part.column("__text"))
                 at = labelled.place(labelled.numbers(part.column(key)), shared.value[0])
                 kind = np.where(at >= 0, shared.value[1][at] if len(shared.value[1]) else -1, -1)[row]
@@ -155,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                     for side in cells(words.prefixes(size, first), level):
                         for t, n in ((TOP_CLEAN, of[0]), (TOP_TOXIC, of[1]), (ALL, every)):
                             if n.any():
-                                tables[t] += np.bincount(side, n, 2 << BITS).astype(np.int64)
+                                add_counts(tables[t], side, n)
         for t in range(3):
             at = np.flatnonzero(tables[t])
             for a in range(0, len(at), 1 << 18):
@@ -182,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             own = batch.filter(pa.array(at >= 0))
             at = at[at >= 0]
             done = 0
-            for part in slices(own, "__text", 4 << 20):
+            for part in slices(own, "__text", STEP):
                 found = told.value.passages(words, part.column("__text"))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -216,7 +222,7 @@ def scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, m = Hasher(), told.value
         for batch in batches:
-            for part in slices(batch, "__text", 4 << 20):
+            for part in slices(batch, "__text", STEP):
                 found = m.passages(words, part.column("__text"))
                 score = m.score(np.array([m.evidence(n, f) for n, f in found]))
                 spans = [

@@ -208,3 +208,18 @@ def test_pieces_of_a_table(spark, library):
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (
             len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest()
         )
+
+
+def test_counting_into_a_sketch_takes_no_second_sketch():
+    import tracemalloc
+
+    import numpy as np
+
+    from tandem.llm import toxicity
+
+    table, spots, n = np.zeros(2 << toxicity.BITS, np.int64), np.array([3, 9, 3, 2_000_000]), np.array([1, 2, 5, 7])
+    tracemalloc.start()
+    toxicity.add_counts(table, spots, n)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1 << 20 and table[[3, 9, 2_000_000]].tolist() == [6, 2, 7] and table.sum() == 15
