@@ -6,7 +6,6 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +13,6 @@ from ..checks import require
 from ..columns import attach, count_if, join_on, truth
 from ..functions.arrays import fit_standardizer, linear_score, standardize, standardizer_state
 from ..session import settle, small_table
-from .ordered import numbered
 from .rank import auroc
 
 WORD = r"(?U)\b\w\w+\b"
@@ -96,21 +94,6 @@ def tfidf(grams: DataFrame, docs: DataFrame, by: list[str], doc: str, split: str
     return raw.select(*by, doc, "term", (F.col("__w") / norm).alias("weight"))
 
 
-def tfidf_vectors(weights: DataFrame, by: list[str], doc: str) -> DataFrame:
-    """by..., doc, features: sparse vectors over the fitted vocabulary of each ``by`` group.
-
-    Terms get their place from a distributed row number, so the vocabulary is
-    never gathered; one document's terms make one row.
-    """
-    vocab = weights.select(*by, "term").distinct()
-    placed = numbered(vocab, by, "vocabulary", "term", "__at")
-    rows = join_on(weights, placed, by + ["term"])
-    pair = F.array_sort(F.collect_list(F.struct((F.col("__at") - 1).cast("int").alias("i"), "weight")))
-    packed = rows.groupBy(*by, doc).agg(pair.alias("s"), F.max("tot___at").cast("int").alias("n"))
-    make = F.udf(lambda n, i, w: Vectors.sparse(n, i, w), VectorUDT())
-    return packed.select(*by, doc, make("n", "s.i", "s.weight").alias("features"))
-
-
 # Fitted scorers -------------------------------------------------------------------
 
 def class_weights(df: DataFrame, y: str) -> Column:
