@@ -607,10 +607,15 @@ def replicate_curve_reads(
                 state["n0"], state["gain0"] = state["n0"] + n[a:z].sum(0), state["gain0"] + g[a:z].sum(0)
 
     partial = ties.mapInPandas(read_ties, shape).unionByName(streams.mapInPandas(read_inside, shape))
+    return _read_off(partial, starts, by, reads)
+
+
+def _read_off(partial: DataFrame, starts: DataFrame, by: list[str], reads: CurveReads) -> DataFrame:
+    """by..., b and the reads, folded from parts of the curves; ``starts`` has the totals of each."""
     named = lambda x: F.col(f"`{x}`")
     merged = join_on(
         partial.groupBy(*by, "b").agg(*[reads.fold(x)[2](named(x)).alias(x) for x in reads.names]),
-        starts.groupBy(*by, "b").agg(*[F.max(x).alias(x) for x in totals]), [*by, "b"],
+        starts.groupBy(*by, "b").agg(*[F.max(f"{x}_all").alias(f"{x}_all") for x in CURVE_SUMS]), [*by, "b"],
     )
     share = lambda c: F.col(f"{c}_all") / F.col("n_all")
     inf = float("inf")
@@ -622,6 +627,36 @@ def replicate_curve_reads(
     )
 
 
+FEW_SCORES = 64  # of a group, whose sums a task holds for all replicates
+
+
+def few_curve_reads(
+    cell_df: DataFrame, by: list[str], off: str, on: str, score: str, n_boot: int, seed: int = 0,
+    ranges: dict[str, tuple[float, float]] | None = None, allowances: dict[str, float] | None = None,
+    fractions: dict[str, float] | None = None,
+) -> DataFrame:
+    """As replicate_curve_reads, for scores of few values: each cell is drawn once, and a score is one segment of sums."""
+    reads = CurveReads(ranges or {}, allowances or {}, fractions or {})
+    o, w = truth(F.col(off)).cast("double"), truth(F.col(on)).cast("double")
+    src = cell_df.withColumn("s", no_nan(F.col(score).cast("double"), "router scores")).sortWithinPartitions(*by, "s")
+    sums = {"n": F.lit(1.0), "gain": w - o, "base": o, "helped": F.greatest(w - o, F.lit(0.0)), "hurt": F.greatest(o - w, F.lit(0.0))}
+    got = replicate_sums(src, [*by, "s"], sums, n_boot, seed)
+    before = Window.partitionBy(*by, "b").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*by, "b")
+    segments = settle(got.select(
+        *by, "b", "n", "gain", *[F.coalesce(F.sum(x).over(before), F.lit(0.0)).alias(at) for x, at in (("n", "k0"), ("gain", "g0"))],
+        *[F.sum(x).over(whole).alias(f"{x}_all") for x in CURVE_SUMS],
+    ).where("n_all > 0"))
+    shape = T.StructType(_fields(segments, [*by, "b"]) + [T.StructField(x, T.DoubleType()) for x in reads.names])
+
+    def read(batches):
+        for pdf in batches:
+            values = reads(*(pdf[x].to_numpy() for x in ("n", "gain", "k0", "g0", "n_all", "gain_all", "base_all")))
+            yield pd.concat([pdf[[*by, "b"]], pd.DataFrame(dict(values), index=pdf.index)], axis=1)
+
+    return _read_off(segments.mapInPandas(read, shape), segments, by, reads)
+
+
 def replicate_nauc(
     cell_df: DataFrame, by: list[str], off: str, on: str, score: str, n_boot: int,
     seed: int = 0, lo: float = 0.0, hi: float = 0.5,
@@ -633,17 +668,17 @@ def replicate_nauc(
 # --- intervals -------------------------------------------------------------
 
 def percentile_interval(
-    reps: DataFrame, by: list[str], value: str = "v", confidence: float = 0.95
+    reps: DataFrame, by: list[str], value: str = "v", confidence: float = 0.95, also: dict[str, Column] | None = None
 ) -> DataFrame:
-    """by..., ci_lo, ci_hi, n_boot over the defined replicates."""
+    """by..., ci_lo, ci_hi, n_boot over the defined replicates, and the aggregates in ``also``."""
     v = F.col(value)
     v = F.when(~F.isnan(v), v)
     got = reps.groupBy(*by).agg(
         F.percentile(v, F.array(F.lit((1 - confidence) / 2), F.lit((1 + confidence) / 2))).alias("__q"),
-        F.count(v).alias("n_boot"),
+        F.count(v).alias("n_boot"), *[x.alias(name) for name, x in (also or {}).items()],
     )
     return got.select(
-        *by, F.col("__q")[0].alias("ci_lo"), F.col("__q")[1].alias("ci_hi"), "n_boot"
+        *by, F.col("__q")[0].alias("ci_lo"), F.col("__q")[1].alias("ci_hi"), "n_boot", *(also or {})
     )
 
 
@@ -659,12 +694,9 @@ def paired_summary(
     estimate: DataFrame, reps: DataFrame, by: list[str], confidence: float = 0.95
 ) -> DataFrame:
     """estimate, ci, n_boot, se and the share of replicates at or below zero."""
-    spread = reps.groupBy(*by).agg(
-        F.stddev_samp("v").alias("se"),
-        ratio(count_if(F.col("v") <= 0), F.count("v")).alias("p_le_zero"),
-    )
-    ci = percentile_interval(reps, by, "v", confidence)
-    return join_on(join_on(estimate, ci, by), spread, by)
+    # One pass over the replicates, which are dear to make.
+    spread = {"se": F.stddev_samp("v"), "p_le_zero": ratio(count_if(F.col("v") <= 0), F.count("v"))}
+    return join_on(estimate, percentile_interval(reps, by, "v", confidence, spread), by)
 
 
 def paired_mean(
@@ -809,7 +841,8 @@ def paired_auroc(
     n_boot: int, seed: int = 0, confidence: float = 0.95,
 ) -> DataFrame:
     """AUROC(a) - AUROC(b) on the same rows and the same resamples."""
-    cell_df = cells(df, by, [y, *scorers.values()], row_id)
+    # Read by the point value and by the replicates.
+    cell_df = settle(cells(df, by, [y, *scorers.values()], row_id))
     long = long_scorers(cell_df, by + [y, "c", "key"], scorers)
     keys = by + ["scorer"]
     hit = truth(F.col(y))
@@ -828,18 +861,33 @@ def paired_auroc(
 
 def paired_nauc(
     df: DataFrame, by: list[str], off: str, on: str, scorers: dict[str, str], a: str, b: str,
-    row_id: str, n_boot: int, seed: int = 0, lo: float = 0.0, hi: float = 0.5, confidence: float = 0.95,
+    row_id: str, n_boot: int, seed: int = 0, lo: float = 0.0, hi: float = 0.5, confidence: float = 0.95, own: bool = False,
 ) -> DataFrame:
-    """nAUC(a) - nAUC(b) on [lo, hi], same rows and same resamples."""
-    cell_df = cells(df, by, [off, on, *scorers.values()], row_id)
+    """nAUC(a) - nAUC(b) on [lo, hi], same rows and same resamples; with ``own`` also the interval of nAUC(a) as own_lo, own_hi."""
+    # Read by the point value and by the replicates.
+    cell_df = settle(cells(df, by, [off, on, *scorers.values()], row_id))
     long = long_scorers(cell_df, by + [off, on, "c", "key"], scorers)
     keys = by + ["scorer"]
     point = nauc(segments(long, keys, off, on, "score", weight="c"), keys, lo, hi).select(
         *keys, F.lit(0).alias("b"), F.col("nauc").alias("v")
     )
     estimate = difference(point, by, "scorer", a, b).select(*by, F.col("v").alias("estimate"))
-    reps = replicate_nauc(long, keys, off, on, "score", n_boot, seed, lo, hi)
-    return paired_summary(estimate, difference(reps, by, "scorer", a, b), by, confidence)
+    values = cell_df.groupBy(*by).agg(*[F.approx_count_distinct(c).alias(x) for x, c in scorers.items()])
+    most = values.agg(*[F.max(x).alias(x) for x in scorers]).first()
+    few = [x for x in scorers if (most[x] or 0) <= FEW_SCORES]
+    parts = []
+    if few:
+        got = few_curve_reads(long.where(F.col("scorer").isin(few)), keys, off, on, "score", n_boot, seed, {"area": (lo, hi)})
+        parts.append(got.select(*keys, "b", F.col("area.nauc").alias("v")))
+    if len(few) < len(scorers):
+        parts.append(replicate_nauc(long.where(~F.col("scorer").isin(few)), keys, off, on, "score", n_boot, seed, lo, hi))
+    # A number per group and replicate, dear to make, read by the difference and by a's own interval.
+    reps = settle(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
+    got = paired_summary(estimate, difference(reps, by, "scorer", a, b), by, confidence)
+    if not own:
+        return got
+    mine = percentile_interval(reps.where(F.col("scorer") == a), by, "v", confidence)
+    return join_on(mine.select(*by, F.col("ci_lo").alias("own_lo"), F.col("ci_hi").alias("own_hi")), got, by)
 
 
 def seed_average(per_seed: DataFrame, by: list[str]) -> DataFrame:
@@ -855,10 +903,14 @@ def stratified_block(
     seed: int = 0,
 ) -> DataFrame:
     """n, base rate, AUROC and its interval per level; levels under 2 rows are skipped."""
-    keys = by + [level]
-    counts = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(truth(F.col(y)).cast("double")).alias("base_rate")
+    keys, hit = by + [level], truth(F.col(y))
+    # Counts, point and replicates read the same cells, each counted c times.
+    cell_df = settle(cells(df, keys, [score, y], row_id))
+    times = lambda cond: F.sum(F.when(cond, F.col("c")).otherwise(0)).cast("double")
+    counts = cell_df.groupBy(*keys).agg(
+        F.sum("c").alias("n"), (times(hit) / F.sum("c")).alias("base_rate")
     ).where("n >= 2")
-    point = auroc(df, keys, y, score).select(*keys, "auroc")
-    ci = auroc_interval(df, keys, y, score, row_id, n_boot, seed)
-    return join_on(join_on(counts, point, keys), ci, keys)
+    counted = cell_df.groupBy(*keys, no_nan(F.col(score).cast("double"), "scores").alias("score")).agg(times(hit).alias("p"), times(~hit).alias("n"))
+    point = concordance(counted, keys).select(*keys, F.try_divide("u", F.col("p") * F.col("n")).alias("auroc"))
+    reps = replicate_auroc(cell_df, keys, y, score, n_boot, seed)
+    return join_on(join_on(counts, point, keys), percentile_interval(reps, keys), keys)

@@ -126,11 +126,8 @@ def routing_intervals(rows: DataFrame, by: list[str], row_id: str, n_boot: int,
     """Interval of the confidence router's nAUC and its paired difference to the family router."""
     scored = curves.group_mean_score(rows, by, "family", cheap, ON, "__fam")
     scored = scored.where(F.col("__fam").isNotNull()).withColumn("__conf", -F.col("p_max"))
-    diff = boot.paired_nauc(scored, by, cheap, ON, {"conf": "__conf", "family": "__fam"}, "conf", "family", row_id, n_boot)
-    cell = boot.cells(scored, by, [cheap, ON, "__conf", "__fam"], row_id)
-    reps = boot.replicate_nauc(cell, by, cheap, ON, "__conf", n_boot)
-    ci = boot.percentile_interval(reps, by).select(*by, F.col("ci_lo").alias("nauc_lo"), F.col("ci_hi").alias("nauc_hi"))
-    return join_on(ci, diff, by)
+    got = boot.paired_nauc(scored, by, cheap, ON, {"conf": "__conf", "family": "__fam"}, "conf", "family", row_id, n_boot, own=True)
+    return got.withColumnsRenamed({"own_lo": "nauc_lo", "own_hi": "nauc_hi"})
 
 
 # Two thresholds ------------------------------------------------------------------------
