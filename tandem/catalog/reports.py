@@ -6,7 +6,7 @@ from ..columns import count_if, join_on, ratio
 from ..operators import boot, curves, predict, rank, splits
 from ..operators.joins import ordered_pairs
 from ..plans import compare, experiment, headroom, tiers
-from ..session import small_table
+from ..session import settle, small_table
 from .base import EVT, RDO, auroc_sql, draws, logistic_sql, nauc_sql, query, segments_sql
 from .rank import _min_fraction_sql, _split_sql
 
@@ -494,7 +494,9 @@ def l14(t):
        "mean ci_lo ci_hi p_le_zero")
 def r09_pred(t):
     """Probe against baseline from two prediction tables, seed-averaged, per family."""
-    rows = _seed_rows(t).select("family", "seed", "split", "sample_id", F.col("y").cast("int").alias("y"), "score_a", "score_b")
+    # Two tables of the same test rows: their splits are made once.
+    rows = settle(_seed_rows(t).where("split = 'test'").select(
+        "family", "seed", "split", "sample_id", F.col("y").cast("int").alias("y"), "score_a", "score_b"))
     a = rows.withColumnRenamed("score_a", "score").drop("score_b")
     b = rows.withColumnRenamed("score_b", "score").drop("score_a")
     return compare.paired_difference(a, b, ["family"], S)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..checks import CheckFailed, or_fail, require, require_empty, require_unique
 from ..columns import attach, count_if, truth
-from ..session import plan_bytes
+from ..session import plan_bytes, settle
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -120,7 +120,8 @@ def pair_predictions(a: DataFrame, b: DataFrame, keys: list[str], by: list[str])
     """
     left = a.select(*by, *keys, F.col("y").alias("y_a"), F.col("score").alias("score_a"))
     right = b.select(*by, *keys, F.col("score").alias("score_b"))
-    both = left.join(right, by + keys, "full_outer")
+    # Read for the check of the ids and as rows.
+    both = settle(left.join(right, by + keys, "full_outer"))
     ok = both.groupBy(*by).agg(
         F.min(F.col("score_a").isNotNull() & F.col("score_b").isNotNull()).alias("valid")
     )
