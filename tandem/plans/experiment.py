@@ -90,6 +90,8 @@ def curve_block(rows: DataFrame, by: list[str], score: str, off: str = "correct_
 def aggregate_levels(per_seed: DataFrame, by: list[str], level: str) -> DataFrame:
     """Means over seeds per level: by..., level, n_seeds, auroc mean with its interval and, where given, the averaged bounds."""
     keys = by + [level]
+    if "ci_lo" in per_seed.columns:
+        per_seed = settle(per_seed)  # a few rows, whose replicates are dear to make, read twice
     got = boot.mean_interval(per_seed, keys, "auroc").withColumnRenamed("n", "n_seeds")
     if "ci_lo" not in per_seed.columns:
         return got
@@ -101,6 +103,7 @@ def seed_auroc(rows: DataFrame, by: list[str], y: str, score: str, row_id: str,
     """by..., AUROC over seeds: mean with its normal interval, and the mean of the seeds' bootstrap bounds as boot_lo, boot_hi."""
     keys = [*by, seeds]
     per = join_on(rank.auroc(rows, keys, y, score).select(*keys, "auroc"), boot.auroc_interval(rows, keys, y, score, row_id, n_boot), keys)
+    per = settle(per)  # a row a seed, whose replicates are dear to make, read twice
     bounds = boot.average_interval(per, by).select(*by, F.col("ci_lo").alias("boot_lo"), F.col("ci_hi").alias("boot_hi"))
     return join_on(boot.mean_interval(per, by, "auroc").withColumnRenamed("n", "n_seeds"), bounds, by)
 
