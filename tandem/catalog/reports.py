@@ -129,7 +129,7 @@ def a07_level_intervals(t):
        + ", ".join(experiment.SEED_METRICS) + " into name metric value v) select metric, avg(v) as mean, avg(v) - coalesce(1.96::double*stddev_samp(v)/sqrt(count(v)), 0) as ci_lo, "
        "avg(v) + coalesce(1.96::double*stddev_samp(v)/sqrt(count(v)), 0) as ci_hi, stddev_samp(v) as sd, count(v) as n from long group by metric", "mean ci_lo ci_hi sd")
 def a07(t):
-    per = experiment.run_scored(_seed_rows(t), "y", "score_a", "event_id").where("split = 'test'")
+    per = experiment.run_scored(_seed_rows(t), "y", "score_a", "event_id", only="test")
     return experiment.aggregate_seeds(per, [])
 
 

@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checks import no_nan
-from ..columns import count_if, join_on, ratio, truth
+from ..columns import attach, count_if, join_on, ratio, truth
+from ..session import settle
 from .ordered import HIGH_BITS, LOW_BITS, order_key, running
 
+HOT_TIE = 1 << 12  # rows of one score that a task may order by itself
+
 
 def score_cells(df: DataFrame, by: list[str], y: str, score: str) -> DataFrame:
     """One row per (by, score): ``p`` positives, ``n`` negatives, as DOUBLE."""
@@ -97,7 +100,7 @@ def average_precision(
     rows = df.select(
         *by, F.col(score).cast("double").alias("s"), row_id, truth(F.col(y)).cast("bigint").alias("hit")
     ).withColumn("one", F.lit(1).cast("bigint"))
-    cells = rows.groupBy(*by, "s").agg(F.sum("hit").alias("h"), F.sum("one").alias("c"))
+    cells = settle(rows.groupBy(*by, "s").agg(F.sum("hit").alias("h"), F.sum("one").alias("c")))
     above = running(cells, by, "s", ["h", "c"], descending=True).select(
         *by,
         "s",
@@ -105,12 +108,23 @@ def average_precision(
         (F.col("cum_c") - F.col("c")).alias("c0"),
         F.col("tot_h").alias("pos"),
     )
-    inside = running(rows, by + ["s"], row_id, ["hit", "one"])
+    # A tie of up to HOT_TIE rows is one array; only larger ones are ordered across tasks, row by row.
+    hot = cells.where(F.col("c") > HOT_TIE).select(*by, "s", F.lit(True).alias("hot"))
+    marked = attach(rows, hot, [*by, "s"], "left")
+    tied = marked.where("hot is null").groupBy(*by, "s").agg(F.array_sort(F.collect_list(F.struct(row_id, "hit"))).alias("t"))
+    nothing = F.struct(F.lit(0.0).alias("sum"), F.lit(0).cast("bigint").alias("k"), F.lit(0).cast("bigint").alias("j"))
+
+    def read(acc, x):
+        k, j = acc["k"] + x["hit"], acc["j"] + 1
+        value = F.when(x["hit"] == 1, (F.col("h0") + k) / (F.col("c0") + j)).otherwise(0.0)
+        return F.struct((acc["sum"] + value).alias("sum"), k.alias("k"), j.alias("j"))
+
+    few = join_on(tied, above, [*by, "s"]).select(*by, "pos", F.aggregate("t", nothing, read, lambda acc: acc["sum"]).alias("v"))
+    inside = running(marked.where("hot").drop("hot"), by + ["s"], row_id, ["hit", "one"])
     at = join_on(inside, above, by + ["s"])
     precision = (F.col("h0") + F.col("cum_hit")) / (F.col("c0") + F.col("cum_one"))
-    return at.groupBy(*by).agg(
-        ratio(F.sum(F.when(F.col("hit") == 1, precision)), F.max("pos")).alias("auprc")
-    )
+    many = at.select(*by, "pos", F.when(F.col("hit") == 1, precision).alias("v"))
+    return few.unionByName(many).groupBy(*by).agg(ratio(F.sum("v"), F.max("pos")).alias("auprc"))
 
 
 def rank_correlation(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:

@@ -131,13 +131,14 @@ def threshold_from(rows: DataFrame, by: list[str], score: str, where: Column | s
 
 
 def run_scored(rows: DataFrame, y: str, score: str, row_id: str, n_boot: int = 0,
-               keys: list[str] | None = None) -> DataFrame:
-    """Evaluation of already scored rows: threshold on validation, applied to both splits."""
+               keys: list[str] | None = None, only: str | None = None) -> DataFrame:
+    """Evaluation of already scored rows: threshold on validation, applied to both splits or to ``only`` one."""
     by = (keys or []) + ["seed"]
     # The splits and scores are read by several branches; they are computed once.
     held = settle(rows.where("split <> 'train'"))
     cut = threshold_from(held, by, score, "split = 'val'")
-    return evaluate(attach(held, cut, by), by + ["split"], y, score, row_id, "threshold", n_boot)
+    asked = held.where(F.col("split") == only) if only else held
+    return evaluate(attach(asked, cut, by), by + ["split"], y, score, row_id, "threshold", n_boot)
 
 
 def run_probe(

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tandem.operators import boot
+from tandem.operators import boot, rank
 from tandem.operators.joins import pair_predictions
 from tandem.plans import experiment
 
@@ -49,3 +49,14 @@ def test_paired_rows_are_joined_once(spark):
     assert both.where("valid").count() == 400
     got = boot.paired_auroc(df, ["set"], "off", {"x": "a", "z": "few"}, "x", "z", "id", 50)
     assert python_nodes(got) == 1
+
+
+@pytest.mark.parametrize("most", [3, 1 << 12])
+def test_average_precision_of_small_and_large_ties(spark, monkeypatch, most):
+    monkeypatch.setattr(rank, "HOT_TIE", most)
+    got = {r.set: r.auprc for r in rank.average_precision(rows(spark), ["set"], "off", "few", "id").collect()}
+    pdf = rows(spark).toPandas()
+    for name, own in pdf.groupby("set"):
+        hit = own.sort_values(["few", "id"], ascending=[False, True])["off"].to_numpy()
+        want = (np.cumsum(hit) / np.arange(1, len(hit) + 1))[hit].mean()
+        assert got[name] == pytest.approx(want, abs=1e-12)
